@@ -7,11 +7,10 @@ arrival is later than the latest register, since nothing can change any more. Tw
 Jaccard similarity of the weighted sets, which for weights of 1 is the Jaccard similarity.
 
 Texts with equal word sequences form a class at once; only the smallest doc_id of a class goes on. Registers are cut into bands;
-class representatives that agree in a band are candidates. Within a bucket only pairs with the bucket's smallest
-member are compared, exactly, over all shingles; 1 - similarity is a metric, so a member that is far closer to this pivot than
-the others are needs no other comparison, and the rest of the bucket repeats with its next smallest member. No pair that
-shares a band and reaches the threshold is lost, no bucket is expanded into all pairs, and no size is capped. Links are joined to
-groups by repeated minimum labels.
+class representatives that agree in a band are candidates. Within a bucket pivots are compared with the other members, exactly,
+over all shingles; links join members to groups, and a bucket whose members are all in one group is done. 1 - similarity is a
+metric, so pairs whose distances to the first pivot differ too much need no comparison. The result is that of comparing
+all pairs that share a band, without expanding a bucket into its pairs or capping its size.
 
 Defined cases: texts without words are no near-duplicates of other texts, but of each other (one class). Null text has no
 words. Rows that repeat a doc_id fall into one row. Empty tables give empty results. Extra columns are ignored.
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.common import staged
@@ -153,26 +152,46 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str = "text", doc_id: str =
 
 
 def near_links(representatives: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(a, b, sim >= threshold): links that connect all representatives which share a bucket and reach the threshold."""
+    """(node, root): groups of the representatives that share a bucket and reach the threshold, for all that share any.
+
+    First every bucket's smallest member is its pivot. Then, while a bucket holds members of several groups, a growing number
+    of pivots (of the smallest groups first) meets the members of other groups. A pair is left out only if the
+    distances to the first pivot prove it too far, so the result is that of comparing all pairs of every bucket.
+    """
+    slack = 1 - threshold + 1e-9
     entries = representatives.select(F.col("doc_id").alias("doc"), F.explode("buckets").alias("bucket"))
-    known, live = None, entries
+    first = entries.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot < top").drop("top")
+    live = staged(entries.join(first, "bucket"), "live")
+    pairs = live.filter("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+    known = staged(verify(pairs, docs, text, doc_id), "verified")
+    near = known.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "sim")
+    live = staged(live.join(near, ["pivot", "doc"], "left").select("bucket", "doc", F.coalesce("sim", F.lit(1.0)).alias("sim")), "live")
+    labels = live.select(F.col("doc").alias("node"), F.col("doc").alias("root")).distinct()
+    pivots = 2
     while True:
-        pivots = live.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot < top").drop("top")
-        live = staged(live.join(pivots, "bucket").filter("doc > pivot"), "live")
-        pairs = live.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        labels = staged(relabel(labels, known.filter(F.col("sim") >= threshold - 1e-12)), "groups")
+        rooted = live.join(labels.withColumnRenamed("node", "doc"), "doc")
+        mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
+        sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("bucket").orderBy("n", "root", "doc")
+        live = staged(rooted.join(mixed_buckets, "bucket").join(sizes, ["bucket", "root"]).withColumn("rank", F.row_number().over(order)), "live")
         if live.isEmpty():
-            break
-        fresh = staged(verify(pairs, docs, text, doc_id), "verified")
-        known = fresh if known is None else known.unionByName(fresh)
-        compared = live.join(known, (live["pivot"] == known["a"]) & (live["doc"] == known["b"])).select("bucket", "doc", "sim")
-        # the closest that isn't linked to the pivot; only members not much closer than it can be linked to it
-        outside = compared.groupBy("bucket").agg(F.max(F.when(F.col("sim") < threshold, F.col("sim"))).alias("outside"))
-        live = compared.join(outside, "bucket").filter(F.col("outside").isNotNull() & ((F.col("sim") < threshold) | (F.col("sim") - F.col("outside") <= 1 - threshold + 1e-9))).select("doc", "bucket")
-    if known is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long, sim double")
-    return known.filter(F.col("sim") >= threshold - 1e-12)
+            return labels
+        chosen = live.filter(F.col("rank") <= pivots).select("bucket", F.col("doc").alias("p"), F.col("root").alias("p_root"), F.col("sim").alias("p_sim"), F.col("rank").alias("p_rank"))
+        met = live.join(chosen, "bucket").filter((F.col("rank") > F.col("p_rank")) & (F.col("root") != F.col("p_root")) & (F.abs(F.col("sim") - F.col("p_sim")) <= slack))
+        pairs = met.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+        known = staged(verify(pairs, docs, text, doc_id), "verified")
+        live = live.filter(F.col("rank") > pivots).select("bucket", "doc", "sim")
+        pivots *= 4
+
+
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the groups that (a, b) links join have become one."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = links.join(of_a, "a").join(of_b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return labels.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,7 +217,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     classes = signed.groupBy("class_hi", "class_lo").agg(F.min("doc_id").alias("class_id"))
     members = signed.select("doc_id", "class_hi", "class_lo").distinct().join(classes, ["class_hi", "class_lo"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     heads = signed.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    roots = components(near_links(heads, docs, threshold, text, doc_id))
+    roots = near_links(heads, docs, threshold, text, doc_id)
     joined = members.join(roots, members["class_id"] == roots["node"], "left")
     group = F.coalesce("root", "class_id")
     return joined.select("doc_id", "class_id", group.alias("group_id"), (F.col("doc_id") == group).alias("kept"))

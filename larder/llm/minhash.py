@@ -7,10 +7,10 @@ arrival is later than the latest register, since nothing can change any more. Tw
 Jaccard similarity of the weighted sets, which for weights of 1 is the Jaccard similarity.
 
 Texts with equal word sequences form a class at once; only the smallest doc_id of a class goes on. Registers are cut into bands;
-class representatives that agree in a band are candidates. Within a bucket pivots are compared with the other members, exactly,
-over all shingles; links join members to groups, and a bucket whose members are all in one group is done. 1 - similarity is a
-metric, so pairs whose distances to the first pivot differ too much need no comparison. The result is that of comparing
-all pairs that share a band, without expanding a bucket into its pairs or capping its size.
+class representatives that agree in a band are candidates. Within a bucket a pivot is compared with the other members, exactly,
+over all shingles; links join members to groups, and a bucket whose members are all in one group is done. What other buckets
+leave open is compared in blocks inside tasks, which give out links only. The groups are those of comparing all pairs that share a
+band; no bucket is expanded into its pairs, and no size is capped.
 
 Defined cases: texts without words are no near-duplicates of other texts, but of each other (one class). Null text has no
 words. Rows that repeat a doc_id fall into one row. Empty tables give empty results. Extra columns are ignored.
@@ -31,6 +31,8 @@ from larder.llm.words import Words, chunks, gram_hashes, mixed, words_of
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
+#: Members of a bucket that a task compares with as many others at most.
+BLOCK = 256
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -151,38 +153,113 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str = "text", doc_id: str =
     return both.mapInArrow(run, "a long, b long, sim double")
 
 
+def shingle_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc, elements, weights): the sorted shingles of each text and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                t, e, w = weighted(*shingles(words_of(b.column("text"))))
+                ends = pa.array(np.searchsorted(t, np.arange(b.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (e.view(np.int64), w.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column("doc"), *lists], ["doc", "elements", "weights"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    return source.mapInArrow(run, "doc long, elements array<long>, weights array<int>")
+
+
+def block_links(left: pa.Table, right: pa.Table | None, threshold: float) -> list[tuple[int, int]]:
+    """Links between different groups among `left`, or between `left` and `right`: enough to join all that are linked.
+
+    Shared weight is counted by marking one text's elements and looking up all others at once. Where all weights are 1
+    that gives the exact similarity; elsewhere it gives an upper bound, and what passes is computed.
+    """
+    both = left if right is None else pa.concat_tables([left, right])
+    docs, roots = both.column("doc").to_pylist(), both.column("root").to_pylist()
+    elements = both.column("elements").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(elements.value_lengths().to_numpy())])
+    flat = elements.flatten().to_numpy().view(np.uint64)
+    weight = both.column("weights").combine_chunks().flatten().to_numpy().astype(np.float64)
+    _, number = np.unique(flat, return_inverse=True)
+    mark = np.zeros(number.max(initial=-1) + 2)
+    sizes = np.diff(ends)
+    total = np.add.reduceat(np.append(weight, 0), ends[:-1]) * (sizes > 0)
+    plain = total == sizes
+    label: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while label.get(k, k) != k:
+            k = label[k]
+        return k
+
+    out = []
+    for k in range(left.num_rows):
+        own = slice(ends[k], ends[k + 1])
+        since = k + 1 if right is None else left.num_rows
+        if since == len(docs) or not sizes[k]:
+            continue
+        others = slice(ends[since], None)
+        mark[number[own]] = 1
+        hit = mark[number[others]]
+        starts = ends[since:-1] - ends[since]
+        common = np.add.reduceat(np.append(hit, 0), starts) * (sizes[since:] > 0)
+        theirs = np.add.reduceat(np.append(hit * weight[others], 0), starts) * (sizes[since:] > 0)
+        mark[number[own]] = weight[own]
+        mine = np.add.reduceat(np.append(mark[number[others]], 0), starts) * (sizes[since:] > 0)
+        mark[number[own]] = 0
+        exact = plain[k] & plain[since:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = np.where(exact, common / (sizes[k] + sizes[since:] - common), np.minimum(mine / total[k], theirs / total[since:]))
+        for j in (np.flatnonzero(sim >= threshold - 1e-12) + since).tolist():
+            p, q = find(roots[k]), find(roots[j])
+            if p == q:
+                continue
+            if not exact[j - since]:
+                at = slice(ends[j], ends[j + 1])
+                if similarity((flat[own], weight[own]), (flat[at], weight[at])) < threshold - 1e-12:
+                    continue
+            label[max(p, q)] = min(p, q)
+            out.append((docs[k], docs[j]))
+    return out
+
+
 def near_links(representatives: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(node, root): groups of the representatives that share a bucket and reach the threshold, for all that share any.
 
-    First every bucket's smallest member is its pivot. Then, while a bucket holds members of several groups, a growing number
-    of pivots (of the smallest groups first) meets the members of other groups. A pair is left out only if the
-    distances to the first pivot prove it too far, so the result is that of comparing all pairs of every bucket.
+    First every bucket's smallest member, its pivot, is compared with the others. Buckets that then hold members of several
+    groups are compared in blocks of BLOCK members, members of small groups first: only blocks that hold members outside the
+    bucket's largest group meet the other blocks, inside tasks, and only links come out.
     """
-    slack = 1 - threshold + 1e-9
     entries = representatives.select(F.col("doc_id").alias("doc"), F.explode("buckets").alias("bucket"))
     first = entries.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot < top").drop("top")
-    live = staged(entries.join(first, "bucket"), "live")
-    pairs = live.filter("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+    live = staged(entries.join(first, "bucket").filter("doc > pivot"), "live")
+    pairs = live.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     known = staged(verify(pairs, docs, text, doc_id), "verified")
-    near = known.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "sim")
-    live = staged(live.join(near, ["pivot", "doc"], "left").select("bucket", "doc", F.coalesce("sim", F.lit(1.0)).alias("sim")), "live")
-    labels = live.select(F.col("doc").alias("node"), F.col("doc").alias("root")).distinct()
-    pivots = 2
-    while True:
-        labels = staged(relabel(labels, known.filter(F.col("sim") >= threshold - 1e-12)), "groups")
-        rooted = live.join(labels.withColumnRenamed("node", "doc"), "doc")
-        mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
-        sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("bucket").orderBy("n", "root", "doc")
-        live = staged(rooted.join(mixed_buckets, "bucket").join(sizes, ["bucket", "root"]).withColumn("rank", F.row_number().over(order)), "live")
-        if live.isEmpty():
-            return labels
-        chosen = live.filter(F.col("rank") <= pivots).select("bucket", F.col("doc").alias("p"), F.col("root").alias("p_root"), F.col("sim").alias("p_sim"), F.col("rank").alias("p_rank"))
-        met = live.join(chosen, "bucket").filter((F.col("rank") > F.col("p_rank")) & (F.col("root") != F.col("p_root")) & (F.abs(F.col("sim") - F.col("p_sim")) <= slack))
-        pairs = met.select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
-        known = staged(verify(pairs, docs, text, doc_id), "verified")
-        live = live.filter(F.col("rank") > pivots).select("bucket", "doc", "sim")
-        pivots *= 4
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = staged(relabel(nodes.withColumn("root", F.col("node")), known.filter(F.col("sim") >= threshold - 1e-12)), "groups")
+
+    rooted = live.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc")
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("members"), F.max("n").alias("largest")).filter("largest < members")
+    order = Window.partitionBy("bucket").orderBy("n", "root", "doc")
+    ranked = rooted.join(buckets, "bucket").join(sizes, ["bucket", "root"]).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    # blocks 0 to `last` hold members outside the largest group; they meet each other and all later blocks
+    last = F.floor((F.col("members") - F.col("largest") - 1) / BLOCK).cast("int")
+    n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda o: F.when(F.least(o, F.col("block")) <= last, F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
+    placed = ranked.select("bucket", "doc", "root", "block", F.inline(F.array_compact(meets)))
+    placed = staged(placed, "blocks")
+    wanted = placed.select(F.col("doc").alias(doc_id)).distinct()
+    sets = staged(shingle_sets(docs.join(wanted, doc_id, "left_semi"), text, doc_id), "sets")
+
+    def compare(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        found = block_links(table.filter(pa.array(block == i)), None if i == j else table.filter(pa.array(block == j)), threshold)
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+    linked = placed.join(sets, "doc").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    return relabel(labels, staged(linked.distinct(), "links"))
 
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import digest, read_table, text_or_empty
+from larder.llm.common import digest, read_table, staged, text_or_empty
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Characters that one call of the library gets, about.
@@ -94,5 +94,6 @@ def count_tokens(docs: DataFrame, cache: str, file: str, text: str = "text") ->
         misses = misses.join(known.filter(F.col("tokenizer") == version), "digest", "left_anti")
     count_misses(misses, file, version).write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
-    counts = stored.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # written first, so that the join has two plain exchanges and a hot digest can be split
+    counts = staged(stored.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(counts, "digest").select("doc_id", "digest", "n_bytes", "n_tokens")

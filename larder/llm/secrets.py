@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import digest, read_table, text_or_empty
+from larder.llm.common import digest, read_table, staged, text_or_empty
 
 #: kind -> (pattern, group whose length counts, its least length, strings of which one must be in the text)
 #: The first three are fixed by the contract and listed in its order.
@@ -90,5 +90,6 @@ def scan_history(versions: DataFrame, ledger: str, keys: list[str], rules: dict
         unseen = unseen.join(known.filter(F.col("rules") == version), "blob", "left_anti")
     scan_blobs(unseen, rules).write.mode("append").parquet(ledger)
     stored = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).filter(F.col("rules") == version)
-    findings = stored.groupBy("blob").agg(F.first("findings").alias("findings"))
+    # written first, so that the join has two plain exchanges and a hot blob can be split
+    findings = staged(stored.groupBy("blob").agg(F.first("findings").alias("findings")), "findings")
     return paths.join(findings, "blob").select(*keys, "blob", "findings")

@@ -6,7 +6,8 @@ open splitter sends probes into its interval, all partitions count the exact byt
 interval shrinks to the two probes around the target. A splitter closes when it is within `tolerance` of a shard's size,
 between two groups where possible; only a group too large for that is cut inside. Then the rows are exchanged once.
 
-The driver holds `probes` numbers per splitter; a task adds its counts up before it sends them. A shard's slots are
+The driver holds `probes` numbers per splitter and one per `rows_per_range` rows; a task adds its counts up before it sends
+them. A shard's slots are
 numbered in ranges of the last histogram, so no task sorts a whole shard.
 
 Defined cases: null text has no bytes (size 8) and is equal to empty text only in having none; null doc_id hashes like
@@ -58,7 +59,7 @@ def count_below(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int
     return np.cumsum(size)[:-1].tolist(), np.cumsum(rows)[:-1].tolist()
 
 
-def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, probes: int) -> tuple[list[int], dict[int, int]]:
+def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, probes: int, rows_per_range: int) -> tuple[list[int], dict[int, int]]:
     """The n_shards - 1 splitters, and rows below for every probe that was counted."""
     total, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     below, rows_below = {0: 0, KEY_END: total}, {0: 0, KEY_END: n}
@@ -66,7 +67,8 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, probes: int
     slack = tolerance * total / n_shards / 2
     low, high = [0] * len(targets), [KEY_END] * len(targets)
     unit = 1 << DOC_BITS
-    ask = {KEY_END * j // (n_shards * probes) // unit * unit for j in range(1, n_shards * probes)} if n else set()
+    grid = max(n_shards * probes, n // rows_per_range)
+    ask = {KEY_END * j // grid // unit * unit for j in range(1, grid)} if n else set()
     while ask:
         ordered = sorted(ask)
         size, rows = count_below(keys, ordered)
@@ -94,7 +96,7 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, probes: int
 def histogram_shards(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.02, probes: int = 32, text: str = "text", doc_id: str = "doc_id", rows_per_range: int = 200_000) -> DataFrame:
     """`docs` with size, shard (0 to n_shards - 1) and slot (gapless from 0 in each shard, in key order)."""
     keys = staged(docs.select(shard_key(text, doc_id).alias("key"), row_size(text).alias("size")), "shard-keys")
-    splitters, rows_below = find_splitters(keys, n_shards, tolerance, probes)
+    splitters, rows_below = find_splitters(keys, n_shards, tolerance, probes, rows_per_range)
     # ranges for numbering: the counted probes, thinned to about rows_per_range rows each, and the splitters
     starts = {0, *splitters}
     last = 0

@@ -76,7 +76,9 @@ def interleaved_batches(df: DataFrame, query_id: str, domain: str, trusted: str,
 def early_exit(df: DataFrame, query_id: str, position: str, ok: Column, good: Column, min_good: int = 3, max_good: int = 5, cap: int = 15) -> DataFrame:
     """Rows up to each query's stop: enough good ones, or too few successes after ten, or `cap` rows."""
     w = Window.partitionBy(query_id).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("n", F.count(F.lit(1)).over(w)).withColumns({"n_ok": F.count_if(ok).over(w), "n_good": F.count_if(good).over(w)})
+    # only the first `cap` rows of a query can matter; as a rank limit this is applied before the shuffle
+    capped = df.withColumn("n", F.row_number().over(Window.partitionBy(query_id).orderBy(position)).cast("long")).filter(F.col("n") <= cap)
+    rows = capped.withColumns({"n_ok": F.count_if(ok).over(w), "n_good": F.count_if(good).over(w)})
     n, n_ok, n_good = F.col("n"), F.col("n_ok"), F.col("n_good")
     enough = (n_good >= min_good) & ((n_good >= max_good) | ((n >= 8) & (n_ok / n >= 0.6) & (n_good / n >= 0.4)))
     abort = (n >= 10) & (n_ok / n < 0.3)

@@ -6,8 +6,8 @@ the one that is compatible with the last token of the prefix before it, and it i
 the merges would never join across their border. Following the last tokens back gives the ids that merging would give,
 in time linear in the piece, whatever its length.
 
-Pieces repeat, so each Python worker keeps the ids of up to `CACHED_PIECES` pieces (a speed-up only: it is emptied when
-full). Both directions are narrow: no shuffle, and memory bounded by a batch.
+Pieces repeat, so each Python worker keeps the ids of up to twice `CACHED_PIECES` pieces, in two generations (a speed-up
+only). Both directions are narrow: no shuffle, and memory bounded by a batch.
 
 Defined cases: null text is empty and has no ids. Special strings inside texts become their ids, as the library does by
 default; nothing is added, truncated or padded. Repeated rows and empty tables pass through. A column of the input named
@@ -17,6 +17,8 @@ like the output column is replaced.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHED_PIECES = 200_000
+from larder.llm.words import chunks
+
+CACHED_PIECES = 100_000
+CACHED_PAIRS = 500_000
 LONG_PIECE = 256
 #: How the byte-level vocabulary cuts a text before its merges (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The same for texts within U+0000 to U+024F, whose letters and numbers can be listed.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
 
 def byte_of_char() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary file, inverted."""
@@ -63,7 +72,7 @@ class Vocabulary:
 
         machine = ahocorasick.Automaton()
         for token, i in self.ids.items():
-            machine.add_word(token.decode("latin-1"), (i, len(token)))
+            machine.add_word(token.decode("latin-1"), i)
         machine.make_automaton()
         return machine
 
@@ -91,65 +100,81 @@ class Encoder:
     def __init__(self, file: str):
         import regex
 
-        self.vocabulary = Vocabulary(file)
+        self.vocabulary = vocabulary(file)
         self.machine = self.vocabulary.automaton()
-        self.pieces = regex.compile(PATTERN).findall
+        self.size = [len(self.vocabulary.bytes_of.get(i, b"")) for i in range(max(self.vocabulary.bytes_of) + 1)]
+        self.wide = regex.compile(PATTERN).findall
+        self.latin = re.compile(LATIN_PATTERN).findall
+        self.outside_latin = re.compile("[^\x00-\u024f]").search
         special = self.vocabulary.special
         # the longest special string first where two begin alike
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.cache: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        return self.wide(text) if self.outside_latin(text) else self.latin(text)
 
     def piece(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8")
-        n, pairs, compatible = len(raw), self.pairs, self.vocabulary.compatible
-        last, length = [-1] * (n + 1), [0] * (n + 1)
-        for end, (token, size) in self.machine.iter(raw.decode("latin-1")):
-            end += 1
-            if last[end] >= 0:
-                continue
-            before = end - size
-            if before:
-                pair = (last[before], token)
-                if pair[0] < 0:
-                    continue
-                fits = pairs.get(pair)
-                if fits is None:
-                    fits = pairs[pair] = compatible(*pair)
-                if not fits:
-                    continue
-            last[end], length[end] = token, size
-        ids, at = [], n
-        while at:
-            ids.append(last[at])
-            at -= length[at]
+        raw = piece.encode("utf-8").decode("latin-1")
+        size, pairs, known = self.size, self.pairs, self.pairs.get
+        last = [-1] * len(raw)  # by the prefix's last byte
+        # longest first for each end; every prefix gets a last token, since all bytes are tokens
+        for end, token in self.machine.iter(raw):
+            if last[end] < 0:
+                before = end - size[token]
+                if before >= 0:
+                    pair = last[before] << 20 | token
+                    fits = known(pair)
+                    if fits is None:
+                        fits = pairs[pair] = self.vocabulary.compatible(last[before], token)
+                    if fits:
+                        last[end] = token
+                else:
+                    last[end] = token
+        ids, at = [], len(raw) - 1
+        while at >= 0:
+            token = last[at]
+            ids.append(token)
+            at -= size[token]
         ids.reverse()
         return ids
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as 32-bit integers."""
         if self.special is None:
-            self._plain(text, ids)
-            return ids
-        for k, part in enumerate(self.special.split(text)):
-            if k % 2:
-                ids.append(self.vocabulary.special[part])
-            else:
-                self._plain(part, ids)
-        return ids
+            return self._plain(text)
+        special = self.vocabulary.special
+        return b"".join([np.int32(special[part]).tobytes() if k % 2 else self._plain(part) for k, part in enumerate(self.special.split(text))])
+
+    def _plain(self, text: str) -> bytes:
+        known, miss = self.cache.get, self._miss
+        out = b"".join([known(p) or miss(p) for p in self.pieces(text)])
+        if len(self.cache) > CACHED_PIECES:
+            # what was used lately stays for one more generation
+            self.older, self.cache = self.cache, {}
+            if len(self.pairs) > CACHED_PAIRS:
+                self.pairs.clear()
+        return out
+
+    def _miss(self, piece: str) -> bytes:
+        got = self.older.get(piece) or array("i", self.piece(piece)).tobytes()
+        if len(piece) <= LONG_PIECE:
+            self.cache[piece] = got
+        return got
+
+
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
 
-    def _plain(self, text: str, ids: list[int]) -> None:
-        cache = self.cache
-        for p in self.pieces(text):
-            got = cache.get(p)
-            if got is None:
-                got = self.piece(p)
-                if len(cache) >= CACHED_PIECES or len(self.pairs) >= 8 * CACHED_PIECES:
-                    cache.clear()
-                    self.pairs.clear()
-                if len(p) <= LONG_PIECE:
-                    cache[p] = got
-            ids += got
+def vocabulary(file: str) -> Vocabulary:
+    if file not in _VOCABULARIES:
+        _VOCABULARIES[file] = Vocabulary(file)
+    return _VOCABULARIES[file]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -166,23 +191,20 @@ def _columns(df: DataFrame, drop: set[str]) -> list[str]:
     return [c for c in df.columns if c not in drop]
 
 
-def bpe_encode(docs: DataFrame, file: str, text: str = "text", output: str = "ids", keep: list[str] | None = None, rows_per_batch: int = 200) -> DataFrame:
+def bpe_encode(docs: DataFrame, file: str, text: str = "text", output: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its `keep` columns) with the exact ids of the text, array<int>."""
     kept = _columns(docs.select(*keep) if keep is not None else docs, {output})
     source = docs.select(*kept, docs[text].alias("_text"))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(output, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(file).encode
+        encode = encoder(file).encode_bytes
         for whole in batches:
-            for at in range(0, whole.num_rows, rows_per_batch):
-                b = whole.slice(at, rows_per_batch)
-                flat, ends = [], [0]
-                for t in b.column("_text").to_pylist():
-                    flat += encode(t or "")
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), ids], [*kept, output])
+            for b in chunks(whole, "_text"):
+                ids = [encode(t or "") for t in b.column("_text").to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), lists], [*kept, output])
 
     return source.mapInArrow(run, schema)
 
@@ -193,11 +215,11 @@ def bpe_decode(encoded: DataFrame, file: str, ids: str = "ids", output: str = "d
     schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField(output, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(file).vocabulary.bytes_of
+        known = vocabulary(file).bytes_of
         table = [known.get(i, b"") for i in range(max(known) + 1)]
         for b in batches:
             column = b.column(ids)
-            flat, ends = column.values.to_pylist(), column.offsets.to_pylist()
+            flat, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
             texts = [b"".join(map(table.__getitem__, flat[i:j])).decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, output])
 

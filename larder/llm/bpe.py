@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from larder.llm.words import chunks
 
-CACHED_PIECES = 100_000
-CACHED_PAIRS = 500_000
+CACHED_PIECES = 60_000
+CACHED_PAIRS = 200_000
 LONG_PIECE = 256
 #: How the byte-level vocabulary cuts a text before its merges (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -219,8 +219,8 @@ def bpe_decode(encoded: DataFrame, file: str, ids: str = "ids", output: str = "d
         table = [known.get(i, b"") for i in range(max(known) + 1)]
         for b in batches:
             column = b.column(ids)
-            flat, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-            texts = [b"".join(map(table.__getitem__, flat[i:j])).decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
+            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+            texts = [b"".join(map(table.__getitem__, flat[i:j].tolist())).decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, output])
 
     return encoded.mapInArrow(run, schema)

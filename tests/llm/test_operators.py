@@ -226,6 +226,16 @@ def test_mix_deviation_and_whole_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_pipeline_mixing_keeps_every_row(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, f"t{k}", "en", "hot" if k % 3 == 0 else f"s{k % 19}", 2) for k in range(3000)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mix(docs)
+    assert mixed.filter("not in_mix").count() > 0
+    got = [r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, sf_dir).collect()]
+    assert got == [r["doc_id"] for r in sorted(mixed.collect(), key=lambda r: (r["slot"], r["doc_id"]))] and len(got) == 3000
+
+
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 90, "b": 9, "c": 1}, {str(k): k + 1 for k in range(40)}, {"a": 0.501, "b": 0.499}])
 def test_schedule_stays_within_one_block(weights):
     period = 1000

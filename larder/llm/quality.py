@@ -6,8 +6,8 @@ tail P(Bin(n, limit) <= rejected) is at most `delta` divided by the number of te
 probability 1 - delta every stratum keeps at least 1 - `max_false_rejection` of its good documents. A stratum with too
 few labels gets no cut-off and loses documents to the base rules only.
 
-Everything is a DataFrame expression. One narrow pass computes the metrics; the thresholds are a table of at most
-`max_holdout / n_min` strata, so broadcasting it is bounded whatever the input.
+All labelled rows are counted. Everything is a DataFrame expression. One narrow pass computes the metrics; the thresholds are a
+table with a row per stratum of at least `n_min` good labelled documents, which is broadcast.
 
 Defined cases: null text has no words (and fails the base rule on n_words); null lang is the stratum "". Empty tables
 give empty results. Labels of one doc_id that disagree count as the worse one. Columns of the input that share a name
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import WS, let, text_or_empty
+from larder.llm.common import WS, let, staged, text_or_empty
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -39,11 +39,10 @@ GRID = {
 @dataclass(frozen=True)
 class RiskControl:
     """max_false_rejection: share of a stratum's good documents that all rules together may reject.
-    delta: probability that any stratum exceeds it. max_holdout: labelled rows used, about, chosen by hash."""
+    delta: probability that any stratum exceeds it."""
 
     max_false_rejection: float = 0.02
     delta: float = 0.05
-    max_holdout: int = 50_000
 
     @property
     def per_rule(self) -> float:
@@ -127,12 +126,9 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), step))
 
 
-def holdout(labels: DataFrame, control: RiskControl) -> DataFrame:
-    """doc_id of about `max_holdout` labelled rows at most that are good: quality 1 and not toxic."""
-    n = labels.count()
-    keep = max(1, math.ceil(n / control.max_holdout))
-    part = labels.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0))
-    per_doc = part.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+def holdout(labels: DataFrame) -> DataFrame:
+    """doc_id, once each, of all labelled rows that are good: quality 1 and not toxic."""
+    per_doc = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     return per_doc.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
 
 
@@ -140,19 +136,20 @@ def thresholds(docs: DataFrame, labels: DataFrame, control: RiskControl = RiskCo
     """One row per stratum that passes any test: stratum, n_holdout and a cut-off per rule (null: none)."""
     stratum_of = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     narrow = docs.select("doc_id", stratum_of.alias("stratum"), F.col(text).alias("text"))
-    # the holdout is bounded by max_holdout rows of 8 bytes
-    good = with_metrics(narrow.join(F.broadcast(holdout(labels, control)), "doc_id", "left_semi")).filter(~base_failed())
-    s = scores()
-    counted = good.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(s[r] > c).alias(f"{r}_{k}") for r, cuts in GRID.items() for k, c in enumerate(cuts)],
+    # holdout has each doc_id once, so this is a semi join; as one, or with a filter instead of `passes`, the optimizer would
+    # move it below the metrics and shuffle texts, or compute the metrics twice
+    labelled = with_metrics(narrow).drop("text").join(holdout(labels), "doc_id")
+    s, passes = scores(), ~base_failed()
+    counted = labelled.groupBy("stratum").agg(
+        F.count_if(passes).alias("n"),
+        *[F.count_if(passes & (s[r] > c)).alias(f"{r}_{k}") for r, cuts in GRID.items() for k, c in enumerate(cuts)],
     )
-    enough = counted.filter(F.col("n") >= control.n_min)
+    # a row per stratum, written so that their number doesn't need a second pass
+    enough = staged(counted.filter(F.col("n") >= control.n_min), "quality-strata")
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{k}").alias("rejected")) for r, cuts in GRID.items() for k, c in enumerate(cuts)])
-    # at most max_holdout / n_min strata, so one row can hold them; their number is part of the correction
-    strata = enough.groupBy().agg(F.collect_list(F.struct("stratum", "n", tests.alias("tests"))).alias("all"))
-    n_tests = F.size("all") * sum(len(c) for c in GRID.values())
-    rows = strata.select(n_tests.alias("n_tests"), F.explode("all").alias("x")).select("n_tests", "x.stratum", "x.n", F.explode("x.tests").alias("t")).select("n_tests", "stratum", "n", "t.*")
+    # the number of strata is part of the correction
+    n_tests = F.lit(enough.count() * sum(len(c) for c in GRID.values()))
+    rows = enough.select("stratum", "n", F.explode(tests).alias("t")).select(n_tests.alias("n_tests"), "stratum", "n", "t.*")
     # k above the expected n * p can't pass, so its tail isn't summed
     passed = F.when(F.col("rejected") > F.col("n") * control.per_rule, F.lit(False)).otherwise(binomial_tail(F.col("n"), F.col("rejected"), control.per_rule) <= F.lit(control.delta) / F.col("n_tests"))
     return (

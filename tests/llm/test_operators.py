@@ -318,6 +318,15 @@ def test_thresholds_limit_false_rejection(spark):
     assert all(r["kept"] for r in judged if r["lang"] == "rare" and r["doc_id"] % 10 != 9)
 
 
+def test_thresholds_use_every_label(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(good + " tail"), F.col("id").cast("string")).alias("text"), F.lit("rare").alias("lang"))
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    few = by_id(quality.thresholds(docs, labels.filter("doc_id < 3000")), "stratum")
+    many = by_id(quality.thresholds(docs, labels), "stratum")
+    assert many == few and many["rare"]["n_holdout"] == 3000
+
+
 def test_quality_cases(spark):
     labels = spark.createDataFrame([(1, None, None), (None, 1, 0), (3, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     got = by_id(quality.quality_rules(documents(spark), labels))

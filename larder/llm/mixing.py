@@ -13,8 +13,12 @@ The mix ends after `slots` slots (default: as many blocks as there are). A block
 larger than its target share. Sources that end early leave their slots empty. Every row is returned with its slot.
 
 Defined cases: null source is a source of its own. Rows with equal hash and doc_id have an arbitrary but whole order. An
-empty table gives an empty result. More than `max_sources` sources: the smallest ones share one stream. Columns of the
-input named like output columns are replaced.
+empty table gives an empty result. Columns of the input named like output columns are replaced.
+
+More than `max_sources` sources: the largest half of that many keep streams of their own, all others are dealt to groups by
+hash. A group is a stream that weighs as much as its members together, and a second schedule deals its turns to the members,
+each of which keeps blocks, release and deadline of its own. A member is then less than two blocks away from its weight, up to
+the rounding of weights to turns and slots.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import buckets_for
+from larder.llm.common import buckets_for, staged
 
 PERIOD = 10_000
 OUTPUT = ("block", "release", "deadline", "slot", "in_mix")
+MEMBERS = ["_stream", "_name", "_member", "_inner", "_span", "_turn_of", "_turn_at"]
 
 
 def quotas(weights: dict, period: int) -> dict:
@@ -81,44 +87,104 @@ def target_weights(rows: dict, temperature: float) -> dict:
     return {s: n**temperature for s, n in rows.items()}
 
 
+def member_turns(table: pa.Table, period: int) -> pa.Table:
+    """The turns of a group's members, by a schedule of the group alone: a row per turn (of weight 0: one with no turn)."""
+    order = sorted(zip(table["stream"].to_pylist(), table["weight"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or ""))
+    positive = {k: w for k, (_, w) in enumerate(order) if w > 0}
+    span = max(period, 4 * len(positive))
+    quota = quotas(positive, span) if positive else {}
+    out = [(order[m][0], m, quota[m], span, k, at) for m, k, at in (schedule(quota, span) if quota else [])]
+    out += [(name, m, 0, span, 0, None) for m, (name, _) in enumerate(order) if m not in quota]
+    group = table["_stream"][0].as_py()
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+    return pa.table([pa.array([group] * len(out), pa.int32()), *columns], MEMBERS)
+
+
+def grouped(counts: DataFrame, head: list, weights: dict | None, temperature: float, period: int, n_groups: int) -> tuple[dict, DataFrame]:
+    """Weights of groups of the sources that aren't in `head`, and their members' turns. A group weighs what its members weigh."""
+    spark = counts.sparkSession
+    listed = spark.createDataFrame([(x,) for x in head], "_name string")
+    # fewer than max_sources rows
+    rest = counts.join(F.broadcast(listed), F.col("stream").eqNullSafe(F.col("_name")), "left_anti")
+    weight = F.pow("count", F.lit(float(temperature)))
+    if weights is not None:
+        given = spark.createDataFrame([(x, float(w)) for x, w in weights.items()], "_name string, _weight double")
+        rest = rest.join(given, F.col("stream").eqNullSafe(F.col("_name")), "left")
+        weight = F.greatest(F.coalesce("_weight", F.lit(0.0)), F.lit(0.0))
+    group = (F.pmod(F.xxhash64("stream"), F.lit(n_groups)) + len(head)).cast("int")
+    dealt = staged(rest.select(group.alias("_stream"), "stream", weight.alias("weight")), "mix-sources")
+    sized = {r["_stream"]: r["weight"] for r in dealt.groupBy("_stream").agg(F.sum("weight").alias("weight")).collect()}
+    turns = dealt.groupBy("_stream").applyInArrow(lambda t: member_turns(t, period), "_stream int, _name string, _member long, _inner long, _span long, _turn_of long, _turn_at long")
+    return sized, staged(turns, "mix-turns")
+
+
+def numbered(rows: DataFrame, keys: list[str], block_rows: int, doc_id: str) -> DataFrame:
+    """`rows` with their block, from 0, in the group of `keys`."""
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_hash", doc_id)) - 1
+    placed = rows.withColumn("_inside", inside).join(before, [*keys, "_bucket"])
+    return placed.withColumn("block", F.expr(f"(_before + _inside) div {int(block_rows)}"))
+
+
 def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_rows: int = 16, slots: int | None = None, period: int = PERIOD, max_sources: int = 2_000, source: str = "source", doc_id: str = "doc_id", rows_per_bucket: int = 100_000) -> DataFrame:
     """`docs` with block, release, deadline, slot (of the block) and in_mix."""
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in OUTPUT]
-    counts = docs.groupBy(F.col(source).cast("string").alias("stream")).count().orderBy(F.desc("count"), "stream").limit(max_sources).collect()
-    rows = {r["stream"]: r["count"] for r in counts}
-    n = docs.count() if len(rows) == max_sources else sum(rows.values())
-    rest = n - sum(rows.values())
-    streams = [*rows, *(["(other)"] if rest else [])]
-    index = {s: k for k, s in enumerate(streams)}
-    sized = target_weights({k: rows.get(s, rest) for s, k in index.items()}, temperature)
+    name = F.col(source).cast("string")
+    counts = docs.groupBy(name.alias("stream")).count()
+    top = counts.orderBy(F.desc("count"), "stream").limit(max_sources + 1).collect()
+    n = sum(r["count"] for r in top)
+    largest = max((r["count"] for r in top), default=0)
+    turns = None
+    n_sources = len(top)
+    if len(top) > max_sources:
+        n_sources, n = counts.agg(F.count(F.lit(1)), F.sum("count")).first()
+        top = top[: max(1, max_sources // 2)]
+    rows = {r["stream"]: r["count"] for r in top}
+    index = {s: k for k, s in enumerate(rows)}
+    sized = target_weights({k: rows[s] for s, k in index.items()}, temperature)
     if weights is not None:
         sized = {k: float(weights.get(s, 0)) for s, k in index.items()}
+    if n_sources > len(top):
+        most = max(1, max_sources - len(top))
+        of_groups, turns = grouped(counts, list(rows), weights, temperature, period, min(most, buckets_for(n_sources - len(top), most)))
+        sized |= of_groups
     quota = quotas(sized, period) if any(w > 0 for w in sized.values()) else {}
     plan = spark.createDataFrame([(s, k, slot) for s, k, slot in (schedule(quota, period) if quota else [])], "_stream int, _k long, _at long")
     streams_of = spark.createDataFrame([(s, k, quota.get(k, 0)) for s, k in index.items()], "_name string, _stream int, _quota long")
 
     hashed = F.xxhash64(doc_id, source)
-    bucket = F.pmod(hashed, F.lit(buckets_for(max(rows.values(), default=0), rows_per_bucket)))
+    bucket = F.pmod(hashed, F.lit(buckets_for(largest, rows_per_bucket)))
     named = docs.select(*kept).withColumn("_bucket", bucket).withColumn("_hash", hashed)
     # at most max_sources rows: bounded
-    joined = named.join(F.broadcast(streams_of), F.col(source).cast("string").eqNullSafe(F.col("_name")), "left").drop("_name")
-    joined = joined.withColumns({"_stream": F.coalesce("_stream", F.lit(index.get("(other)", 0))), "_quota": F.coalesce("_quota", F.lit(quota.get(index.get("(other)", 0), 0)).cast("long"))})
-    sizes = joined.groupBy("_stream", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_stream").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_stream", "_bucket").orderBy("_hash", doc_id)) - 1
-    placed = joined.withColumn("_inside", inside).join(before, ["_stream", "_bucket"])
-    q = F.col("_quota")
-    block = F.expr(f"(_before + _inside) div {int(block_rows)}")
-    blocks = placed.withColumn("block", block).withColumn("_k", F.when(q > 0, F.col("block") % q))
-    turn = F.expr("block div _quota") * period
+    joined = named.join(F.broadcast(streams_of), name.eqNullSafe(F.col("_name")), "left").drop("_name")
+    own = numbered(joined.filter("_stream is not null"), ["_stream"], block_rows, doc_id)
+    shown = [*kept, "block", "_stream", "_quota"]
+    blocks = own.select(*shown, F.col("block").alias("_turn"), F.col("block").alias("_from"), (F.col("block") + 1).alias("_until"))
+    if turns is not None:
+        quota_of = spark.createDataFrame([(k, quota.get(k, 0)) for k in sized], "_stream int, _quota long")
+        # at most max_sources rows: bounded
+        members = turns.filter("_turn_of = 0").drop("_turn_of", "_turn_at").join(F.broadcast(quota_of), "_stream")
+        rest = joined.filter("_stream is null").drop("_stream", "_quota").join(members, name.eqNullSafe(F.col("_name"))).drop("_name")
+        inner = numbered(rest, ["_stream", "_member"], block_rows, doc_id).withColumn("_turn_of", F.expr("coalesce(block % nullif(_inner, 0), 0)"))
+        turned = inner.join(turns.select("_stream", "_member", "_turn_of", "_turn_at"), ["_stream", "_member", "_turn_of"])
+        blocks = blocks.unionByName(
+            turned.select(
+                *shown,
+                F.expr("block div nullif(_inner, 0) * _span + _turn_at").alias("_turn"),
+                F.expr("block * _span div nullif(_inner, 0)").alias("_from"),
+                F.expr("((block + 1) * _span + _inner - 1) div nullif(_inner, 0)").alias("_until"),
+            )
+        )
     # the plan has `period` rows
-    timed = blocks.join(F.broadcast(plan), ["_stream", "_k"], "left")
+    timed = blocks.withColumn("_k", F.expr("_turn % nullif(_quota, 0)")).join(F.broadcast(plan), ["_stream", "_k"], "left")
     budget = slots if slots is not None else -(-n // block_rows)
     return timed.select(
         *kept,
         (F.col("block") + 1).alias("block"),
-        F.when(q > 0, F.expr(f"block * {period} div _quota")).alias("release"),
-        F.when(q > 0, F.expr(f"((block + 1) * {period} + _quota - 1) div _quota")).alias("deadline"),
-        F.when(q > 0, turn + F.col("_at")).alias("slot"),
+        F.expr(f"_from * {period} div nullif(_quota, 0)").alias("release"),
+        F.expr(f"(_until * {period} + _quota - 1) div nullif(_quota, 0)").alias("deadline"),
+        F.expr(f"_turn div nullif(_quota, 0) * {period} + _at").alias("slot"),
     ).withColumn("in_mix", F.coalesce(F.col("slot") < budget, F.lit(False)))

@@ -226,6 +226,23 @@ def test_mix_deviation_and_whole_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("asked", [None, {"hot": 10, "(other)": 4, **{f"s{k}": 2 for k in range(60)}}])
+def test_mix_of_many_sources(spark, asked):
+    names = ["hot"] * 600 + ["(other)"] * 300 + [f"s{k}" for k in range(60) for _ in range(40)] + [None] * 20
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    got = mixing.mix(docs, asked, block_rows=4, max_sources=8).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(names)))
+    weight = {s: asked.get(s, 0) if asked else n**0.5 for s, n in Counter(names).items()}
+    placed = [r for r in got if weight[r["source"]] > 0]
+    assert all(r["slot"] is None and not r["in_mix"] for r in got if weight[r["source"]] == 0)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in placed)
+    at = {(r["source"], r["block"]): r["slot"] for r in placed}
+    assert len(set(at.values())) == len(at) == len({(r["source"], r["block"], r["slot"]) for r in placed})
+    assert {r["block"] for r in got if r["source"] == "s7"} == set(range(1, 11))
+    for (s, block), slot in at.items():
+        assert abs(weight[s] / sum(weight.values()) * (slot + 1) - block) < 2.1
+
+
 def test_pipeline_mixing_keeps_every_row(spark, sf_dir):
     import corpus_pipeline
 

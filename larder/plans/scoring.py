@@ -38,7 +38,7 @@ GATE_SQL = "(trim(coalesce(text, '')) <> '' AND doc_id % 5 > 0 AND trim(coalesce
 @query("scr_required_gate", f"SELECT doc_id, {GATE_SQL} AS passed, CASE WHEN {GATE_SQL} THEN n_chars / 100.0 ELSE 0.0 END::DOUBLE AS score FROM documents")
 def scr_required_gate(spark, d):
     image = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string"))).otherwise("none")
-    gate = op.required_gate(F.substring("text", 1, 80), image, F.col("source"), F.col("text"))
+    gate = op.required_gate(F.col("text"), image, F.col("source"), F.col("text"))
     return table(spark, d, "documents").select("doc_id", gate.alias("passed"), F.when(gate, F.col("n_chars") / 100.0).otherwise(0.0).alias("score"))
 
 

@@ -72,3 +72,12 @@ def test_stream_and_batch_rate_limit_agree(spark, sf_dir):
     batch = {(r.user_id, r.event_id, r.admitted) for r in rate_limit_batch(events, 2, 6 * 3600).collect()}
     assert stream == batch
     assert any(a for *_, a in batch) and not all(a for *_, a in batch)
+
+
+def test_required_gate_reads_the_whole_text(spark, tmp_path):
+    from larder.plans.registry import QUERIES
+
+    docs = spark.createDataFrame([(1, " " * 80 + "flour and water", "src1", 95), (2, " " * 95, "src1", 95)], "doc_id long, text string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["passed"] for r in QUERIES["scr_required_gate"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: False}

@@ -1,9 +1,8 @@
-"""Shared helpers of the training-data operators: scratch tables and text keys."""
+"""Shared helpers of the training-data operators: scratch tables, row numbers, joins with groups, and text keys."""
 
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,25 +12,33 @@ from pyspark.sql import functions as F
 
 #: White space of every word rule here: space and the code points 9 to 13.
 WS = r"[\x20\x09-\x0D]+"
+#: A row's number in its scratch table.
+ROW = "_row"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for tables between jobs: under `spark.checkpoint.dir`, which every executor shares.
+    """This application's folder for tables between jobs: under `spark.checkpoint.dir`, which every executor shares.
 
     Only a local session (tests) may leave that setting unset; it then uses a temporary folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/larder"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{os.path.join(tempfile.gettempdir(), 'larder-scratch')}"
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/larder-llm/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this application. Call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new scratch table and read it back: lineage ends, lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
@@ -39,6 +46,48 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """`df`, dealt to all cores where it comes from fewer files than cores and is small (`most` bytes by the planner's estimate).
+
+    A file of one row group is read by one task; for a large input there are enough files, and it stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most:
+        return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a scratch table with a number per row; the numbers are fixed once a task's file is committed."""
+    return staged(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """`df` as `_d`, a struct of all its columns, and `_tie`, a hash of them: no column can clash with an operator's own, and
+    rows have an order that doesn't depend on how they lie in files."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    hashed = [c for c, (_, t) in zip(columns, df.dtypes, strict=True) if "map<" not in t and "variant" not in t]
+    return df.select(F.struct(*columns).alias("_d"), F.xxhash64(*hashed).alias("_tie"))
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like` again."""
+    return df.select(*[F.col("_d").getField(c).alias(c) for c in like.columns])
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n_rows: int, hot_share: int = 2_000) -> DataFrame:
+    """Inner join of `rows` with a table that has one row per group and the group's `size`, and at most `n_rows` in all.
+
+    A group of more than n_rows / hot_share rows never meets in one task: there are at most `hot_share` such groups, and
+    those are broadcast. Both tables should be scratch tables, since each is read more than once.
+    """
+    least = max(64, n_rows // hot_share)
+    hot = groups.filter(F.col(size) > least)
+    warm = rows.join(F.broadcast(hot), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= least), keys)
+    return warm.unionByName(cold)
+
+
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame | None:
     """The Parquet table at `path`, or None where nothing was written yet."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,8 +96,8 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame | None:
     return spark.read.schema(schema).parquet(path)
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def text_or_empty(column: str | Column = "text") -> Column:
+    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

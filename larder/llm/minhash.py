@@ -10,10 +10,18 @@ Texts with equal word sequences form a class at once; only the smallest doc_id o
 class representatives that agree in a band are candidates. Within a bucket a pivot is compared with the other members, exactly,
 over all shingles; links join members to groups, and a bucket whose members are all in one group is done. What other buckets
 leave open is compared in blocks inside tasks, which give out links only. The groups are those of comparing all pairs that share a
-band; no bucket is expanded into its pairs, and no size is capped.
+band; no bucket is expanded into its pairs, and no size is capped. A bucket whose members are alike in a band but not in their
+shingles costs a comparison per pair of members, as any exact check of its candidates must.
+
+Work goes by row number, not by doc_id. Groups, classes and buckets that many rows share are joined by broadcast of the frequent
+ones (at most 2,000), so none of them meets in one task.
 
 Defined cases: texts without words are no near-duplicates of other texts, but of each other (one class). Null text has no
-words. Rows that repeat a doc_id fall into one row. Empty tables give empty results. Extra columns are ignored.
+words. Exactly one row of a group stays: that of the smallest doc_id, a null doc_id being larger than any other; of rows that
+share that doc_id, the one of the smallest hash of the whole row (rows equal in all columns are interchangeable). So rows of one
+doc_id with different texts live and die apart; class_id and group_id are null where all doc_ids are. A text of any length is
+compared by all its shingles; it must fit a row. Empty tables give empty results. Extra columns pass through `keep_one` and are
+ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -22,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import staged
+from larder.llm.common import ROW, join_groups, numbered, packed, staged, unpacked
 from larder.llm.words import Words, chunks, gram_hashes, mixed, words_of
 
 SHINGLE = 5
@@ -33,6 +41,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Members of a bucket that a task compares with as many others at most.
 BLOCK = 256
+#: Links that one task joins up at most.
+ONE_TASK = 2_000_000
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +91,9 @@ def prob_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_te
     return owner.reshape(n_texts, registers)
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, class_hi, class_lo, buckets): two hashes of the word sequence, and a bucket per band (empty: no words)."""
+def signatures(rows: DataFrame, bands: int = BANDS, registers: int = ROWS) -> DataFrame:
+    """(_row, class_hi, class_lo, buckets) of (_row, text): two hashes of the word sequence, and a bucket per band (empty: no
+    words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = mixed(np.arange(1, bands + 1, dtype=np.uint64))
@@ -91,10 +102,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str
                 words = words_of(b.column("text"))
                 n = b.num_rows
                 t, e, w = weighted(*shingles(words))
-                registers = prob_minhash(t, e, w, n, bands * rows).reshape(n, bands, rows)
+                signed = prob_minhash(t, e, w, n, bands * registers).reshape(n, bands, registers)
                 key = np.tile(band, (n, 1))
-                for r in range(rows):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + registers[:, :, r])
+                for r in range(registers):
+                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, r])
                 position = np.arange(len(words.hash)) - np.repeat(words.first[:-1], np.diff(words.first)) + 1
                 classes = []
                 for salt in (0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5):
@@ -104,10 +115,9 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, text: str
                 has = np.diff(words.first) > 0
                 ends = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[has].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(classes[0]), pa.array(classes[1]), lists], ["doc_id", "class_hi", "class_lo", "buckets"])
+                yield pa.RecordBatch.from_arrays([b.column(ROW), pa.array(classes[0]), pa.array(classes[1]), lists], [ROW, "class_hi", "class_lo", "buckets"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, class_hi long, class_lo long, buckets array<long>")
+    return rows.select(ROW, "text").mapInArrow(run, f"{ROW} long, class_hi long, class_lo long, buckets array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -127,11 +137,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (xs[at] / x[both] + (ys[-1] - ys[at]) / y[both])).sum())
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(a, b, sim) of (a, b) pairs. The text of `a` comes last and sorted, so a task hashes a pivot once per run of pairs."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    right = pairs.join(texts, pairs["b"] == texts["_id"]).select("a", "b", F.col("_text").alias("text_b"))
-    both = right.join(texts, right["a"] == texts["_id"]).select("a", "b", F.col("_text").alias("text_a"), "text_b")
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, sim) of (a, b) pairs; texts are (_row, text). The text of `a` comes last and sorted, so a task hashes a pivot
+    once per run of pairs."""
+    named = texts.select(F.col(ROW).alias("_id"), F.col("text").alias("_text"))
+    right = pairs.join(named, pairs["b"] == named["_id"]).select("a", "b", F.col("_text").alias("text_b"))
+    both = right.join(named, right["a"] == named["_id"]).select("a", "b", F.col("_text").alias("text_a"), "text_b")
 
     def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         t, e, w = weighted(*shingles(words_of(column)))
@@ -153,8 +164,8 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str = "text", doc_id: str =
     return both.mapInArrow(run, "a long, b long, sim double")
 
 
-def shingle_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc, elements, weights): the sorted shingles of each text and how often each occurs."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(doc, elements, weights) of (_row, text): the sorted shingles of each text and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,8 +175,7 @@ def shingle_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (e.view(np.int64), w.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([b.column("doc"), *lists], ["doc", "elements", "weights"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc long, elements array<long>, weights array<int>")
+    return texts.select(F.col(ROW).alias("doc"), "text").mapInArrow(run, "doc long, elements array<long>, weights array<int>")
 
 
 def block_links(left: pa.Table, right: pa.Table | None, threshold: float) -> list[tuple[int, int]]:
@@ -223,39 +233,48 @@ def block_links(left: pa.Table, right: pa.Table | None, threshold: float) -> lis
     return out
 
 
-def near_links(representatives: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_links(representatives: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root): groups of the representatives that share a bucket and reach the threshold, for all that share any.
 
-    First every bucket's smallest member, its pivot, is compared with the others. Buckets that then hold members of several
-    groups are compared in blocks of BLOCK members, members of small groups first: only blocks that hold members outside the
-    bucket's largest group meet the other blocks, inside tasks, and only links come out.
+    `representatives` are (_row, buckets), `texts` (_row, text). First every bucket's smallest member, its pivot, is compared
+    with the others. Buckets that then hold members of several groups are compared in blocks of about BLOCK members, dealt by
+    hash: only blocks with members outside the bucket's largest group meet the other blocks, inside tasks, and only links come
+    out. Frequent buckets get their pivot and their numbers of blocks by broadcast.
     """
-    entries = representatives.select(F.col("doc_id").alias("doc"), F.explode("buckets").alias("bucket"))
-    first = entries.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot < top").drop("top")
-    live = staged(entries.join(first, "bucket").filter("doc > pivot"), "live")
+    entries = representatives.select(F.col(ROW).alias("doc"), F.explode("buckets").alias("bucket"))
+    spans = entries.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("members"))
+    first = staged(spans.filter("pivot < top").drop("top"), "pivots")
+    n_entries = first.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    live = staged(join_groups(entries, first, ["bucket"], "members", n_entries).filter("doc > pivot"), "live")
     pairs = live.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    known = staged(verify(pairs, docs, text, doc_id), "verified")
+    known = staged(verify(pairs, texts), "verified")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = staged(relabel(nodes.withColumn("root", F.col("node")), known.filter(F.col("sim") >= threshold - 1e-12)), "groups")
 
-    rooted = live.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc")
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("members"), F.max("n").alias("largest")).filter("largest < members")
-    order = Window.partitionBy("bucket").orderBy("n", "root", "doc")
-    ranked = rooted.join(buckets, "bucket").join(sizes, ["bucket", "root"]).withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    # blocks 0 to `last` hold members outside the largest group; they meet each other and all later blocks
-    last = F.floor((F.col("members") - F.col("largest") - 1) / BLOCK).cast("int")
-    n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda o: F.when(F.least(o, F.col("block")) <= last, F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    placed = ranked.select("bucket", "doc", "root", "block", F.inline(F.array_compact(meets)))
-    placed = staged(placed, "blocks")
-    wanted = placed.select(F.col("doc").alias(doc_id)).distinct()
-    sets = staged(shingle_sets(docs.join(wanted, doc_id, "left_semi"), text, doc_id), "sets")
+    # the pivot may differ from the others too, so all members are ranked
+    whole = live.select("bucket", "doc").unionByName(first.select("bucket", F.col("pivot").alias("doc")))
+    rooted = staged(whole.join(labels.withColumnRenamed("node", "doc"), "doc"), "rooted")
+    sizes = staged(rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    largest = F.max(F.struct("n", "root"))
+    open_ = sizes.groupBy("bucket").agg(F.sum("n").alias("members"), largest.alias("top")).filter("top.n < members")
+    buckets = staged(open_.select("bucket", "members", F.col("top.n").alias("largest"), F.col("top.root").alias("main")), "open")
+    # blocks 0 to n_open - 1 hold members outside the largest group; they meet each other and all blocks of that group
+    n_open = F.ceil((F.col("members") - F.col("largest")) / BLOCK).cast("int")
+    n_main = F.ceil(F.col("largest") / BLOCK).cast("int")
+    hashed = F.xxhash64("doc", "bucket")
+    block = F.when(F.col("root") == F.col("main"), n_open + F.pmod(hashed, n_main)).otherwise(F.pmod(hashed, n_open)).cast("int")
+    blocked = join_groups(rooted, buckets, ["bucket"], "members", n_entries).withColumn("block", block)
+    partner = F.sequence(F.lit(0), n_open + n_main - 1)
+    meets = F.transform(partner, lambda o: F.when(F.least(o, F.col("block")) < n_open, F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
+    placed = staged(blocked.select("bucket", "doc", "root", "block", F.inline(F.array_compact(meets))), "blocks")
+    wanted = placed.select(F.col("doc").alias(ROW)).distinct()
+    sets = staged(shingle_sets(texts.join(wanted, ROW, "left_semi")), "sets")
 
     def compare(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        found = block_links(table.filter(pa.array(block == i)), None if i == j else table.filter(pa.array(block == j)), threshold)
+        left, right = table.filter(pa.array(block == i)), None if i == j else table.filter(pa.array(block == j))
+        found = block_links(left, right, threshold) if left.num_rows else []
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
     linked = placed.join(sets, "doc").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
@@ -271,9 +290,35 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
 
 
+def stars(links: DataFrame, every: bool) -> DataFrame:
+    """(node, root): each node of a partition's (a, b) links with the smallest node it is joined to by them; roots only if `every`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        nodes, at = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)
+        a, b = at[: table.num_rows], at[table.num_rows :]
+        root = np.arange(len(nodes))
+        while (root[a] != root[b]).any():
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+        shown = np.ones(len(nodes), bool) if every else root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[shown]), pa.array(nodes[root[shown]])], ["node", "root"])
+
+    return links.select("a", "b").mapInArrow(run, "node long, root long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): each node of (a, b) links with the smallest node of its component."""
-    edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    """(node, root): each node of (a, b) links with the smallest node of its component.
+
+    Links are first reduced to stars inside their partitions. What is left is joined up in one task if it is at most ONE_TASK
+    links (32 MB), else by rounds of taking neighbours' labels and jumping to the labels' labels.
+    """
+    reduced = staged(stars(links, False).select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
+    if reduced.count() <= ONE_TASK:
+        return stars(reduced.coalesce(1), True)
+    edges = staged(reduced.unionByName(reduced.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
@@ -287,20 +332,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _judged(base: DataFrame, threshold: float, bands: int, registers: int, text: str, doc_id: str) -> DataFrame:
+    """(_row, class_id, group_id, kept) for each row of the scratch table `base`."""
+    texts = base.select(ROW, F.col("_d").getField(text).alias("text"))
+    signed = staged(signatures(texts, bands, registers), "signatures")
+    of_row = F.col("_d").getField(doc_id).cast("long")
+    order = base.select(ROW, F.struct(of_row.isNull().alias("none"), of_row.alias("id"), "_tie", F.col(ROW).alias("row")).alias("_o"))
+    known = staged(signed.select(ROW, "class_hi", "class_lo").join(order, ROW), "near-known")
+    classes = staged(known.groupBy("class_hi", "class_lo").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("size")), "near-classes")
+    heads = classes.select(F.col("_first.row").alias(ROW))
+    roots = near_links(signed.join(heads, ROW, "left_semi").select(ROW, "buckets"), texts, threshold)
+    # a class that shares no bucket is a group of its own
+    rooted = classes.join(roots, F.col("_first.row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_first.row")).drop("node")
+    rooted = staged(rooted, "near-rooted")
+    groups = staged(rooted.groupBy("root").agg(F.min("_first").alias("_group"), F.count(F.lit(1)).alias("n_classes")), "near-groups")
+    named = join_groups(rooted, groups, ["root"], "n_classes", rooted.count())
+    named = staged(named.select("class_hi", "class_lo", "size", F.col("_first.id").alias("class_id"), F.col("_group.id").alias("group_id"), F.col("_group.row").alias("_keeper")), "near-named")
+    joined = join_groups(known, named, ["class_hi", "class_lo"], "size", known.count())
+    return joined.select(ROW, "class_id", "group_id", (F.col(ROW) == F.col("_keeper")).alias("kept"))
+
+
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per doc_id: doc_id, class_id (smallest doc_id with the same words), group_id (smallest doc_id of all that
-    are linked), kept (doc_id is its group's)."""
-    signed = staged(signatures(docs, bands, rows, text, doc_id), "signatures")
-    classes = signed.groupBy("class_hi", "class_lo").agg(F.min("doc_id").alias("class_id"))
-    members = signed.select("doc_id", "class_hi", "class_lo").distinct().join(classes, ["class_hi", "class_lo"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    heads = signed.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    roots = near_links(heads, docs, threshold, text, doc_id)
-    joined = members.join(roots, members["class_id"] == roots["node"], "left")
-    group = F.coalesce("root", "class_id")
-    return joined.select("doc_id", "class_id", group.alias("group_id"), (F.col("doc_id") == group).alias("kept"))
+    """One row per input row: doc_id, class_id (smallest doc_id with the same words), group_id (smallest doc_id of all that
+    are linked), kept (true for exactly one row of each group)."""
+    base = numbered(packed(docs.select(doc_id, text)), "near-rows")
+    judged = _judged(base, threshold, bands, rows, text, doc_id)
+    ids = base.select(ROW, F.col("_d").getField(doc_id).cast("long").alias("doc_id"))
+    return ids.join(judged, ROW).select("doc_id", "class_id", "group_id", "kept")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` without those whose group has a smaller doc_id."""
-    lost = near_dedup(docs, threshold, bands, rows, text, doc_id).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs[doc_id].cast("long") == F.col("_lost"), "left_anti")
+    """The rows of `docs` that stay, one of each group."""
+    base = numbered(packed(docs), "near-rows")
+    judged = _judged(base, threshold, bands, rows, text, doc_id)
+    return unpacked(base.join(judged.filter("kept").select(ROW), ROW, "left_semi"), docs)

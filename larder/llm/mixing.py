@@ -1,60 +1,49 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source with weight w has blocks 1, 2, ... of `block_rows` rows each. Block i may not be placed before slot
-floor((i - 1) / w) and must be placed before slot ceil(i / w); the earliest deadline goes first (of equal deadlines, the
-one whose window overlaps the next, then the later group deadline, then the source). After every slot each source is then less than one
-block away from its weight times the slots so far.
-
-Weights are whole numbers of `period` slots, so the schedule repeats. It is computed for one period on the driver
-(`period` rows, fixed) and each block finds its slot by division and a join. Rows are numbered within a source in two
-steps, by bucket and inside it, so a source with a third of all rows is spread over as many tasks as it needs.
-
-The mix ends after `slots` slots (default: as many blocks as there are). A block scheduled later is outside: its source is
-larger than its target share. Sources that end early leave their slots empty. Every row is returned with its slot.
-
-Defined cases: null source is a source of its own. Rows with equal hash and doc_id have an arbitrary but whole order. An
-empty table gives an empty result. Columns of the input named like output columns are replaced.
-
-More than `max_sources` sources: the largest half of that many keep streams of their own, all others are dealt to groups by
-hash. A group is a stream that weighs as much as its members together, and a second schedule deals its turns to the members,
-each of which keeps blocks, release and deadline of its own. A member is then less than two blocks away from its weight, up to
-the rounding of weights to turns and slots.
+Rows of a source are put in a hashed order and cut into blocks of `block_rows` rows, each scheduled as two halves (units). A slot
+holds one unit. In every period each unit gets a release time and a deadline from its source's weight, and the earliest deadline
+goes first (of equal ones, that whose window overlaps the next, then the later group deadline, then the source), so after each slot
+a source is less than one unit away from the straight line of its period.
+
+The weights are taken as they are, not rounded to a period: the number of units that a source has got at a period's end is its
+weight times the slots so far, rounded by largest remainder over the whole past, so what one period owes, the next one pays. That
+is less than one unit off, too. Together a source is less than one block away from its target weight after every slot, for any
+number of periods. A period has at least `period` slots, and as many as it takes for every source to be due a unit.
+
+This holds until the first source runs out (slot `end` of the plan). Then the others go on in proportion to their weights, spread
+evenly in each period, until all units are placed: there are as many slots as units, none stays empty, and no row is dropped.
+`in_mix` marks the rows before that slot, or before `slots` units if given.
+
+The driver and each scheduling task hold three numbers per source, whatever the number of sources; none is merged. Periods are
+scheduled apart from each other, in tasks; their slots meet the units by a join. Rows are numbered within a source in two steps, by
+bucket and inside it, on narrow columns, and the rest of a row comes back by its number. A source with a large share of all rows
+is joined by broadcast.
+
+Defined cases: null source is a source of its own. A source of weight 0 (or missing in `weights`) has no slots: its rows get null
+in slot, release and deadline, and in_mix is false. Ties of hash and doc_id go by a hash of the whole row; rows equal in all
+columns are interchangeable. Null and repeated doc_ids are rows like others. An empty table gives an empty result. Columns of
+the input named like output columns are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import buckets_for, staged
+from larder.llm.common import ROW, buckets_for, join_groups, numbered, packed, staged
 
-PERIOD = 10_000
+PERIOD = 8_192
 OUTPUT = ("block", "release", "deadline", "slot", "in_mix")
-MEMBERS = ["_stream", "_name", "_member", "_inner", "_span", "_turn_of", "_turn_at"]
-
-
-def quotas(weights: dict, period: int) -> dict:
-    """Whole slots per period, by largest remainder, at least 1 for each positive weight."""
-    positive = {s: w for s, w in weights.items() if w > 0}
-    total = sum(positive.values())
-    exact = {s: Fraction(w) / Fraction(total) * period for s, w in positive.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    k = 0
-    while sum(out.values()) < period:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], str(s)))] -= 1
-    return out
 
 
 def schedule(quota: dict, period: int) -> list[tuple]:
-    """(source, k, slot): the slot of each source's k-th block, k from 0, in one period. Uses PD2 priorities."""
+    """(source, k, slot): the slot of each source's k-th unit, k from 0, in one period. Uses PD2 priorities."""
 
     def window(s, k):
         q = quota[s]
@@ -87,104 +76,107 @@ def target_weights(rows: dict, temperature: float) -> dict:
     return {s: n**temperature for s, n in rows.items()}
 
 
-def member_turns(table: pa.Table, period: int) -> pa.Table:
-    """The turns of a group's members, by a schedule of the group alone: a row per turn (of weight 0: one with no turn)."""
-    order = sorted(zip(table["stream"].to_pylist(), table["weight"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or ""))
-    positive = {k: w for k, (_, w) in enumerate(order) if w > 0}
-    span = max(period, 4 * len(positive))
-    quota = quotas(positive, span) if positive else {}
-    out = [(order[m][0], m, quota[m], span, k, at) for m, k, at in (schedule(quota, span) if quota else [])]
-    out += [(name, m, 0, span, 0, None) for m, (name, _) in enumerate(order) if m not in quota]
-    group = table["_stream"][0].as_py()
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
-    return pa.table([pa.array([group] * len(out), pa.int32()), *columns], MEMBERS)
-
-
-def grouped(counts: DataFrame, head: list, weights: dict | None, temperature: float, period: int, n_groups: int) -> tuple[dict, DataFrame]:
-    """Weights of groups of the sources that aren't in `head`, and their members' turns. A group weighs what its members weigh."""
-    spark = counts.sparkSession
-    listed = spark.createDataFrame([(x,) for x in head], "_name string")
-    # fewer than max_sources rows
-    rest = counts.join(F.broadcast(listed), F.col("stream").eqNullSafe(F.col("_name")), "left_anti")
-    weight = F.pow("count", F.lit(float(temperature)))
-    if weights is not None:
-        given = spark.createDataFrame([(x, float(w)) for x, w in weights.items()], "_name string, _weight double")
-        rest = rest.join(given, F.col("stream").eqNullSafe(F.col("_name")), "left")
-        weight = F.greatest(F.coalesce("_weight", F.lit(0.0)), F.lit(0.0))
-    group = (F.pmod(F.xxhash64("stream"), F.lit(n_groups)) + len(head)).cast("int")
-    dealt = staged(rest.select(group.alias("_stream"), "stream", weight.alias("weight")), "mix-sources")
-    sized = {r["_stream"]: r["weight"] for r in dealt.groupBy("_stream").agg(F.sum("weight").alias("weight")).collect()}
-    turns = dealt.groupBy("_stream").applyInArrow(lambda t: member_turns(t, period), "_stream int, _name string, _member long, _inner long, _span long, _turn_of long, _turn_at long")
-    return sized, staged(turns, "mix-turns")
-
-
-def numbered(rows: DataFrame, keys: list[str], block_rows: int, doc_id: str) -> DataFrame:
-    """`rows` with their block, from 0, in the group of `keys`."""
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_hash", doc_id)) - 1
-    placed = rows.withColumn("_inside", inside).join(before, [*keys, "_bucket"])
-    return placed.withColumn("block", F.expr(f"(_before + _inside) div {int(block_rows)}"))
-
-
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_rows: int = 16, slots: int | None = None, period: int = PERIOD, max_sources: int = 2_000, source: str = "source", doc_id: str = "doc_id", rows_per_bucket: int = 100_000) -> DataFrame:
-    """`docs` with block, release, deadline, slot (of the block) and in_mix."""
+@dataclass
+class Plan:
+    """Units a source gets over time. `weight` and `units` (both above 0) are per source."""
+
+    weight: np.ndarray
+    units: np.ndarray
+    period: int = PERIOD
+
+    def __post_init__(self):
+        self.weight = np.asarray(self.weight, float) / max(float(np.sum(self.weight)), 1e-300)
+        self.units = np.asarray(self.units, np.int64)
+        self.total = int(self.units.sum())
+        if not self.total:
+            self.end, self.bounds = 0, np.zeros(1, np.int64)
+            return
+        runs_out = self.units / self.weight
+        self.order = np.argsort(runs_out, kind="stable")
+        at = runs_out[self.order]
+        # slots so far when the sources run out, one after the other: those gone, plus what the others got by then
+        gone = np.concatenate([[0], np.cumsum(self.units[self.order])])
+        left = np.concatenate([np.cumsum(self.weight[self.order][::-1])[::-1], [0.0]])
+        self.virtual = np.concatenate([[0.0], at])
+        self.real = np.concatenate([[0.0], gone[1:] + at * left[1:]])
+        self.end = min(int(runs_out.min() + 1e-9), self.total)
+        length = int(min(max(self.period, np.ceil(1 / self.weight.min())) + 1, self.total))
+        parts = [np.linspace(a, z, max(1, (z - a) // length) + 1).round().astype(np.int64) for a, z in ((0, self.end), (self.end, self.total)) if z > a]
+        self.bounds = np.unique(np.concatenate(parts))
+
+    def fluid(self, slots: int) -> np.ndarray:
+        """Units per source after `slots` slots if they could be cut at will."""
+        if slots <= self.end:
+            return np.minimum(self.weight * slots, self.units)
+        return np.minimum(self.weight * np.interp(slots, self.real, self.virtual), self.units)
+
+    def done(self, slots: int) -> np.ndarray:
+        """Whole units per source after `slots` slots, `slots` in all: the fluid by largest remainder."""
+        exact = self.fluid(slots)
+        whole = np.where(np.abs(exact - np.rint(exact)) < 1e-6, np.rint(exact), np.floor(exact)).astype(np.int64)
+        rest = np.where(whole < self.units, exact - whole, -1.0)
+        more = np.argsort(-rest, kind="stable")[: max(0, slots - int(whole.sum()))]
+        whole[more] += 1
+        return whole
+
+    def slots(self, k: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """(source, unit, slot, release, deadline) of period k."""
+        start, stop = int(self.bounds[k]), int(self.bounds[k + 1])
+        before = self.done(start)
+        got = self.done(stop) - before
+        length = stop - start
+        quota = {int(s): int(got[s]) for s in np.flatnonzero(got > 0)}
+        for s, unit, at in schedule(quota, length):
+            q = quota[s]
+            yield s, int(before[s]) + unit, start + at, start + unit * length // q, start - (-(unit + 1) * length // q)
+
+
+def planned(spark, plan: Plan) -> DataFrame:
+    """(stream, unit, slot, release, deadline) of all units; periods are dealt to tasks."""
+    n = len(plan.bounds) - 1
+    schema = "stream int, unit long, slot long, release long, deadline long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                columns = list(zip(*plan.slots(k), strict=True))
+                types = [pa.int32(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["stream", "unit", "slot", "release", "deadline"])
+
+    return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
+
+
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_rows: int = 16, slots: int | None = None, period: int = PERIOD, source: str = "source", doc_id: str = "doc_id", rows_per_bucket: int = 1_000) -> DataFrame:
+    """`docs` with block (from 1, in the source), release, deadline and slot (of the row's half block) and in_mix."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in OUTPUT]
-    name = F.col(source).cast("string")
-    counts = docs.groupBy(name.alias("stream")).count()
-    top = counts.orderBy(F.desc("count"), "stream").limit(max_sources + 1).collect()
-    n = sum(r["count"] for r in top)
-    largest = max((r["count"] for r in top), default=0)
-    turns = None
-    n_sources = len(top)
-    if len(top) > max_sources:
-        n_sources, n = counts.agg(F.count(F.lit(1)), F.sum("count")).first()
-        top = top[: max(1, max_sources // 2)]
-    rows = {r["stream"]: r["count"] for r in top}
-    index = {s: k for k, s in enumerate(rows)}
-    sized = target_weights({k: rows[s] for s, k in index.items()}, temperature)
-    if weights is not None:
-        sized = {k: float(weights.get(s, 0)) for s, k in index.items()}
-    if n_sources > len(top):
-        most = max(1, max_sources - len(top))
-        of_groups, turns = grouped(counts, list(rows), weights, temperature, period, min(most, buckets_for(n_sources - len(top), most)))
-        sized |= of_groups
-    quota = quotas(sized, period) if any(w > 0 for w in sized.values()) else {}
-    plan = spark.createDataFrame([(s, k, slot) for s, k, slot in (schedule(quota, period) if quota else [])], "_stream int, _k long, _at long")
-    streams_of = spark.createDataFrame([(s, k, quota.get(k, 0)) for s, k in index.items()], "_name string, _stream int, _quota long")
-
-    hashed = F.xxhash64(doc_id, source)
-    bucket = F.pmod(hashed, F.lit(buckets_for(largest, rows_per_bucket)))
-    named = docs.select(*kept).withColumn("_bucket", bucket).withColumn("_hash", hashed)
-    # at most max_sources rows: bounded
-    joined = named.join(F.broadcast(streams_of), name.eqNullSafe(F.col("_name")), "left").drop("_name")
-    own = numbered(joined.filter("_stream is not null"), ["_stream"], block_rows, doc_id)
-    shown = [*kept, "block", "_stream", "_quota"]
-    blocks = own.select(*shown, F.col("block").alias("_turn"), F.col("block").alias("_from"), (F.col("block") + 1).alias("_until"))
-    if turns is not None:
-        quota_of = spark.createDataFrame([(k, quota.get(k, 0)) for k in sized], "_stream int, _quota long")
-        # at most max_sources rows: bounded
-        members = turns.filter("_turn_of = 0").drop("_turn_of", "_turn_at").join(F.broadcast(quota_of), "_stream")
-        rest = joined.filter("_stream is null").drop("_stream", "_quota").join(members, name.eqNullSafe(F.col("_name"))).drop("_name")
-        inner = numbered(rest, ["_stream", "_member"], block_rows, doc_id).withColumn("_turn_of", F.expr("coalesce(block % nullif(_inner, 0), 0)"))
-        turned = inner.join(turns.select("_stream", "_member", "_turn_of", "_turn_at"), ["_stream", "_member", "_turn_of"])
-        blocks = blocks.unionByName(
-            turned.select(
-                *shown,
-                F.expr("block div nullif(_inner, 0) * _span + _turn_at").alias("_turn"),
-                F.expr("block * _span div nullif(_inner, 0)").alias("_from"),
-                F.expr("((block + 1) * _span + _inner - 1) div nullif(_inner, 0)").alias("_until"),
-            )
-        )
-    # the plan has `period` rows
-    timed = blocks.withColumn("_k", F.expr("_turn % nullif(_quota, 0)")).join(F.broadcast(plan), ["_stream", "_k"], "left")
-    budget = slots if slots is not None else -(-n // block_rows)
-    return timed.select(
-        *kept,
-        (F.col("block") + 1).alias("block"),
-        F.expr(f"_from * {period} div nullif(_quota, 0)").alias("release"),
-        F.expr(f"(_until * {period} + _quota - 1) div nullif(_quota, 0)").alias("deadline"),
-        F.expr(f"_turn div nullif(_quota, 0) * {period} + _at").alias("slot"),
-    ).withColumn("in_mix", F.coalesce(F.col("slot") < budget, F.lit(False)))
+    half = max(1, block_rows // 2)
+    base = numbered(packed(docs), "mix-rows")
+    name, of_row = F.col("_d").getField(source).cast("string"), F.col("_d").getField(doc_id)
+    keys = ["_null", "_name"]
+    narrow = base.select(ROW, name.isNull().alias("_null"), F.coalesce(name, F.lit("")).alias("_name"), of_row.alias("_id"), "_tie", F.xxhash64(of_row, name).alias("_hash"))
+    counts = {(r["_null"], r["_name"]): r["count"] for r in narrow.groupBy(*keys).count().collect()}  # a row per source
+    names = sorted(counts)
+    if weights is None:
+        weight = target_weights(counts, temperature)
+    else:
+        weight = {k: max(0.0, float(weights.get(None if k[0] else k[1], 0))) for k in names}
+    live = [k for k in names if weight[k] > 0]
+    plan = Plan(np.array([weight[k] for k in live]), np.array([-(-counts[k] // half) for k in live], np.int64), period)
+    index = {k: j for j, k in enumerate(live)}
+    listed = [(*k, index.get(k), counts[k], buckets_for(counts[k], rows_per_bucket)) for k in names]
+    streams = spark.createDataFrame(listed, "_null boolean, _name string, stream int, _size long, _buckets long")
+
+    rows = join_groups(narrow, streams, keys, "_size", sum(counts.values())).withColumn("_bucket", F.pmod("_hash", "_buckets"))
+    rows = staged(rows.select(ROW, *keys, "stream", "_bucket", "_hash", "_id", "_tie"), "mix-dealt")
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # a row per `rows_per_bucket` rows of a source
+    running = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    before = sizes.withColumn("_before", running - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_hash", "_id", "_tie", ROW)) - 1
+    placed = rows.withColumn("_inside", inside).join(before, [*keys, "_bucket"]).withColumn("_nth", F.col("_before") + F.col("_inside"))
+    units = placed.select(ROW, "stream", F.expr(f"_nth div {half}").alias("unit"), F.expr(f"_nth div {2 * half} + 1").alias("block"))
+    timed = units.join(planned(spark, plan), ["stream", "unit"], "left")
+    limit = plan.end if slots is None else int(slots)
+    timed = timed.select(ROW, "block", "release", "deadline", "slot", F.coalesce(F.col("slot") < limit, F.lit(False)).alias("in_mix"))
+    kept = [F.col("_d").getField(c).alias(c) for c in docs.columns if c not in OUTPUT]
+    return base.join(timed, ROW).select(*kept, *OUTPUT)

@@ -1,17 +1,26 @@
 """Quality rules with risk-controlled thresholds.
 
-Base rules are fixed. On top, each stratum (language) gets its own cut-off per rule, chosen on labelled holdout rows
-so that the share of good documents a rule rejects stays under a limit. A cut-off is accepted only if the exact binomial
-tail P(Bin(n, limit) <= rejected) is at most `delta` divided by the number of tests (strata x rules x grid), so with
-probability 1 - delta every stratum keeps at least 1 - `max_false_rejection` of its good documents. A stratum with too
-few labels gets no cut-off and loses documents to the base rules only.
-
-All labelled rows are counted. Everything is a DataFrame expression. One narrow pass computes the metrics; the thresholds are a
-table with a row per stratum of at least `n_min` good labelled documents, which is broadcast.
-
-Defined cases: null text has no words (and fails the base rule on n_words); null lang is the stratum "". Empty tables
-give empty results. Labels of one doc_id that disagree count as the worse one. Columns of the input that share a name
-with an output column are replaced by the output; others pass through.
+Base rules are fixed. On top, each stratum (language) gets a cut-off per rule, chosen on labelled holdout rows so that few good
+documents are rejected. The holdout is split by a digest of the text. One quarter only proposes: per rule, the strictest cut-off of
+the grid that rejects at most `propose` of its good documents, and from there configurations that are up to `STEPS` grid steps
+more lenient in every rule. The other three quarters test these configurations from lenient to strict, each as a whole: a
+configuration passes if the exact binomial tail P(Bin(n, limit) <= rejected) is at most `delta` divided by the number of strata
+tested. The first that fails ends the sequence, and the last that passed is used. A fixed sequence needs no division by the number
+of configurations, and strata are corrected by Bonferroni.
+
+What is guaranteed: with probability 1 - `delta` over the draw of the holdout, in every stratum the rules together reject
+at most `max_false_rejection` of those good documents that pass the base rules. It holds if labelled documents are drawn like the
+others; documents that the base rules reject are outside it. Copies are not independent draws, so a text counts once. A stratum
+with too few labels (`n_min` in its test part) gets no cut-offs and loses documents to the base rules only.
+
+All labelled rows are counted. Everything is a DataFrame expression. One narrow pass computes the metrics and writes them to a
+scratch table, with the columns that go on; holdout, test and verdict read that table, so no text is measured twice or shuffled.
+The cut-offs are a row per stratum of at least `n_min` labels; they are broadcast if there are at most `MAX_STRATA`, else joined.
+
+Defined cases: null text has no words (and fails the base rule on n_words); null lang is the stratum "". A text of any length is
+measured as a whole; it must fit a row. Repeated rows are judged alike; a doc_id with several texts has one label for all of them. Null
+doc_ids have no label. Empty tables give empty results. Labels of one doc_id that disagree count as the worse one. Columns of the
+input that share a name with an output column are replaced by the output; others pass through.
 """
 
 from __future__ import annotations
@@ -36,22 +45,27 @@ GRID = {
 }
 
 
+#: Configurations tried per stratum, less one.
+STEPS = 5
+#: First hexadecimal digits of a text's MD5 for which it is in the part that proposes cut-offs.
+PROPOSING = "0123"
+MAX_STRATA = 10_000
+
+
 @dataclass(frozen=True)
 class RiskControl:
     """max_false_rejection: share of a stratum's good documents that all rules together may reject.
-    delta: probability that any stratum exceeds it."""
+    delta: probability that any stratum exceeds it.
+    propose: share of the proposing part's good documents that one rule's strictest cut-off may reject."""
 
     max_false_rejection: float = 0.02
     delta: float = 0.05
-
-    @property
-    def per_rule(self) -> float:
-        return self.max_false_rejection / len(GRID)
+    propose: float = 0.002
 
     @property
     def n_min(self) -> int:
-        """Fewer labelled good rows can't pass the test even if none is rejected."""
-        return math.ceil(math.log(self.delta / (len(GRID) * 9)) / math.log1p(-self.per_rule))
+        """Fewer labelled good rows can't pass the test even if none is rejected and there is one stratum."""
+        return math.ceil(math.log(self.delta) / math.log1p(-self.max_false_rejection))
 
 
 def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -132,44 +146,79 @@ def holdout(labels: DataFrame) -> DataFrame:
     return per_doc.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", text: str = "text") -> DataFrame:
-    """One row per stratum that passes any test: stratum, n_holdout and a cut-off per rule (null: none)."""
-    stratum_of = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    narrow = docs.select("doc_id", stratum_of.alias("stratum"), F.col(text).alias("text"))
-    # holdout has each doc_id once, so this is a semi join; as one, or with a filter instead of `passes`, the optimizer would
-    # move it below the metrics and shuffle texts, or compute the metrics twice
-    labelled = with_metrics(narrow).drop("text").join(holdout(labels), "doc_id")
-    s, passes = scores(), ~base_failed()
-    counted = labelled.groupBy("stratum").agg(
-        F.count_if(passes).alias("n"),
-        *[F.count_if(passes & (s[r] > c)).alias(f"{r}_{k}") for r, cuts in GRID.items() for k, c in enumerate(cuts)],
-    )
-    # a row per stratum, written so that their number doesn't need a second pass
-    enough = staged(counted.filter(F.col("n") >= control.n_min), "quality-strata")
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{k}").alias("rejected")) for r, cuts in GRID.items() for k, c in enumerate(cuts)])
-    # the number of strata is part of the correction
-    n_tests = F.lit(enough.count() * sum(len(c) for c in GRID.values()))
-    rows = enough.select("stratum", "n", F.explode(tests).alias("t")).select(n_tests.alias("n_tests"), "stratum", "n", "t.*")
-    # k above the expected n * p can't pass, so its tail isn't summed
-    passed = F.when(F.col("rejected") > F.col("n") * control.per_rule, F.lit(False)).otherwise(binomial_tail(F.col("n"), F.col("rejected"), control.per_rule) <= F.lit(control.delta) / F.col("n_tests"))
-    return (
-        rows.filter(passed)
-        .groupBy("stratum")
-        .agg(F.max("n").alias("n_holdout"), *[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRID])
+def measured(docs: DataFrame, stratum: str = "lang", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """A scratch table of the `carry` columns (default: all), `_stratum`, `_text_id` (MD5 of the text) and the metrics."""
+    own = {*METRICS, "n_lines", "base_failed", "failed_rule", "kept"}
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in own]
+    named = docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).withColumn("_text_id", F.md5(text_or_empty(text)))
+    return staged(with_metrics(named, text).select(*kept, "_stratum", "_text_id", *METRICS, "n_lines"), "quality-metrics")
+
+
+def _strata(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= MAX_STRATA else df
+
+
+def thresholds(rows: DataFrame, labels: DataFrame, control: RiskControl = RiskControl()) -> tuple[DataFrame, int]:
+    """One row per stratum with cut-offs: stratum, n_test, n_rejected and a cut-off per rule (null: none), and their number.
+    `rows` is a `measured` table."""
+    good = rows.join(holdout(labels), "doc_id").filter(~base_failed())
+    # a text once per stratum
+    narrow = good.groupBy(F.col("_stratum").alias("stratum"), "_text_id").agg(*[F.first(c).alias(c) for c in (*METRICS, "n_lines")])
+    narrow = staged(narrow.withColumn("proposes", F.substring("_text_id", 1, 1).isin(*PROPOSING)), "quality-holdout")
+    s = scores()
+    a, b = narrow.filter("proposes"), narrow.filter("not proposes")
+    tested = b.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= control.n_min)
+    proposed = a.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_a"), *[F.count_if(s[r] > c).alias(f"{r}_{k}") for r, cuts in GRID.items() for k, c in enumerate(cuts)])
+
+    def strictest(rule: str) -> Column:
+        """Place of the strictest cut-off that rejects few enough; -1 if even the first rejects too many."""
+        fits = [F.when(F.col(f"{rule}_{k}") <= control.propose * F.col("n_a"), k) for k in range(len(GRID[rule]))]
+        return F.coalesce(F.greatest(*fits, F.lit(-1)), F.lit(-1))
+
+    # configuration j is STEPS - j grid steps more lenient than the strictest: from lenient to strict
+    def configured(rule: str, j: int) -> Column:
+        return F.get(F.array(*[F.lit(float(c)) for c in GRID[rule]]), F.when(F.col(f"_at_{rule}") >= STEPS - j, F.col(f"_at_{rule}") - (STEPS - j)))
+
+    plans = tested.join(proposed, "stratum").select("stratum", "n", *[strictest(r).alias(f"_at_{r}") for r in GRID])
+    plans = plans.select("stratum", "n", *[configured(r, j).alias(f"{r}_{j}") for j in range(STEPS + 1) for r in GRID])
+    plans = staged(plans, "quality-plans")
+    n_strata = plans.count()
+    joined = b.join(_strata(plans, n_strata), "stratum")
+    rejects = [F.coalesce(F.greatest(*[F.coalesce(s[r] > F.col(f"{r}_{j}"), F.lit(False)) for r in GRID]), F.lit(False)) for j in range(STEPS + 1)]
+    counted = joined.groupBy("stratum").agg(F.first("n").alias("n"), *[F.count_if(x).alias(f"rejected_{j}") for j, x in enumerate(rejects)])
+    p = control.max_false_rejection
+
+    def passes(j: int) -> Column:
+        k = F.col(f"rejected_{j}")
+        # k above the expected n * p can't pass, so its tail isn't summed
+        return F.when(k > F.col("n") * p, F.lit(False)).otherwise(binomial_tail(F.col("n"), k, p) <= control.delta / max(1, n_strata))
+
+    tests = counted.select("stratum", "n", *[f"rejected_{j}" for j in range(STEPS + 1)], F.array(*[passes(j) for j in range(STEPS + 1)]).alias("ok"))
+    # configurations before the first failure
+    last = F.coalesce(F.nullif(F.array_position("ok", F.lit(False)), F.lit(0)) - 1, F.lit(STEPS + 1)) - 1
+    chosen = tests.withColumn("_j", last.cast("int")).filter("_j >= 0")
+    at = lambda names: F.get(F.array(*[F.col(x) for x in names]), F.col("_j"))
+    picked = chosen.join(_strata(plans.drop("n"), n_strata), "stratum").select(
+        "stratum",
+        F.col("n").alias("n_test"),
+        at([f"rejected_{j}" for j in range(STEPS + 1)]).alias("n_rejected"),
+        *[at([f"{r}_{j}" for j in range(STEPS + 1)]).alias(f"cut_{r}") for r in GRID],
     )
+    return staged(picked, "quality-cutoffs"), n_strata
 
 
-def apply_rules(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang", text: str = "text") -> DataFrame:
-    """`docs` with metrics, base_failed, failed_rule (first failing rule, null if none) and kept."""
-    keep = [c for c in docs.columns if c not in {"base_failed", "failed_rule", "kept"}]
-    measured = with_metrics(docs.select(*keep, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum")), text)
+def apply_rules(rows: DataFrame, cutoffs: DataFrame, n_strata: int = 0) -> DataFrame:
+    """A `measured` table with base_failed, failed_rule (first failing rule, null if none) and kept."""
     cuts = cutoffs.select(F.col("stratum").alias("_stratum"), *[F.col(f"cut_{r}").alias(f"_cut_{r}") for r in GRID])
-    joined = measured.join(F.broadcast(cuts), "_stratum", "left")
+    joined = rows.join(_strata(cuts, n_strata), "_stratum", "left")
     failed = F.when(base_failed(), F.lit("base"))
     for rule, score in scores().items():
         failed = failed.when(score > F.col(f"_cut_{rule}"), F.lit(rule))
-    return joined.select(*[c for c in measured.columns if c != "_stratum"], base_failed().alias("base_failed"), failed.alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())
+    shown = [c for c in rows.columns if c not in {"_stratum", "_text_id"}]
+    return joined.select(*shown, base_failed().alias("base_failed"), failed.alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", text: str = "text") -> DataFrame:
-    return apply_rules(docs, thresholds(docs, labels, control, stratum, text), stratum, text)
+def quality_rules(docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The `carry` columns of `docs` (default: all; doc_id must be among them) with metrics, base_failed, failed_rule and kept."""
+    rows = measured(docs, stratum, text, carry)
+    return apply_rules(rows, *thresholds(rows, labels, control))

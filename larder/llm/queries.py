@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import bpe, chat, exact, minhash, mixing, quality, secrets, shards, substrings, tokens
-from larder.llm.common import scratch_path
+from larder.llm.common import scratch_path, spread
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "lang", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=["doc_id"])
     return judged.select("doc_id", *quality.METRICS, "base_failed", "kept", "failed_rule")
 
 
@@ -102,8 +102,41 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
-#: The other queries can't be put in SQL (tokenizers, signatures, schedules, statistical tests, code point spans).
+def _quality_sql() -> str:
+    """Metrics, holdout, proposed and tested cut-offs, and verdicts; the binomial tail by its terms."""
+    c, last = quality.RiskControl(), quality.STEPS
+    grid = ", ".join(f"('{r}', {o}, {k}, {x})" for o, (r, cuts) in enumerate(quality.GRID.items()) for k, x in enumerate(cuts))
+    ws = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH grid(rule, ord, k, cut) AS (VALUES {grid}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, stratum, t, md5(t) AS text_id, list_filter(string_split_regex(t, '{ws}+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 2], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, h) AS n FROM g),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY r),
+m AS (SELECT w.r, doc_id, stratum, text_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN c ON c.r = w.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS nw FROM m),
+s AS (SELECT r, unnest(['symbol_rate', 'dup_line_rate', 'repeat_word_rate', 'long_words', 'short_words']) AS rule,
+  unnest([n_symbols / nw, n_dup_lines / greatest(n_lines, 1)::DOUBLE, n_repeat_words / nw, word_chars / nw, -word_chars / nw]) AS score FROM b),
+good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1 AND max(coalesce(toxic, 0)) = 0),
+o AS (SELECT stratum, text_id, min(r) AS r, substring(text_id, 1, 1) IN ('0', '1', '2', '3') AS proposes FROM b JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY 1, 2),
+n AS (SELECT stratum, count(*) FILTER (proposes) AS n_a, count(*) FILTER (NOT proposes) AS n FROM o GROUP BY 1 HAVING count(*) FILTER (NOT proposes) >= {c.n_min} AND count(*) FILTER (proposes) > 0),
+a AS (SELECT stratum, rule, ord, k, cut, count(*) FILTER (proposes AND score > cut) AS rejected, any_value(n_a) AS n_a FROM o JOIN s USING (r) JOIN grid USING (rule) JOIN n USING (stratum) GROUP BY 1, 2, 3, 4, 5),
+f AS (SELECT stratum, rule, ord, coalesce(max(k) FILTER (rejected <= {c.propose} * n_a), -1) AS strictest FROM a GROUP BY 1, 2, 3),
+x AS (SELECT f.stratum AS stratum, f.rule AS rule, f.ord AS ord, t.j AS j, q.cut AS cut FROM f CROSS JOIN (SELECT unnest(range(0, {last + 1})) AS j) AS t LEFT JOIN (SELECT rule, k, cut FROM grid) AS q ON q.rule = f.rule AND q.k = strictest - ({last} - j)),
+y AS (SELECT stratum, j, r, bool_or(coalesce(score > cut, false)) AS rejected FROM o JOIN s USING (r) JOIN x USING (stratum, rule) WHERE NOT proposes GROUP BY 1, 2, 3),
+z AS (SELECT stratum, j, count(*) FILTER (rejected) AS rejected, count(*) AS n FROM y GROUP BY 1, 2),
+v AS (SELECT stratum, j, CASE WHEN rejected > n * {c.max_false_rejection} THEN false ELSE list_sum(list_transform(range(0, rejected + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({c.max_false_rejection}) + (n - i) * ln(1 - {c.max_false_rejection}))))
+  <= {c.delta} / (SELECT count(*) FROM n) END AS ok FROM z),
+u AS (SELECT stratum, coalesce(min(j) FILTER (NOT ok), {last + 1}) - 1 AS j FROM v GROUP BY 1),
+e AS (SELECT b.r, arg_min(s.rule, x.ord) AS rule FROM b JOIN u USING (stratum) JOIN x ON x.stratum = b.stratum AND x.j = u.j JOIN s ON s.r = b.r AND s.rule = x.rule WHERE s.score > x.cut GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN 'base' ELSE rule END AS failed_rule, NOT base_failed AND rule IS NULL AS kept FROM b LEFT JOIN e USING (r)"""
+
+
+#: The other queries can't be put in SQL (hashed keys of both engines differ, tokenizers, signatures, schedules).
 ORACLES = {
+    "op7_quality_rules": _quality_sql(),
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 w AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),

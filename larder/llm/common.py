@@ -42,7 +42,7 @@ def drop_scratch(spark: SparkSession) -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new scratch table and read it back: lineage ends, lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,12 +62,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return staged(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """`df` as `_d`, a struct of all its columns, and `_tie`, a hash of them: no column can clash with an operator's own, and
-    rows have an order that doesn't depend on how they lie in files."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    hashed = [c for c, (_, t) in zip(columns, df.dtypes, strict=True) if "map<" not in t and "variant" not in t]
-    return df.select(F.struct(*columns).alias("_d"), F.xxhash64(*hashed).alias("_tie"))
+def packed(df: DataFrame, *more: Column, carry: list[str] | None = None) -> DataFrame:
+    """`df` as `_d`, a struct of its `carry` columns (default: all), and `_tie`, a hash of all: no column can clash with an
+    operator's own, and rows have an order that doesn't depend on how they lie in files. Further columns as given."""
+    hashed = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    kept = [F.col(f"`{c}`") for c in (df.columns if carry is None else carry)]
+    return df.select(F.struct(*kept).alias("_d"), F.xxhash64(*hashed).alias("_tie"), *more)
 
 
 def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:

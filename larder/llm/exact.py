@@ -56,8 +56,8 @@ def _named(rows: DataFrame, hashes: DataFrame, value: list[str], n_rows: int, ho
     return out.select(*columns).unionByName(warm.join(F.broadcast(within.drop("_h")), value).select(*columns))
 
 
-def cut_texts(docs: DataFrame, block_bytes: int = 4096, text: str = "text") -> DataFrame:
-    """A scratch table of `docs` with row numbers, the packed row, text_sha256, n_blocks, blocks and their hashes."""
+def cut_texts(docs: DataFrame, block_bytes: int = 4096, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """A scratch table of `docs` with row numbers, packed `carry` columns, text_sha256, n_blocks, blocks and their hashes."""
 
     def cut(b: Column) -> Column:
         n = F.greatest(F.ceil(F.octet_length(b) / block_bytes), F.lit(1)).cast("int")
@@ -65,7 +65,7 @@ def cut_texts(docs: DataFrame, block_bytes: int = 4096, text: str = "text") -> D
         pieces = let(blocks, lambda p: F.struct(p.alias("blocks"), F.transform(p, lambda x: F.xxhash64(x)).alias("hashes")))
         return F.struct(F.sha2(b, 256).alias("text_sha256"), n.alias("n_blocks"), pieces.alias("p"))
 
-    cuts = packed(docs).withColumn("_c", let(F.encode(normalised(F.col("_d").getField(text)), "utf-8"), cut))
+    cuts = packed(docs, let(F.encode(normalised(F.col(f"`{text}`")), "utf-8"), cut).alias("_c"), carry=carry)
     return numbered(cuts.select("_d", "_tie", "_c.text_sha256", "_c.n_blocks", "_c.p.blocks", "_c.p.hashes"), "exact-cuts")
 
 
@@ -110,7 +110,7 @@ def _judged(cuts: DataFrame, hot_share: int, doc_id: str) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, block_bytes: int = 4096, hot_share: int = 200, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_blocks."""
-    cuts = cut_texts(docs.select(doc_id, text), block_bytes, text)
+    cuts = cut_texts(docs.select(doc_id, text), block_bytes, text, [doc_id])
     rows = cuts.select(ROW, F.col("_d").getField(doc_id).alias("doc_id"), "text_sha256")
     return rows.join(_judged(cuts, hot_share, doc_id), ROW).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_blocks")
 

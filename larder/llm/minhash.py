@@ -41,6 +41,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Members of a bucket that a task compares with as many others at most.
 BLOCK = 256
+#: Pairs of one pivot that a task checks, about.
+PAIRS = 256
 #: Links that one task joins up at most.
 ONE_TASK = 2_000_000
 
@@ -138,11 +140,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, sim) of (a, b) pairs; texts are (_row, text). The text of `a` comes last and sorted, so a task hashes a pivot
-    once per run of pairs."""
-    named = texts.select(F.col(ROW).alias("_id"), F.col("text").alias("_text"))
-    right = pairs.join(named, pairs["b"] == named["_id"]).select("a", "b", F.col("_text").alias("text_b"))
-    both = right.join(named, right["a"] == named["_id"]).select("a", "b", F.col("_text").alias("text_a"), "text_b")
+    """(a, b, sim) of a scratch table of (a, b) pairs; texts are (_row, text).
+
+    The text of `a` comes last and sorted, so a task hashes a pivot once per run of pairs. A pivot of many pairs comes in copies, one
+    for each PAIRS of them, which go to different tasks."""
+    counts = staged(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).withColumn("_copies", F.ceil(F.col("_n") / PAIRS).cast("int")), "pivot-counts")
+    dealt = join_groups(pairs, counts, ["a"], "_n", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), "_copies").cast("int").alias("_copy"))
+    right = dealt.join(texts.select(F.col(ROW).alias("b"), F.col("text").alias("text_b")), "b")
+    pivots = counts.join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    both = right.join(pivots, ["a", "_copy"]).select("a", "b", "text_a", "text_b")
 
     def sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         t, e, w = weighted(*shingles(words_of(column)))
@@ -246,23 +252,25 @@ def near_links(representatives: DataFrame, texts: DataFrame, threshold: float =
     first = staged(spans.filter("pivot < top").drop("top"), "pivots")
     n_entries = first.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     live = staged(join_groups(entries, first, ["bucket"], "members", n_entries).filter("doc > pivot"), "live")
-    pairs = live.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    known = staged(verify(pairs, texts), "verified")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = staged(relabel(nodes.withColumn("root", F.col("node")), known.filter(F.col("sim") >= threshold - 1e-12)), "groups")
-
-    # the pivot may differ from the others too, so all members are ranked
-    whole = live.select("bucket", "doc").unionByName(first.select("bucket", F.col("pivot").alias("doc")))
-    rooted = staged(whole.join(labels.withColumnRenamed("node", "doc"), "doc"), "rooted")
+    pairs = staged(live.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    known = staged(verify(pairs, texts).filter(F.col("sim") >= threshold - 1e-12), "verified")
+    roots = components(known)
+    nodes = live.select(F.col("doc").alias("node")).unionByName(live.select(F.col("pivot").alias("node"))).distinct()
+    labels = staged(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "groups")
+
+    # pivots have met all members of their bucket; the others are compared if they are in several groups
+    rooted = staged(live.select("bucket", "doc").join(labels.withColumnRenamed("node", "doc"), "doc"), "rooted")
     sizes = staged(rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")), "sizes")
     largest = F.max(F.struct("n", "root"))
     open_ = sizes.groupBy("bucket").agg(F.sum("n").alias("members"), largest.alias("top")).filter("top.n < members")
     buckets = staged(open_.select("bucket", "members", F.col("top.n").alias("largest"), F.col("top.root").alias("main")), "open")
-    # blocks 0 to n_open - 1 hold members outside the largest group; they meet each other and all blocks of that group
-    n_open = F.ceil((F.col("members") - F.col("largest")) / BLOCK).cast("int")
-    n_main = F.ceil(F.col("largest") / BLOCK).cast("int")
+    # up to BLOCK members are one block. Else blocks 0 to n_open - 1 hold members outside the largest group; they meet each other
+    # and all blocks of that group
+    few = F.col("members") <= BLOCK
+    n_open = F.when(few, 1).otherwise(F.ceil((F.col("members") - F.col("largest")) / BLOCK)).cast("int")
+    n_main = F.when(few, 0).otherwise(F.ceil(F.col("largest") / BLOCK)).cast("int")
     hashed = F.xxhash64("doc", "bucket")
-    block = F.when(F.col("root") == F.col("main"), n_open + F.pmod(hashed, n_main)).otherwise(F.pmod(hashed, n_open)).cast("int")
+    block = F.when(~few & (F.col("root") == F.col("main")), n_open + F.pmod(hashed, n_main)).otherwise(F.pmod(hashed, n_open)).cast("int")
     blocked = join_groups(rooted, buckets, ["bucket"], "members", n_entries).withColumn("block", block)
     partner = F.sequence(F.lit(0), n_open + n_main - 1)
     meets = F.transform(partner, lambda o: F.when(F.least(o, F.col("block")) < n_open, F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))

@@ -8,6 +8,8 @@ from __future__ import annotations
 import numpy as np
 
 WORD = 64
+#: Positions whose owners have a common minimum.
+BLOCK = 16
 
 
 class BitVector:
@@ -46,31 +48,47 @@ class WaveletMatrix:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by prefix doubling. Every 0 is a separator smaller than all else, and they differ by place."""
+    """Order of all suffixes. Every 0 is a separator smaller than all else, and they differ by place.
+
+    Prefix doubling in which only suffixes that are not yet told apart are sorted again; a rank is the first place of its group.
+    """
     n = len(symbols)
     separator = symbols == 0
     n_sep = int(separator.sum())
-    rank = np.where(separator, np.cumsum(separator) - 1, symbols.astype(np.int64) + n_sep)
+    first = np.where(separator, np.cumsum(separator) - 1, symbols.astype(np.int64) + n_sep)
+    order = np.argsort(first, kind="stable")
+    ordered = first[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = start
+    alone = new & np.append(new[1:], True)
+    at = np.flatnonzero(~alone)  # places in the order whose suffixes share their rank
     step = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (int(after.max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.ones(n, bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all() or step >= n:
-            return order
+    while len(at) and step < n:
+        suffix = order[at]
+        group = start[at]
+        after = np.where(suffix + step < n, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
+        # places of a group are neighbours, so sorting by group keeps them in place
+        inner = np.lexsort((after, group))
+        suffix, group, after = suffix[inner], group[inner], after[inner]
+        order[at] = suffix
+        new = np.ones(len(at), bool)
+        new[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        begin = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        start[at] = begin
+        rank[suffix] = begin
+        at = at[~(new & np.append(new[1:], True))]
         step *= 2
+    return order
 
 
 class FMIndex:
     """Index over sequences of symbols >= 1 that are separated (and ended) by 0, each position with an owner.
 
-    A search asks for occurrences whose owner is below a limit; for that the index keeps range minima of the owners.
+    A search asks for occurrences whose owner is below a limit; for that the index keeps range minima of the owners: three
+    numbers per position and a table over blocks of BLOCK positions.
     """
 
     def __init__(self, symbols: np.ndarray, owner: np.ndarray):
@@ -82,9 +100,17 @@ class FMIndex:
         counts = np.bincount(symbols, minlength=1 << levels)
         first = np.concatenate([[0], np.cumsum(counts)])[:-1]
         self.shift = first - self.matrix.place(every, np.zeros(1 << levels, np.int64))
-        self.minima = [owner[order]]
+        self.owner = owner[order].astype(np.int64)
+        # minima of whole blocks, in a sparse table; inside blocks, running minima from the left and from the right
+        n_blocks = -(-self.n // BLOCK)
+        padded = np.full(n_blocks * BLOCK, np.iinfo(np.int64).max)
+        padded[: self.n] = self.owner
+        grid = padded.reshape(n_blocks, BLOCK)
+        self.from_left = np.minimum.accumulate(grid, axis=1).reshape(-1)
+        self.from_right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+        self.minima = [grid.min(axis=1)]
         width = 1
-        while 2 * width <= self.n:
+        while 2 * width <= n_blocks:
             last = self.minima[-1]
             self.minima.append(np.minimum(last[:-width], last[width:]))
             width *= 2
@@ -97,12 +123,30 @@ class FMIndex:
 
     def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Smallest owner from low to high, which must not be empty."""
-        out = np.empty(len(low), self.minima[0].dtype)
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            at = level == k
-            table = self.minima[k]
-            out[at] = np.minimum(table[low[at]], table[high[at] - (1 << int(k))])
+        last = high - 1
+        a, z = low // BLOCK, last // BLOCK
+        out = np.minimum(self.from_right[low], self.from_left[last])
+        wide = np.flatnonzero(z - a > 1)
+        if len(wide):
+            begin, count = a[wide] + 1, z[wide] - a[wide] - 1
+            level = np.frexp(count.astype(np.float64))[1] - 1
+            for k in np.unique(level):
+                at = level == k
+                table = self.minima[k]
+                out[wide[at]] = np.minimum(out[wide[at]], np.minimum(table[begin[at]], table[begin[at] + count[at] - (1 << int(k))]))
+        same = np.flatnonzero(a == z)
+        if len(same):
+            # inside one block: its places one by one
+            value = self.owner[low[same]]
+            left = same
+            for k in range(1, BLOCK):
+                more = low[left] + k < high[left]
+                if not more.any():
+                    break
+                left, value_at = left[more], np.flatnonzero(more)
+                value_index = value_at if k == 1 else value_index[value_at]
+                value[value_index] = np.minimum(value[value_index], self.owner[low[left] + k])
+            out[same] = value
         return out
 
     def match_back(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, limit: np.ndarray) -> np.ndarray:

@@ -7,12 +7,15 @@ interval shrinks to the two probes around the target. A splitter closes when it
 between two groups where possible; only a group too large for that is cut inside. Then the rows are exchanged once.
 
 The driver holds `probes` numbers per splitter and one per `rows_per_range` rows; a task adds its counts up before it sends
-them. A shard's slots are
-numbered in ranges of the last histogram, so no task sorts a whole shard.
-
-Defined cases: null text has no bytes (size 8) and is equal to empty text only in having none; null doc_id hashes like
-any value. Rows with equal keys are ordered by doc_id. Repeated rows get slots of their own. An empty table gives an
-empty result. Columns of the input named like an output column are replaced.
+them. A shard's slots are numbered in ranges of the counted probes. Groups of more than `rows_per_range` equal texts (there are
+at most n / rows_per_range) are found by counting and get probes inside from the start, and a range that is still longer is probed
+again, so no task sorts much more than `rows_per_range` rows, unless more of them share a key, which takes the same text and the
+same 23 bits of the doc_id's hash.
+
+Defined cases: null text has no bytes (size 8) and falls into the group of empty texts; null doc_id hashes like any value. Rows
+with equal keys are ordered by doc_id, then by text; rows that repeat a doc_id get slots of their own. A very long text counts by its
+bytes like any other; a shard may then be larger by one text. An empty table gives an empty result. Columns of the input named
+like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -69,6 +72,12 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, probes: int
     unit = 1 << DOC_BITS
     grid = max(n_shards * probes, n // rows_per_range)
     ask = {KEY_END * j // grid // unit * unit for j in range(1, grid)} if n else set()
+    # at most n / rows_per_range groups; equal steps inside, since the lower bits are a hash
+    group = F.shiftright("key", DOC_BITS)
+    for r in keys.groupBy(group.alias("g")).count().filter(F.col("count") > rows_per_range).collect():
+        parts = 2 * (-(-r["count"] // rows_per_range))
+        ask.update(r["g"] * unit + unit * j // parts for j in range(parts + 1))
+    ask -= below.keys()
     while ask:
         ordered = sorted(ask)
         size, rows = count_below(keys, ordered)
@@ -88,6 +97,12 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, probes: int
                 ask.update(x * step for x in inner)
             else:
                 ask.update((a + (b - a) * (j + 1) // (probes + 1)) // step * step for j in range(probes))
+        # long ranges are halved (in rows, if their keys are even) until they are short or a single key
+        for a, b in zip(known[:-1], known[1:], strict=True):
+            rows_in = rows_below[b] - rows_below[a]
+            if rows_in > 2 * rows_per_range and b - a > 1:
+                parts = min(b - a, max(probes, 2 * (rows_in // rows_per_range)))
+                ask.update(a + (b - a) * j // parts for j in range(1, parts))
         ask -= below.keys()
     splitters = [a if target - below[a] <= below[b] - target else b for target, a, b in zip(targets, low, high, strict=True)]
     return splitters, rows_below
@@ -119,6 +134,6 @@ def histogram_shards(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.0
 
     kept = [c for c in docs.columns if c not in {"size", "shard", "slot"}]
     placed = docs.select(*kept, row_size(text).alias("size"), shard_key(text, doc_id).alias("_key")).withColumn("_range", range_of("_key"))
-    order = Window.partitionBy("_range").orderBy("_key", doc_id)
+    order = Window.partitionBy("_range").orderBy("_key", doc_id, text)
     # the place table has a row per range: a few per splitter and one per rows_per_range rows
     return placed.withColumn("_row", F.row_number().over(order)).join(place, "_range").select(*kept, "size", "shard", (F.col("_before") + F.col("_row") - 1).alias("slot"))

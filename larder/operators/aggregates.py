@@ -64,9 +64,26 @@ def error_class(message: Column) -> Column:
 
 
 def domain_diversity(per_domain: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of domains with at most two items, plus 0.05 per domain up to 0.2, 1 at most; per_domain has n."""
+    """Share of domains with at most two items, plus 0.1 for each domain from the third on up to 0.2, 1 at most; per_domain has n."""
     good, n = F.count_if(F.col("n") <= 2), F.count(F.lit(1))
-    return per_domain.groupBy(*keys).agg(F.least(F.lit(1.0), F.round(good / n + F.least(F.lit(0.2), 0.05 * n), 6)).alias("diversity"))
+    return per_domain.groupBy(*keys).agg(F.least(F.lit(1.0), F.round(good / n + F.when(n >= 3, F.least(F.lit(0.2), 0.1 * (n - 2))).otherwise(0.0), 6)).alias("diversity"))
+
+
+#: What a short answer must not hold (fixed values): names and lists of recipes, URLs, ingredients, instructions.
+FORBIDDEN = [r"""(?i)["']\w+.*["']\s*recipe""", r"(?i)\d+\.\s+\w+.*(?:recipe|with|ingredients)", r"https?://|www\.", r"(?i)ingredients?:\s*[\[\(]|cups?\s+of|tablespoons?", r"(?i)step\s+\d+|preheat|bake\s+for|cook\s+until"]
+SAVE = r"save\s+(?:meal|recipe)\s*#?\d+|save\s+the\s+\w+\s+one"
+
+
+def clean_score(text: Column) -> Column:
+    """1 less 0.3 for each kind of forbidden content, 0 at least."""
+    kinds = sum((F.when(text.rlike(p), 1).otherwise(0) for p in FORBIDDEN), F.lit(0))
+    return F.greatest(F.lit(0.0), 1.0 - 0.3 * kinds)
+
+
+def brevity_score(text: Column) -> Column:
+    """1 for up to two sentences, 0.8 for three, 0.4 up to five, else 0.1."""
+    n = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: F.trim(s) != ""))
+    return F.when(n <= 2, 1.0).when(n == 3, 0.8).when(n <= 5, 0.4).otherwise(0.1)
 
 
 def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

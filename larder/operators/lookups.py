@@ -22,8 +22,8 @@ def alias_lookup(aliases: DataFrame, ingredients: DataFrame, status: str = "acti
 
 
 def with_default(df: DataFrame, dictionary: DataFrame, key: str, value: str, default: str) -> DataFrame:
-    """`df` with the dictionary's value for `key`; unknown keys get the value of the key `default`."""
-    fallback = dictionary.filter(F.col(key) == default).select(F.col(value).alias("_default")).limit(1)
+    """`df` with the dictionary's value for `key`; unknown keys get the value of the key `default`, or null if there is none."""
+    fallback = dictionary.filter(F.col(key) == default).agg(F.first(value, ignorenulls=True).alias("_default"))  # one row, always
     return df.join(small(dictionary.select(key, value)), key, "left").crossJoin(F.broadcast(fallback)).withColumn(value, F.coalesce(value, "_default")).drop("_default")
 
 
@@ -41,13 +41,20 @@ def first_match(df: DataFrame, dictionary: DataFrame, name: str, value: str = "v
     return df.withColumn("_name", lowered).join(best, "_name", "left").drop("_name")
 
 
-def nutrition_tiered(lines: DataFrame, reference: DataFrame, estimates: DataFrame, key: str, values: list[str], defaults: dict[str, float]) -> DataFrame:
-    """Values of the reference, else of the estimates, else defaults, with the source."""
+def nutrition_values(items: DataFrame, reference: DataFrame, estimates: DataFrame, key: str, values: list[str], defaults: dict[str, float]) -> DataFrame:
+    """`items` with values of the reference, else of the estimates, else defaults, and their source."""
     ref = reference.select(key, *[F.col(v).alias(f"_r_{v}") for v in values], F.lit(True).alias("_r"))
     est = estimates.select(key, *[F.col(v).alias(f"_e_{v}") for v in values], F.lit(True).alias("_e"))
-    joined = lines.join(ref, key, "left").join(est, key, "left")
+    joined = items.join(ref, key, "left").join(est, key, "left")
     picked = [F.when(F.col("_r"), F.col(f"_r_{v}")).when(F.col("_e"), F.col(f"_e_{v}")).otherwise(defaults[v]).alias(v) for v in values]
-    return joined.select(*lines.columns, *picked, F.when(F.col("_r"), "reference").when(F.col("_e"), "estimate").otherwise("default").alias("source"))
+    return joined.select(*items.columns, *picked, F.when(F.col("_r"), "reference").when(F.col("_e"), "estimate").otherwise("default").alias("source"))
+
+
+def nutrition_tiered(lines: DataFrame, reference: DataFrame, estimates: DataFrame, key: str, values: list[str], defaults: dict[str, float]) -> DataFrame:
+    """The same for recipe lines: the reference and the estimates meet first, so the lines meet one join."""
+    known = reference.select(key).unionByName(estimates.select(key)).distinct()
+    joined = lines.join(nutrition_values(known, reference, estimates, key, values, defaults), key, "left")
+    return joined.select(*lines.columns, *[F.when(F.col("source").isNull(), F.lit(defaults[v])).otherwise(F.col(v)).alias(v) for v in values], F.coalesce("source", F.lit("default")).alias("source"))
 
 
 def search_terms(df: DataFrame, mapping: DataFrame, name: str, preparations: list[str]) -> DataFrame:

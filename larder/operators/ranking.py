@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,25 +53,62 @@ def domain_quota(df: DataFrame, query_id: str, domain: str, rank: str, quota: in
     return df.withColumn("_n", nth).join(used, [query_id, domain], "left").filter(F.col("_n") + F.coalesce("used", F.lit(0)) <= quota).drop("_n", "used")
 
 
+def _deal(counts: list[int], size: int, per_domain: int) -> list[tuple[int, int, int, int]]:
+    """(domain, first row, first batch, rows per batch) of runs of batches. Batches are kept as runs (length, room), the last endless."""
+    runs: list[list[int]] = [[1 << 62, size]]
+    out = []
+    for d, left in enumerate(counts):
+        at, row, fresh = 0, 0, []
+        for k, (length, room) in enumerate(runs):
+            take = min(per_domain, room)
+            full = min(length, left // take) if take and left else 0
+            if full:
+                out.append((d, row, at, take))
+                fresh.append([full, room - take])
+                row, left = row + full * take, left - full * take
+            if left and take and full < length:
+                # fewer rows than a batch would take: the domain ends here
+                out.append((d, row, at + full, left))
+                fresh.append([1, room - left])
+                full, left = full + 1, 0
+            if full < length:
+                fresh.append([length - full, room])
+            at += length
+            if not left:
+                fresh += runs[k + 1 :]
+                break
+        runs = []
+        for length, room in fresh:
+            if runs and runs[-1][1] == room:
+                runs[-1][0] += length
+            else:
+                runs.append([length, room])
+    return out
+
+
 def interleaved_batches(df: DataFrame, query_id: str, domain: str, trusted: str, rank: str, size: int = 10, per_domain: int = 2) -> DataFrame:
-    """`batch` from 1: batches of at most `size` rows with at most `per_domain` of a domain, trusted domains first, then by name.
+    """`batch` from 1: every batch goes through the domains that have rows left, trusted ones first, then by name, and takes up to
+    `per_domain` rows of each until it has `size`.
 
-    Round r of a domain is its rows per_domain * r on. A batch takes from the domains in turn, and a domain whose round does not
-    fit moves to the next batch, so the fold runs over the (domain, count) list of a query, not over its rows.
+    Only the counts per domain are dealt, in a task per group of queries, linear in the domains; rows find their batch by a join with
+    the few runs of their domain. Rows without a domain are one domain.
     """
-    counts = df.groupBy(query_id, domain).agg(F.count(F.lit(1)).cast("int").alias("_c"), F.max(trusted).alias("_t"))
-    listed = counts.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct((~F.col("_t")).alias("o"), F.col(domain).alias("d"), F.col("_c").alias("c")))).alias("_d"))
-    rounds = F.flatten(F.transform("_d", lambda x, i: F.transform(F.sequence(F.lit(0), F.floor((x["c"] - 1) / per_domain).cast("int")), lambda r: F.struct(r.alias("r"), i.alias("i"), x["d"].alias("d"), F.least(F.lit(per_domain), x["c"] - r * per_domain).alias("n")))))
-    start = F.struct(F.lit(1).alias("b"), F.lit(0).alias("fill"), F.lit(-1).alias("r"), F.array().cast("array<struct<d:string,r:int,b:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["fill"] + x["n"] > size) | ((a["r"] != x["r"]) & (a["fill"] > 0))
-        b = F.when(fresh, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(fresh, x["n"]).otherwise(a["fill"] + x["n"]).alias("fill"), x["r"].alias("r"), F.concat(a["out"], F.array(F.struct(x["d"].alias("d"), x["r"].alias("r"), b.alias("b")))).alias("out"))
-
-    plan = listed.select(query_id, F.explode(F.aggregate(F.array_sort(rounds), start, step, lambda a: a["out"])).alias("_p")).select(query_id, F.col("_p.d").alias(domain), F.col("_p.r").alias("_r"), F.col("_p.b").alias("batch"))
-    numbered = df.withColumn("_r", F.floor((F.row_number().over(Window.partitionBy(query_id, domain).orderBy(rank)) - 1) / per_domain).cast("int"))
-    return numbered.join(plan, [query_id, domain, "_r"]).drop("_r")
+    counts = df.groupBy(query_id, F.coalesce(domain, F.lit("")).alias("_d")).agg(F.count(F.lit(1)).alias("_c"), F.max(trusted).alias("_t"))
+    kind = df.schema[query_id].dataType.simpleString()
+
+    def deal(table: pa.Table) -> pa.Table:
+        order = sorted(range(table.num_rows), key=lambda k: (not table["_t"][k].as_py(), table["_d"][k].as_py()))
+        runs = _deal([table["_c"][k].as_py() for k in order], size, per_domain)
+        names = pa.array([table["_d"][order[d]].as_py() for d, *_ in runs], pa.string())
+        numbers = [pa.array([r[k] for r in runs], pa.int64()) for k in (1, 2, 3)]
+        return pa.table([table[query_id].take(pa.array([0] * len(runs), pa.int32())), names, *numbers], [query_id, "_d", "_row", "_from", "_per"])
+
+    plan = counts.groupBy(query_id).applyInArrow(deal, f"{query_id} {kind}, _d string, _row long, _from long, _per long")
+    runs = plan.groupBy(query_id, "_d").agg(F.array_sort(F.collect_list(F.struct("_row", "_from", "_per"))).alias("_runs"))
+    numbered = df.withColumn("_d", F.coalesce(domain, F.lit(""))).withColumn("_n", F.row_number().over(Window.partitionBy(query_id, "_d").orderBy(rank)) - 1)
+    run = F.element_at(F.filter("_runs", lambda x: x["_row"] <= F.col("_n")), -1)
+    joined = numbered.join(runs, [query_id, "_d"]).withColumn("_run", run)
+    return joined.withColumn("batch", F.expr("(_run._from + (_n - _run._row) div _run._per + 1)").cast("int")).drop("_d", "_n", "_runs", "_run")
 
 
 def early_exit(df: DataFrame, query_id: str, position: str, ok: Column, good: Column, min_good: int = 3, max_good: int = 5, cap: int = 15) -> DataFrame:

@@ -8,24 +8,47 @@ from pyspark.sql import functions as F
 from larder.operators.lookups import small
 
 
-def categorise(df: DataFrame, key: str, document: str, nutrients: list[str], diets: list[str]) -> DataFrame:
-    """Requirement documents -> typed rows (key, kind, name, lo, hi, term)."""
-    schema = f"nutrition struct<{', '.join(f'{n}:struct<min:double,max:double>' for n in nutrients)}>, time string, exclude array<string>, include array<string>, dietary array<string>, notes string"
+#: Diets that ingredients can be checked for (fixed values); others are left to a judge, as subjective ones.
+KNOWN_DIETS = ["gluten_free", "dairy_free", "vegetarian", "vegan"]
+SUBJECTIVE = ["meal_type", "cuisine_type", "cooking_method"]
+#: Words of a meal type (fixed values).
+MEAL_WORDS = {
+    "breakfast": ["breakfast", "morning", "brunch", "oatmeal", "pancake", "waffle", "cereal", "granola", "smoothie", "egg", "toast", "muffin", "bagel"],
+    "lunch": ["lunch", "sandwich", "salad", "soup", "wrap", "midday"],
+    "dinner": ["dinner", "supper", "evening", "entree", "main course", "roast"],
+    "dessert": ["dessert", "sweet", "cake", "cookie", "pie", "ice cream", "candy"],
+    "snack": ["snack", "bite", "appetizer", "starter"],
+}
+_ROW = "array<struct<kind:string,name:string,lo:double,hi:double,term:string>>"
+
+
+def categorise(df: DataFrame, key: str, document: str, diets: list[str] = KNOWN_DIETS) -> DataFrame:
+    """Requirement documents -> typed rows (key, kind, name, lo, hi, term).
+
+    nutrition: {nutrient: {min, max}} for any nutrients; time_constraints: "under N min"; allergies and exclude_ingredients are both
+    `exclude`; include_ingredients; dietary_restrictions (a text or a list): known diets, with underscores, are `dietary`, the last
+    unknown one is `subjective`, like meal_type, cuisine_type and cooking_method.
+    """
+    lists = ["allergies", "exclude_ingredients", "include_ingredients"]
+    schema = f"nutrition map<string,struct<min:double,max:double>>, time_constraints string, {', '.join(f'{x} array<string>' for x in lists)}, dietary_restrictions string, {', '.join(f'{x} string' for x in SUBJECTIVE)}"
     parsed = df.select(key, F.from_json(document, schema).alias("r"))
-    row = lambda kind, name, lo=None, hi=None, term=None: F.struct(
-        F.lit(kind).alias("kind"), name.alias("name"), (F.lit(None).cast("double") if lo is None else lo).alias("lo"), (F.lit(None).cast("double") if hi is None else hi).alias("hi"), (F.lit(None).cast("string") if term is None else term).alias("term")
-    )
-    nutrition = F.array(*[row("nutrition", F.lit(n), F.col(f"r.nutrition.{n}.min"), F.col(f"r.nutrition.{n}.max")) for n in nutrients])
-    minutes = F.regexp_extract(F.coalesce("r.time", F.lit("")), r"under\s+(\d+)\s*min", 1)
-    none = F.array().cast("array<string>")
-
-    def listed(kind: str) -> Column:
-        return F.transform(F.coalesce(F.col(f"r.{kind}"), none), lambda x: row(kind, F.lit("term"), term=F.lower(x)))
-
-    notes = F.filter(F.array(row("subjective", F.lit("notes"), term=F.col("r.notes"))), lambda x: x["term"].isNotNull())
-    bounded = F.filter(nutrition, lambda x: x["lo"].isNotNull() | x["hi"].isNotNull())
-    timed = F.when(minutes != "", F.array(row("time", F.lit("minutes"), hi=minutes.try_cast("double")))).otherwise(F.array().cast("array<struct<kind:string,name:string,lo:double,hi:double,term:string>>"))
-    return parsed.select(key, F.inline(F.concat(bounded, listed("exclude"), listed("include"), listed("dietary"), notes, timed)))
+    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    row = lambda kind, name, lo=no_number, hi=no_number, term=no_text: F.struct(F.lit(kind).alias("kind"), name.alias("name"), lo.alias("lo"), hi.alias("hi"), term.alias("term"))
+    none, none_text = F.array().cast(_ROW), F.array().cast("array<string>")
+    entries = F.coalesce(F.map_entries("r.nutrition"), F.map_entries(F.create_map().cast("map<string,struct<min:double,max:double>>")))
+    bounded = F.filter(F.transform(entries, lambda e: row("nutrition", e["key"], e["value"]["min"], e["value"]["max"])), lambda x: x["lo"].isNotNull() | x["hi"].isNotNull())
+    minutes = F.regexp_extract(F.coalesce("r.time_constraints", F.lit("")), r"(?i)under\s+(\d+)\s*min", 1)
+    timed = F.when(minutes != "", F.array(row("time", F.lit("cook_time"), hi=minutes.try_cast("double")))).otherwise(none)
+    listed = lambda kind, column: F.transform(F.coalesce(F.col(f"r.{column}"), none_text), lambda x: row(kind, F.lit("term"), term=x))
+    raw = F.col("r.dietary_restrictions")
+    asked = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw))
+    asked = F.coalesce(asked, none_text)
+    tag = lambda x: F.regexp_replace(F.lower(x), "[- ]", "_")
+    dietary = F.transform(F.filter(asked, lambda x: tag(x).isin(diets)), lambda x: row("dietary", F.lit("term"), term=tag(x)))
+    unknown = F.try_element_at(F.filter(asked, lambda x: ~tag(x).isin(diets)), F.lit(-1))
+    subjective = F.filter(F.array(row("subjective", F.lit("dietary_restriction"), term=unknown), *[row("subjective", F.lit(x), term=F.col(f"r.{x}")) for x in SUBJECTIVE]), lambda x: x["term"].isNotNull())
+    every = F.concat(bounded, timed, listed("exclude", "allergies"), listed("exclude", "exclude_ingredients"), listed("include", "include_ingredients"), dietary, subjective)
+    return parsed.select(key, F.inline(every))
 
 
 def nutrient_match(value: Column, lo: Column, hi: Column) -> Column:
@@ -35,11 +58,17 @@ def nutrient_match(value: Column, lo: Column, hi: Column) -> Column:
     return F.when(value.isNull(), 0.0).otherwise(F.least(low, high))
 
 
-def nutrition_match(values: DataFrame, needs: DataFrame, recipe: str) -> DataFrame:
-    """Per recipe: nutrition_ok and nutrition_pct (mean match, one digit). values: recipe, name, value; needs: name, lo, hi."""
+def nutrition_match(values: DataFrame, needs: DataFrame, recipe: str, recipes: DataFrame | None = None) -> DataFrame:
+    """Per recipe: nutrition_ok and nutrition_pct (mean match, one digit). values: recipe, name, value (a row per name at most); needs:
+    name, lo, hi. A needed nutrient without a value is 0 % and fails. `recipes` adds recipes that have no values at all."""
     joined = values.join(small(needs.select("name", "lo", "hi")), "name")
     pct = nutrient_match(F.col("value"), F.col("lo"), F.col("hi"))
-    return joined.groupBy(recipe).agg(F.bool_and(pct >= 100).alias("nutrition_ok"), F.round(F.avg(pct), 1).alias("nutrition_pct"))
+    found = joined.groupBy(recipe).agg(F.bool_and(pct >= 100).alias("_ok"), F.sum(pct).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    every = (values if recipes is None else recipes).select(recipe).distinct()
+    total = needs.agg(F.count(F.lit(1)).alias("_needs"))  # one row
+    rows = every.join(found, recipe, "left").crossJoin(F.broadcast(total))
+    ok = (F.col("_needs") == 0) | (F.coalesce("_ok", F.lit(False)) & (F.col("_n") == F.col("_needs")))
+    return rows.select(recipe, ok.alias("nutrition_ok"), F.round(F.coalesce(F.try_divide(F.coalesce("_sum", F.lit(0.0)), F.col("_needs")), F.lit(0.0)), 1).alias("nutrition_pct"))
 
 
 def term_hits(words: DataFrame, terms: DataFrame, recipe: str, word: str = "word") -> DataFrame:
@@ -59,10 +88,26 @@ def verify_all(recipes: DataFrame, layers: list[str], nutrition: str | None, pct
     return rows if nutrition else rows.filter("exact")
 
 
+def metadata_confidence(text: Column, meal_type: Column, tags: Column) -> Column:
+    """Mean over the tests: 0.9 or 0.3 for words of the meal type (a known one), 0.95 or 0.4 for each tag, written with underscores,
+    blanks or hyphens; 0.5 without any test."""
+    t, meal = F.lower(F.coalesce(text, F.lit(""))), F.lower(meal_type)
+    hit = F.coalesce(*[F.when(meal == m, t.rlike("|".join(words))) for m, words in MEAL_WORDS.items()])
+    of_meal = F.when(hit, 0.9).when(~hit, 0.3)
+    said = lambda tag: F.contains(t, F.replace(tag, F.lit("_"), F.lit(" "))) | F.contains(t, F.replace(tag, F.lit("_"), F.lit("-"))) | F.contains(t, tag)
+    of_tags = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.when(said(x), 0.95).otherwise(0.4))
+    scores = F.concat(F.array_compact(F.array(of_meal)), of_tags)
+    return F.when(F.size(scores) == 0, 0.5).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
+
+
 def from_query(text: Column) -> Column:
     """Constraints named in a query text, as `kind=value` strings."""
     t = F.lower(text)
     number = lambda pattern, name: F.when(F.regexp_extract(t, pattern, 1) != "", F.concat(F.lit(f"{name}="), F.regexp_extract(t, pattern, 1)))
-    diets = [F.when(t.contains(w), F.lit(f"diet={w}")) for w in ("vegan", "vegetarian", "keto", "gluten")]
-    found = F.array(*diets, number(r"(\d+) ?g protein", "protein"), number(r"(\d+) ?cal", "calories"), number(r"(\d+) ?min", "minutes"), number(r"\bno ([a-z]+)", "exclude"))
+    diets = [F.when(t.contains(w), F.lit(f"diet={w.replace('-', '_')}")) for w in QUERY_DIETS]
+    found = F.array(*diets, number(r"(\d+)g?\s*protein", "protein"), number(r"(\d+)\s*calorie", "calories"), number(r"(\d+)\s*min", "minutes"), number(r"no\s+([\p{L}\p{N}_]+)", "exclude"))
     return F.array_compact(found)
+
+
+#: Diets that a query may name (fixed values).
+QUERY_DIETS = ["vegan", "vegetarian", "gluten-free", "dairy-free", "keto", "paleo", "nut-free"]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import filled, first_hit
+from larder.operators.lookups import small
 
 
 def completeness(groups: list[tuple[float, list[str]]]) -> Column:
@@ -17,9 +18,13 @@ def completeness(groups: list[tuple[float, list[str]]]) -> Column:
     return F.round(reduce(add, parts), 4)
 
 
-def quality_tier(score: Column, in_market: Column, image_ok: Column) -> Column:
-    """Exactly one tier; outside the market everything is rejected."""
-    return first_hit([(~F.coalesce(in_market, F.lit(False)), "rejected"), ((score >= 0.8) & image_ok, "tier1"), (score >= 0.6, "tier2"), (score >= 0.4, "tier3")], "rejected")
+def quality_tier(score: Column, in_market: Column, image_url: Column) -> Column:
+    """Exactly one tier. Outside the market everything is rejected. tier1 needs a front image of 400 or 600 pixels, tier2 no image
+    marked invalid, tier3 an image that is there and not marked invalid."""
+    image = F.lower(F.trim(F.coalesce(image_url, F.lit(""))))
+    valid = ~image.contains("invalid")
+    sharp = image.contains("front") & (image.contains(".400.") | image.contains(".600."))
+    return first_hit([(~F.coalesce(in_market, F.lit(False)), "rejected"), ((score >= 0.8) & valid & sharp, "tier1"), ((score >= 0.6) & valid, "tier2"), ((score >= 0.4) & valid & (image != ""), "tier3")], "rejected")
 
 
 def required_gate(title: Column, image: Column, ingredients: Column, instructions: Column) -> Column:
@@ -37,20 +42,38 @@ def contained_share(words: Column, text: Column) -> Column:
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(text, w))) / F.size(words)).otherwise(0.0)
 
 
+def query_words(text: Column) -> Column:
+    """Distinct words of a query, in lower case, as they stand between blanks."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+
+
+def title_words(text: Column) -> Column:
+    """Distinct runs of letters, digits and underscores, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
+
+
 def query_relevance(items: DataFrame, queries: DataFrame, title: str, ingredients: str, text: str, category: str) -> DataFrame:
-    """Relevance of every item for every query of a small stated set; queries have query_id and words.
+    """Relevance of every item for every query of a stated set; queries have query_id and words, `title` is an array of words.
 
-    The queries are the set to answer, so each item meets each of them; they are broadcast in blocks by the planner's own
-    size check, not by a hint.
+    The queries are the set to answer, so each item meets each of them, with whole texts and all words. They are broadcast if
+    there are few (counted); a larger set is dealt to the tasks by the planner. Filter on `relevance` at once: pairs are not kept.
     """
-    pairs = items.crossJoin(queries)
+    pairs = items.crossJoin(small(queries))
     scored = 0.4 * word_share(F.col("words"), F.col(title)) + 0.3 * contained_share(F.col("words"), F.col(ingredients)) + 0.2 * contained_share(F.col("words"), F.col(text)) + 0.1 * contained_share(F.col("words"), F.col(category))
     return pairs.withColumn("relevance", F.when(F.size("words") == 0, 0.5).otherwise(F.least(F.lit(1.0), F.round(scored, 6))))
 
 
-def recipe_total(relevance: Column, nutrition: Column, other: Column, trusted: Column) -> Column:
-    one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    return F.least(F.lit(1.0), F.round(0.70 * relevance + 0.13 * one(nutrition) + 0.02 * one(other) + 0.15 * one(trusted), 6))
+def filled_share(columns: list[Column], blank_counts: bool = False) -> Column:
+    """Share of the columns that are not null (and, unless `blank_counts`, not blank)."""
+    one = lambda c: F.when(c.isNotNull() if blank_counts else filled(c), 1.0).otherwise(0.0)
+    return reduce(add, [one(c) for c in columns]) / len(columns)
+
+
+def recipe_total(required: Column, relevance: Column, nutrition: list[Column], other: list[Column], trusted: Column) -> Column:
+    """0 without the required fields, else 0.70 relevance + 0.13 share of nutrition fields + 0.02 share of other fields + 0.15 for a
+    trusted site, 1 at most."""
+    total = 0.70 * relevance + 0.13 * filled_share(nutrition, True) + 0.02 * filled_share(other) + 0.15 * F.when(trusted, 1.0).otherwise(0.0)
+    return F.when(F.coalesce(required, F.lit(False)), F.least(F.lit(1.0), F.round(total, 7))).otherwise(0.0)
 
 
 def site_trust(df: DataFrame, site_tiers: DataFrame, domain: str, keywords: list[str]) -> DataFrame:
@@ -60,46 +83,90 @@ def site_trust(df: DataFrame, site_tiers: DataFrame, domain: str, keywords: list
     return joined.withColumn("trust_points", points).drop("tier")
 
 
-def image_points(images: Column, scalar: Column) -> Column:
-    """Up to 30: 15 for any image, 5 for more than one, 10 for a main image whose URL hints at a large size."""
-    n = F.coalesce(F.size(images), F.lit(0))
-    main = F.coalesce(F.get(images, F.lit(0)), scalar)
-    points = F.when(n > 0, 15).when(filled(scalar), 10).otherwise(0) + F.when(n > 1, 5).otherwise(0) + F.when(main.rlike("large|1200|img1"), 10).otherwise(0)
-    return F.least(F.lit(30), points)
+def image_points(n_images: Column, main: Column, scalar: Column) -> Column:
+    """Up to 30. With images: 15, 20 for two, 25 from three on, 5 more for a main image that looks large, 5 less for a thumbnail. With
+    a single URL only: 25 if it looks large, 10 for a thumbnail, else 15."""
+    large = lambda u: F.coalesce(u.rlike("1200|1500|large|hero"), F.lit(False))
+    small_ = lambda u: F.coalesce(u.rlike("thumb|150"), F.lit(False))
+    several = F.when(n_images >= 3, 25).when(n_images >= 2, 20).otherwise(15) + F.when(large(main), 5).when(small_(main), -5).otherwise(0)
+    single = F.when(large(scalar), 25).when(small_(scalar), 10).otherwise(15)
+    return F.when(n_images > 0, F.least(F.lit(30), several)).when(filled(scalar), single).otherwise(0)
+
+
+def content_points(n_ingredients: Column, n_steps: Column) -> Column:
+    """15 for 5 ingredients and 3 steps, 10 for 3 and 2, else 5."""
+    return F.when((n_ingredients >= 5) & (n_steps >= 3), 15).when((n_ingredients >= 3) & (n_steps >= 2), 10).otherwise(5)
 
 
-def count_points(n: Column) -> Column:
-    return F.when(n >= 5, 15).when(n >= 3, 10).when(n >= 1, 5).otherwise(0)
+def item_quality(site: Column, image: Column, content: Column) -> Column:
+    return F.least(F.lit(100), site + image + content)
 
 
-def item_completeness(title: Column, n_ingredients: Column, n_steps: Column, n_images: Column, minutes: Column, servings: Column, nutrition: Column) -> Column:
+def item_completeness(title: Column, n_ingredients: Column, n_steps: Column, n_images: Column, image_url: Column, minutes: Column, servings: Column, nutrition: Column) -> Column:
     has = lambda c, points: F.when(c, points).otherwise(0)
-    images = F.when(n_images > 1, 15).when(n_images == 1, 10).otherwise(0)
-    return has(title, 10) + F.least(F.lit(25), 3 * n_ingredients) + F.least(F.lit(25), 4 * n_steps) + images + has(minutes, 10) + has(servings, 10) + has(nutrition, 10)
+    images = F.when(n_images >= 3, 15).when((n_images > 0) | filled(image_url), 10).otherwise(0)
+    total = has(title, 10) + F.least(F.lit(25), 3 * n_ingredients) + F.least(F.lit(25), 4 * n_steps) + images + has(minutes, 10) + has(servings, 10) + has(nutrition, 10)
+    return F.least(F.lit(100), total)
+
+
+def constraint_accuracy(n_met: Column, n_constraints: Column, query: Column, text: Column) -> Column:
+    """Share of the constraints that are met, in percent. Without any: 50 plus the share of the query's words that have more than
+    three letters and are in the text, 100 at most."""
+    words = F.filter(F.split(F.lower(query), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hits = F.size(F.filter(words, lambda w: (F.length(w) > 3) & F.contains(F.lower(text), w)))
+    plain = F.least(F.lit(100.0), F.coalesce(F.try_divide(hits.cast("double"), F.size(words)), F.lit(0.0)) * 100 + 50)
+    return F.when(n_constraints > 0, F.least(F.lit(100.0), F.try_divide(n_met.cast("double"), n_constraints) * 100)).otherwise(plain)
 
 
 def speed_score(seconds: Column) -> Column:
-    """100, 90 and 75 up to 12, 20 and 40 seconds, then 1.5 less per second, 10 at least."""
-    return F.when(seconds <= 12, 100.0).when(seconds <= 20, 90.0).when(seconds <= 40, 75.0).otherwise(F.greatest(F.lit(10.0), 75.0 - (seconds - 40) * 1.5))
+    """100, 80 and 60 up to 12, 20 and 40 seconds, then 1.5 less per second, 10 at least."""
+    return F.when(seconds <= 12, 100.0).when(seconds <= 20, 80.0).when(seconds <= 40, 60.0).otherwise(F.greatest(F.lit(10.0), 60.0 - (seconds - 40) * 1.5))
 
 
 def item_overall(quality: Column, accuracy: Column, complete: Column) -> Column:
     return F.round(0.40 * quality + 0.35 * accuracy + 0.25 * complete, 1)
 
 
-def time_status(elapsed: Column, budget: Column) -> Column:
-    return F.when(elapsed > budget, "exceeded").when(elapsed > 0.8 * budget, "approaching").otherwise("on_track")
+#: Seconds a search strategy may take; others get 60 (fixed values).
+BUDGETS = {"priority_only": 30.0, "mixed": 60.0, "broad": 90.0}
+
+
+def time_status(elapsed: Column, strategy: Column) -> Column:
+    """exceeded, approaching_limit (more than half of the strategy's budget) or on_track."""
+    budget = F.coalesce(*[F.when(strategy == s, b) for s, b in BUDGETS.items()], F.lit(60.0))
+    return F.when(elapsed > budget, "exceeded").when(elapsed > budget * 0.5, "approaching_limit").otherwise("on_track")
+
+
+def next_action(elapsed: Column, found: Column) -> Column:
+    return first_hit([(elapsed > 60, "ask_user"), ((elapsed > 30) & (found < 10), "pivot"), (found < 5, "expand")], "continue")
+
+
+# Patterns of URLs of lists, of URLs that are no recipes, and of single recipes; words of recipe links and of their
+# surroundings.
+LIST_URLS = ["/recipes/collection/", "/recipes/category/", "/recipes/tag/", "/collection/", "/category/", "roundup", "best-.*-recipes", "top-.*-recipes", "-recipes/?$", "guide/", "howto/"]
+OTHER_URLS = ["/(?:about|contact|privacy|terms)", "/(?:category|tag|author)", "/#", "/page/", "/(?:feed|rss)", "/(?:search|shop|store)", "/wp-", "javascript:", "mailto:", "tel:", "/(?:login|register)", "/(?:newsletter|subscribe)"]
+RECIPE_URLS = ["/recipe/[^/]+/?$", "/recipes/[^/]+/?$", "-recipe/?$", r"-recipe\.", r"recipe\?", r"/\d{4}/\d{2}/.+"]
+FOOD_WORDS = [
+    "chicken", "beef", "pork", "fish", "salmon", "tuna", "shrimp", "pasta", "noodles", "rice", "quinoa", "bread", "pizza", "salad", "soup", "stew", "curry", "stir fry", "casserole", "cake", "cookies", "pie", "muffins", "pancakes", "waffles",
+    "breakfast", "lunch", "dinner", "snack", "appetizer", "dessert", "sandwich", "wrap", "burger", "tacos", "enchiladas", "smoothie", "shake", "bowl", "plate", "dish",
+]
+CONTEXT_WORDS = ["minutes", "hours", "serves", "calories", "protein"]
 
 
-def next_action(status: Column, found: Column, wanted: int) -> Column:
-    return first_hit([(found >= wanted, "finish"), (status == "exceeded", "return_partial"), (status == "approaching", "last_batch")], "continue")
+def is_recipe_url(url: Column) -> Column:
+    u = F.lower(url)
+    return F.coalesce(~u.rlike("|".join(LIST_URLS)) & ~u.rlike("|".join(OTHER_URLS)) & u.rlike("|".join(RECIPE_URLS)), F.lit(False))
 
 
-def link_confidence(url: Column, text: Column, context: Column, url_pattern: str, words: str) -> Column:
-    hit = lambda c, points: F.when(c, points).otherwise(0)
-    return hit(url.rlike(url_pattern), 2) + hit(F.lower(text).rlike(words), 2) + hit(F.length(text).between(4, 60), 1) + hit(context, 1)
+def link_confidence(url: Column, text: Column, has_image: Column, context: Column) -> Column:
+    """Points of a link to a single recipe: 2 for a recipe URL, 2 for a food word, 1 each for a text of 10 to 100 characters, an image
+    beside it, and words of a recipe around it. Other URLs get 0. Links count from 3 on."""
+    hit = lambda c, points: F.when(F.coalesce(c, F.lit(False)), points).otherwise(0)
+    points = hit(F.lower(url).contains("recipe"), 2) + hit(F.lower(text).rlike("|".join(FOOD_WORDS)), 2) + hit(F.length(text).between(10, 100), 1) + hit(has_image, 1) + hit(F.lower(context).rlike("|".join(CONTEXT_WORDS)), 1)
+    return F.when(is_recipe_url(url), points).otherwise(0)
 
 
 def url_type(title: Column, url: Column) -> Column:
-    lists, single = r"\d+ (best|easy|top)|best .*recipes|/category/|page=", r"/recipe|\.html|/\d+/?$"
-    return F.when(F.lower(title).rlike(lists) | url.rlike(lists), "list").when(url.rlike(single), "recipe").otherwise("other")
+    """list by a title with best, top, recipes or roundup; recipe by the URL or the title; else other."""
+    t, u = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    return F.when(t.rlike("best|top|recipes|roundup"), "list").when(u.contains("/recipe/") | t.contains("recipe"), "recipe").otherwise("other")

@@ -8,11 +8,42 @@ from pyspark.sql import functions as F
 from larder.functions import col
 from larder.operators.lookups import small
 
-#: Unit words that an ingredient line may hold (fixed values).
-UNIT_WORDS = ["cups", "cup", "tablespoons", "tablespoon", "tbsp", "teaspoons", "teaspoon", "tsp", "grams", "gram", "g", "kg", "ounces", "ounce", "oz", "pounds", "pound", "lb", "ml", "l", "slices", "slice", "pieces", "piece", "cloves", "clove", "pinch", "dash", "can", "cans"]
-UNICODE_FRACTIONS = {"½": "1/2", "¼": "1/4", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅛": "1/8"}
+# Units that an ingredient line may have, and the names they are given. A unit that isn't listed stays as it is.
+UNIT_NAMES = {
+    "c": "cup", "cup": "cup", "cups": "cup", "tbsp": "tablespoon", "tbs": "tablespoon", "tb": "tablespoon", "tablespoon": "tablespoon", "tablespoons": "tablespoon",
+    "tsp": "teaspoon", "t": "teaspoon", "ts": "teaspoon", "tspn": "teaspoon", "teaspoon": "teaspoon", "teaspoons": "teaspoon",
+    "ml": "milliliter", "mls": "milliliter", "milliliter": "milliliter", "milliliters": "milliliter", "millilitres": "milliliter", "l": "liter", "liter": "liter", "liters": "liter", "litres": "liter",
+    "pt": "pint", "pts": "pint", "pint": "pint", "pints": "pint", "qt": "quart", "qts": "quart", "quart": "quart", "quarts": "quart", "gal": "gallon", "gals": "gallon", "gallon": "gallon", "gallons": "gallon",
+    "fl oz": "fluid ounce", "fl. oz": "fluid ounce", "fl. oz.": "fluid ounce", "oz": "ounce", "oz.": "ounce", "ounce": "ounce", "ounces": "ounce",
+    "lb": "pound", "lbs": "pound", "lb.": "pound", "lbs.": "pound", "pound": "pound", "pounds": "pound", "g": "gram", "gs": "gram", "gram": "gram", "grams": "gram", "kg": "kilogram", "kgs": "kilogram", "kilogram": "kilogram", "kilograms": "kilogram",
+    "piece": "piece", "pieces": "piece", "slice": "slice", "slices": "slice", "clove": "clove", "cloves": "clove", "bunch": "bunch", "bunches": "bunch", "head": "head", "heads": "head", "can": "can", "cans": "can",
+    "jar": "jar", "jars": "jar", "package": "package", "packages": "package", "packet": "packet", "packets": "packet", "bag": "bag", "bags": "bag", "count": "count",
+}
+# Units of a plain line (quantity, unit, name), in lower case.
+LINE_UNITS = [
+    "cup", "cups", "tablespoon", "tablespoons", "tbsp", "teaspoon", "teaspoons", "tsp", "milliliter", "milliliters", "ml", "liter", "liters", "l", "pint", "pints", "quart", "quarts", "gallon", "gallons",
+    "ounce", "ounces", "oz", "pound", "pounds", "lb", "lbs", "gram", "grams", "g", "kilogram", "kilograms", "kg", "piece", "pieces", "slice", "slices", "clove", "cloves", "bunch", "bunches", "head", "heads",
+    "can", "cans", "jar", "jars", "package", "packages", "bag", "bags", "count",
+]
+# Units of a rich line, longer ones before those they begin with.
+RICH_UNITS = [
+    "tablespoons", "tablespoon", "tbsp", "tbs", "tb", "teaspoons", "teaspoon", "tspn", "tsp", "ts", "cups", "cup", "c", "gallons", "gallon", "gals", "gal", "pints", "pint", "pts", "pt", "quarts", "quart", "qts", "qt",
+    "milliliters", "milliliter", "millilitres", "mls", "ml", "liters", "liter", "litres", "ounces", "ounce", "oz", "pounds", "pound", "lbs", "lb", "l", "grams", "gram", "gs", "g", "kilograms", "kilogram", "kgs", "kg",
+    "cans", "can", "bunches", "bunch", "heads", "head", "cloves", "clove", "slices", "slice", "pieces", "piece", "packages", "package", "pkgs", "pkg", "jars", "jar", "bottles", "bottle", "bags", "bag", "each",
+    "large", "medium", "small", "pinch", "dash",
+]
+# Fixed values.
+UNICODE_FRACTIONS = {
+    "½": "1/2", "¼": "1/4", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5", "⅙": "1/6", "⅚": "5/6", "⅐": "1/7", "⅑": "1/9", "⅒": "1/10",
+}
+# Measures, descriptors and stop words that don't count as words of an ingredient.
+MEASURE = r"(?:cups?|tbsp|tablespoons?|tsp|teaspoons?|oz|ounces?|lbs?|pounds?|g|grams?|kg|ml|liters?)"
+DESCRIPTORS = ["fresh", "dried", "chopped", "minced", "sliced", "diced", "whole", "ground", "fine", "coarse", "large", "small", "medium", "shredded", "grated"]
+STOP_WORDS = ["and", "or", "the", "a", "an", "of", "to", "for", "in", "as", "with"]
+SIGNS = "".join(UNICODE_FRACTIONS)
 NUMBER = r"\d+(?:\.\d+)?"
-QUANTITY = rf"(?:{NUMBER} \d+/\d+|\d+/\d+|{NUMBER} ?- ?{NUMBER}|{NUMBER})"
+#: A mixed number, a fraction or a decimal.
+TERM = r"(?:\d+ \d+/\d+|\d+/\d+|\d*\.\d+|\d+)"
 
 
 def with_status(df: DataFrame, status: Column) -> DataFrame:
@@ -27,58 +58,89 @@ def reject_rates(parsed: DataFrame) -> DataFrame:
 
 
 def plain_fractions(text: Column) -> Column:
-    """Unicode fractions as `a/b`, a space before them where a digit stands."""
-    out = text
+    """Unicode fractions as `a/b`, a space before them where a digit stands. Texts without any are left as they are."""
+    out = F.regexp_replace(text, rf"(\d) *([{SIGNS}])", "$1 $2")
     for sign, plain in UNICODE_FRACTIONS.items():
-        out = F.regexp_replace(F.regexp_replace(out, rf"(\d){sign}", rf"$1 {plain}"), sign, plain)
-    return out
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return F.when(text.rlike(f"[{SIGNS}]"), out).otherwise(text)
+
+
+def _parts(text: Column, pattern: str, groups: str) -> Column:
+    """The groups of a pattern that covers the whole text, as an array; of another size if it doesn't match. One search."""
+    return F.split(F.regexp_replace(text, pattern, groups), "\x01")
+
+
+def _term(text: Column) -> Column:
+    """Number of a mixed number, fraction or decimal; null if it is none."""
+    part = _parts(text, r"^(?:(\d+) )?(\d*\.?\d+)(?:/(\d+))?$", "$1\x01$2\x01$3")
+    at = lambda k: F.nullif(F.get(part, F.lit(k)), F.lit("")).try_cast("double")
+    value = F.coalesce(at(0), F.lit(0.0)) + F.when(F.get(part, F.lit(2)) == "", at(1)).otherwise(F.try_divide(at(1), at(2)))
+    return F.when((F.size(part) == 3) & ((F.get(part, F.lit(0)) == "") | (F.get(part, F.lit(2)) != "")), value)
 
 
 def quantity_value(text: str | Column, mode: str) -> Column:
-    """Number of a quantity text: whole, decimal, fraction, mixed, range (`max` or `midpoint`), after `~`; null if none."""
-    t = F.trim(F.regexp_replace(plain_fractions(col(text)), r"^~ *", ""))
-    number = lambda pattern, k: F.regexp_extract(t, pattern, k).try_cast("double")
-    mixed, fraction, span, single = r"^(\d+) (\d+)/(\d+)$", r"^(\d+)/(\d+)$", rf"^({NUMBER}) ?- ?({NUMBER})$", rf"^({NUMBER})$"
-    ends = F.greatest(number(span, 1), number(span, 2)) if mode == "max" else (number(span, 1) + number(span, 2)) / 2
-    return F.coalesce(number(mixed, 1) + F.try_divide(number(mixed, 2), number(mixed, 3)), F.try_divide(number(fraction, 1), number(fraction, 2)), ends, number(single, 1))
+    """Number of a quantity text: whole, decimal, fraction, mixed number or a range of them (`max` or `midpoint`), after `~`, `≈` or
+    "about"; null if it is none."""
+    t = F.trim(F.regexp_replace(plain_fractions(F.regexp_replace(col(text), "~|≈|about", "")), " +", " "))
+    ends = _parts(t, rf"^({TERM}) ?[-–] ?({TERM})$", "$1\x01$2")
+    low, high = _term(F.get(ends, F.lit(0))), _term(F.get(ends, F.lit(1)))
+    return F.when(F.size(ends) == 2, F.greatest(low, high) if mode == "max" else (low + high) / 2).otherwise(_term(t))
+
+
+def text_lines(df: DataFrame, text: str) -> DataFrame:
+    """`df` with a row per line of `text` that isn't blank: `line`, trimmed, and `pos`, its place among them."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return df.select("*", F.posexplode(lines).alias("pos", "line"))
 
 
 def ingredient_line(line: str | Column) -> Column:
-    """Struct(quantity, unit, name): quantity unit name, quantity name, or the whole line as one `count`."""
-    t = F.trim(plain_fractions(col(line)))
-    units = "|".join(UNIT_WORDS)
-    full, counted = rf"^({QUANTITY}) ({units})\.? (?:of )?(.+)$", rf"^({QUANTITY}) (.+)$"
-    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    """Struct(quantity, unit, name): a number, a known unit (in lower case) and a name, else the whole line as one `count`.
+
+    Numbers are whole, decimal, fractions, or mixed with a space; unicode fractions become `a/b`. No ranges."""
+    t = F.trim(col(line))
+    number = rf"\d+\s+[{SIGNS}]|[{SIGNS}]|\d+\s+\d+/\d+|\d+/\d+|\d*\.\d+|\d+"
+    part = _parts(t, rf"^({number})\s+([\p{{L}}\p{{N}}_]+)\s+(.+)$", "$1\x01$2\x01$3")
+    unit = F.lower(F.get(part, F.lit(1)))
+    quantity = F.regexp_replace(plain_fractions(F.get(part, F.lit(0))), r"\s+", " ")
+    good = (F.size(part) == 3) & unit.isin(LINE_UNITS)
     make = lambda q, u, n: F.struct(q.alias("quantity"), u.alias("unit"), n.alias("name"))
-    return F.when(t.rlike(full), make(part(full, 1), part(full, 2), part(full, 3))).when(t.rlike(counted), make(part(counted, 1), F.lit("count"), part(counted, 2))).otherwise(make(F.lit("1"), F.lit("count"), t))
+    return F.when(good, make(quantity, unit, F.trim(F.get(part, F.lit(2))))).otherwise(make(F.lit("1"), F.lit("count"), t))
 
 
-#: (ordinal, pattern, places of quantity, unit and name): the first that matches wins. Unit 0 means `count`.
-RICH_PATTERNS = [
-    (rf"^about ({QUANTITY}) ({'|'.join(UNIT_WORDS)}) (?:of )?(.+)$", 1, 2, 3),
-    (rf"^({QUANTITY}) \((?:{NUMBER}) ?(?:oz|g|ml)\) ({'|'.join(UNIT_WORDS)}) (?:of )?(.+)$", 1, 2, 3),
-    (rf"^({NUMBER})(g|kg|ml|l|oz|lb) (?:of )?(.+)$", 1, 2, 3),
-    (rf"^({QUANTITY}) ({'|'.join(UNIT_WORDS)})\.? (?:of )?(.+)$", 1, 2, 3),
-    (rf"^({QUANTITY}) (.+)$", 1, 0, 2),
-]
+#: Quantity of a rich line: range, mixed number ("1 1/2", "1 and 1/2", "1-1/2"), fraction, decimal or whole number.
+RICH_QUANTITY = rf"(?:(?:{TERM}) ?(?:-|–|to|or) ?(?:\d+ \d+/\d+|\d+/\d+|{NUMBER})\b|\d+(?: and |-)\d+/\d+|{TERM})"
+#: Groups: "about", quantity, size in brackets and its unit, unit, rest.
+RICH_LINE = rf"(?i)^((?:about|roughly|around|approximately)\s+|~\s*)?({RICH_QUANTITY})\+?\s*(?:\(({NUMBER})[-– ]*({'|'.join(RICH_UNITS)})\.?\)\s*)?(?:({'|'.join(RICH_UNITS)})\b\.?)?\s*(?:of\s+)?(\S.*)$"
 
 
-def ingredient_rich(line: str | Column, patterns=None) -> Column:
-    """Struct(quantity, unit, name, context, pattern): ordered patterns, then the name is cut at the first comma."""
-    t = F.trim(plain_fractions(col(line)))
-    out = None
-    for k, (pattern, q, u, n) in enumerate(patterns or RICH_PATTERNS):
-        name = F.regexp_extract(t, pattern, n)
-        hit = F.struct(F.regexp_extract(t, pattern, q).alias("quantity"), (F.regexp_extract(t, pattern, u) if u else F.lit("count")).alias("unit"), F.trim(F.substring_index(name, ",", 1)).alias("name"), F.trim(F.regexp_replace(name, "^[^,]*,?", "")).alias("context"), F.lit(k).alias("pattern"))
-        out = F.when(t.rlike(pattern), hit) if out is None else out.when(t.rlike(pattern), hit)
-    whole = F.struct(F.lit("1").alias("quantity"), F.lit("count").alias("unit"), t.alias("name"), F.lit("").alias("context"), F.lit(-1).alias("pattern"))
-    return out.otherwise(whole)
+def ingredient_rich(lines: DataFrame, line: str) -> DataFrame:
+    """`lines` with quantity, unit (by UNIT_NAMES), name, context and form.
+
+    Bullets before the line are dropped. A line is an optional "about" or "~", a quantity, an optional size in brackets, an
+    optional unit (glued to the number or not) and the rest; without a quantity it is one `count`. Ranges are written "a-b", mixed
+    numbers "a b/c". The first text in brackets of the rest is the context and leaves the name. `form` says what was found: sized,
+    about, range, mixed, count, plain or whole. One search per line finds all parts.
+    """
+    keep = [c for c in lines.columns if c not in {"quantity", "unit", "name", "context", "form"}]
+    cleaned = F.trim(F.regexp_replace(plain_fractions(F.regexp_replace(F.trim(F.col(line)), rf"^[^\w\d\s{SIGNS}/.,~(-]+\s*", "")), r"\s+", " "))
+    parts = lines.select(*keep, cleaned.alias("_t")).withColumn("_p", _parts(F.col("_t"), RICH_LINE, "$1\x01$2\x01$3\x01$5\x01$6"))
+    got = F.size("_p") == 5
+    at = lambda k: F.get(F.col("_p"), F.lit(k))
+    found = parts.select(*keep, got.alias("_got"), F.when(got, at(1)).alias("_q"), F.when(got, at(0)).alias("_about"), F.when(got, at(2)).alias("_size"), F.lower(F.when(got, at(3))).alias("_u"), F.when(got, at(4)).otherwise(F.col("_t")).alias("_rest"))
+    q = F.regexp_replace(F.regexp_replace(F.col("_q"), r"^(\d+)(?: and |-)(\d+/\d+)$", "$1 $2"), r"(?i) ?(?:-|–|to|or) ?", "-")
+    q = F.when(q.startswith("."), F.concat(F.lit("0"), q)).otherwise(q)
+    whole = ~F.col("_got")
+    names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
+    unit = F.when(whole | (F.col("_u") == ""), "count").otherwise(F.coalesce(F.element_at(names, F.col("_u")), F.col("_u")))
+    form = F.when(whole, "whole").when(F.col("_size") != "", "sized").when(F.col("_about") != "", "about").when(q.contains("-"), "range").when(q.contains(" "), "mixed").when(F.col("_u") == "", "count").otherwise("plain")
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.col("_rest"), r"\s*\([^)]*\)\s*", " "), r"\s+", " "))
+    return found.select(*keep, F.when(whole, "1").otherwise(q).alias("quantity"), unit.alias("unit"), name.alias("name"), F.regexp_extract("_rest", r"\(([^)]+)\)", 1).alias("context"), form.alias("form"))
 
 
 def alternative_units(line: str | Column) -> Column:
-    """All distinct `quantity unit` mentions of a line, in order."""
-    pattern = F.lit(rf"({NUMBER}) ?({'|'.join(UNIT_WORDS)})\b")
-    q, u = (F.regexp_extract_all(col(line), pattern, F.lit(k)) for k in (1, 2))
+    """All distinct `quantity unit` mentions of a line, in order, in lower case."""
+    pattern = F.lit(rf"({NUMBER}) ?({'|'.join(RICH_UNITS)})\b")
+    q, u = (F.regexp_extract_all(F.lower(col(line)), pattern, F.lit(k)) for k in (1, 2))
     return F.array_distinct(F.zip_with(q, u, lambda a, b: F.concat_ws(" ", a, b)))
 
 
@@ -91,9 +153,12 @@ def spacing_repair(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def normalise_unit(df: DataFrame, unit_map: DataFrame, unit: str, output: str = "unit") -> DataFrame:
-    """The canonical unit of the map (from_unit, to_unit), else the unit in lower case."""
+def normalise_unit(df: DataFrame, unit: str, output: str = "unit", unit_map: DataFrame | None = None) -> DataFrame:
+    """The canonical unit of UNIT_NAMES, or of a table (from_unit, to_unit), else the unit in lower case."""
     key = F.lower(F.trim(F.col(unit)))
+    if unit_map is None:
+        names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
+        return df.withColumn(output, F.coalesce(F.element_at(names, key), key))
     joined = df.withColumn("_key", key).join(small(unit_map.select(F.col("from_unit").alias("_key"), "to_unit")), "_key", "left")
     return joined.withColumn(output, F.coalesce("to_unit", "_key")).drop("_key", "to_unit")
 
@@ -110,12 +175,17 @@ def nutrition_values(lines: Column, patterns: dict[str, list[str]], bounds: dict
 
 
 def duration_minutes(text: str | Column) -> Column:
-    """Minutes of an ISO duration, of hours and minutes in words, or of a bare number."""
+    """Whole minutes, rounded down, of an ISO duration (days to seconds), of hours and minutes in words (decimals too), of a bare
+    number, or of the first number of any other text."""
     t = F.lower(F.trim(col(text)))
-    iso = lambda unit: F.coalesce(F.regexp_extract(t, rf"(\d+){unit}", 1).try_cast("int"), F.lit(0))
-    word = lambda unit: F.coalesce(F.regexp_extract(t, rf"(\d+) ?(?:{unit})", 1).try_cast("int"), F.lit(0))
-    words = word("hours|hour|hrs|hr|h\\b") * 60 + word("minutes|minute|mins|min|m\\b")
-    return F.when(t.rlike(r"^pt(\d+h)?(\d+m)?(\d+s)?$"), iso("h") * 60 + iso("m")).when(t.rlike(r"^\d+$"), t.try_cast("int")).when(t.rlike("hour|hr|min|\\dh|\\dm"), words)
+    number = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).try_cast("double")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    iso = zero(number(r"(\d+(?:\.\d+)?)d")) * 1440 + zero(number(r"t.*?(\d+(?:\.\d+)?)h")) * 60 + zero(number(r"t.*?(\d+(?:\.\d+)?)m")) + zero(number(r"(\d+(?:\.\d+)?)s")) / 60
+    hours, minutes = number(r"(\d+(?:\.\d+)?) *(?:hours?|hrs?|h\b)"), number(r"(\d+(?:\.\d+)?) *(?:minutes?|mins?|m\b)")
+    words = F.when(hours.isNotNull() | minutes.isNotNull(), zero(hours) * 60 + zero(minutes))
+    plain = F.when(t.rlike(r"^\d+$"), t.try_cast("double"))
+    value = F.when(t.rlike(r"^p(?=\d|t\d)(?:[\d.]+d)?(?:t(?:[\d.]+h)?(?:[\d.]+m)?(?:[\d.]+s)?)?$"), iso).otherwise(F.coalesce(plain, words, number(r"(\d+)")))
+    return F.floor(value + 1e-9).cast("int")
 
 
 def direction_steps(text: str | Column) -> Column:
@@ -132,36 +202,24 @@ def mapping_rows(text: str | Column) -> Column:
 
 def suspect_parse(quantity: Column, unit: Column, name: Column) -> Column:
     """Whether a `1 count` still has digits or unit words in its name."""
-    return (quantity == "1") & (unit == "count") & name.rlike(rf"\d|\b(?:{'|'.join(u for u in UNIT_WORDS if len(u) > 1)})\b")
+    return (quantity == "1") & (unit == "count") & name.rlike(rf"\d|\b(?:{'|'.join(u for u in RICH_UNITS if len(u) > 1)})\b")
 
 
 def complex_line(text: Column) -> Column:
     return (F.length(text) > 30) | F.lower(text).rlike(r"\bor\b|such as|plus more|to taste")
 
 
-def negligible(df: DataFrame, exact: DataFrame, name: str, quantity: str, unit: str) -> DataFrame:
-    """`negligible`: an exact name of the dictionary, a leading phrase, a tiny unit, or a seasoning in a small amount.
-
-    The seasoning test goes both ways: the name holds the seasoning, or is part of it.
-    """
-    known = small(exact.select(F.col("name").alias("_n"), F.lit(True).alias("_known")))
-    joined = df.withColumn("_n", F.lower(F.trim(name))).join(known, "_n", "left")
-    both_ways = lambda s: F.col("_n").contains(s) | F.contains(F.lit(s), F.col("_n"))
-    seasoning = (both_ways("hot") | both_ways("old spice")) & (F.col(quantity) <= 2)
-    flag = F.coalesce("_known", F.lit(False)) | F.col("_n").rlike("^(?:pinch of|dash of|red )") | F.col(unit).isin("pinch", "dash", "drop") | seasoning
-    return joined.withColumn("negligible", flag).drop("_n", "_known")
-
-
 def clean_name(text: Column, suffixes: list[str]) -> Column:
     """Lower case, without suffix words, blanks squeezed, blank as null."""
     t = F.regexp_replace(F.lower(F.trim(text)), rf"\b(?:{'|'.join(suffixes)})\b", "")
     return F.nullif(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(""))
 
 
-def word_set(text: Column, stop: list[str]) -> Column:
-    """Distinct content words: no digits, measures or stop words, more than two letters."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z ]", " "), " +")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop, *UNIT_WORDS)))
+def word_set(text: Column) -> Column:
+    """Distinct content words: without measures, digits, descriptors and stop words, longer than two letters, all of them a to z."""
+    t = F.regexp_replace(F.lower(text), rf"(?U)\b\d+(?:/\d+)?\s*{MEASURE}\b", "")
+    words = F.split(F.regexp_replace(t, r"\d+(?:\.\d+)?", ""), r"[^\p{L}\p{N}_]+")
+    return F.array_distinct(F.filter(words, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin([*STOP_WORDS, *DESCRIPTORS])))
 
 
 def page_links(pages: DataFrame, page_id: str, url: str, html: str, include: str, exclude: str) -> DataFrame:

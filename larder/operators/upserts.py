@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def learn_aliases(current: DataFrame, events: DataFrame) -> DataFrame:
-    """Known aliases gain usage and a later last_used, keeping ingredient and confidence; new ones come in with theirs.
+    """Known aliases gain usage and a later last_used, keeping ingredient and confidence; new ones come in with theirs. Alias texts are
+    compared and kept in lower case.
 
     current: alias_text, ingredient_id, confidence, usage_count, last_used. events: alias_text, ingredient_id, confidence, ts, n.
     """
-    seen = events.groupBy("alias_text").agg(F.sum("n").alias("_n"), F.max("ts").alias("_ts"), F.min_by(F.struct("ingredient_id", "confidence"), F.struct("ts", "ingredient_id")).alias("_f"))
+    current = current.withColumn("alias_text", F.lower("alias_text"))
+    seen = events.withColumn("alias_text", F.lower("alias_text")).groupBy("alias_text").agg(F.sum("n").alias("_n"), F.max("ts").alias("_ts"), F.min_by(F.struct("ingredient_id", "confidence"), F.struct("ts", "ingredient_id")).alias("_f"))
     joined = current.join(seen, "alias_text", "full_outer")
     return joined.select(
         "alias_text",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.functions import domain, share
@@ -93,12 +94,14 @@ def agg_session_score_means(spark, d):
 
 @query(
     "agg_intent_rollup",
-    "SELECT user_id, event_type AS intent, max(value) AS best, count(*) AS found, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS attempts FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2",
+    "SELECT user_id, event_type AS intent, max(value) OVER w AS best, count(*) OVER w AS found, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)::INTEGER AS attempt, event_id FROM events WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id, event_type)",
 )
 def agg_intent_rollup(spark, d):
-    g = table(spark, d, "events").filter(F.col("event_type").isin("view", "click")).groupBy("user_id", F.col("event_type").alias("intent"))
-    out = g.agg(F.max("value").alias("best"), F.count(F.lit(1)).alias("found"), F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("a"))
-    return out.select("user_id", "intent", "best", "found", F.array_join(F.transform("a", lambda x: x["event_id"].cast("string")), ",").alias("attempts"))
+    """The best result and the number of attempts of each intent, with a row per attempt: no row grows with an intent's attempts."""
+    e = table(spark, d, "events").filter(F.col("event_type").isin("view", "click")).select("user_id", F.col("event_type").alias("intent"), "value", "ts", "event_id")
+    best = e.groupBy("user_id", "intent").agg(F.max("value").alias("best"), F.count(F.lit(1)).alias("found"))
+    nth = F.row_number().over(Window.partitionBy("user_id", "intent").orderBy("ts", "event_id"))
+    return e.withColumn("attempt", nth).join(best, ["user_id", "intent"]).select("user_id", "intent", "best", "found", "attempt", "event_id")
 
 
 FAIL_SQL = "(SELECT user_id, event_id, ['search', 'parse', 'verify'][event_id % 3 + 1] AS failure_point, value FROM events WHERE event_type = 'error')"
@@ -140,12 +143,15 @@ SELECT user_id, durations, total, n_errors, coalesce(first_errors, '') AS first_
 )
 def agg_stage_summary(spark, d):
     e = table(spark, d, "events")
-    stages = e.groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 3).alias("dur"), F.sum("value").alias("raw"), F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), 1, 5).alias("first"))
-    g = stages.groupBy("user_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "dur")))).alias("m"), F.round(F.sum("raw"), 3).alias("total"), F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)).alias("n_errors"), F.flatten(F.collect_list(F.when(F.col("event_type") == "error", F.col("first")))).alias("err")
-    )
+    stages = e.groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 3).alias("dur"), F.sum("value").alias("raw"), F.count(F.lit(1)).alias("n"))
+    totals = stages.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "dur")))).alias("m"), F.round(F.sum("raw"), 3).alias("total"), F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)).alias("n_errors"))
+    # a rank limit, which is applied before the shuffle too: at most five errors of a user are collected
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    first = e.filter("event_type = 'error'").select("user_id", "ts", "event_id").withColumn("k", nth).filter("k <= 5")
+    errors = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "event_id"))).alias("err"))
     shown = F.array_join(F.transform(F.map_entries("m"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ";")
-    return g.select("user_id", shown.alias("durations"), "total", "n_errors", F.array_join(F.transform("err", lambda x: x["event_id"].cast("string")), ",").alias("first_errors"))
+    listed = F.coalesce(F.array_join(F.transform("err", lambda x: x["event_id"].cast("string")), ","), F.lit(""))
+    return totals.join(errors, "user_id", "left").select("user_id", shown.alias("durations"), "total", "n_errors", listed.alias("first_errors"))
 
 
 JOB_SQL = "(SELECT user_id, event_id // 3 AS job, arg_max(CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'click' THEN 'processing' ELSE 'queued' END, (ts, event_id)) AS status FROM events GROUP BY 1, 2)"
@@ -202,7 +208,7 @@ def agg_eval_dietary(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.round(F.avg((bad("ring", "bolt") + bad("gear")) / 2), 6).alias("score"))
 
 
-@query("agg_eval_diversity", f"WITH c AS (SELECT page_id % 10 AS result_set, {DOMAIN_SQL} AS domain, count(*) AS n FROM pages GROUP BY 1, 2) SELECT result_set, least(1.0, round(count(*) FILTER (n <= 2)::DOUBLE / count(*) + least(0.2, 0.05 * count(*)), 6))::DOUBLE AS diversity FROM c GROUP BY 1")
+@query("agg_eval_diversity", f"WITH c AS (SELECT page_id % 10 AS result_set, {DOMAIN_SQL} AS domain, count(*) AS n FROM pages GROUP BY 1, 2) SELECT result_set, least(1.0, round(count(*) FILTER (n <= 2)::DOUBLE / count(*) + CASE WHEN count(*) >= 3 THEN least(0.2, 0.1 * (count(*) - 2)) ELSE 0.0 END, 6))::DOUBLE AS diversity FROM c GROUP BY 1")
 def agg_eval_diversity(spark, d):
     per = table(spark, d, "pages").groupBy((F.col("page_id") % 10).alias("result_set"), domain("url").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
     return op.domain_diversity(per, ["result_set"])
@@ -253,17 +259,21 @@ def agg_eval_error_handling(spark, d):
     return runs.select("user_id", good.alias("score"))
 
 
+ANSWER = "concat(text, case conv_id % 7 when 0 then ' Step 1: preheat. https://x.org' when 1 then ' 1. Soup with egg' when 2 then ' 2 cups of rice' when 3 then ' \"Soup\" Recipe' when 4 then ' Save meal #3' else '' end)".replace('\\"', '"')
+BAD_SQL = " + ".join(f"(CASE WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END)" for p in op.FORBIDDEN)
+
+
 @query(
     "agg_eval_text_rules",
-    r"""
-WITH r AS (SELECT conv_id, len(regexp_extract_all(lower(text), 'http|tion on|the the')) AS bad, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(s) <> '')) AS sentences, regexp_matches(lower(text), 'save') AS saves FROM conversations WHERE role = 'assistant')
-SELECT conv_id, round(avg(greatest(0.0, 1.0 - 0.3 * bad)), 6)::DOUBLE AS clean, round(avg(CASE WHEN sentences BETWEEN 1 AND 4 THEN 1.0 WHEN sentences <= 20 THEN 0.7 ELSE 0.4 END), 6)::DOUBLE AS brevity, count(*) FILTER (saves) AS saves FROM r GROUP BY 1""",
+    rf"""
+WITH a AS (SELECT conv_id, {ANSWER} AS t FROM conversations WHERE role = 'assistant'),
+r AS (SELECT conv_id, {BAD_SQL} AS bad, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda s: trim(s) <> '')) AS sentences, regexp_matches(lower(t), '{op.SAVE}') AS saves FROM a)
+SELECT conv_id, round(avg(greatest(0.0, 1.0 - 0.3 * bad)), 6)::DOUBLE AS clean, round(avg(CASE WHEN sentences <= 2 THEN 1.0 WHEN sentences = 3 THEN 0.8 WHEN sentences <= 5 THEN 0.4 ELSE 0.1 END), 6)::DOUBLE AS brevity, count(*) FILTER (saves) AS saves FROM r GROUP BY 1""",
 )
 def agg_eval_text_rules(spark, d):
-    c = table(spark, d, "conversations").filter("role = 'assistant'")
-    bad = F.regexp_count(F.lower("text"), F.lit("http|tion on|the the"))
-    sentences = F.size(F.filter(F.split("text", "[.!?]+"), lambda s: F.trim(s) != ""))
-    return c.groupBy("conv_id").agg(F.round(F.avg(F.greatest(F.lit(0.0), 1.0 - 0.3 * bad)), 6).alias("clean"), F.round(F.avg(F.when(sentences.between(1, 4), 1.0).when(sentences <= 20, 0.7).otherwise(0.4)), 6).alias("brevity"), F.count_if(F.lower("text").contains("save")).alias("saves"))
+    t = F.expr(ANSWER)
+    c = table(spark, d, "conversations").filter("role = 'assistant'").groupBy("conv_id")
+    return c.agg(F.round(F.avg(op.clean_score(t)), 6).alias("clean"), F.round(F.avg(op.brevity_score(t)), 6).alias("brevity"), F.count_if(F.lower(t).rlike(op.SAVE)).alias("saves"))
 
 
 @query("agg_load_test", "SELECT event_type, count(*) AS requests, round(count(*) FILTER (value < 100)::DOUBLE / count(*), 6) AS success_rate, round(sum(value), 3) AS total_s, round(avg(value), 4) AS mean_s, round(count(*) / sum(value), 6) AS per_s FROM events GROUP BY 1")

@@ -62,6 +62,7 @@ def jn_dict_word_match(spark, d):
 
 
 MACROS = ["calories", "protein", "fat", "carbs"]
+DEFAULTS = {"calories": 100.0, "protein": 5.0, "fat": 3.0, "carbs": 15.0}
 PART_MACROS_SQL = "p_retailprice AS calories, (p_size % 30)::DOUBLE AS protein, (p_size % 20)::DOUBLE AS fat, (p_size % 40)::DOUBLE AS carbs"
 TIERED_LINES_SQL = f"""(SELECT l.*, p_name, CASE WHEN l_partkey % 3 = 0 THEN 'reference' WHEN l_partkey % 3 = 1 THEN 'estimate' ELSE 'default' END AS source,
   CASE l_partkey % 3 WHEN 0 THEN calories WHEN 1 THEN calories / 2 ELSE 100.0 END AS calories, CASE l_partkey % 3 WHEN 0 THEN protein WHEN 1 THEN protein / 2 ELSE 5.0 END AS protein,
@@ -80,7 +81,7 @@ def tiered_lines(spark, d):
     reference = p.filter("l_partkey % 3 = 0")
     estimates = p.filter("l_partkey % 3 = 1").select("l_partkey", *[(F.col(m) / 2).alias(m) for m in MACROS])
     lines = table(spark, d, "lineitem").join(p.select("l_partkey", "p_name"), "l_partkey")
-    return op.nutrition_tiered(lines, reference, estimates, "l_partkey", MACROS, {"calories": 100.0, "protein": 5.0, "fat": 3.0, "carbs": 15.0})
+    return op.nutrition_tiered(lines, reference, estimates, "l_partkey", MACROS, DEFAULTS)
 
 
 @query("jn_nutrition_tiered", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, source, calories, protein, fat, carbs FROM {TIERED_LINES_SQL}")
@@ -142,13 +143,13 @@ def jn_fuzzy_variants(spark, d):
 @query(
     "jn_step_ingredients",
     """
-WITH v AS (SELECT DISTINCT l_orderkey, l_partkey % 10 AS ing FROM lineitem), s AS (SELECT o_orderkey, unnest(range(1, 4)) AS step FROM orders WHERE o_orderkey % 2 = 0),
+WITH v AS (SELECT DISTINCT l_orderkey, l_partkey % 10 AS ing FROM lineitem), s AS (SELECT o_orderkey, unnest(range(1, (1 + o_orderkey % 4)::BIGINT)) AS step FROM orders),
 w AS (SELECT o_orderkey, step, unnest([step, (o_orderkey + step) % 10, 77]) AS ing FROM s), k AS (SELECT DISTINCT w.* FROM w JOIN v ON l_orderkey = o_orderkey AND v.ing = w.ing)
 SELECT s.o_orderkey, s.step::INTEGER AS step, coalesce(array_to_string(list(k.ing ORDER BY k.ing) FILTER (k.ing IS NOT NULL), ','), '') AS ingredients FROM s LEFT JOIN k USING (o_orderkey, step) GROUP BY 1, 2""",
 )
 def jn_step_ingredients(spark, d):
     valid = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 10).alias("ing")).distinct()
-    steps = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("step"))
+    steps = table(spark, d, "orders").select("o_orderkey", F.explode(F.slice(F.sequence(F.lit(1), F.lit(3)), 1, (F.col("o_orderkey") % 4).cast("int"))).alias("step"))
     text = F.concat_ws(",", F.col("step").cast("string"), ((F.col("o_orderkey") + F.col("step")) % 10).cast("string"), F.lit("77"))
     named = steps.select("o_orderkey", "step", F.explode(F.split(text, ",").cast("array<bigint>")).alias("ing")).join(valid, ["o_orderkey", "ing"], "left_semi")
     found = named.groupBy("o_orderkey", "step").agg(F.array_sort(F.collect_set("ing")).alias("ids"))

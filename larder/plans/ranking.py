@@ -52,7 +52,19 @@ def win_domain_quota_existing(spark, d):
     return op.domain_quota(c.filter("page_id % 4 > 0"), "query_id", "domain", "pos", 2, used).select("query_id", "page_id")
 
 
-@query("win_interleaved_batches")
+@query(
+    "win_interleaved_batches",
+    f"""
+WITH RECURSIVE c AS (SELECT query_id, coalesce(domain, '') AS d, count(*)::INTEGER AS n, bool_or(trusted) AS t FROM {CAND_SQL} GROUP BY 1, 2),
+q AS (SELECT query_id, list(d ORDER BY NOT t, d) AS ds, list(n ORDER BY NOT t, d) AS ns FROM c GROUP BY 1),
+s AS (SELECT query_id, ns AS rem, 1 AS i, 1 AS batch, 10 AS space, 0 AS took, 0 AS pick, 0 AS b FROM q
+  UNION ALL SELECT query_id, list_transform(rem, lambda x, k: CASE WHEN k = i THEN x - least(2, x, space) ELSE x END), CASE WHEN i = len(rem) OR space = least(2, rem[i], space) THEN 1 ELSE i + 1 END,
+    CASE WHEN i = len(rem) OR space = least(2, rem[i], space) THEN batch + 1 ELSE batch END, CASE WHEN i = len(rem) OR space = least(2, rem[i], space) THEN 10 ELSE space - least(2, rem[i], space) END, least(2, rem[i], space), i, batch
+  FROM s WHERE list_sum(rem) > 0),
+p AS (SELECT query_id, ds[pick] AS d, b, took, sum(took) OVER (PARTITION BY query_id, pick ORDER BY b) AS upto FROM s JOIN q USING (query_id) WHERE took > 0),
+r AS (SELECT query_id, page_id, domain, row_number() OVER (PARTITION BY query_id, coalesce(domain, '') ORDER BY pos) AS k FROM {CAND_SQL})
+SELECT r.query_id, r.page_id, r.domain, p.b::INTEGER AS batch FROM r JOIN p ON p.query_id = r.query_id AND p.d = coalesce(r.domain, '') AND r.k <= upto AND r.k > upto - took""",
+)
 def win_interleaved_batches(spark, d):
     return op.interleaved_batches(candidates(spark, d), "query_id", "domain", "trusted", "pos").select("query_id", "page_id", "domain", "batch")
 
@@ -173,9 +185,9 @@ def set_multi_strategy(spark, d):
     return op.union_ordered([("a", c.filter("page_id % 3 = 1")), ("b", c.filter("page_id % 2 = 0")), ("c", c.filter("trusted"))], ["domain"], "pos", "domain").select("domain", "page_id", "origin")
 
 
-@query("set_ordered_distinct", "WITH w AS (SELECT doc_id, list_concat([lang, source], string_split(lower(substring(text, 1, 60)), ' ')) AS l FROM documents) SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: list_position(l, x))), lambda i: l[i]), ' ') AS terms FROM w")
+@query("set_ordered_distinct", "WITH w AS (SELECT doc_id, list_concat([lang, source], string_split(lower(text), ' ')) AS l FROM documents) SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: list_position(l, x))), lambda i: l[i]), ' ') AS terms FROM w")
 def set_ordered_distinct(spark, d):
-    terms = F.array_distinct(F.concat(F.array("lang", "source"), F.split(F.lower(F.substring("text", 1, 60)), " ")))
+    terms = F.array_distinct(F.concat(F.array("lang", "source"), F.split(F.lower("text"), " ")))
     return table(spark, d, "documents").select("doc_id", F.array_join(terms, " ").alias("terms"))
 
 

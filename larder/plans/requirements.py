@@ -9,33 +9,37 @@ from larder.operators import requirements as op
 from larder.plans.filters import DOMAIN_SQL, records
 from larder.plans.registry import query, table
 
-DOC_SQL = """'{"nutrition":{"protein":{"min":' || (q % 30)::VARCHAR || '},"calories":{"max":' || (q % 900)::VARCHAR || '}},"time":"under ' || (10 + q % 50)::VARCHAR || ' minutes","exclude":["Ring","bolt"],"dietary":["vegan"]}'"""
+REQUIREMENTS = """concat('{"nutrition":{"protein":{"min":', cast(q % 30 as {s}), '},"iron":{"max":', cast(q % 900 as {s}), '},"zinc":{}},"time_constraints":"UNDER ', cast(10 + q % 50 as {s}), ' minutes","allergies":["Peanut"],"exclude_ingredients":["Ring","bolt"],"include_ingredients":["egg"],',
+ case q % 3 when 0 then '"dietary_restrictions":"Gluten-Free","meal_type":"lunch"' when 1 then '"dietary_restrictions":["Vegan","low fodmap","Halal"]' else '"cuisine_type":"thai"' end, '}')"""
 
 
 @query(
     "req_categorise",
     """
 WITH u AS (SELECT DISTINCT c_custkey AS q FROM customer)
-SELECT q, 'nutrition' AS kind, 'protein' AS name, (q % 30)::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::VARCHAR AS term FROM u UNION ALL SELECT q, 'nutrition', 'calories', NULL, (q % 900)::DOUBLE, NULL FROM u
-UNION ALL SELECT q, 'time', 'minutes', NULL, (10 + q % 50)::DOUBLE, NULL FROM u UNION ALL SELECT q, 'exclude', 'term', NULL, NULL, unnest(['ring', 'bolt']) FROM u UNION ALL SELECT q, 'dietary', 'term', NULL, NULL, 'vegan' FROM u""",
+SELECT q, 'nutrition' AS kind, 'protein' AS name, (q % 30)::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::VARCHAR AS term FROM u UNION ALL SELECT q, 'nutrition', 'iron', NULL, (q % 900)::DOUBLE, NULL FROM u
+UNION ALL SELECT q, 'time', 'cook_time', NULL, (10 + q % 50)::DOUBLE, NULL FROM u UNION ALL SELECT q, 'exclude', 'term', NULL, NULL, unnest(['Peanut', 'Ring', 'bolt']) FROM u UNION ALL SELECT q, 'include', 'term', NULL, NULL, 'egg' FROM u
+UNION ALL SELECT q, 'dietary', 'term', NULL, NULL, 'gluten_free' FROM u WHERE q % 3 = 0 UNION ALL SELECT q, 'subjective', 'meal_type', NULL, NULL, 'lunch' FROM u WHERE q % 3 = 0
+UNION ALL SELECT q, 'dietary', 'term', NULL, NULL, 'vegan' FROM u WHERE q % 3 = 1 UNION ALL SELECT q, 'subjective', 'dietary_restriction', NULL, NULL, 'Halal' FROM u WHERE q % 3 = 1
+UNION ALL SELECT q, 'subjective', 'cuisine_type', NULL, NULL, 'thai' FROM u WHERE q % 3 = 2""",
 )
 def req_categorise(spark, d):
-    q = F.col("q")
-    text = F.concat(F.lit('{"nutrition":{"protein":{"min":'), (q % 30).cast("string"), F.lit('},"calories":{"max":'), (q % 900).cast("string"), F.lit('}},"time":"under '), (10 + q % 50).cast("string"), F.lit(' minutes","exclude":["Ring","bolt"],"dietary":["vegan"]}'))
-    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("q")).distinct().withColumn("doc", text)
-    return op.categorise(docs, "q", "doc", ["calories", "protein"], ["vegan"])
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("q")).distinct().withColumn("doc", F.expr(REQUIREMENTS.replace("{s}", "string")))
+    return op.categorise(docs, "q", "doc")
 
 
 VALUES_SQL = "(SELECT l_orderkey, sum(l_quantity) AS protein, round(sum(l_extendedprice) / 100, 2) AS calories FROM lineitem GROUP BY 1)"
-NUTRITION_SQL = f"""(SELECT l_orderkey, bool_and(pct >= 100) AS nutrition_ok, round(avg(pct), 1) AS nutrition_pct FROM (
-  SELECT l_orderkey, CASE WHEN protein >= 90 THEN 100.0 ELSE 100 * protein / 90 END::DOUBLE AS pct FROM {VALUES_SQL} UNION ALL SELECT l_orderkey, CASE WHEN calories <= 2500 THEN 100.0 ELSE 100 * 2500 / calories END::DOUBLE FROM {VALUES_SQL}) GROUP BY 1)"""
+#: Every seventh recipe has no protein value, and the orders without lines have none at all.
+NUTRITION_SQL = f"""(SELECT l_orderkey, bool_and(pct >= 100) AS nutrition_ok, round(sum(pct) / 2, 1) AS nutrition_pct FROM (
+  SELECT o_orderkey AS l_orderkey, CASE WHEN protein IS NULL OR l_orderkey % 7 = 0 THEN 0.0 WHEN protein >= 90 THEN 100.0 ELSE 100 * protein / 90 END::DOUBLE AS pct FROM orders LEFT JOIN {VALUES_SQL} ON l_orderkey = o_orderkey
+  UNION ALL SELECT o_orderkey, CASE WHEN calories IS NULL THEN 0.0 WHEN calories <= 2500 THEN 100.0 ELSE 100 * 2500 / calories END::DOUBLE FROM orders LEFT JOIN {VALUES_SQL} ON l_orderkey = o_orderkey) GROUP BY 1)"""
 
 
 def nutrition(spark, d):
     v = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("protein"), F.round(F.sum("l_extendedprice") / 100, 2).alias("calories"))
-    values = v.unpivot("l_orderkey", ["protein", "calories"], "name", "value")
+    values = v.unpivot("l_orderkey", ["protein", "calories"], "name", "value").filter("name = 'calories' or l_orderkey % 7 > 0")
     needs = spark.createDataFrame([("protein", 90.0, None), ("calories", None, 2500.0)], "name string, lo double, hi double")
-    return op.nutrition_match(values, needs, "l_orderkey")
+    return op.nutrition_match(values, needs, "l_orderkey", table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")))
 
 
 @query("req_nutrition_match", f"SELECT l_orderkey, nutrition_ok, floor(nutrition_pct) AS nutrition_pct FROM {NUTRITION_SQL}")
@@ -102,11 +106,21 @@ def req_dietary_tags(spark, d):
     return g.select("l_orderkey", "tag", F.size("w").cast("long").alias("violations"), F.array_join(F.slice("w", 1, 2), ",").alias("examples"))
 
 
-@query("req_metadata_confidence", "SELECT doc_id, ((CASE WHEN contains(lower(text), 'soup') OR contains(lower(text), 'en') THEN 0.9 ELSE 0.3 END + CASE WHEN contains(lower(source), '1') THEN 0.95 ELSE 0.4 END) / 2)::DOUBLE AS confidence FROM documents")
+MEAL = "CASE doc_id % 4 WHEN 0 THEN 'Lunch' WHEN 1 THEN 'snack' WHEN 2 THEN 'tea' END"
+METADATA = "concat(text, case doc_id % 5 when 0 then ' a Soup, gluten free' when 1 then ' bite, Low-Carb' when 2 then ' nut_free' else '' end)"
+MEAL_HIT = "CASE lower(" + MEAL + ") " + " ".join(f"WHEN '{m}' THEN regexp_matches(t, '{'|'.join(w)}')" for m, w in op.MEAL_WORDS.items()) + " END"
+
+
+@query(
+    "req_metadata_confidence",
+    f"""
+WITH d AS (SELECT doc_id, lower({METADATA}) AS t, CASE doc_id % 3 WHEN 0 THEN ['gluten_free', 'low_carb'] WHEN 1 THEN ['nut_free'] ELSE [] END AS tags FROM documents),
+s AS (SELECT doc_id, list_concat(CASE WHEN {MEAL_HIT} THEN [0.9] WHEN NOT {MEAL_HIT} THEN [0.3] ELSE [] END::DOUBLE[], list_transform(tags, lambda x: CASE WHEN contains(t, replace(x, '_', ' ')) OR contains(t, replace(x, '_', '-')) OR contains(t, x) THEN 0.95 ELSE 0.4 END)::DOUBLE[]) AS s FROM d)
+SELECT doc_id, round(CASE WHEN len(s) = 0 THEN 0.5 ELSE list_sum(s) / len(s) END, 9) AS confidence FROM s""",
+)
 def req_metadata_confidence(spark, d):
-    meal = F.when(F.exists(F.array(F.lit("soup"), F.lit("en")), lambda w: F.contains(F.lower("text"), w)), 0.9).otherwise(0.3)
-    tag = F.when(F.lower("source").contains("1"), 0.95).otherwise(0.4)
-    return table(spark, d, "documents").select("doc_id", ((meal + tag) / 2).alias("confidence"))
+    tags = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("gluten_free"), F.lit("low_carb"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("nut_free")))
+    return table(spark, d, "documents").select("doc_id", F.round(op.metadata_confidence(F.expr(METADATA), F.expr(MEAL), tags), 9).alias("confidence"))
 
 
 @query(
@@ -140,9 +154,9 @@ def req_constraint_flags(spark, d):
     return flags(spark, d).select("page_id", F.round(100.0 * n / 3, 2).alias("accuracy"), quality.alias("quality"))
 
 
-QUERY_TEXT = "text || CASE turn % 4 WHEN 0 THEN ' vegan with 30g protein' WHEN 1 THEN ' under 500 cal in 20 min' WHEN 2 THEN ' keto no nuts' ELSE '' END"
-FOUND_SQL = rf"""(SELECT conv_id, turn, unnest(list_filter([CASE WHEN contains(t, 'vegan') THEN 'diet=vegan' END, CASE WHEN contains(t, 'vegetarian') THEN 'diet=vegetarian' END, CASE WHEN contains(t, 'keto') THEN 'diet=keto' END, CASE WHEN contains(t, 'gluten') THEN 'diet=gluten' END,
- 'protein=' || nullif(regexp_extract(t, '(\d+) ?g protein', 1), ''), 'calories=' || nullif(regexp_extract(t, '(\d+) ?cal', 1), ''), 'minutes=' || nullif(regexp_extract(t, '(\d+) ?min', 1), ''), 'exclude=' || nullif(regexp_extract(t, '\bno ([a-z]+)', 1), '')], lambda x: x IS NOT NULL)) AS needed
+QUERY_TEXT = "text || CASE turn % 6 WHEN 0 THEN ' Vegan with 30g protein' WHEN 1 THEN ' under 500 calories in 20 min' WHEN 2 THEN ' keto no nuts' WHEN 3 THEN ' 25 protein, Nut-Free' WHEN 4 THEN ' paleo, gluten-free and dairy-free, 300 Calorie' ELSE '' END"
+FOUND_SQL = rf"""(SELECT conv_id, turn, unnest(list_filter([{', '.join(f"CASE WHEN contains(t, '{w}') THEN 'diet={w.replace('-', '_')}' END" for w in op.QUERY_DIETS)},
+ 'protein=' || nullif(regexp_extract(t, '(\d+)g?\s*protein', 1), ''), 'calories=' || nullif(regexp_extract(t, '(\d+)\s*calorie', 1), ''), 'minutes=' || nullif(regexp_extract(t, '(\d+)\s*min', 1), ''), 'exclude=' || nullif(regexp_extract(t, 'no\s+([\p{{L}}\p{{N}}_]+)', 1), '')], lambda x: x IS NOT NULL)) AS needed
  FROM (SELECT conv_id, turn, lower({QUERY_TEXT}) AS t FROM conversations WHERE role = 'user'))"""
 
 

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.functions import domain, filled, grade
+from larder.functions import domain, grade
 from larder.operators import scoring as op
-from larder.plans.filters import DOMAIN_SQL, IMAGES_SQL, SCALAR_SQL, image_list, image_scalar, records
+from larder.plans.filters import DOMAIN_SQL, records
 from larder.plans.registry import query, table
+from larder.sources import spread
 
 FILLED = "CASE WHEN {} IS NOT NULL AND trim({}::VARCHAR) <> '' THEN 1 ELSE 0 END"
 GROUPS = [(0.6, ["text", "lang"]), (0.3, ["source", "quality"]), (0.1, ["toxic"])]
 COMPLETE_SQL = "round(" + " + ".join(f"{w} * ({' + '.join(FILLED.format(c, c) for c in cols)}) / {len(cols)}" for w, cols in GROUPS) + ", 4)"
-TIER_SQL = "CASE WHEN NOT coalesce(lang IN ('en', 'fr', 'de'), false) THEN 'rejected' WHEN completeness >= 0.8 AND doc_id % 3 > 0 THEN 'tier1' WHEN completeness >= 0.6 THEN 'tier2' WHEN completeness >= 0.4 THEN 'tier3' ELSE 'rejected' END"
+IMAGE = "CASE doc_id % 6 WHEN 0 THEN 'https://img/front_en.{n}.400.JPG' WHEN 1 THEN 'https://img/FRONT.{n}.600.jpg' WHEN 2 THEN 'https://img/side.{n}.600.jpg' WHEN 3 THEN 'https://img/Invalid/front.{n}.400.jpg' WHEN 4 THEN ' ' END".replace("{n}", "7")
+VALID, SHARP = f"NOT contains(lower(trim(coalesce({IMAGE}, ''))), 'invalid')", f"regexp_matches(lower(coalesce({IMAGE}, '')), 'front') AND regexp_matches(coalesce({IMAGE}, ''), '[.][46]00[.]')"
+TIER_SQL = f"CASE WHEN NOT coalesce(lang IN ('en', 'fr', 'de'), false) THEN 'rejected' WHEN completeness >= 0.8 AND {VALID} AND {SHARP} THEN 'tier1' WHEN completeness >= 0.6 AND {VALID} THEN 'tier2' WHEN completeness >= 0.4 AND {VALID} AND trim(coalesce({IMAGE}, '')) <> '' THEN 'tier3' ELSE 'rejected' END"
 SCORED_SQL = f"(SELECT doc_id, lang, source, n_chars, quality, toxic, text, {COMPLETE_SQL} AS completeness FROM documents LEFT JOIN labels USING (doc_id))"
 TIERED_SQL = f"(SELECT *, {TIER_SQL} AS quality_tier FROM {SCORED_SQL})"
 
 
 def tiered(spark, d):
     scored = records(spark, d).withColumn("completeness", op.completeness(GROUPS))
-    return scored.withColumn("quality_tier", op.quality_tier(F.col("completeness"), F.col("lang").isin("en", "fr", "de"), F.col("doc_id") % 3 > 0))
+    return scored.withColumn("quality_tier", op.quality_tier(F.col("completeness"), F.col("lang").isin("en", "fr", "de"), F.expr(IMAGE)))
 
 
 @query("scr_completeness", f"SELECT doc_id, completeness FROM {SCORED_SQL}")
@@ -43,25 +46,23 @@ def scr_required_gate(spark, d):
 
 
 def benchmark_queries(spark, d):
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 3))
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(words, 1, 4).alias("words"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), op.query_words(F.col("text")).alias("words"))
 
 
-Q_SQL = "(SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 3) AS raw FROM benchmark)"
-Q_WORDS_SQL = f"(SELECT query_id, list_transform(list_sort(list_transform(list_distinct(raw), lambda x: [list_position(raw, x)]))[1:4], lambda p: raw[p[1]]) AS words FROM {Q_SQL})"
 SHARE = "(CASE WHEN len(words) = 0 THEN 0.0 ELSE len(list_filter(words, lambda w: contains({}, w)))::DOUBLE / len(words) END)"
 RELEVANCE_SQL = f"""
-i AS (SELECT doc_id, lang, source, quality, regexp_split_to_array(lower(substring(text, 1, 120)), '[^a-z]+') AS title, lower(substring(text, 1, 400)) AS ing, lower(text) AS body FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
-s AS (SELECT *, round(0.4 * (CASE WHEN len(words) = 0 THEN 0.0 ELSE len(list_intersect(words, title))::DOUBLE / len(words) END) + 0.3 * {SHARE.format('ing')} + 0.2 * {SHARE.format('body')} + 0.1 * {SHARE.format('lang')}, 6) AS raw_score
-  FROM i CROSS JOIN {Q_WORDS_SQL}),
-r AS (SELECT doc_id, query_id, source, quality, CASE WHEN len(words) = 0 THEN 0.5 ELSE least(1.0, raw_score) END AS relevance FROM s)"""
+q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS words FROM benchmark),
+i AS (SELECT doc_id, lang, source, quality, toxic, n_chars, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS title, lower(text) AS body, text FROM documents LEFT JOIN labels USING (doc_id)),
+s AS (SELECT *, round(0.4 * (CASE WHEN len(words) = 0 THEN 0.0 ELSE len(list_intersect(words, title))::DOUBLE / len(words) END) + 0.3 * {SHARE.format('body')} + 0.2 * {SHARE.format('source')} + 0.1 * {SHARE.format('lang')}, 6) AS raw_score
+  FROM i CROSS JOIN q),
+r AS (SELECT doc_id, query_id, source, quality, toxic, n_chars, lang, text, CASE WHEN len(words) = 0 THEN 0.5 ELSE least(1.0, raw_score) END AS relevance FROM s)"""
 
 
 def relevance(spark, d):
-    items = records(spark, d).filter("quality is not null").select(
-        "doc_id", "lang", "source", "quality", F.split(F.lower(F.substring("text", 1, 120)), "[^a-z]+").alias("title"), F.lower(F.substring("text", 1, 400)).alias("ing"), F.lower("text").alias("body")
-    )
-    return op.query_relevance(items, benchmark_queries(spark, d), "title", "ing", "body", "lang")
+    """Whole texts as titles and ingredients, sources as descriptions, languages as categories."""
+    docs = spread(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id", "left")
+    items = docs.select("doc_id", "lang", "source", "quality", "toxic", "n_chars", "text", op.title_words(F.col("text")).alias("title"), F.lower("text").alias("body"))
+    return op.query_relevance(items, benchmark_queries(spark, d), "title", "body", "source", "lang").drop("title", "body", "words")
 
 
 @query("scr_query_relevance", f"WITH {RELEVANCE_SQL} SELECT doc_id, query_id, relevance FROM r WHERE relevance > 0.2")
@@ -71,12 +72,16 @@ def scr_query_relevance(spark, d):
 
 @query(
     "scr_recipe_total",
-    f"""WITH {RELEVANCE_SQL}, t AS (SELECT doc_id, query_id, least(1.0, round(0.70 * relevance + 0.13 * (CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) + 0.02 * (CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END)
-  + 0.15 * (CASE WHEN source IN ('src1', 'src2', 'src3') THEN 1.0 ELSE 0.0 END), 6)) AS score FROM r) SELECT * FROM t WHERE score >= 0.35""",
+    f"""WITH {RELEVANCE_SQL}, t AS (SELECT doc_id, query_id, CASE WHEN length(coalesce(text, '')) > 10 AND trim(text) <> '' AND trim(coalesce(source, '')) <> '' AND doc_id % 5 > 0 THEN least(1.0, round(0.70::DOUBLE * relevance
+  + 0.13::DOUBLE * (((quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT + (n_chars IS NOT NULL)::INT + (doc_id % 2 = 0)::INT)::DOUBLE / 4) + 0.02::DOUBLE * (((trim(coalesce(lang, '')) <> '')::INT + (doc_id % 3 = 0)::INT)::DOUBLE / 2)
+  + 0.15::DOUBLE * (CASE WHEN source IN ('src1', 'src2', 'src3') THEN 1.0 ELSE 0.0 END), 7)) ELSE 0.0 END AS score FROM r) SELECT * FROM t WHERE score >= 0.3""",
 )
 def scr_recipe_total(spark, d):
-    total = op.recipe_total(F.col("relevance"), F.col("quality") == 1, F.col("doc_id") % 2 == 0, F.col("source").isin("src1", "src2", "src3"))
-    return relevance(spark, d).select("doc_id", "query_id", total.alias("score")).filter("score >= 0.35").orderBy(F.desc("score"), "doc_id")
+    k = F.col("doc_id")
+    image = F.when(k % 5 > 0, "https://example.org/x").otherwise("none")
+    required = op.required_gate(F.col("text"), image, F.col("source"), F.col("text"))
+    total = op.recipe_total(required, F.col("relevance"), [F.col("quality"), F.col("toxic"), F.col("n_chars"), F.when(k % 2 == 0, 1)], [F.col("lang"), F.when(k % 3 == 0, "x").otherwise(" ")], F.col("source").isin("src1", "src2", "src3"))
+    return relevance(spark, d).select("doc_id", "query_id", total.alias("score")).filter("score >= 0.3")
 
 
 TIERS = [("thther.example.org", "trusted"), ("therea.example.net", "trusted"), ("ththin.example.com", "good"), ("ththed.example.org", "good")]
@@ -95,29 +100,36 @@ def scr_site_trust(spark, d):
     return trusted(spark, d).select("page_id", "domain", "trust_points")
 
 
-IMG_POINTS_SQL = f"""(SELECT page_id, least(30, (CASE WHEN coalesce(len(images), 0) > 0 THEN 15 WHEN trim(image_url) <> '' THEN 10 ELSE 0 END) + (CASE WHEN coalesce(len(images), 0) > 1 THEN 5 ELSE 0 END)
-  + (CASE WHEN regexp_matches(coalesce(images[1], image_url), 'large|1200|img1') THEN 10 ELSE 0 END)) AS points FROM (SELECT page_id, {IMAGES_SQL} AS images, {SCALAR_SQL} AS image_url FROM pages))"""
+#: A page has 0 to 4 images; the main one's name goes by the page, the scalar is used where there are none.
+PICTURE = "concat(url, case page_id % 5 when 0 then '/img_1200.jpg' when 1 then '/thumb.jpg' when 2 then '/x150x.jpg' when 3 then '/Hero-1500.jpg' else '/plain.jpg' end)"
+N_PICTURES = "(page_id // 5) % 5"
+LARGE, THUMB = f"regexp_matches({PICTURE}, '1200|1500|large|hero')", f"regexp_matches({PICTURE}, 'thumb|150')"
+IMG_POINTS_SQL = f"""(SELECT page_id, CASE WHEN {N_PICTURES} > 0 THEN least(30, (CASE WHEN {N_PICTURES} >= 3 THEN 25 WHEN {N_PICTURES} >= 2 THEN 20 ELSE 15 END) + (CASE WHEN {LARGE} THEN 5 WHEN {THUMB} THEN -5 ELSE 0 END))
+  WHEN page_id % 2 = 0 THEN (CASE WHEN {LARGE} THEN 25 WHEN {THUMB} THEN 10 ELSE 15 END) ELSE 0 END AS points FROM pages)"""
 
 
 @query("scr_image_points", f"SELECT page_id, points FROM {IMG_POINTS_SQL}")
 def scr_image_points(spark, d):
-    return table(spark, d, "pages").select("page_id", image_list().alias("images"), image_scalar().alias("image_url")).select("page_id", op.image_points(F.col("images"), F.col("image_url")).alias("points"))
+    k, picture = F.col("page_id"), F.expr(PICTURE)
+    return table(spark, d, "pages").select("page_id", op.image_points(F.expr("(page_id div 5) % 5"), picture, F.when(k % 2 == 0, picture).otherwise("")).alias("points"))
 
 
-COUNTS_SQL = "(SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, coalesce(n, 0) AS n, coalesce(steps, 0) AS steps FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS steps FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"
-POINTS = "(CASE WHEN {0} >= 5 THEN 15 WHEN {0} >= 3 THEN 10 WHEN {0} >= 1 THEN 5 ELSE 0 END)"
-Q_ITEM_SQL = f"(SELECT *, least(100, 15 + 15 * (o_orderkey % 4) + {POINTS.format('n')} + {POINTS.format('steps')})::DOUBLE AS quality FROM {COUNTS_SQL})"
-C_ITEM_SQL = f"(SELECT *, ((CASE WHEN o_orderkey % 9 > 0 THEN 10 ELSE 0 END) + least(25, 3 * n) + least(25, 4 * steps) + (CASE WHEN o_orderkey % 3 > 1 THEN 15 WHEN o_orderkey % 3 = 1 THEN 10 ELSE 0 END) + (CASE WHEN o_orderkey % 5 > 0 THEN 10 ELSE 0 END) + (CASE WHEN o_orderkey % 4 > 0 THEN 10 ELSE 0 END) + (CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 0 END))::DOUBLE AS complete FROM {Q_ITEM_SQL})"
-A_ITEM_SQL = f"(SELECT *, ((CASE WHEN o_totalprice < 200000 THEN 100.0 ELSE 0.0 END + CASE WHEN n <= 5 THEN 100.0 ELSE 0.0 END) / 2)::DOUBLE AS accuracy FROM {C_ITEM_SQL})"
+COUNTS_SQL = "(SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority, coalesce(n, 0) AS n, coalesce(steps, 0) AS steps FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS steps FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"
+Q_ITEM_SQL = f"(SELECT *, least(100, 15 + 15 * (o_orderkey % 4) + 15 * (o_orderkey % 3) + (CASE WHEN n >= 5 AND steps >= 3 THEN 15 WHEN n >= 3 AND steps >= 2 THEN 10 ELSE 5 END))::DOUBLE AS quality FROM {COUNTS_SQL})"
+C_ITEM_SQL = f"(SELECT *, least(100, (CASE WHEN o_orderkey % 9 > 0 THEN 10 ELSE 0 END) + least(25, 3 * n) + least(25, 4 * steps) + (CASE WHEN o_orderkey % 5 >= 3 THEN 15 WHEN o_orderkey % 5 > 0 OR o_orderkey % 7 = 0 THEN 10 ELSE 0 END) + (CASE WHEN o_orderkey % 5 > 0 THEN 10 ELSE 0 END) + (CASE WHEN o_orderkey % 4 > 0 THEN 10 ELSE 0 END) + (CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 0 END))::DOUBLE AS complete FROM {Q_ITEM_SQL})"
+#: Every fifth item has no constraints and is judged by the words of a query.
+SEARCH_TEXT = "urgent high specified low"
+A_ITEM_SQL = f"(SELECT *, (CASE WHEN o_orderkey % 5 = 0 THEN least(100.0, len(list_filter(string_split('{SEARCH_TEXT}', ' '), lambda w: length(w) > 3 AND contains(lower(o_orderpriority), w)))::DOUBLE / 4 * 100 + 50) ELSE ((o_totalprice < 200000)::INT + (n <= 5)::INT + (year(o_orderdate) >= 1997)::INT)::DOUBLE / 3 * 100 END)::DOUBLE AS accuracy FROM {C_ITEM_SQL})"
 
 
 def items(spark, d):
     n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_linenumber").alias("steps"))
     o = table(spark, d, "orders").join(n, "o_orderkey", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "steps": F.coalesce("steps", F.lit(0))})
-    k = F.col("o_orderkey")
-    quality = F.least(F.lit(100), 15 + 15 * (k % 4) + op.count_points(F.col("n")) + op.count_points(F.col("steps"))).cast("double")
-    complete = op.item_completeness(k % 9 > 0, F.col("n"), F.col("steps"), k % 3, k % 5 > 0, k % 4 > 0, k % 2 == 0).cast("double")
-    accuracy = (F.when(F.col("o_totalprice") < 200000, 100.0).otherwise(0.0) + F.when(F.col("n") <= 5, 100.0).otherwise(0.0)) / 2
+    k, one = F.col("o_orderkey"), lambda c: c.cast("int")
+    quality = op.item_quality(15 + 15 * (k % 4), 15 * (k % 3), op.content_points(F.col("n"), F.col("steps"))).cast("double")
+    complete = op.item_completeness(k % 9 > 0, F.col("n"), F.col("steps"), k % 5, F.when(k % 7 == 0, "x"), k % 5 > 0, k % 4 > 0, k % 2 == 0).cast("double")
+    met = one(F.col("o_totalprice") < 200000) + one(F.col("n") <= 5) + one(F.year("o_orderdate") >= 1997)
+    accuracy = op.constraint_accuracy(met, F.when(k % 5 == 0, 0).otherwise(3), F.lit(SEARCH_TEXT), F.col("o_orderpriority"))
     return o.withColumns({"quality": quality, "complete": complete, "accuracy": accuracy})
 
 
@@ -131,12 +143,9 @@ def scr_item_completeness(spark, d):
     return items(spark, d).select("o_orderkey", "complete")
 
 
-@query("scr_constraint_accuracy", "SELECT o_orderkey, avg(CASE WHEN (c = 'price' AND o_totalprice < lim) OR (c = 'year' AND year(o_orderdate) >= lim) THEN 100.0 ELSE 0.0 END) AS accuracy FROM orders CROSS JOIN (VALUES ('price', 200000), ('year', 1997)) AS t(c, lim) GROUP BY 1")
+@query("scr_constraint_accuracy", f"SELECT o_orderkey, round(accuracy, 6) AS accuracy FROM {A_ITEM_SQL}")
 def scr_constraint_accuracy(spark, d):
-    limits = spark.createDataFrame([("price", 200000), ("year", 1997)], "c string, lim int")
-    met = ((F.col("c") == "price") & (F.col("o_totalprice") < F.col("lim"))) | ((F.col("c") == "year") & (F.year("o_orderdate") >= F.col("lim")))
-    per_item = table(spark, d, "orders").crossJoin(F.broadcast(limits))  # two constraints
-    return per_item.groupBy("o_orderkey").agg(F.avg(F.when(met, 100.0).otherwise(0.0)).alias("accuracy"))
+    return items(spark, d).select("o_orderkey", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("scr_item_overall", f"SELECT o_orderkey, round(0.40 * quality + 0.35 * accuracy + 0.25 * complete, 1) AS overall FROM {A_ITEM_SQL}")
@@ -144,7 +153,7 @@ def scr_item_overall(spark, d):
     return items(spark, d).select("o_orderkey", op.item_overall(F.col("quality"), F.col("accuracy"), F.col("complete")).alias("overall"))
 
 
-SPEED_SQL = "CASE WHEN s <= 12 THEN 100.0 WHEN s <= 20 THEN 90.0 WHEN s <= 40 THEN 75.0 ELSE greatest(10.0, 75.0 - (s - 40) * 1.5) END"
+SPEED_SQL = "CASE WHEN s <= 12 THEN 100.0 WHEN s <= 20 THEN 80.0 WHEN s <= 40 THEN 60.0 ELSE greatest(10.0, 60.0 - (s - 40) * 1.5) END"
 SEARCH_SQL = f"(SELECT user_id, round({SPEED_SQL}, 3) AS speed, q AS quality, a AS accuracy, round(0.5 * ({SPEED_SQL}) + 0.3 * q + 0.2 * a, 3) AS overall FROM (SELECT user_id, max(value) / 5 AS s, avg(CASE WHEN event_type IN ('view', 'click') THEN 80.0 ELSE 40.0 END) AS q, avg(CASE WHEN event_type = 'purchase' THEN 100.0 ELSE 0.0 END) AS a FROM events GROUP BY 1))"
 
 
@@ -169,15 +178,13 @@ def scr_grade(spark, d):
 @query(
     "scr_time_status",
     """
-WITH b(event_type, budget) AS (VALUES ('click', 20.0), ('view', 40.0), ('purchase', 60.0)),
-s AS (SELECT event_id, value, CASE WHEN value > coalesce(budget, 30.0) THEN 'exceeded' WHEN value > 0.8 * coalesce(budget, 30.0) THEN 'approaching' ELSE 'on_track' END AS status FROM events LEFT JOIN b USING (event_type))
-SELECT event_id, status, CASE WHEN event_id % 7 >= 5 THEN 'finish' WHEN status = 'exceeded' THEN 'return_partial' WHEN status = 'approaching' THEN 'last_batch' ELSE 'continue' END AS action FROM s""",
+WITH b(event_type, strategy, budget) AS (VALUES ('click', 'priority_only', 30.0), ('view', 'mixed', 60.0), ('purchase', 'broad', 90.0)),
+s AS (SELECT event_id, value, CASE WHEN value > coalesce(budget, 60.0) THEN 'exceeded' WHEN value > 0.5 * coalesce(budget, 60.0) THEN 'approaching_limit' ELSE 'on_track' END AS status FROM events LEFT JOIN b USING (event_type))
+SELECT event_id, status, CASE WHEN value > 60 THEN 'ask_user' WHEN value > 30 AND event_id % 13 < 10 THEN 'pivot' WHEN event_id % 13 < 5 THEN 'expand' ELSE 'continue' END AS action FROM s""",
 )
 def scr_time_status(spark, d):
-    budgets = spark.createDataFrame([("click", 20.0), ("view", 40.0), ("purchase", 60.0)], "event_type string, budget double")
-    e = table(spark, d, "events").join(F.broadcast(budgets), "event_type", "left")  # three budgets
-    s = e.withColumn("status", op.time_status(F.col("value"), F.coalesce("budget", F.lit(30.0))))
-    return s.select("event_id", "status", op.next_action(F.col("status"), F.col("event_id") % 7, 5).alias("action"))
+    strategy = F.coalesce(*[F.when(F.col("event_type") == e, s) for e, s in (("click", "priority_only"), ("view", "mixed"), ("purchase", "broad"))], F.lit("other"))
+    return table(spark, d, "events").select("event_id", op.time_status(F.col("value"), strategy).alias("status"), op.next_action(F.col("value"), F.col("event_id") % 13).alias("action"))
 
 
 @query(
@@ -197,29 +204,42 @@ def scr_reference_match(spark, d):
     return pairs.groupBy("conv_id", "turn").agg(F.min_by("item", F.struct(-F.col("score"), F.col("item"))).alias("best"), F.max("score").alias("score"))
 
 
+#: The pages' links under the paths of recipes, lists and others, by the page.
+LINK_URL = "concat('https://Example.org', case page_id % 7 when 0 then '/recipe' when 1 then '/recipes/category' when 2 then '/2024/05' when 3 then '/about' when 4 then '/recipes' when 5 then '/guide' else '/page' end, href, case when page_id % 3 = 0 then '-recipe' else '' end)"
+LINK_TEXT = "concat(label, case length(label) % 3 when 0 then ' Soup' when 1 then ' with seven more words' else '' end)"
+AROUND = "case when page_id % 4 = 1 then '20 Minutes, serves 4' else 'more' end"
+
+
 @query(
     "scr_link_confidence",
-    r"""
+    rf"""
 WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM pages),
-s AS (SELECT page_id, href, label, (CASE WHEN regexp_matches(href, '^/[A-Z]') THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(lower(label), 'en|an|ou') THEN 2 ELSE 0 END) + (CASE WHEN length(label) BETWEEN 4 AND 60 THEN 1 ELSE 0 END) + (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END) AS confidence FROM l)
+x AS (SELECT page_id, {LINK_URL} AS url, {LINK_TEXT} AS label FROM l),
+s AS (SELECT page_id, url, label, CASE WHEN NOT regexp_matches(lower(url), '{'|'.join(op.LIST_URLS)}') AND NOT regexp_matches(lower(url), '{'|'.join(op.OTHER_URLS)}') AND regexp_matches(lower(url), '{'|'.join(op.RECIPE_URLS)}') THEN
+  (CASE WHEN contains(lower(url), 'recipe') THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(lower(label), '{'|'.join(op.FOOD_WORDS)}') THEN 2 ELSE 0 END) + (CASE WHEN length(label) BETWEEN 10 AND 100 THEN 1 ELSE 0 END) + (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END)
+  + (CASE WHEN regexp_matches(lower({AROUND}), '{'|'.join(op.CONTEXT_WORDS)}') THEN 1 ELSE 0 END) ELSE 0 END AS confidence FROM x)
 SELECT * FROM s WHERE confidence >= 3""",
 )
 def scr_link_confidence(spark, d):
     pattern = F.lit(r'<a href="([^"]*)">([^<]*)</a>')
     both = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("label"))
-    links = table(spark, d, "pages").select("page_id", F.inline(both))
-    return links.withColumn("confidence", op.link_confidence(F.col("href"), F.col("label"), F.col("page_id") % 2 == 0, "^/[A-Z]", "en|an|ou")).filter("confidence >= 3")
+    links = table(spark, d, "pages").select("page_id", F.inline(both)).select("page_id", F.expr(LINK_URL).alias("url"), F.expr(LINK_TEXT).alias("label"))
+    return links.withColumn("confidence", op.link_confidence(F.col("url"), F.col("label"), F.col("page_id") % 2 == 0, F.expr(AROUND))).filter("confidence >= 3")
+
+
+TITLE = "concat(regexp_extract(html, '<title>([^<]*)', 1), case page_id % 6 when 0 then ' Best soups' when 1 then ' soup Recipe' else '' end)"
 
 
 @query(
     "scr_url_type",
-    r"""
-WITH t AS (SELECT url, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS title FROM pages),
-c AS (SELECT CASE WHEN regexp_matches(title, '\d+ (best|easy|top)|best .*recipes|/category/|page=') OR regexp_matches(url, '\d+ (best|easy|top)|best .*recipes|/category/|page=') THEN 'list' WHEN regexp_matches(url, '/recipe|\.html|/\d+/?$') THEN 'recipe' ELSE 'other' END AS kind FROM t)
+    f"""
+WITH t AS (SELECT CASE WHEN page_id % 5 = 0 THEN url || '/Recipe/soup' ELSE url END AS url, lower({TITLE}) AS title FROM pages),
+c AS (SELECT CASE WHEN regexp_matches(title, 'best|top|recipes|roundup') THEN 'list' WHEN contains(lower(url), '/recipe/') OR contains(title, 'recipe') THEN 'recipe' ELSE 'other' END AS kind FROM t)
 SELECT kind, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM c), 6) AS share FROM c GROUP BY 1""",
 )
 def scr_url_type(spark, d):
-    kinds = table(spark, d, "pages").select(op.url_type(F.regexp_extract("html", "<title>([^<]*)", 1), F.col("url")).alias("kind"))
+    url = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/Recipe/soup"))).otherwise(F.col("url"))
+    kinds = table(spark, d, "pages").select(op.url_type(F.expr(TITLE), url).alias("kind"))
     counts = kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))  # one row
     return counts.crossJoin(F.broadcast(total)).select("kind", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))

@@ -135,7 +135,7 @@ def alias_learning(spark, d):
     text = lambda c: F.concat(F.lit("a"), (c % 400).cast("string"))
     current = table(spark, d, "part").filter("p_partkey % 400 < 200").groupBy(text(F.col("p_partkey")).alias("alias_text")).agg(F.min("p_partkey").alias("ingredient_id"))
     current = current.withColumns({"confidence": F.lit(0.9), "usage_count": F.lit(3).cast("long"), "last_used": F.lit(None).cast("timestamp")})
-    events = table(spark, d, "events").select(text(F.col("event_id")).alias("alias_text"), F.col("user_id").alias("ingredient_id"), F.lit(0.5).alias("confidence"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("n"))
+    events = table(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, F.upper(text(F.col("event_id")))).otherwise(text(F.col("event_id"))).alias("alias_text"), F.col("user_id").alias("ingredient_id"), F.lit(0.5).alias("confidence"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("n"))
     return current, events
 
 

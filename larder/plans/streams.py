@@ -26,7 +26,15 @@ def src_incremental_resume(spark, d):
     return read.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("stm_rate_limit")
+@query(
+    "stm_rate_limit",
+    """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts::TIMESTAMP) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, n, true AS admitted, [t] AS times FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, len(list_filter(s.times, lambda x: x > e.t - 21600)) < 2, CASE WHEN len(list_filter(s.times, lambda x: x > e.t - 21600)) < 2 THEN list_append(list_filter(s.times, lambda x: x > e.t - 21600), e.t) ELSE list_filter(s.times, lambda x: x > e.t - 21600) END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id, event_id, admitted FROM s""",
+)
 def stm_rate_limit(spark, d):
     """2 events per user in 6 hours, as a stateful stream."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import texts as op
-from larder.plans.filters import DOMAIN_SQL  # noqa: F401
+from larder.operators import units as op_units
 from larder.plans.registry import query, table
+from larder.plans.units import FOOD_SQL
+from larder.sources import spread
 
 #: An ingredient line of a recipe line, by its number.
 LINE = """CASE l_linenumber WHEN 1 THEN concat(cast(l_partkey % 9 + 1 as {s}), ' cups of ', p_name) WHEN 2 THEN concat('1 1/2 tablespoons ', p_name, ', chopped') WHEN 3 THEN concat(cast(l_partkey % 5 + 1 as {s}), ' ', p_name)
@@ -14,50 +16,60 @@ LINE = """CASE l_linenumber WHEN 1 THEN concat(cast(l_partkey % 9 + 1 as {s}), '
 LINE_SQL = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, p_name, " + LINE.format(s="VARCHAR") + " AS line FROM lineitem JOIN part ON p_partkey = l_partkey)"
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 KEYS_SQL = ", ".join(KEYS)
-UNITS_RE = "|".join(op.UNIT_WORDS)
-
 
 def lines(spark, d):
-    joined = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    """Dealt to all cores: the tests' tables have one row group, and the patterns cost more than the shuffle."""
+    joined = spread(table(spark, d, "lineitem").select(*KEYS, "l_quantity")).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     return joined.withColumn("line", F.expr(LINE.format(s="string")))
 
 
-def cases(patterns, q, u, n):
-    """SQL of ordered patterns for one field."""
-    return " ".join(f"WHEN regexp_matches(line, '{p}') THEN {e}" for p, e in patterns)
+def fractions_sql(c):
+    for sign, plain in op.UNICODE_FRACTIONS.items():
+        c = f"replace({c}, '{sign}', '{plain}')"
+    return c
+
 
+LINE_RE = rf"^(\d+\s+[{op.SIGNS}]|[{op.SIGNS}]|\d+\s+\d+/\d+|\d+/\d+|\d*\.\d+|\d+)\s+([\p{{L}}\p{{N}}_]+)\s+(.+)$"
+GOOD = f"(regexp_matches(line, '{LINE_RE}') AND lower(regexp_extract(line, '{LINE_RE}', 2)) IN ({', '.join(repr(u) for u in op.LINE_UNITS)}))"
+#: The first line of a recipe is a text of two lines with a blank one between.
+SPLIT_SQL = f"""(SELECT * EXCLUDE (line, parts), unnest(parts) AS line, unnest(range(0, len(parts)))::INTEGER AS pos FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN [line, '2 CUPS Water'] ELSE [trim(line)] END AS parts FROM {LINE_SQL}))"""
+PARSED_SQL = f"""(SELECT *, CASE WHEN {GOOD} THEN {fractions_sql(f"regexp_extract(line, '{LINE_RE}', 1)")} ELSE '1' END AS quantity, CASE WHEN {GOOD} THEN lower(regexp_extract(line, '{LINE_RE}', 2)) ELSE 'count' END AS unit,
+ CASE WHEN {GOOD} THEN trim(regexp_extract(line, '{LINE_RE}', 3)) ELSE line END AS name FROM {SPLIT_SQL})"""
 
-FULL, COUNTED = rf"^({op.QUANTITY}) ({UNITS_RE})\.? (?:of )?(.+)$", rf"^({op.QUANTITY}) (.+)$"
-PARSED_SQL = f"""(SELECT *, CASE WHEN regexp_matches(line, '{FULL}') THEN regexp_extract(line, '{FULL}', 1) WHEN regexp_matches(line, '{COUNTED}') THEN regexp_extract(line, '{COUNTED}', 1) ELSE '1' END AS quantity,
- CASE WHEN regexp_matches(line, '{FULL}') THEN regexp_extract(line, '{FULL}', 2) ELSE 'count' END AS unit,
- CASE WHEN regexp_matches(line, '{FULL}') THEN regexp_extract(line, '{FULL}', 3) WHEN regexp_matches(line, '{COUNTED}') THEN regexp_extract(line, '{COUNTED}', 2) ELSE line END AS name FROM {LINE_SQL})"""
 
+def parsed_lines(spark, d):
+    text = F.when(F.col("l_linenumber") == 1, F.concat("line", F.lit("\n  \n 2 CUPS Water"))).otherwise(F.col("line"))
+    split = op.text_lines(lines(spark, d).withColumn("text", text).drop("line"), "text")
+    return split.select(*KEYS, "pos", "line", op.ingredient_line("line").alias("p"))
 
-@query("txt_ingredient_lines", f"SELECT {KEYS_SQL}, quantity, unit, name, CASE WHEN quantity = '1' AND unit = 'count' AND name = line THEN 'whole_line' ELSE 'parsed' END AS parse_status FROM {PARSED_SQL}")
+
+@query("txt_ingredient_lines", f"SELECT {KEYS_SQL}, pos, quantity, unit, name, CASE WHEN quantity = '1' AND unit = 'count' AND name = line THEN 'whole_line' ELSE 'parsed' END AS parse_status FROM {PARSED_SQL}")
 def txt_ingredient_lines(spark, d):
-    p = lines(spark, d).withColumn("p", op.ingredient_line("line"))
     status = F.when((F.col("p.quantity") == "1") & (F.col("p.unit") == "count") & (F.col("p.name") == F.col("line")), "whole_line").otherwise("parsed")
-    return op.with_status(p, status).select(*KEYS, "p.*", "parse_status")
-
+    return op.with_status(parsed_lines(spark, d), status).select(*KEYS, "pos", "p.*", "parse_status")
 
-def rich_sql():
-    def field(k):
-        out = []
-        for i, (p, *places) in enumerate(op.RICH_PATTERNS):
-            place = places[k] if k < 3 else None
-            e = str(i) if k == 3 else (f"regexp_extract(line, '{p}', {place})" if place else "'count'")
-            out.append(f"WHEN regexp_matches(line, '{p}') THEN {e}")
-        return "CASE " + " ".join(out) + f" ELSE {['\'1\'', '\'count\'', 'line', '-1'][k]} END"
 
-    return f"(SELECT {KEYS_SQL}, {field(0)} AS quantity, {field(1)} AS unit, {field(2)} AS whole, {field(3)} AS pattern FROM {LINE_SQL})"
+#: Rich lines, by the order's number.
+RICH = """concat(case l_orderkey % 9 WHEN 0 THEN 'About ' WHEN 1 THEN '• 1 TO ' WHEN 2 THEN '2–' WHEN 3 THEN '1 and 1/2 ' WHEN 4 THEN '1-1/2 ' WHEN 5 THEN '~ ' WHEN 6 THEN '½ ' WHEN 7 THEN '' ELSE '1 (14 oz) ' END,
+ CASE WHEN l_orderkey % 9 IN (0, 1, 2, 5, 7) THEN line WHEN l_orderkey % 2 = 0 THEN concat('Cups of ', p_name, ' (', p_name, ')') ELSE concat('can ', p_name) END)"""
+RICH_SQL = rf"""(SELECT *, CASE WHEN starts_with(q2, '.') THEN '0' || q2 ELSE q2 END AS q FROM (SELECT *, regexp_replace(regexp_replace(q1, '^(\d+)(?: and |-)(\d+/\d+)$', '\1 \2'), '(?i) ?(?:-|–|to|or) ?', '-') AS q2 FROM (
+ SELECT *, regexp_matches(t, '{op.RICH_LINE}') AS got, regexp_extract(t, '{op.RICH_LINE}', 1) AS about, regexp_extract(t, '{op.RICH_LINE}', 2) AS q1, regexp_extract(t, '{op.RICH_LINE}', 3) AS size, lower(regexp_extract(t, '{op.RICH_LINE}', 5)) AS u,
+  CASE WHEN regexp_matches(t, '{op.RICH_LINE}') THEN regexp_extract(t, '{op.RICH_LINE}', 6) ELSE t END AS rest
+ FROM (SELECT *, trim(regexp_replace({fractions_sql(f"regexp_replace(regexp_replace(trim({RICH.format()}), '^[^\\w\\d\\s{op.SIGNS}/.,~(-]+\\s*', ''), '(\\d) *([{op.SIGNS}])', '\\1 \\2', 'g')")}, '\s+', ' ', 'g')) AS t FROM {LINE_SQL}))))"""
 
 
-@query("txt_ingredient_rich", f"SELECT {KEYS_SQL}, quantity, unit, trim(string_split(whole, ',')[1]) AS name, trim(regexp_replace(whole, '^[^,]*,?', '')) AS context, pattern FROM {rich_sql()}")
+@query(
+    "txt_ingredient_rich",
+    rf"""SELECT {KEYS_SQL}, CASE WHEN got THEN q ELSE '1' END AS quantity, CASE WHEN NOT got OR u = '' THEN 'count' ELSE coalesce(n, u) END AS unit, trim(regexp_replace(regexp_replace(rest, '\s*\([^)]*\)\s*', ' ', 'g'), '\s+', ' ', 'g')) AS name,
+ regexp_extract(rest, '\(([^)]+)\)', 1) AS context, CASE WHEN NOT got THEN 'whole' WHEN size <> '' THEN 'sized' WHEN about <> '' THEN 'about' WHEN contains(q, '-') THEN 'range' WHEN contains(q, ' ') THEN 'mixed' WHEN u = '' THEN 'count' ELSE 'plain' END AS form
+ FROM {RICH_SQL} LEFT JOIN (VALUES {', '.join(str(x) for x in op.UNIT_NAMES.items())}) AS m(f, n) ON f = u""",
+)
 def txt_ingredient_rich(spark, d):
-    return lines(spark, d).select(*KEYS, op.ingredient_rich("line").alias("p")).select(*KEYS, "p.*")
+    rich = lines(spark, d).select(*KEYS, F.expr(RICH.format()).alias("line"))
+    return op.ingredient_rich(rich, "line").drop("line")
 
 
-ALT = rf"({op.NUMBER}) ?({UNITS_RE})\b"
+ALT = rf"({op.NUMBER}) ?({'|'.join(op.RICH_UNITS)})\b"
 
 
 @query(
@@ -76,12 +88,12 @@ def txt_spacing_repair(spark, d):
     return table(spark, d, "part").select("p_partkey", op.spacing_repair(F.expr(GLUED.format(s="string"))).alias("repaired"))
 
 
-QTY = "CASE p_partkey % 7 WHEN 0 THEN concat(cast(p_size as {s}), '') WHEN 1 THEN concat(cast(p_size as {s}), ' 1/2') WHEN 2 THEN concat('1/', cast(p_size as {s})) WHEN 3 THEN concat(cast(p_size as {s}), '-', cast(p_size + 3 as {s})) WHEN 4 THEN concat('~', cast(p_size as {s}), '.5') WHEN 5 THEN concat(cast(p_size as {s}), '½') ELSE 'some' END"
+QTY = "CASE p_partkey % 10 WHEN 0 THEN concat(cast(p_size as {s}), '') WHEN 1 THEN concat(cast(p_size as {s}), ' 1/2') WHEN 2 THEN concat('1/', cast(p_size as {s})) WHEN 3 THEN concat(cast(p_size as {s}), '-', cast(p_size + 3 as {s})) WHEN 4 THEN concat('~', cast(p_size as {s}), '.5') WHEN 5 THEN concat(cast(p_size as {s}), '⅝') WHEN 6 THEN concat('about ', cast(p_size as {s}), ' 1/4 – ', cast(p_size + 1 as {s}), ' 3/4') WHEN 7 THEN '⅖' WHEN 8 THEN '.25' ELSE 'some' END"
 
 
 def qty_sql(mode):
-    ends = "p_size + 3" if mode == "max" else "p_size + 1.5"
-    return f"CASE p_partkey % 7 WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 WHEN 2 THEN 1::DOUBLE / p_size WHEN 3 THEN {ends} WHEN 4 THEN p_size + 0.5 WHEN 5 THEN p_size + 0.5 END::DOUBLE"
+    ends = ["p_size + 3", "p_size + 1.75"] if mode == "max" else ["p_size + 1.5", "p_size + 1"]
+    return f"CASE p_partkey % 10 WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 WHEN 2 THEN 1::DOUBLE / p_size WHEN 3 THEN {ends[0]} WHEN 4 THEN p_size + 0.5 WHEN 5 THEN p_size + 0.625 WHEN 6 THEN {ends[1]} WHEN 7 THEN 0.4 WHEN 8 THEN 0.25 END::DOUBLE"
 
 
 @query("txt_quantity_value", f"SELECT p_partkey, {qty_sql('max')} AS by_max, {qty_sql('midpoint')} AS by_midpoint, coalesce({qty_sql('max')}, 1.0) AS with_default FROM part")
@@ -90,14 +102,17 @@ def txt_quantity_value(spark, d):
     return q.select("p_partkey", op.quantity_value("q", "max").alias("by_max"), op.quantity_value("q", "midpoint").alias("by_midpoint"), F.coalesce(op.quantity_value("q", "max"), F.lit(1.0)).alias("with_default"))
 
 
-UNIT_MAP = [("tablespoons", "tablespoon"), ("tbsp", "tablespoon"), ("cups", "cup"), ("g", "gram"), ("oz", "ounce"), ("slices", "slice")]
+#: Every unit that is known, and one that isn't, in the case of a line's number.
+UNIT_LIST = [*op.UNIT_NAMES, "Handful"]
+UNIT_AT = "(l_partkey + l_suppkey) % {n}"
 
 
-@query("txt_unit_normalise", f"SELECT {KEYS_SQL}, coalesce(t, lower(unit)) AS unit FROM {PARSED_SQL} LEFT JOIN (VALUES {', '.join(str(x) for x in UNIT_MAP)}) AS m(f, t) ON f = lower(unit)")
+@query("txt_unit_normalise", f"SELECT {KEYS_SQL}, coalesce(t, lower(trim(raw))) AS unit FROM (SELECT *, ([{', '.join(repr(u) for u in UNIT_LIST)}])[1 + {UNIT_AT.format(n=len(UNIT_LIST))}] AS raw FROM lineitem) LEFT JOIN (VALUES {', '.join(str(x) for x in op.UNIT_NAMES.items())}) AS m(f, t) ON f = lower(raw)")
 def txt_unit_normalise(spark, d):
-    m = spark.createDataFrame(UNIT_MAP, "from_unit string, to_unit string")
-    p = lines(spark, d).select(*KEYS, op.ingredient_line("line").alias("p")).select(*KEYS, F.col("p.unit").alias("raw"))
-    return op.normalise_unit(p, m, "raw").select(*KEYS, "unit")
+    at = F.expr(UNIT_AT.format(n=len(UNIT_LIST))).cast("int")
+    raw = F.get(F.array(*[F.lit(u) for u in UNIT_LIST]), at)
+    cased = F.when(F.col("l_linenumber") % 2 == 0, F.upper(raw)).otherwise(F.concat(F.lit(" "), raw))
+    return op.normalise_unit(table(spark, d, "lineitem").select(*KEYS, cased.alias("raw")), "raw").select(*KEYS, "unit")
 
 
 NUT = "concat('Calories: ', cast(p_size * 30 as {s}), ' kcal|', cast(p_size % 40 as {s}), 'g protein|Fat: ', cast(p_size * 3 as {s}), ' g')"
@@ -112,11 +127,11 @@ def txt_nutrition_values(spark, d):
     return table(spark, d, "part").select("p_partkey", *op.nutrition_values(t, patterns, bounds))
 
 
-DUR = "CASE o_orderkey % 6 WHEN 0 THEN concat('PT', cast(o_orderkey % 5 as {s}), 'H', cast(o_orderkey % 60 as {s}), 'M') WHEN 1 THEN concat(cast(o_orderkey % 4 as {s}), ' hours ', cast(o_orderkey % 50 as {s}), ' minutes') WHEN 2 THEN cast(o_orderkey % 90 as {s}) WHEN 3 THEN concat(cast(o_orderkey % 3 + 1 as {s}), ' hr') WHEN 4 THEN concat(cast(o_orderkey % 45 as {s}), ' min') ELSE 'soon' END"
-DUR_SQL = "CASE o_orderkey % 6 WHEN 0 THEN (o_orderkey % 5) * 60 + o_orderkey % 60 WHEN 1 THEN (o_orderkey % 4) * 60 + o_orderkey % 50 WHEN 2 THEN o_orderkey % 90 WHEN 3 THEN (o_orderkey % 3 + 1) * 60 WHEN 4 THEN o_orderkey % 45 END::INTEGER"
+DUR = "CASE o_orderkey % 10 WHEN 0 THEN concat('PT', cast(o_orderkey % 5 as {s}), 'H', cast(o_orderkey % 60 as {s}), 'M') WHEN 1 THEN concat(cast(o_orderkey % 4 as {s}), ' hours ', cast(o_orderkey % 50 as {s}), ' minutes') WHEN 2 THEN cast(o_orderkey % 90 as {s}) WHEN 3 THEN concat(cast(o_orderkey % 3 + 1 as {s}), ' hr') WHEN 4 THEN concat(cast(o_orderkey % 45 as {s}), ' min') WHEN 5 THEN 'soon' WHEN 6 THEN concat(cast(o_orderkey % 7 as {s}), '.5 Hours') WHEN 7 THEN concat('P1DT', cast(o_orderkey % 9 as {s}), 'H') WHEN 8 THEN concat('PT', cast(o_orderkey % 500 as {s}), 'S') ELSE concat('ready in ', cast(o_orderkey % 30 as {s})) END"
+DUR_SQL = "CASE o_orderkey % 10 WHEN 0 THEN (o_orderkey % 5) * 60 + o_orderkey % 60 WHEN 1 THEN (o_orderkey % 4) * 60 + o_orderkey % 50 WHEN 2 THEN o_orderkey % 90 WHEN 3 THEN (o_orderkey % 3 + 1) * 60 WHEN 4 THEN o_orderkey % 45 WHEN 6 THEN (o_orderkey % 7) * 60 + 30 WHEN 7 THEN 1440 + (o_orderkey % 9) * 60 WHEN 8 THEN (o_orderkey % 500) // 60 WHEN 9 THEN o_orderkey % 30 END::INTEGER"
 
 
-@query("txt_duration_minutes", f"SELECT o_orderkey, {DUR_SQL} AS minutes, coalesce({DUR_SQL}, 10 + (o_orderkey % 20)::INTEGER) AS ready, CASE WHEN o_orderkey % 6 = 5 THEN 'rejected' ELSE 'parsed' END AS parse_status FROM orders")
+@query("txt_duration_minutes", f"SELECT o_orderkey, {DUR_SQL} AS minutes, coalesce({DUR_SQL}, 10 + (o_orderkey % 20)::INTEGER) AS ready, CASE WHEN o_orderkey % 10 = 5 THEN 'rejected' ELSE 'parsed' END AS parse_status FROM orders")
 def txt_duration_minutes(spark, d):
     minutes = op.duration_minutes(F.expr(DUR.format(s="string")))
     o = table(spark, d, "orders").select("o_orderkey", minutes.alias("minutes"))
@@ -140,12 +155,12 @@ def txt_mapping_decode(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.inline(op.mapping_rows(F.expr(MAP.format(s="string")))))
 
 
-SUSPECT_RE = rf"\d|\b(?:{'|'.join(u for u in op.UNIT_WORDS if len(u) > 1)})\b"
+SUSPECT_RE = rf"\d|\b(?:{'|'.join(u for u in op.RICH_UNITS if len(u) > 1)})\b"
 
 
 @query("txt_suspect_parses", f"SELECT count(*) FILTER (quantity = '1' AND unit = 'count' AND regexp_matches(name, '{SUSPECT_RE}')) AS n, round(count(*) FILTER (quantity = '1' AND unit = 'count' AND regexp_matches(name, '{SUSPECT_RE}'))::DOUBLE / count(*), 6) AS rate FROM {PARSED_SQL}")
 def txt_suspect_parses(spark, d):
-    p = lines(spark, d).select(op.ingredient_line("line").alias("p"))
+    p = parsed_lines(spark, d)
     bad = F.count_if(op.suspect_parse(F.col("p.quantity"), F.col("p.unit"), F.col("p.name")))
     return p.agg(bad.alias("n"), F.round(bad / F.count(F.lit(1)), 6).alias("rate"))
 
@@ -155,14 +170,22 @@ def txt_complexity_label(spark, d):
     return lines(spark, d).select(*KEYS, op.complex_line(F.col("line")).alias("is_complex"))
 
 
+NEGLIGIBLE_UNIT = "CASE l_linenumber WHEN 1 THEN 'tsp' WHEN 2 THEN 'Tablespoons' WHEN 3 THEN 'count' WHEN 4 THEN 'Pinch' WHEN 5 THEN '' ELSE 'cup' END"
+NEGLIGIBLE_NAME = "CASE WHEN l_suppkey % 9 = 0 THEN concat('Zest of ', p_name) WHEN l_suppkey % 9 = 1 THEN concat('diced ', p_name) WHEN l_suppkey % 9 = 2 THEN 'Ice' ELSE {food} END"
+STARTS_RE, QUANTITY_SQL = "|".join(op_units.NEGLIGIBLE_STARTS), "(l_quantity % 4)"
+
+
 @query(
     "txt_negligible_flag",
-    f"SELECT {KEYS_SQL}, p_name IN ('small ring', 'blue bolt') OR regexp_matches(p_name, '^(?:pinch of|dash of|red )') OR l_linenumber = 7 OR ((contains(p_name, 'hot') OR contains('hot', p_name) OR contains(p_name, 'old spice') OR contains('old spice', p_name)) AND l_quantity <= 2) AS negligible FROM {LINE_SQL}",
+    f"""WITH l AS (SELECT *, lower(trim({NEGLIGIBLE_NAME.format(food=FOOD_SQL)})) AS n, lower({NEGLIGIBLE_UNIT}) AS u FROM {LINE_SQL}), s(k) AS (VALUES {', '.join(f"('{x.replace(chr(39), chr(39) * 2)}')" for x in op_units.SEASONINGS)}),
+h AS (SELECT DISTINCT n, true AS seasoning FROM (SELECT DISTINCT n FROM l) JOIN s ON contains(n, k) OR contains(k, n))
+SELECT {KEYS_SQL}, n IN ({', '.join(repr(x) for x in op_units.NEGLIGIBLE_NAMES)}) OR regexp_matches(n, '^(?:{STARTS_RE})') OR u IN ({', '.join(repr(x) for x in op_units.NEGLIGIBLE_UNITS)})
+ OR (coalesce(seasoning, false) AND ((u = 'tsp' AND {QUANTITY_SQL} <= 2) OR (u = 'tablespoons' AND {QUANTITY_SQL} <= 1) OR (u IN ('count', '') AND {QUANTITY_SQL} <= 2))) AS negligible FROM l LEFT JOIN h USING (n)""",
 )
 def txt_negligible_flag(spark, d):
-    exact = spark.createDataFrame([("small ring",), ("blue bolt",)], "name string")
-    rows = lines(spark, d).withColumn("unit", F.when(F.col("l_linenumber") == 7, "pinch").otherwise("cup"))
-    return op.negligible(rows, exact, "p_name", "l_quantity", "unit").select(*KEYS, "negligible")
+    rows = lines(spark, d).select(*KEYS, F.expr(NEGLIGIBLE_NAME.format(food=FOOD_SQL)).alias("name"), F.expr(NEGLIGIBLE_UNIT).alias("unit"), (F.col("l_quantity") % 4).alias("quantity"))
+    rows = op_units.with_facts(rows, op_units.name_facts(rows, op_units.dictionaries(spark), "name"), "name")
+    return rows.select(*KEYS, op_units.negligible(F.col("name"), F.col("quantity"), F.col("unit"), F.col("seasoning")).alias("negligible"))
 
 
 @query("txt_name_clean", r"SELECT p_partkey, nullif(trim(regexp_replace(regexp_replace(lower(trim(p_brand || '  Inc ' || p_type)), '\b(?:inc|promo|small)\b', '', 'g'), '\s+', ' ', 'g')), '') AS brand FROM part")
@@ -170,15 +193,18 @@ def txt_name_clean(spark, d):
     return table(spark, d, "part").select("p_partkey", op.clean_name(F.concat("p_brand", F.lit("  Inc "), "p_type"), ["inc", "promo", "small"]).alias("brand"))
 
 
-STOP = ["the", "and", "that"]
+SETS_TEXT = "concat(text, ' 2 cups Chopped Onion 1.5 and 3/4 tbsp')"
+NO_WORD = r"[^\p{L}\p{N}_]"
+#: A measure ends at a character that the next one needs before it, so every second one goes in a second pass.
+NO_MEASURE = rf"'(^|{NO_WORD})\d+(?:/\d+)?\s*{op.MEASURE}($|{NO_WORD})', '\1\2', 'g'"
 
 
 @query(
     "txt_word_set",
-    rf"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(substring(text, 1, 300)), '[^a-z ]', ' ', 'g'), ' +'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'that', {', '.join(repr(u) for u in op.UNIT_WORDS)})))), ' ') AS words FROM documents",
+    rf"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower({SETS_TEXT}), {NO_MEASURE}), {NO_MEASURE}), '\d+(?:\.\d+)?', '', 'g'), '{NO_WORD}+'), lambda w: regexp_full_match(w, '[a-z]+') AND length(w) > 2 AND w NOT IN ({', '.join(repr(x) for x in [*op.STOP_WORDS, *op.DESCRIPTORS])})))), ' ') AS words FROM documents",
 )
 def txt_word_set(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(op.word_set(F.substring("text", 1, 300), STOP)), " ").alias("words"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(op.word_set(F.expr(SETS_TEXT))), " ").alias("words"))
 
 
 @query(

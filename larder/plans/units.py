@@ -5,61 +5,86 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import units as op
-from larder.plans.lookups import DENSITY_VALUES, MACROS, PORTION_SQL, TIERED_LINES_SQL, UNIT_SQL, densities, line_unit, portions, tiered_lines
+from larder.operators.lookups import nutrition_values
+from larder.plans.lookups import DEFAULTS, MACROS, PORTION_SQL, TIERED_LINES_SQL, UNIT_SQL, line_unit, part_macros, portions, tiered_lines
 from larder.plans.registry import query, table
 
+#: Foods that the part names stand for, so that the built-in dictionaries have something to find.
+FOODS = {"small ring": "garlic", "red widget": "bell pepper", "blue bolt": "black pepper", "hot gear": "brown sugar", "old bolt": "eggplant", "hot ring": "sour cream", "new gear": "shiitake mushroom", "large widget": "sage"}
+FOOD_SQL = "(CASE p_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FOODS.items()) + " ELSE p_name END)"
 UNIT_ROWS = ", ".join(f"('{u}', '{kind}', {f})" for kind, us in (("weight", op.WEIGHT), ("tiny", op.TINY), ("volume", op.VOLUME)) for u, f in us.items())
-PIECES = [("ring", 5.0), ("anvil", 450.0), ("gear", 60.0)]
-PIECE_VALUES = ", ".join(f"({k}, '{key}', {v})" for k, (key, v) in enumerate(PIECES))
-FIRST = "(SELECT arg_min(v, o) FROM (VALUES {}) AS t(o, k, v) WHERE contains(lower(p_name), k))"
+QUOTED = [s.replace("'", "''") for s in op.SEASONINGS]
+DICTIONARY_SQL = "(VALUES " + ", ".join([f"('density', {o}, '{k}', {float(v)})" for o, (k, v) in enumerate(op.DENSITY.items())] + [f"('piece', {o}, '{k}', {float(v)})" for o, (k, v) in enumerate(op.PIECE.items())] + [f"('seasoning', {o}, '{k}', 1.0)" for o, k in enumerate(QUOTED)]) + ") AS y(kind, o, k, v)"
 #: Dictionaries meet distinct names only, in the SQL too.
+FACTS_SQL = f"""(SELECT food, arg_min(v, o) FILTER (kind = 'density') AS density, arg_min(v, o) FILTER (kind = 'piece') AS piece, count(*) FILTER (kind = 'seasoning') > 0 AS seasoning
+  FROM (SELECT DISTINCT {FOOD_SQL} AS food FROM part) LEFT JOIN {DICTIONARY_SQL} ON contains(food, k) OR (kind = 'seasoning' AND contains(k, food)) GROUP BY 1)"""
+AMBIGUOUS_SQL = ", ".join(f"'{u}'" for u in op.AMBIGUOUS)
 GRAMS_SQL = f"""(SELECT *, round(CASE WHEN kind IN ('weight', 'tiny') THEN l_quantity * factor WHEN kind = 'volume' AND portion IS NOT NULL THEN l_quantity * portion
-   WHEN kind = 'volume' AND density IS NOT NULL THEN l_quantity * factor * density / 240 WHEN kind = 'volume' THEN l_quantity * factor WHEN u IN ('piece', 'count', 'slice', '') THEN l_quantity * coalesce(piece, 50.0) ELSE 100.0 END, 4)::DOUBLE AS grams,
-   CASE WHEN kind IN ('weight', 'tiny') THEN kind WHEN kind = 'volume' AND portion IS NOT NULL THEN 'portion' WHEN kind = 'volume' AND density IS NOT NULL THEN 'density' WHEN kind = 'volume' THEN 'water' WHEN u IN ('piece', 'count', 'slice', '') THEN 'piece' ELSE 'default' END AS gram_source
- FROM (SELECT x.*, regexp_replace(unit, 's$', '') AS u, {PORTION_SQL} AS portion, n.density, n.piece, kind, factor FROM (SELECT *, {UNIT_SQL} AS unit FROM {TIERED_LINES_SQL}) x
-   JOIN (SELECT p_name, {FIRST.format(DENSITY_VALUES)} AS density, {FIRST.format(PIECE_VALUES)} AS piece FROM (SELECT DISTINCT p_name FROM part)) n USING (p_name)
-   LEFT JOIN (VALUES {UNIT_ROWS}) AS t(un, kind, factor) ON un = regexp_replace(unit, 's$', '')))"""
+   WHEN kind = 'volume' AND density IS NOT NULL THEN l_quantity * factor * density / 240 WHEN kind = 'volume' THEN l_quantity * factor WHEN u IN ({AMBIGUOUS_SQL}) AND seasoning THEN l_quantity
+   WHEN u IN ('piece', 'count', 'clove') THEN l_quantity * coalesce(piece, 50.0) ELSE l_quantity * 100.0 END, 4)::DOUBLE AS grams,
+   CASE WHEN kind IN ('weight', 'tiny') THEN kind WHEN kind = 'volume' AND portion IS NOT NULL THEN 'portion' WHEN kind = 'volume' AND density IS NOT NULL THEN 'density' WHEN kind = 'volume' THEN 'water'
+   WHEN u IN ({AMBIGUOUS_SQL}) AND seasoning THEN 'seasoning' WHEN u IN ('piece', 'count', 'clove') THEN 'piece' ELSE 'default' END AS gram_source
+ FROM (SELECT x.*, regexp_replace(unit, 's$', '') AS u, {PORTION_SQL} AS portion, n.density, n.piece, n.seasoning, kind, factor FROM (SELECT *, {FOOD_SQL} AS food, {UNIT_SQL} AS unit FROM {TIERED_LINES_SQL}) x
+   JOIN {FACTS_SQL} n USING (food) LEFT JOIN (VALUES {UNIT_ROWS}) AS t(un, kind, factor) ON un = regexp_replace(unit, 's$', '')))"""
 WATER_SQL = f"(SELECT * REPLACE (CASE WHEN gram_source = 'water' AND est BETWEEN 10 AND 500 THEN est ELSE grams END AS grams, CASE WHEN gram_source = 'water' AND est BETWEEN 10 AND 500 THEN 'estimate' ELSE gram_source END AS gram_source) FROM (SELECT g.*, CASE WHEN l_partkey % 4 = 1 THEN (l_partkey % 600)::DOUBLE END AS est FROM {GRAMS_SQL} g))"
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def lines_in_grams(spark, d):
-    pieces = spark.createDataFrame([(k, key, v) for k, (key, v) in enumerate(PIECES)], "ordinal int, key string, value double")
-    lines = tiered_lines(spark, d).withColumns({"unit": line_unit(), "portions": portions()})
-    return op.to_grams(lines, op.units_table(spark), densities(spark), pieces, "l_quantity", "unit", "p_name")
+def food():
+    return F.expr(FOOD_SQL)
+
 
+def foods(spark, d):
+    """Each part with its food name and what the dictionaries say of it; the dictionaries meet the parts' distinct names."""
+    named = part_macros(spark, d).withColumn("food", food())
+    return op.with_facts(named, op.name_facts(named, op.dictionaries(spark), "food"), "food")
 
-def lines_overridden(spark, d):
-    estimates = table(spark, d, "part").filter("p_partkey % 4 = 1").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 600).cast("double").alias("grams"))
-    return op.override_water(lines_in_grams(spark, d), estimates, "l_partkey")
+
+def lines_in_grams(spark, d):
+    """Recipe lines with values per 100 g and grams. All that depends on the ingredient is resolved on the ingredients, so the
+    lines meet one join."""
+    p = foods(spark, d)
+    reference = p.filter("l_partkey % 3 = 0")
+    estimates = p.filter("l_partkey % 3 = 1").select("l_partkey", *[(F.col(m) / 2).alias(m) for m in MACROS])
+    known = nutrition_values(p.select("l_partkey", "food", "density", "piece", "seasoning"), reference, estimates, "l_partkey", MACROS, DEFAULTS)
+    guess = table(spark, d, "part").filter("p_partkey % 4 = 1").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 600).cast("double").alias("guess"))
+    lines = table(spark, d, "lineitem").select(*KEYS, "l_quantity").join(known.join(guess, "l_partkey", "left"), "l_partkey")
+    g = op.grams(F.col("l_quantity"), line_unit(), portions(), F.col("density"), F.col("piece"), F.col("seasoning"))
+    return lines.withColumn("_g", g).select(*KEYS, *MACROS, "guess", "_g.grams", "_g.gram_source")
 
 
 @query("cnv_to_grams", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, grams, gram_source FROM {GRAMS_SQL}")
 def cnv_to_grams(spark, d):
-    return lines_in_grams(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "grams", "gram_source")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), food().alias("food")), "l_partkey").withColumns({"unit": line_unit(), "portions": portions()})
+    names = table(spark, d, "part").select(food().alias("food"))
+    return op.to_grams(lines, op.dictionaries(spark), "l_quantity", "unit", "food", names=names).select(*KEYS, "grams", "gram_source")
 
 
 @query("cnv_override_water", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(grams, 4) AS grams, gram_source, round(calories * grams / 100, 9) AS calories FROM {WATER_SQL}")
 def cnv_override_water(spark, d):
-    return lines_overridden(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("grams", 4).alias("grams"), "gram_source", F.round(F.col("calories") * F.col("grams") / 100, 9).alias("calories"))
+    lines = op.overridden(lines_in_grams(spark, d), F.col("guess"))
+    return lines.select(*KEYS, F.round("grams", 4).alias("grams"), "gram_source", F.round(F.col("calories") * F.col("grams") / 100, 9).alias("calories"))
 
 
 @query(
     "cnv_reference_sanity",
     """
-WITH p AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 4 > 0 THEN p_retailprice END AS kcal, (p_size % 30)::DOUBLE AS protein, (p_size % 50 * 3)::DOUBLE AS fat, (p_size % 40)::DOUBLE AS carbs FROM part),
-c AS (SELECT *, coalesce(kcal, 9 * fat + 4 * protein + 4 * carbs) AS calories FROM p)
-SELECT p_partkey, calories, NOT (carbs > 105 OR fat > 105 OR protein > 105 OR calories > 950) AND NOT (calories = 0 AND fat = 0 AND protein = 0 AND carbs = 0) AS sane FROM c""",
+WITH p AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 4 > 1 THEN p_retailprice WHEN p_partkey % 4 = 1 THEN 0.0 END AS kcal, (p_size % 30)::DOUBLE AS protein, (p_size % 50 * 3)::DOUBLE AS fat, (p_size % 40)::DOUBLE AS carbs FROM part),
+c AS (SELECT *, CASE WHEN coalesce(kcal, 0) = 0 AND (fat > 0 OR protein > 0 OR carbs > 0) THEN round(9 * fat + 4 * protein + 4 * carbs, 1) ELSE coalesce(kcal, 0) END AS calories FROM p)
+SELECT p_partkey, calories, NOT (carbs > 105 OR fat > 105 OR protein > 105 OR calories > 950) AND NOT (calories = 0 AND fat = 0 AND protein = 0 AND carbs = 0 AND NOT regexp_matches(lower(p_name), 'salt|water')) AS sane FROM c""",
 )
 def cnv_reference_sanity(spark, d):
-    s = F.col("p_size")
-    p = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 4 > 0, F.col("p_retailprice")).alias("calories"), (s % 30).cast("double").alias("protein"), (s % 50 * 3).cast("double").alias("fat"), (s % 40).cast("double").alias("carbs"))
+    s, k = F.col("p_size"), F.col("p_partkey")
+    kcal = F.when(k % 4 > 1, F.col("p_retailprice")).when(k % 4 == 1, 0.0)
+    p = table(spark, d, "part").select("p_partkey", "p_name", kcal.alias("calories"), (s % 30).cast("double").alias("protein"), (s % 50 * 3).cast("double").alias("fat"), (s % 40).cast("double").alias("carbs"))
     return op.reference_sanity(p, "p_name").select("p_partkey", "calories", "sane")
 
 
 @query("agg_recipe_macros", f"SELECT l_orderkey, {', '.join(f'round_even(sum({m}::DECIMAL(10, 2) * grams::DECIMAL(14, 4))::DOUBLE / 100, 0) AS {m}' for m in MACROS)} FROM {WATER_SQL} GROUP BY 1")
 def agg_recipe_macros(spark, d):
     """Macros per recipe: reference values, grams with the water override, one sum per recipe."""
-    return lines_overridden(spark, d).groupBy("l_orderkey").agg(*[op.rounded_total(m).alias(m) for m in MACROS])
+    lines = op.overridden(lines_in_grams(spark, d), F.col("guess"))
+    return lines.groupBy("l_orderkey").agg(*[op.rounded_total(m).alias(m) for m in MACROS])
 
 
 @query(

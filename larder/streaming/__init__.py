@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,11 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
 
 
 class RateLimiter(StatefulProcessor):
-    """Admits an event if fewer than `limit` admitted ones lie within `seconds` before it. Refused ones leave no trace."""
+    """Admits an event if fewer than `limit` admitted ones lie within `seconds` before it. Refused ones leave no trace.
+
+    A key's events of one trigger are put in time order over all Arrow batches, as two numbers each. An event that comes in a later
+    trigger than newer ones is judged when it comes, and newer admitted ones count as well.
+    """
 
     def __init__(self, limit: int, seconds: float):
         self.limit, self.seconds = limit, seconds
@@ -37,16 +42,16 @@ class RateLimiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         times = [t[0] for t in self.admitted.get()]
-        for pdf in rows:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            keep = []
-            for ts in pdf["ts"]:
-                now = ts.timestamp()
-                times = [t for t in times if t > now - self.seconds]
-                keep.append(len(times) < self.limit)
-                if keep[-1]:
-                    times.append(now)
-            yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "admitted": keep})
+        parts = [(pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy(), pdf["event_id"].to_numpy()) for pdf in rows]
+        micros, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.lexsort((ids, micros))
+        keep = []
+        for now in (micros[order] / 1e6).tolist():
+            times = [t for t in times if t > now - self.seconds]
+            keep.append(len(times) < self.limit)
+            if keep[-1]:
+                times.append(now)
+        yield pd.DataFrame({"user_id": key[0], "event_id": ids[order], "admitted": keep})
         self.admitted.put([(t,) for t in times])
 
     def close(self) -> None:

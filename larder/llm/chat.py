@@ -11,8 +11,8 @@ A message stands where its first event stands; its role is the latest one given.
 `<|im_start|>role\\ntext<|im_end|>\\n`. Inside texts a backslash goes between `<` (and any backslashes) and `|`, so no
 control string can come from a text and the escape can be undone exactly; roles are percent-encoded.
 
-One exchange by conv_id serves every step. A conversation becomes one row, so it must fit a row; turns of other
-conversations don't matter to it.
+One exchange by conv_id serves every step. A conversation becomes one row, so a very long one must fit a row (2 GB) and its
+task's memory; turns of other conversations don't matter to it.
 
 Defined cases: null text is empty, null role is "", null kind is `message`. Events with equal seq are ordered by msg_id,
 kind, role and text. A conversation whose messages were all deleted gives no row. Repeated rows of a turn table are

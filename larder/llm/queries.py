@@ -134,9 +134,28 @@ e AS (SELECT b.r, arg_min(s.rule, x.ord) AS rule FROM b JOIN u USING (stratum) J
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN 'base' ELSE rule END AS failed_rule, NOT base_failed AND rule IS NULL AS kept FROM b LEFT JOIN e USING (r)"""
 
 
+def _secrets_sql() -> str:
+    """Spans by the lengths of matches and of what lies between them."""
+    kinds = []
+    for k, (kind, (pattern, group, least, _)) in enumerate(secrets.RULES.items()):
+        p = "'" + pattern.replace("'", "''") + "'"
+        kinds.append(f"SELECT r, {k} AS o, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS g, string_split_regex(t, {p}) AS s FROM d WHERE regexp_matches(t, {p})")
+    base = ", ".join(f"'{b}'" for b in secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({' UNION ALL '.join(kinds)}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
+f AS (SELECT r, o, kind, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(m[i]) AS n FROM e WHERE length(g[i]) >= least),
+n AS (SELECT *, kind || ':' || a::VARCHAR || ':' || (a + n)::VARCHAR AS shown FROM f),
+h AS (SELECT r, {counts}, string_agg(shown, ',' ORDER BY a, o) FILTER (kind IN ({base})) AS base, string_agg(shown, ',' ORDER BY a, o) AS spans FROM n GROUP BY 1)
+SELECT doc_id, {', '.join(f"coalesce(n_{b}, 0) AS n_{b}" for b in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN h USING (r)"""
+
+
 #: The other queries can't be put in SQL (hashed keys of both engines differ, tokenizers, signatures, schedules).
 ORACLES = {
     "op7_quality_rules": _quality_sql(),
+    "op8_secret_scan": _secrets_sql(),
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 w AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),

@@ -11,7 +11,8 @@ rows, which adaptive execution can split for a hot blob.
 Rules: the three base kinds, and added kinds (private keys, signed web tokens, known token prefixes, credentials in
 URLs). Spans are code points, end exclusive; each kind is matched leftmost, without overlap.
 
-Defined cases: null text is empty and has no findings. Repeated rows each appear in the result. An empty table gives an
+Defined cases: null text is empty and has no findings. A very long text is one blob and scanned as a whole; it must fit a row.
+Repeated rows each appear in the result, and null or repeated keys are kept as they are. An empty table gives an
 empty result. Extra columns are ignored.
 """
 
@@ -33,10 +34,10 @@ RULES = {
     "assign": (r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, (":", "=")),
     "access": (r"AKIA[A-Z0-9]+", 0, 20, ("AKIA",)),
     "hex": (r"[0-9a-f]{24,}", 0, 24, ()),
-    "private_key": (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", 0, 0, ("-----BEGIN ",)),
+    "private_key": (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", 0, 0, ("-----BEGIN ",)),
     "web_token": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, ("eyJ",)),
     "prefixed_token": (r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 0, ("gh", "xox", "sk_live_", "AIza")),
-    "url_credential": (r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{3,128}@", 0, 0, ("://",)),
+    "url_credential": (r"[a-z][a-z0-9+.-]{1,15}://[^\x09-\x0D\x20:/@]{1,64}:[^\x09-\x0D\x20:/@]{3,128}@", 0, 0, ("://",)),
 }
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<kind:string,start:int,end:int>>"

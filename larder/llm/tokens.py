@@ -9,7 +9,8 @@ Each distinct text crosses one shuffle; a text that many rows share is reduced b
 adaptive execution can split for a hot digest. An append is committed whole or not at all, and counts don't depend on who
 wrote them, so a repeated or lost task changes nothing; double appends by concurrent runs are reduced on reading.
 
-Defined cases: null text is empty and has no tokens. Repeated rows each appear in the result. An empty table gives an
+Defined cases: null text is empty and has no tokens. A very long text is encoded whole, in a call of its own; it must fit a row.
+Repeated rows each appear in the result, and rows that share a doc_id are counted each by its text. An empty table gives an
 empty result. Special strings inside texts are handled as the library does by default. Extra columns are ignored.
 """
 

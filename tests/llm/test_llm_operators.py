@@ -213,34 +213,95 @@ def test_probability_jaccard_estimate():
     assert abs((registers[0] == registers[1]).mean() - true) < 0.04
 
 
-def test_mix_deviation_and_whole_rows(spark):
+def units_of(plan):
+    return [x for k in range(len(plan.bounds) - 1) for x in plan.slots(k)]
+
+
+PLANS = [
+    ([1, 1, 1], [5000, 5000, 5000], 100), ([5, 3, 2], [700, 300, 100], 100), ([0.501, 0.499], [5000, 5000], 100), ([2**0.5, 3.14159, 2.71828, 0.01], [30000, 30000, 30000, 300], 500), ([k + 1 for k in range(40)], [k * 9 + 1 for k in range(40)], 200),
+    ([1.0] * 2500, [1] * 2500, 1000), ([1e-6, 1, 2], [3, 1000, 1000], 100), ([1], [7], 3), ([3, 1], [1, 1], 10), ([1, 1], [1, 900], 50),
+]
+
+
+@pytest.mark.parametrize(("weights", "units", "period"), PLANS)
+def test_plan_stays_within_one_block_of_the_weights(weights, units, period):
+    """Many periods, weights that don't divide them, exact fractions: less than two units, which are half blocks."""
+    plan = mixing.Plan(np.array(weights, float), np.array(units), period)
+    placed = units_of(plan)
+    assert sorted(slot for _, _, slot, *_ in placed) == list(range(sum(units)))
+    assert {(s, u) for s, u, *_ in placed} == {(s, u) for s, n in enumerate(units) for u in range(n)}
+    assert all(release <= slot < deadline for _, _, slot, release, deadline in placed)
+    total, done = sum(map(Fraction, weights)), Counter()
+    for s, _, slot, *_ in sorted(placed, key=lambda x: x[2]):
+        if slot >= plan.end:
+            break
+        done[s] += 1
+        for x in range(len(weights)) if slot % 11 == 0 or slot + 1 in plan.bounds else [s]:
+            assert abs(Fraction(weights[x]) / total * (slot + 1) - done[x]) < 2
+    assert plan.end >= min(int(Fraction(n) * total / Fraction(w)) for n, w in zip(units, weights, strict=True)) - 1 or plan.end == sum(units)
+
+
+def brute_edf(quota, period):
+    """Of all units that are released, the one of the earliest deadline, slot by slot."""
+    waiting = [(-(-(k + 1) * period // q), k * period // q, s, k) for s, q in quota.items() for k in range(q)]
+    for slot in range(period):
+        unit = min(x for x in waiting if x[1] <= slot)
+        waiting.remove(unit)
+        yield slot, unit
+
+
+@pytest.mark.parametrize("quota", [{"a": 7, "b": 3}, {"a": 90, "b": 9, "c": 1}, {str(k): k + 1 for k in range(12)}, {"a": 1}])
+def test_schedule_meets_the_deadlines_like_brute_force(quota):
+    period = sum(quota.values())
+    assert all(slot < deadline for slot, (deadline, *_) in brute_edf(quota, period))
+    plan = mixing.schedule(quota, period)
+    assert sorted(slot for *_, slot in plan) == list(range(period))
+    done = Counter()
+    for s, k, slot in sorted(plan, key=lambda x: x[2]):
+        assert k == done[s] and k * period // quota[s] <= slot < -(-(k + 1) * period // quota[s])
+        done[s] += 1
+        for x, q in quota.items():
+            assert abs(Fraction(q * (slot + 1), period) - done[x]) < 1
+
+
+def test_mix_whole_rows(spark):
     docs = spark.createDataFrame([(k, "hot" if k % 3 == 0 else None if k % 7 == 0 else f"s{k % 4}", "x") for k in range(3000)], "doc_id long, source string, slot string")
-    got = mixing.mix(docs, block_rows=4, rows_per_bucket=100).collect()
+    got = mixing.mix(docs, block_rows=4, rows_per_bucket=100, period=200).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(3000))
     for s in {r["source"] for r in got}:
         blocks = Counter(r["block"] for r in got if r["source"] == s)
         assert set(blocks) == set(range(1, len(blocks) + 1)) and max(blocks.values()) == 4
+        assert sorted(Counter(r["slot"] for r in got if r["source"] == s).values())[1:] == [2] * (-(-sum(blocks.values()) // 2) - 1)
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
-    assert len({r["slot"] for r in got}) == len({(r["source"], r["block"]) for r in got})
-    assert any(not r["in_mix"] for r in got)
+    sizes = Counter(r["source"] for r in got)
+    slots = {r["slot"] for r in got}
+    assert slots == set(range(len(slots))) and len(slots) == sum(-(-n // 2) for n in sizes.values())
+    assert any(r["in_mix"] for r in got) and not all(r["in_mix"] for r in got)
+    weight, done = {s: n**0.5 for s, n in sizes.items()}, Counter()
+    for slot, s in sorted({(r["slot"], r["source"]) for r in got if r["in_mix"]}, key=lambda x: x[0]):
+        done[s] += 1
+        assert all(abs(weight[x] / sum(weight.values()) * (slot + 1) - done[x]) < 2 for x in sizes)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("asked", [None, {"hot": 10, "(other)": 4, **{f"s{k}": 2 for k in range(60)}}])
+@pytest.mark.parametrize("asked", [None, {"hot": 10, "(other)": 4, None: 1, **{f"s{k}": 2 for k in range(50)}}])
 def test_mix_of_many_sources(spark, asked):
-    names = ["hot"] * 600 + ["(other)"] * 300 + [f"s{k}" for k in range(60) for _ in range(40)] + [None] * 20
+    names = ["hot"] * 600 + ["(other)"] * 300 + [f"s{k}" for k in range(2500) for _ in range(2)] + [None] * 20
     docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
-    got = mixing.mix(docs, asked, block_rows=4, max_sources=8).collect()
+    got = mixing.mix(docs, asked).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(len(names)))
-    weight = {s: asked.get(s, 0) if asked else n**0.5 for s, n in Counter(names).items()}
-    placed = [r for r in got if weight[r["source"]] > 0]
-    assert all(r["slot"] is None and not r["in_mix"] for r in got if weight[r["source"]] == 0)
-    assert all(r["release"] <= r["slot"] < r["deadline"] for r in placed)
-    at = {(r["source"], r["block"]): r["slot"] for r in placed}
-    assert len(set(at.values())) == len(at) == len({(r["source"], r["block"], r["slot"]) for r in placed})
-    assert {r["block"] for r in got if r["source"] == "s7"} == set(range(1, 11))
-    for (s, block), slot in at.items():
-        assert abs(weight[s] / sum(weight.values()) * (slot + 1) - block) < 2.1
+    placed = [r for r in got if asked is None or asked.get(r["source"], 0) > 0]
+    assert all(r["slot"] is None and not r["in_mix"] for r in got if asked and not asked.get(r["source"], 0))
+    at = {(r["source"], (r["slot"])) for r in placed}
+    assert len(at) == len({slot for _, slot in at}) == max(slot for _, slot in at) + 1
+    same = mixing.mix(spark.createDataFrame([(k, f"s{k // 2}") for k in range(5000)], "doc_id long, source string")).collect()
+    assert len(same) == 5000 and all(r["in_mix"] for r in same)
+
+
+def test_mix_ties_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "a", "y"), (None, "a", "z"), (None, None, "z")], "doc_id long, source string, text string")
+    first = sorted(map(str, mixing.mix(docs, block_rows=2).collect()))
+    assert len(first) == 5 and first == sorted(map(str, mixing.mix(docs.repartition(3), block_rows=2).collect()))
 
 
 def test_pipeline_mixing_keeps_every_row(spark, sf_dir):
@@ -250,23 +311,10 @@ def test_pipeline_mixing_keeps_every_row(spark, sf_dir):
     mixed = mixing.mix(docs)
     assert mixed.filter("not in_mix").count() > 0
     got = [r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, sf_dir).collect()]
+    assert len({(r["source"], r["slot"]) for r in mixed.collect()}) == len({r["slot"] for r in mixed.collect()})
     assert got == [r["doc_id"] for r in sorted(mixed.collect(), key=lambda r: (r["slot"], r["doc_id"]))] and len(got) == 3000
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 90, "b": 9, "c": 1}, {str(k): k + 1 for k in range(40)}, {"a": 0.501, "b": 0.499}])
-def test_schedule_stays_within_one_block(weights):
-    period = 1000
-    quota = mixing.quotas(weights, period)
-    assert sum(quota.values()) == period
-    plan = mixing.schedule(quota, period)
-    assert sorted(slot for *_, slot in plan) == list(range(period))
-    done = Counter()
-    for s, _, slot in sorted(plan, key=lambda x: x[2]):
-        done[s] += 1
-        for x, q in quota.items():
-            assert abs(Fraction(q * (slot + 1), period) - done[x]) < 1
-
-
 def test_bpe_equals_the_library(spark, sf_dir):
     from tokenizers import Tokenizer
 
@@ -322,26 +370,75 @@ def test_binomial_tail(spark, n, k, p):
     assert abs(got - want) < 1e-9
 
 
-def test_thresholds_limit_false_rejection(spark):
-    good = " ".join(f"word{i}" for i in range(60))
-    bad = good + " #" * 40
-    docs = spark.createDataFrame([(k, bad if k % 10 == 9 else good + f" tail{k}", "en" if k % 2 else "rare") for k in range(4000)], "doc_id long, text string, lang string")
-    labels = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 9, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic")).filter("lang = 'en' or doc_id < 100")
-    control = quality.RiskControl(max_false_rejection=0.05, delta=0.05)
-    cuts = by_id(quality.thresholds(docs, labels, control), "stratum")
-    assert set(cuts) == {"en"}
-    judged = quality.quality_rules(docs, labels, control).collect()
-    assert all(r["kept"] == (r["doc_id"] % 10 != 9) for r in judged if r["lang"] == "en")
-    assert all(r["kept"] for r in judged if r["lang"] == "rare" and r["doc_id"] % 10 != 9)
+def brute_thresholds(rows, labels, control):
+    """Cut-offs per stratum by exact fractions. rows: (doc_id, stratum, text)."""
+    per_doc = {}
+    for doc, good, toxic in labels:
+        a, b = per_doc.get(doc, (1, 0))
+        per_doc[doc] = min(a, good), max(b, toxic or 0)
+    hold = {}
+    for doc, stratum, text in rows:
+        n, chars, symbols, dup, repeat = brute_quality(text)
+        if per_doc.get(doc) == (1, 0) and not (n < 50 or 100 * repeat > 50 * n):
+            n_lines = len([x for x in (text or "").split("\n") if split(x)])
+            scores = {"symbol_rate": symbols / n, "dup_line_rate": dup / max(n_lines, 1), "repeat_word_rate": repeat / n, "long_words": chars / n, "short_words": -chars / n}
+            hold.setdefault(stratum, {})[hashlib.md5((text or "").encode()).hexdigest()] = scores
+    parts = {s: ([x for h, x in texts.items() if h[0] in "0123"], [x for h, x in texts.items() if h[0] not in "0123"]) for s, texts in hold.items()}
+    tested = {s: p for s, p in parts.items() if len(p[1]) >= control.n_min and p[0]}
+    out = {}
+    for s, (a, b) in tested.items():
+        strictest = {r: max([k for k, c in enumerate(cuts) if sum(x[r] > c for x in a) <= control.propose * len(a)], default=-1) for r, cuts in quality.GRID.items()}
+        for j in range(quality.STEPS + 1):
+            cuts = {r: quality.GRID[r][strictest[r] - (quality.STEPS - j)] if strictest[r] >= quality.STEPS - j else None for r in quality.GRID}
+            k = sum(any(c is not None and x[r] > c for r, c in cuts.items()) for x in b)
+            p = Fraction(control.max_false_rejection)
+            tail = sum(comb(len(b), i) * p**i * (1 - p) ** (len(b) - i) for i in range(k + 1))
+            if float(tail) > control.delta / len(tested):
+                break
+            out[s] = cuts
+    return out
+
+
+def quality_cases():
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for k in range(2400):
+        stratum = ["en", "fr", "rare", ""][min(k % 5, 3)]
+        words = [f"w{rng.integers(1 << 20)}" for _ in range(60)]
+        bad = k % 10 == 9
+        marks = rng.integers(20, 60) if bad else rng.integers(0, 3)
+        rows.append((k, stratum, " ".join(words) + " #" * int(marks) if k % 50 else rows[-50][2] if k else "short"))
+        if stratum != "rare" or k < 100:
+            labels.append((k, int(not bad), 0))
+    return rows, labels
+
+
+def test_thresholds_like_brute_force(spark):
+    rows, labels = quality_cases()
+    control = quality.RiskControl(max_false_rejection=0.05)
+    docs = spark.createDataFrame([(k, t, s or None) for k, s, t in rows], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    measured = quality.measured(docs)
+    got = by_id(quality.thresholds(measured, marks, control)[0], "stratum")
+    want = brute_thresholds(rows, labels, control)
+    assert {s: {r: c[f"cut_{r}"] for r in quality.GRID} for s, c in got.items()} == want
+    assert len(want) >= 2 and "rare" not in want
+    judged = quality.quality_rules(docs, marks, control).collect()
+    assert len(judged) == len(rows)
+    good = [r for r in judged if (r["lang"] or "") in want and r["doc_id"] % 10 != 9 and not r["base_failed"]]
+    assert sum(not r["kept"] for r in good) <= 0.05 * len(good)
+    assert sum(r["kept"] for r in judged if (r["lang"] or "") in want and r["doc_id"] % 10 == 9) == 0
+    assert all(r["kept"] for r in judged if r["lang"] == "rare" and not r["base_failed"])
 
 
 def test_thresholds_use_every_label(spark):
     good = " ".join(f"word{i}" for i in range(60))
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(good + " tail"), F.col("id").cast("string")).alias("text"), F.lit("rare").alias("lang"))
     labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
-    few = by_id(quality.thresholds(docs, labels.filter("doc_id < 3000")), "stratum")
-    many = by_id(quality.thresholds(docs, labels), "stratum")
-    assert many == few and many["rare"]["n_holdout"] == 3000
+    rows = quality.measured(docs)
+    few = by_id(quality.thresholds(rows, labels.filter("doc_id < 3000"))[0], "stratum")
+    many = by_id(quality.thresholds(rows, labels)[0], "stratum")
+    assert many == few and 2000 < many["rare"]["n_test"] < 3000
 
 
 def test_quality_cases(spark):
@@ -350,6 +447,8 @@ def test_quality_cases(spark):
     assert len(got) == len(BASE_TEXTS)
     assert got[0]["n_words"] == 0 and got[0]["base_failed"] and not got[0]["kept"]
     assert quality.quality_rules(documents(spark).limit(0), labels.limit(0)).count() == 0
+    twice = documents(spark).unionByName(documents(spark))
+    assert quality.quality_rules(twice, labels).count() == 2 * len(BASE_TEXTS)
 
 
 def test_secret_scan_and_ledger(spark):
@@ -387,10 +486,61 @@ def test_exact_dedup(spark):
     assert exact.keep_first(documents(spark)).count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in BASE_TEXTS})
 
 
-def test_exact_dedup_repeated_rows_and_null_ids(spark):
-    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "c")], "doc_id long, text string")
-    got = sorted(((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"]) for r in exact.exact_dedup(docs).collect()))
-    assert got == [(-1, -1, 1), (-1, 1, 3), (1, 1, 1), (1, 1, 3), (1, 1, 3)]
+IDS = [(1, "a a"), (2, "a  a"), (2, "unique text"), (None, "q"), (None, "q"), (None, "a a"), (3, "x"), (3, "x"), (4, None), (5, ""), (6, "unique text")]
+IDS_SCHEMA = "doc_id long, text string"
+
+
+def staying(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_exact_dedup_goes_by_row(spark):
+    docs = spark.createDataFrame(IDS, IDS_SCHEMA)
+    got = sorted(((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in exact.exact_dedup(docs).collect()))
+    assert got == sorted([(1, 1, 3, True), (2, 1, 3, False), (2, 2, 2, True), (-1, -1, 2, True), (-1, -1, 2, False), (-1, 1, 3, False), (3, 3, 2, True), (3, 3, 2, False), (4, 4, 2, True), (5, 4, 2, False), (6, 2, 2, False)])
+    assert staying(exact.keep_first(docs)) == sorted([(1, "a a"), (2, "unique text"), (None, "q"), (3, "x"), (4, None)], key=str)
+
+
+def test_near_dedup_goes_by_row(spark):
+    docs = spark.createDataFrame(IDS, IDS_SCHEMA)
+    got = minhash.near_dedup(docs).collect()
+    assert len(got) == len(IDS) and all(r["kept"] is not None for r in got)
+    assert sorted((r["group_id"] or -1) for r in got if r["kept"]) == [-1, 1, 2, 3, 4]
+    assert staying(minhash.keep_one(docs)) == sorted([(1, "a a"), (2, "unique text"), (None, "q"), (3, "x"), (4, None)], key=str)
+
+
+def test_dedup_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 1, "n", 2), (2, "a", 3, "m", 4), (3, "b", None, None, None)], "doc_id long, text string, _row int, name string, _d int")
+    for keep in (exact.keep_first, minhash.keep_one):
+        assert sorted(map(tuple, keep(docs).collect())) == [(1, "a", 1, "n", 2), (3, "b", None, None, None)]
+        assert keep(docs.limit(0)).count() == 0
+
+
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))], "a long, b long").repartition(5)
+    once = {r.node: r.root for r in minhash.components(links).collect()}
+    monkeypatch.setattr(minhash, "ONE_TASK", 0)
+    assert {r.node: r.root for r in minhash.components(links).collect()} == once
+
+
+def test_near_dedup_recall(spark):
+    """All pairs of the 0.01 tables, exactly, against the groups: at least 0.9 of the pairs of 0.8 or more are in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    group = {r["doc_id"]: r["group_id"] for r in minhash.near_dedup(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    t, e, w = minhash.weighted(*minhash.shingles(words.words_of(pa.array([r["text"] for r in rows]))))
+    cut = np.searchsorted(t, np.arange(len(rows) + 1))
+    sets = [(e[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    holders = {}
+    for k, (elements, _) in enumerate(sets):
+        for x in elements.tolist():
+            holders.setdefault(x, []).append(k)
+    pairs = {(a, b) for ks in holders.values() for i, a in enumerate(ks) for b in ks[i + 1 :]}
+    true = [(a, b) for a, b in pairs if minhash.similarity(sets[a], sets[b]) >= 0.8]
+    found = sum(group[rows[a]["doc_id"]] == group[rows[b]["doc_id"]] for a, b in true)
+    assert len(true) > 50 and found >= 0.9 * len(true)
+    print(f"recall {found / len(true):.4f} of {len(true)} pairs")
 
 
 def test_chat_fold(spark):
@@ -416,6 +566,166 @@ def test_chat_round_trip(spark, text):
     assert r["l"] == [text]
 
 
+def test_token_and_bpe_queries(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(FILE)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = {k: model.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    got = by_id(queries.op3_token_counts(spark, sf_dir))
+    assert {k: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for k, r in got.items()} == {k: (len(t.encode()), len(ids[k]), len(ids[k]) > 512) for k, t in texts.items()}
+    got = by_id(queries.op6_bpe(spark, sf_dir))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert {k: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for k, r in got.items()} == {k: (len(i), sha(",".join(map(str, i))), sha(model.decode(i, skip_special_tokens=False))) for k, i in ids.items()}
+
+
+def test_shards_query(spark, sf_dir):
+    import zlib
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.op2_histogram_shards(spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got} == {k: (len(t) + 8, zlib.crc32(t), "bytes", None) for k, t in texts.items()}
+    sizes = Counter()
+    for s in range(24):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+        sizes[s] = sum(r["size"] for r in got if r["shard"] == s)
+    total, largest = sum(sizes.values()), max(r["size"] for r in got)
+    below = np.cumsum([sizes[s] for s in range(24)])
+    # every splitter is as near to its target as the texts' sizes allow, or within its tolerance
+    assert all(abs(b - total * (k + 1) / 24) <= max(0.01 * total / 24, largest / 2 + 1) for k, b in enumerate(below))
+
+
+def test_shards_number_hot_groups_in_short_ranges(spark, monkeypatch):
+    texts = ["hot"] * 5000 + [f"text {k}" for k in range(500)]
+    taken = []
+    real = shards.find_splitters
+
+    def spy(*args):
+        taken.append(real(*args))
+        return taken[-1]
+
+    monkeypatch.setattr(shards, "find_splitters", spy)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "hot"), (7, "hot"), (7, None)], "doc_id long, text string")
+    got = shards.histogram_shards(docs, n_shards=5, rows_per_range=100).collect()
+    assert len(got) == len(texts) + 3
+    below = sorted(taken[0][1].values())
+    assert max(np.diff(below)) <= 200
+    for s in range(5):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_mixing_query_keeps_all_rows(spark, sf_dir):
+    got = queries.op5_mixing(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+
+
+def test_secret_query(spark, sf_dir):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    got = by_id(queries.op8_secret_scan(spark, sf_dir))
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        t, want = r["text"] or "", []
+        want += [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        want += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        named = [f"{kind}:{a}:{z}" for a, _, kind, z in sorted(want)]
+        row = got[r["doc_id"]]
+        assert [row[f"n_{kind}"] for kind in ("assign", "access", "hex")] == [sum(x[2] == kind for x in want) for kind in ("assign", "access", "hex")]
+        assert row["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert set(named) <= set(row["spans"].split(","))
+
+
+def test_empty_tables_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "same words here"), (None, None), (1, "same words here"), (1, "other"), (1, "other")], IDS_SCHEMA)
+    assert substrings.remove_repeats(docs).count() == 5 and substrings.remove_repeats(docs.limit(0)).count() == 0
+    assert tokens.count_tokens(docs, scratch_path(spark, "test-cache"), FILE).count() == 5
+    found = secrets.scan_history(docs, scratch_path(spark, "test-ledger"), ["doc_id"])
+    assert found.count() == 5 and secrets.scan_history(docs.limit(0), scratch_path(spark, "test-ledger"), ["doc_id"]).count() == 0
+    encoded = bpe.bpe_decode(bpe.bpe_encode(docs, FILE), FILE)
+    assert sorted(r["decoded"] for r in encoded.collect()) == sorted(t or "" for t in ["same words here", None, "same words here", "other", "other"])
+
+
+def test_substrings_of_repeated_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (1, "short"), (2, f"c {passage} d"), (2, f"c {passage} d"), (None, f"e {passage} f")], IDS_SCHEMA)
+    got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in substrings.remove_repeats(docs).collect())
+    assert got == [(-1, 0), (1, 0), (1, 0), (2, 60), (2, 60)]
+
+
+def brute_pipeline(rows, labels):
+    """Ids that stay after quality rules, exact and near dedup, by plain Python. rows: doc_id -> (text, lang)."""
+    cuts = brute_thresholds([(k, lang or "", t) for k, (t, lang) in rows.items()], labels, quality.RiskControl())
+    good = []
+    for k, (t, lang) in rows.items():
+        n, chars, symbols, dup, repeat = brute_quality(t)
+        if n < 50 or 100 * repeat > 50 * n:
+            continue
+        n_lines = len([x for x in (t or "").split("\n") if split(x)])
+        scores = {"symbol_rate": symbols / n, "dup_line_rate": dup / max(n_lines, 1), "repeat_word_rate": repeat / n, "long_words": chars / n, "short_words": -chars / n}
+        if not any(c is not None and scores[r] > c for r, c in cuts.get(lang or "", {}).items()):
+            good.append(k)
+    first = {}
+    for k in sorted(good):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[k][0] or ""), k)
+    return good, sorted(first.values())
+
+
+def test_pipeline_like_brute_force(spark, sf_dir):
+    """Rows that stay after each stage; the near stage against exact links, the last against the library."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r["doc_id"]: (r["text"], r["lang"]) for r in docs.collect()}
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    good, unique = brute_pipeline(rows, labels)
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, sf_dir)
+    assert ids(kept) == sorted(good)
+    kept = stages["exact_dedup"](spark, kept, sf_dir)
+    assert ids(kept) == unique
+    sets = {k: Counter(tuple(split(rows[k][0])[i : i + 5]) for i in range(len(split(rows[k][0])) - 4)) for k in unique}
+    root = {k: k for k in unique}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(unique):
+        for b in unique[i + 1 :]:
+            x, y = sets[a], sets[b]
+            shared = x.keys() & y.keys()
+            if len(shared) >= 0.5 * max(len(x), len(y)) and sum(1 / sum(max(x[j] / x[i2], y[j] / y[i2]) for j in x.keys() | y.keys()) for i2 in shared) >= 0.8:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    last = sorted({find(k) for k in unique})
+    kept = stages["near_dedup"](spark, kept, sf_dir)
+    assert ids(kept) == last
+    kept = stages["mixing"](spark, kept, sf_dir)
+    assert ids(kept) == last
+    model = Tokenizer.from_file(FILE)
+    encoded = {r["doc_id"]: list(r["ids"]) for r in stages["bpe"](spark, kept, sf_dir).collect()}
+    assert encoded == {k: model.encode(rows[k][0] or "", add_special_tokens=False).ids for k in last}
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Nulls, repeated ids and rows, ties and empty tables go through all stages."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(80))
+    data = [(1, text, "en", "a", 1), (1, text + " x", None, None, None), (1, "w " * 3, "en", "a", 1), (None, text, "en", "a", 1), (None, None, None, None, None), (2, text.replace("w1", "v1"), "fr", "b", 2), (2, text.replace("w1", "v1"), "fr", "b", 2), (3, "", "en", "a", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows, n in ((data, 2), ([], 0)):
+        path = f"{tmp_path}/d{n}"
+        spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        assert len(out) == n
+        assert sorted(r["doc_id"] for r in out) == [1, 2][:n]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

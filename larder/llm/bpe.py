@@ -10,7 +10,8 @@ Pieces repeat, so each Python worker keeps the ids of up to twice `CACHED_PIECES
 only). Both directions are narrow: no shuffle, and memory bounded by a batch.
 
 Defined cases: null text is empty and has no ids. Special strings inside texts become their ids, as the library does by
-default; nothing is added, truncated or padded. Repeated rows and empty tables pass through. A column of the input named
+default; nothing is added, truncated or padded. A very long text is encoded whole; it must fit a row. Repeated rows, repeated or null
+doc_ids and empty tables pass through. A column of the input named
 like the output column is replaced.
 """
 

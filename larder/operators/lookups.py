@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from larder.functions import escape
 
-#: A dictionary of more rows is joined by size, not by a broadcast hint.
-BROADCAST_ROWS = 10_000
+#: A dictionary of more rows, or of more bytes of text, is joined by the planner's choice, not by a broadcast hint.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 8 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it has at most `limit` rows (counted), else unchanged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if it has at most `limit` rows and `most` bytes, both measured on those rows, else unchanged.
+
+    This reads up to limit + 1 rows of a dictionary; with rows that are literals in the plan it costs a fraction of a second."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    n, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and size <= most else df
 
 
 def alias_lookup(aliases: DataFrame, ingredients: DataFrame, status: str = "active") -> DataFrame:

@@ -27,6 +27,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    from larder.plans.sources import drop_scratch
+
+    drop_scratch(session)
     session.stop()
 
 

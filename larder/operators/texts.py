@@ -163,13 +163,29 @@ def normalise_unit(df: DataFrame, unit: str, output: str = "unit", unit_map: Dat
     return joined.withColumn(output, F.coalesce("to_unit", "_key")).drop("_key", "to_unit")
 
 
-def nutrition_values(lines: Column, patterns: dict[str, list[str]], bounds: dict[str, tuple[float, float]]) -> list[Column]:
-    """First plausible value of each nutrient in an array of texts."""
-    t = F.lower(F.array_join(lines, " | "))
+_N = r"(\d+(?:\.\d+)?)"
+# Least and most that is plausible, and patterns in order, of each nutrient; numbers before names come first.
+NUTRIENTS = {
+    "calories": (10, 5000, [r"(\d{2,4})\s*calories\b", r"(\d{2,4})\s*kcal\b", r"calories[:\s]*(\d{2,4})\b", r"energy[:\s]*(\d{2,4})\b"]),
+    "protein": (0, 200, [rf"{_N}\s*g\s*protein\b", rf"{_N}\s*grams?\s*protein\b", rf"protein[:\s]*{_N}\s*g?\b"]),
+    "carbs": (0, 200, [rf"{_N}\s*g\s*carbohydrates?\b", rf"{_N}\s*g\s*carbs\b", rf"carbohydrates?[:\s]*{_N}\s*g?\b", rf"carbs[:\s]*{_N}\s*g?\b", rf"total\s+carbohydrates?[:\s]*{_N}\b"]),
+    "fat": (0, 200, [rf"{_N}\s*g\s*fat\b", rf"{_N}\s*g\s*total\s*fat\b", rf"(?:total\s+)?fat[:\s]*{_N}\s*g?\b"]),
+    "fiber": (0, 200, [rf"{_N}\s*g\s*fib(?:er|re)\b", rf"fib(?:er|re)[:\s]*{_N}\s*g?\b"]),
+    "sugar": (0, 200, [rf"{_N}\s*g\s*sugars?\b", rf"sugars?[:\s]*{_N}\s*g?\b"]),
+    "sodium": (0, 10000, [rf"{_N}\s*mg\s*sodium\b", rf"sodium[:\s]*{_N}\s*(?:mg)?\b"]),
+}
+#: Replacements that part letters from digits and names from what they are glued to, and phrases that are dropped (fixed values).
+NUTRITION_CLEAN = [(r"([a-z])(\d)", "$1 $2"), (r"(\d)([a-z])", "$1 $2"), ("(calories|protein|carbs|carbohydrates|fat|fiber|sugar|sodium)", " $1"), ("per serving|per portion|amount per serving|nutrition facts", "")]
+
+
+def nutrition_values(lines: Column, nutrients: dict[str, tuple[float, float, list[str]]] = NUTRIENTS) -> list[Column]:
+    """The first plausible value of each nutrient in an array of texts, in any of the usual spellings, glued ones too."""
+    t = F.lower(F.array_join(lines, " "))
+    for pattern, by in NUTRITION_CLEAN:
+        t = F.regexp_replace(t, pattern, by)
     out = []
-    for name, options in patterns.items():
-        lo, hi = bounds[name]
-        values = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("double") for p in options]
+    for name, (lo, hi, patterns) in nutrients.items():
+        values = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("double") for p in patterns]
         out.append(F.coalesce(*[F.when(v.between(lo, hi), v) for v in values]).alias(name))
     return out
 

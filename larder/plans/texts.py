@@ -115,16 +115,22 @@ def txt_unit_normalise(spark, d):
     return op.normalise_unit(table(spark, d, "lineitem").select(*KEYS, cased.alias("raw")), "raw").select(*KEYS, "unit")
 
 
-NUT = "concat('Calories: ', cast(p_size * 30 as {s}), ' kcal|', cast(p_size % 40 as {s}), 'g protein|Fat: ', cast(p_size * 3 as {s}), ' g')"
+NUT = """CASE p_partkey % 5 WHEN 0 THEN concat('Calories', cast(p_size * 30 as {s}), 'Protein', cast(p_size % 40 as {s}), 'gFat', cast(p_size * 3 as {s}), 'g|Fiber: 4g') WHEN 1 THEN concat(cast(p_size * 30 as {s}), ' kcal|', cast(p_size % 40 as {s}), '.5g protein|Total Fat: ', cast(p_size * 6 as {s}), ' g')
+ WHEN 2 THEN concat('Nutrition facts|Amount per serving|Energy: ', cast(p_size * 9 as {s}), '|', cast(p_size as {s}), ' grams protein|Total Carbohydrates: ', cast(p_size as {s}), '|', cast(p_size as {s}), 'mg sodium') WHEN 3 THEN concat('Sugars ', cast(p_size as {s}), 'g|carbs:', cast(p_size as {s}), '|sodium: 250') ELSE '' END"""
 
 
-@query("txt_nutrition_values", "SELECT p_partkey, CASE WHEN p_size * 30 BETWEEN 1 AND 1000 THEN p_size * 30 END::DOUBLE AS calories, (p_size % 40)::DOUBLE AS protein, CASE WHEN p_size * 3 <= 100 THEN p_size * 3 END::DOUBLE AS fat, NULL::DOUBLE AS carbs FROM part")
+def nutrition_sql():
+    t = f"lower(replace({NUT.format(s='VARCHAR')}, '|', ' '))"
+    for pattern, by in op.NUTRITION_CLEAN:
+        t = f"regexp_replace({t}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    value = lambda p, lo, hi: f"CASE WHEN TRY_CAST(nullif(regexp_extract(t, '{p}', 1), '') AS DOUBLE) BETWEEN {lo} AND {hi} THEN TRY_CAST(regexp_extract(t, '{p}', 1) AS DOUBLE) END"
+    columns = [f"coalesce({', '.join(value(p, lo, hi) for p in patterns)}) AS {name}" for name, (lo, hi, patterns) in op.NUTRIENTS.items()]
+    return f"SELECT p_partkey, {', '.join(columns)} FROM (SELECT p_partkey, {t} AS t FROM part)"
+
+
+@query("txt_nutrition_values", nutrition_sql())
 def txt_nutrition_values(spark, d):
-    number = r"(\d+(?:\.\d+)?)"
-    patterns = {"calories": [rf"calories:? {number}", rf"{number} ?kcal"], "protein": [rf"protein:? {number}", rf"{number} ?g protein"], "fat": [rf"fat:? {number}"], "carbs": [rf"carb\w*:? {number}"]}
-    bounds = {"calories": (1, 1000), "protein": (0, 100), "fat": (0, 100), "carbs": (0, 100)}
-    t = F.split(F.expr(NUT.format(s="string")), r"\|")
-    return table(spark, d, "part").select("p_partkey", *op.nutrition_values(t, patterns, bounds))
+    return table(spark, d, "part").select("p_partkey", *op.nutrition_values(F.split(F.expr(NUT.format(s="string")), r"\|")))
 
 
 DUR = "CASE o_orderkey % 10 WHEN 0 THEN concat('PT', cast(o_orderkey % 5 as {s}), 'H', cast(o_orderkey % 60 as {s}), 'M') WHEN 1 THEN concat(cast(o_orderkey % 4 as {s}), ' hours ', cast(o_orderkey % 50 as {s}), ' minutes') WHEN 2 THEN cast(o_orderkey % 90 as {s}) WHEN 3 THEN concat(cast(o_orderkey % 3 + 1 as {s}), ' hr') WHEN 4 THEN concat(cast(o_orderkey % 45 as {s}), ' min') WHEN 5 THEN 'soon' WHEN 6 THEN concat(cast(o_orderkey % 7 as {s}), '.5 Hours') WHEN 7 THEN concat('P1DT', cast(o_orderkey % 9 as {s}), 'H') WHEN 8 THEN concat('PT', cast(o_orderkey % 500 as {s}), 'S') ELSE concat('ready in ', cast(o_orderkey % 30 as {s})) END"

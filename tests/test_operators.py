@@ -275,3 +275,31 @@ def test_required_gate_reads_the_whole_text(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["passed"] for r in QUERIES["scr_required_gate"](spark, str(tmp_path)).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_tsv_lines_that_are_too_short_too_long_or_mistyped(spark, tmp_path):
+    from larder import sources
+
+    (tmp_path / "t.tsv").write_text("code\tname\tsize\n1\ta\t5\n2\tb\n3\tc\t7\textra\n4\td\tmany\n5\te\t9\n")
+    got = {r["code"]: (r["size"], r["bad_line"] is None) for r in sources.tsv_bad_lines(spark, str(tmp_path / "t.tsv"), ["code", "name", "size"], {"size": "int"}).cache().collect()}
+    assert got == {"1": (5, True), "2": (None, False), "3": (7, False), "4": (None, False), "5": (9, True)}
+
+
+def test_spread_deals_a_small_file_only(spark, sf_dir):
+    from larder.sources import spread
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(docs, 10)._jdf.equals(docs._jdf) or spread(docs, 10) is docs
+
+
+@pytest.mark.parametrize(
+    ("lines", "want"),
+    [
+        (["Calories300Protein25g"], {"calories": 300.0, "protein": 25.0}), (["334 kcal", "19g protein", "26 g carbohydrates", "Total Fat: 17g"], {"calories": 334.0, "protein": 19.0, "carbs": 26.0, "fat": 17.0}),
+        (["Amount per serving", "Energy: 90", "3.5 grams protein", "Fiber 4g", "Sugars: 12 g", "250mg sodium"], {"calories": 90.0, "protein": 3.5, "fiber": 4.0, "sugar": 12.0, "sodium": 250.0}), (["9 calories", "400g protein"], {}), ([], {}),
+    ],
+)
+def test_nutrition_values(spark, lines, want):
+    got = spark.range(1).select(*texts.nutrition_values(F.array(*[F.lit(x) for x in lines]).cast("array<string>"))).first().asDict()
+    assert {k: v for k, v in got.items() if v is not None} == want

@@ -10,9 +10,12 @@ Only segments whose anchor occurs in two documents travel. Equal segments are re
 shuffle, so a passage that many documents share counts a few times. Its borders, different in each document, would still meet at
 the passage's anchors; anchors that are frequent in a hash sample of documents therefore come last in the order, and
 windows with any other gram avoid them (at most `MAX_HOT` anchors, which all tasks get). The choice of anchors changes
-only who meets where, not the result.
+only who meets where, not the result. What is left to a frequent anchor are windows of frequent grams only; equal ones are one
+segment there, however many documents hold them. An anchor that is not among the frequent ones has at most some 1 / MAX_HOT of all
+anchors, so a shard's index grows with the input only where different texts share a gram of 12 words that often.
 
-Defined cases: null text has no words. A text of fewer than `window` words stays whole. Repeats within one document
+Defined cases: null text has no words. A text of fewer than `window` words stays whole, a very long one is cut into segments like any
+other and must fit a row. Repeats within one document
 don't count. doc_id names a document: identical rows that repeat it get identical results, and rows that
 give it to different texts share the intervals of either. Null doc_id: the row keeps all its words and removes
 none elsewhere. Empty tables give empty results. Extra columns are ignored.

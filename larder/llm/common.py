@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +30,41 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/larder-llm/{spark.sparkContext.applicationId}"
 
 
+#: The folder inside that one, for tables that are deleted together.
+_SCOPE: list[str] = []
+
+
+@contextmanager
+def scratch_scope(name: str) -> Iterator[None]:
+    """Scratch tables that are made inside go to a folder of this name."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([scratch_root(spark), *_SCOPE, f"{name}-{uuid.uuid4().hex}"])
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this application. Call it when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+def drop_scratch(spark: SparkSession, scope: str | None = None) -> None:
+    """Delete every scratch table of this application, or of a scope. Call it when no result that reads them is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join([scratch_root(spark), *([scope] if scope else [])]))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reads_scope(df: DataFrame, scope: str) -> bool:
+    """Whether `df` reads scratch tables of the scope, by the folders in its plan."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    folders = []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            folders.append(leaf.relation().location().rootPaths().mkString(" "))
+    return any(f"/{scope}/" in f for f in folders)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a new scratch table and read it back: lineage ends, lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)

@@ -14,7 +14,7 @@ import pytest
 import public_tokenizers
 from compare import duck_table, rows
 from larder.llm import bpe, chat, exact, minhash, mixing, quality, queries, secrets, shards, substrings, tokens, words
-from larder.llm.common import scratch_path
+from larder.llm.common import reads_scope, scratch_path
 from larder.llm.fmindex import FMIndex, suffix_array
 from pyspark.sql import functions as F
 
@@ -682,6 +682,7 @@ def test_pipeline_like_brute_force(spark, sf_dir):
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["quality_rules"](spark, docs, sf_dir)
     assert ids(kept) == sorted(good)
+    assert reads_scope(kept, "pipeline-0") and not reads_scope(docs, "pipeline-0")
     kept = stages["exact_dedup"](spark, kept, sf_dir)
     assert ids(kept) == unique
     sets = {k: Counter(tuple(split(rows[k][0])[i : i + 5]) for i in range(len(split(rows[k][0])) - 4)) for k in unique}

@@ -13,7 +13,7 @@ again, so no task sorts much more than `rows_per_range` rows, unless more of the
 same 23 bits of the doc_id's hash.
 
 Defined cases: null text has no bytes (size 8) and falls into the group of empty texts; null doc_id hashes like any value. Rows
-with equal keys are ordered by doc_id, then by text; rows that repeat a doc_id get slots of their own. A very long text counts by its
+with equal keys are ordered by doc_id, then by the text's hash; rows that repeat a doc_id get slots of their own. A very long text counts by its
 bytes like any other; a shard may then be larger by one text. An empty table gives an empty result. Columns of the input named
 like an output column are replaced.
 """
@@ -133,7 +133,7 @@ def histogram_shards(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.0
         return pd.Series(np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int32) - 1)
 
     kept = [c for c in docs.columns if c not in {"size", "shard", "slot"}]
-    placed = docs.select(*kept, row_size(text).alias("size"), shard_key(text, doc_id).alias("_key")).withColumn("_range", range_of("_key"))
-    order = Window.partitionBy("_range").orderBy("_key", doc_id, text)
+    placed = docs.select(*kept, row_size(text).alias("size"), shard_key(text, doc_id).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_tie")).withColumn("_range", range_of("_key"))
+    order = Window.partitionBy("_range").orderBy("_key", doc_id, "_tie")
     # the place table has a row per range: a few per splitter and one per rows_per_range rows
     return placed.withColumn("_row", F.row_number().over(order)).join(place, "_range").select(*kept, "size", "shard", (F.col("_before") + F.col("_row") - 1).alias("slot"))

@@ -87,7 +87,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Index over sequences of symbols >= 1 that are separated (and ended) by 0, each position with an owner.
 
-    A search asks for occurrences whose owner is below a limit; for that the index keeps range minima of the owners: three
+    A search asks for occurrences whose owner is below a limit; for that the index keeps minima of the owners: five
     numbers per position and a table over blocks of BLOCK positions.
     """
 
@@ -100,19 +100,16 @@ class FMIndex:
         counts = np.bincount(symbols, minlength=1 << levels)
         first = np.concatenate([[0], np.cumsum(counts)])[:-1]
         self.shift = first - self.matrix.place(every, np.zeros(1 << levels, np.int64))
-        self.owner = owner[order].astype(np.int64)
-        # minima of whole blocks, in a sparse table; inside blocks, running minima from the left and from the right
-        n_blocks = -(-self.n // BLOCK)
-        padded = np.full(n_blocks * BLOCK, np.iinfo(np.int64).max)
-        padded[: self.n] = self.owner
-        grid = padded.reshape(n_blocks, BLOCK)
-        self.from_left = np.minimum.accumulate(grid, axis=1).reshape(-1)
-        self.from_right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        self.minima = [grid.min(axis=1)]
+        # minima of 1, 2, 4 ... BLOCK owners from each position on, and a sparse table over whole blocks
+        self.near = [owner[order]]
+        while 1 << (len(self.near) - 1) < BLOCK:
+            last, width = self.near[-1], 1 << (len(self.near) - 1)
+            self.near.append(np.append(np.minimum(last[:-width], last[width:]), last[-width:]) if self.n > width else last)
+        self.far = [self.near[-1][::BLOCK][: self.n // BLOCK]]
         width = 1
-        while 2 * width <= n_blocks:
-            last = self.minima[-1]
-            self.minima.append(np.minimum(last[:-width], last[width:]))
+        while 2 * width <= len(self.far[0]):
+            last = self.far[-1]
+            self.far.append(np.minimum(last[:-width], last[width:]))
             width *= 2
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,30 +120,19 @@ class FMIndex:
 
     def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Smallest owner from low to high, which must not be empty."""
-        last = high - 1
-        a, z = low // BLOCK, last // BLOCK
-        out = np.minimum(self.from_right[low], self.from_left[last])
-        wide = np.flatnonzero(z - a > 1)
+        level = np.minimum(np.frexp((high - low).astype(np.float64))[1] - 1, len(self.near) - 1)
+        out = np.empty(len(low), self.near[0].dtype)
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.near[k][low[at]], self.near[k][high[at] - (1 << int(k))])
+        wide = np.flatnonzero(high - low > 2 * BLOCK)
         if len(wide):
-            begin, count = a[wide] + 1, z[wide] - a[wide] - 1
-            level = np.frexp(count.astype(np.float64))[1] - 1
+            begin, end = -(-low[wide] // BLOCK), high[wide] // BLOCK
+            level = np.frexp((end - begin).astype(np.float64))[1] - 1
             for k in np.unique(level):
                 at = level == k
-                table = self.minima[k]
-                out[wide[at]] = np.minimum(out[wide[at]], np.minimum(table[begin[at]], table[begin[at] + count[at] - (1 << int(k))]))
-        same = np.flatnonzero(a == z)
-        if len(same):
-            # inside one block: its places one by one
-            value = self.owner[low[same]]
-            left = same
-            for k in range(1, BLOCK):
-                more = low[left] + k < high[left]
-                if not more.any():
-                    break
-                left, value_at = left[more], np.flatnonzero(more)
-                value_index = value_at if k == 1 else value_index[value_at]
-                value[value_index] = np.minimum(value[value_index], self.owner[low[left] + k])
-            out[same] = value
+                table = self.far[k]
+                out[wide[at]] = np.minimum(out[wide[at]], np.minimum(table[begin[at]], table[end[at] - (1 << int(k))]))
         return out
 
     def match_back(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, limit: np.ndarray) -> np.ndarray:

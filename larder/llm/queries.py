@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, chat, exact, minhash, mixing, quality, secrets, shards, substrings, tokens
+from larder.llm import align, bpe, chat, exact, minhash, mixing, neighbours, quality, secrets, shards, substrings, tokens, trie
 from larder.llm.common import scratch_path, spread
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
 
 
@@ -89,6 +90,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20).withColumnRenamed("id", "vec_id")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    return align.align_counted(documents(spark, sf_dir), a, b, groups="sha256").withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_histogram_shards": op2_histogram_shards,
@@ -100,8 +116,12 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_nearest": op12_nearest,
+    "op13_alignment": op13_alignment,
 }
 
+
 def _quality_sql() -> str:
     """Metrics, holdout, proposed and tested cut-offs, and verdicts; the binomial tail by its terms."""
     c, last = quality.RiskControl(), quality.STEPS
@@ -179,4 +199,23 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
              sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS formatted_chars
       FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g""",
+    "op11_prefix_trie": r"""
+WITH RECURSIVE bits(i, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+bytes AS (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+crc(conv_id, rest, c) AS (SELECT DISTINCT conv_id, conv_id::VARCHAR, 4294967295::BIGINT FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT conv_id, rest[2:], xor(c >> 8, step[(xor(c, ascii(rest[1])::BIGINT) & 255) + 1]) FROM crc, bytes WHERE rest <> ''),
+h AS (SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM crc WHERE rest = ''),
+o AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+b AS (SELECT o.conv_id, coalesce(z.w[1:h], o.w[1:0]) || o.w[h + 1:] AS w FROM o JOIN h USING (conv_id) LEFT JOIN o AS z ON z.conv_id = o.conv_id - o.conv_id % 20),
+p AS (SELECT conv_id, w, len(w) AS n, unnest(range(0, len(w) + 1)) AS d FROM b),
+n AS (SELECT w[1:d] AS s, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+k AS (SELECT s[1:d - 1] AS s, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(string_split_regex(n.s[n.d].t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS saved FROM n LEFT JOIN k USING (s, d)),
+u AS (SELECT s[1:e] AS s, e AS d, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM v) GROUP BY 1, 2)
+SELECT v.conv_id, v.d AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN u USING (s, d) LEFT JOIN v AS q ON q.d = v.d - 1 AND q.s = v.s[1:v.d - 1]""",
+    "op12_nearest": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id AS vec_id, c.r AS r, list_inner_product(q.e, c.e) AS score FROM v AS q JOIN v AS c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r)::INTEGER AS rank FROM s) WHERE rank <= 20""",
 }

@@ -111,18 +111,25 @@ def interleaved_batches(df: DataFrame, query_id: str, domain: str, trusted: str,
     return joined.withColumn("batch", F.expr("(_run._from + (_n - _run._row) div _run._per + 1)").cast("int")).drop("_d", "_n", "_runs", "_run")
 
 
-def early_exit(df: DataFrame, query_id: str, position: str, ok: Column, good: Column, min_good: int = 3, max_good: int = 5, cap: int = 15) -> DataFrame:
-    """Rows up to each query's stop: enough good ones, or too few successes after ten, or `cap` rows."""
-    w = Window.partitionBy(query_id).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+def early_exit(df: DataFrame, query_id: str, position: str, ok: Column, passed: Column, good: Column, tried: Column | None = None, min_good: int = 3, max_good: int = 5, cap: int = 15) -> DataFrame:
+    """Rows up to each query's stop, with `n`, their number among those tried.
+
+    Of the first `cap` rows those are tried that `tried` holds for. A good row (parsed, gate passed, score reached) ends the
+    query once `max_good` are found, or `min_good` after eight tries of which 0.6 were parsed and 0.4 of the parsed ones good. A row
+    that passed the gate aborts it after ten tries of which fewer than 0.3 were parsed. Other rows are counted, but end nothing.
+    """
+    by = Window.partitionBy(query_id).orderBy(position)
+    yes = lambda c: F.coalesce(c, F.lit(False))
     # only the first `cap` rows of a query can matter; as a rank limit this is applied before the shuffle
-    capped = df.withColumn("n", F.row_number().over(Window.partitionBy(query_id).orderBy(position)).cast("long")).filter(F.col("n") <= cap)
-    rows = capped.withColumns({"n_ok": F.count_if(ok).over(w), "n_good": F.count_if(good).over(w)})
-    n, n_ok, n_good = F.col("n"), F.col("n_ok"), F.col("n_good")
-    enough = (n_good >= min_good) & ((n_good >= max_good) | ((n >= 8) & (n_ok / n >= 0.6) & (n_good / n >= 0.4)))
-    abort = (n >= 10) & (n_ok / n < 0.3)
-    stops = rows.withColumn("_s", F.when(enough | abort | (n >= cap), n))
-    stop = F.min("_s").over(Window.partitionBy(query_id))
-    return stops.withColumn("_stop", F.coalesce(stop, F.lit(cap))).filter(n <= F.col("_stop")).drop("_s", "_stop")
+    capped = df.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= cap)
+    marked = capped.filter(yes(tried) if tried is not None else F.lit(True)).withColumns({"_ok": yes(ok), "_passed": yes(ok) & yes(passed)}).withColumn("_good", F.col("_passed") & yes(good))
+    w = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = marked.withColumns({"n": F.count(F.lit(1)).over(w), "_n_ok": F.count_if("_ok").over(w), "_n_good": F.count_if("_good").over(w)})
+    n, n_ok, n_good = F.col("n"), F.col("_n_ok"), F.col("_n_good")
+    enough = F.col("_good") & (n_good >= min_good) & ((n_good >= max_good) | ((n >= 8) & (n_ok / n >= 0.6) & (n_good / F.greatest(n_ok, F.lit(1)) >= 0.4)))
+    abort = F.col("_passed") & (n >= 10) & (n_ok / n < 0.3)
+    stop = F.min(F.when(enough | abort, n)).over(Window.partitionBy(query_id))
+    return rows.withColumn("_stop", F.coalesce(stop, F.lit(cap))).filter(n <= F.col("_stop")).drop("_ok", "_passed", "_good", "_n_ok", "_n_good", "_stop")
 
 
 def batch_cutoff(df: DataFrame, query_id: str, batch: str, domain: str, rows: int, domains: int) -> DataFrame:

@@ -137,20 +137,73 @@ def ingredient_rich(lines: DataFrame, line: str) -> DataFrame:
     return found.select(*keep, F.when(whole, "1").otherwise(q).alias("quantity"), unit.alias("unit"), name.alias("name"), F.regexp_extract("_rest", r"\(([^)]+)\)", 1).alias("context"), form.alias("form"))
 
 
+# What a second measure in a line may look like, in the order in which they are looked for. Each has pairs of groups of
+# a quantity and its unit; matches of different patterns may overlap.
+_MIXED = r"\d+(?:\.\d+)?(?:\s+\d+/\d+)?"
+MEASURES = [
+    (rf"({_MIXED}(?:\s*[-–]\s*\d+)?)\s*(cups?|c\.?)\b", [(1, 2)]),
+    (rf"({_MIXED})\s*(tablespoons?|tbsp\.?|tb|tbs)\b", [(1, 2)]),
+    (rf"({_MIXED})\s*(teaspoons?|tsp\.?|ts)\b", [(1, 2)]),
+    (rf"({_MIXED})\s*(pounds?|lbs?\.?|lb\.?)\b", [(1, 2)]),
+    (rf"({_MIXED})\s*(ounces?|oz\.?)\b", [(1, 2)]),
+    (r"(\d+(?:\.\d+)?)(g\.?)\b", [(1, 2)]),
+    (r"(\d+(?:\.\d+)?)\s*(grams?|g\.?)\b", [(1, 2)]),
+    (r"(\d+(?:\.\d+)?)\s*(kilograms?|kg)\b", [(1, 2)]),
+    (r"([¼⅓½⅔¾])\s*(cups?|tablespoons?|teaspoons?|ounces?|pounds?)\b", [(1, 2)]),
+    (r"(\d+(?:\.\d+)?)(g)/(\d+(?:\.\d+)?)([a-z]+)\b", [(1, 2), (3, 4)]),
+]
+
+
 def alternative_units(line: str | Column) -> Column:
-    """All distinct `quantity unit` mentions of a line, in order, in lower case."""
-    pattern = F.lit(rf"({NUMBER}) ?({'|'.join(RICH_UNITS)})\b")
-    q, u = (F.regexp_extract_all(F.lower(col(line)), pattern, F.lit(k)) for k in (1, 2))
-    return F.array_distinct(F.zip_with(q, u, lambda a, b: F.concat_ws(" ", a, b)))
+    """Every measure that a line mentions, as struct(quantity, unit): mixed numbers, ranges of cups, decimals, fraction signs and
+    pairs such as 400g/14oz. In the order of MEASURES, each (quantity, unit) once; units by UNIT_NAMES, others as they stand."""
+    text, names = col(line), F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
+    named = lambda u: F.coalesce(F.element_at(names, F.regexp_replace(F.lower(u), r"\.$", "")), u)
+    found = []
+    for pattern, pairs in MEASURES:
+        groups = [F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(g)) for pair in pairs for g in pair]
+        mentions = [F.zip_with(groups[2 * k], groups[2 * k + 1], lambda q, u: F.struct(F.trim(q).alias("quantity"), named(F.trim(u)).alias("unit"))) for k in range(len(pairs))]
+        # a match of two pairs mentions both before the next match does
+        found.append(mentions[0] if len(mentions) == 1 else F.flatten(F.zip_with(*mentions, lambda x, y: F.array(x, y))))
+    return F.array_distinct(F.concat(*found))
+
+
+# Units and size words that may be glued to a number, and what may be glued to a unit.
+GLUED_UNITS = ["tablespoons", "tablespoon", "teaspoons", "teaspoon", "packages", "package", "ounces", "ounce", "pounds", "pound", "kilograms", "kilogram", "grams", "gram", "cups", "cup", "gallons", "gallon", "quarts", "quart", "pints", "pint", "liters", "liter", "milliliters", "milliliter", "tbsp", "tsp", "oz", "lb", "lbs", "kg", "ml", "g", "can", "cans", "jar", "jars", "box", "boxes", "each", "large", "medium", "small", "whole", "dash"]
+SIZE_WORDS = ["large", "medium", "small", "whole", "extra", "jumbo"]
+GLUED_WORDS = ["heavy", "nutmeg", "storebought", "vanilla", "butter", "cream", "sugar", "flour", "salt", "pepper"]
+ALL_SIGNS = "½¼¾⅐⅑⅒⅓⅔⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞"
+LONGEST = "|".join(sorted(GLUED_UNITS, key=len, reverse=True))
+_WORD_BEHIND = rf"[A-Z]|(?i:{'|'.join(GLUED_WORDS)})"
+#: One token of a line: fraction, number, fraction sign, unit that a word is glued to, word, blanks, or any other character.
+LINE_TOKEN = rf"(?s)\d+/\d+|\d+|[{ALL_SIGNS}]|(?i:{LONGEST})(?={_WORD_BEHIND})|[\p{{L}}_]+|\s+|."
 
 
 def spacing_repair(text: str | Column) -> Column:
-    """Spaces between number, unit and word, unit dots dropped, blanks squeezed."""
-    units = "cups|cup|tbsp|tsp|oz|ml|kg|g"
-    out = F.regexp_replace(col(text), rf"(\d)({units})\b", "$1 $2")
-    out = F.regexp_replace(out, rf"(\d)({units})([A-Z])", "$1 $2 $3")
-    out = F.regexp_replace(out, rf"\b({units})\.", "$1")
-    return F.trim(F.regexp_replace(out, " +", " "))
+    """A line with its spaces set: between a number, fraction or sign and the unit or size word glued to it, between a unit and a
+    capital or known word glued to that, and behind a closing bracket; the dot after a unit goes, blanks are squeezed, and a
+    glued mixed number (11/2) is parted.
+
+    The line is cut into tokens once, longest unit first, and each token is judged by the two before it.
+    """
+    parts = F.regexp_extract_all(F.trim(col(text)), F.lit(LINE_TOKEN), F.lit(0))
+
+    def joined(tokens: Column) -> Column:
+        def shown(x: Column, i: Column) -> Column:
+            last, older = F.coalesce(F.get(tokens, i - 1), F.lit("")), F.coalesce(F.get(tokens, i - 2), F.lit(""))
+            dropped = (last == ".") & older.rlike(rf"(?i)(?:{LONGEST})$")
+            unit = F.when(dropped, older).otherwise(last)
+            to_number = last.rlike(rf"^(?:\d+|\d+/\d+|[{ALL_SIGNS}])$") & x.rlike(rf"^(?i:{LONGEST}|{'|'.join(SIZE_WORDS)})")
+            to_unit = unit.rlike(rf"^(?i:{LONGEST})$") & x.rlike(rf"^(?:{_WORD_BEHIND})")
+            to_bracket = (last == ")") & older.rlike(r"[\p{L}\p{N}_]$") & x.rlike("^[a-z]")
+            mixed = x.rlike(r"^\d\d/\d+$") & ~last.rlike(r"[\p{L}\p{N}_]$")
+            plain = F.when((x == ".") & last.rlike(rf"(?i)(?:{LONGEST})$"), "").when(x.rlike(r"^\s+$"), " ").when(mixed, F.regexp_replace(x, r"^(\d)(\d)/", "$1 $2/")).otherwise(x)
+            return F.when(to_number | to_unit | to_bracket, F.concat(F.lit(" "), plain)).otherwise(plain)
+
+        return F.array_join(F.transform(tokens, shown), "")
+
+    # as the only element of an array, the tokens are found once and not once for each use
+    return F.trim(F.regexp_replace(F.get(F.transform(F.array(parts), joined), F.lit(0)), " +", " "))
 
 
 def normalise_unit(df: DataFrame, unit: str, output: str = "unit", unit_map: DataFrame | None = None) -> DataFrame:
@@ -204,10 +257,16 @@ def duration_minutes(text: str | Column) -> Column:
     return F.floor(value + 1e-9).cast("int")
 
 
-def direction_steps(text: str | Column) -> Column:
-    """Steps of a text: its lines without blank ones and without leading numbers."""
-    lines = F.filter(F.transform(F.split(col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(lines, lambda x: F.regexp_replace(x, r"^\d+\. *", ""))
+#: The title of a text without any line (fixed value).
+UNTITLED = "Untitled Recipe"
+
+
+def directions(text: str | Column) -> Column:
+    """Struct(title, steps): the first line that isn't blank, and the others without their numbers, empty ones left out."""
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n"), bare), lambda x: x != "")
+    steps = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: bare(F.regexp_replace(x, r"^\d+\.\s*", ""))), lambda x: x != "")
+    return F.struct(F.coalesce(F.get(lines, F.lit(0)), F.lit(UNTITLED)).alias("title"), steps.alias("steps"))
 
 
 def mapping_rows(text: str | Column) -> Column:
@@ -216,13 +275,21 @@ def mapping_rows(text: str | Column) -> Column:
     return F.flatten(F.transform(fragments, lambda x: F.transform(F.filter(F.split(F.split_part(x, F.lit(":"), F.lit(2)), ","), lambda i: i != ""), lambda i: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("step"), i.alias("item")))))
 
 
+# What a name of a failed parse may hold, and phrases of a line that is not simple.
+SUSPECT_UNITS = ["cup", "oz", "lb", "tsp", "tbsp", "tablespoon", "teaspoon"]
+COMPLEX_PHRASES = ["to taste", "if desired", "preferably", "softened"]
+
+
 def suspect_parse(quantity: Column, unit: Column, name: Column) -> Column:
-    """Whether a `1 count` still has digits or unit words in its name."""
-    return (quantity == "1") & (unit == "count") & name.rlike(rf"\d|\b(?:{'|'.join(u for u in RICH_UNITS if len(u) > 1)})\b")
+    """Whether a `1 count` still has a digit or one of SUSPECT_UNITS anywhere in its name."""
+    name = F.coalesce(name, F.lit(""))
+    return F.coalesce((quantity == "1") & (unit == "count"), F.lit(False)) & (name.rlike(r"\d") | F.lower(name).rlike("|".join(SUSPECT_UNITS)))
 
 
 def complex_line(text: Column) -> Column:
-    return (F.length(text) > 30) | F.lower(text).rlike(r"\bor\b|such as|plus more|to taste")
+    """Whether a line has more than 30 characters or one of COMPLEX_PHRASES."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return (F.length(t) > 30) | t.rlike("|".join(COMPLEX_PHRASES))
 
 
 def clean_name(text: Column, suffixes: list[str]) -> Column:

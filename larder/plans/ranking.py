@@ -82,12 +82,15 @@ def win_section_fill(spark, d):
 @query(
     "win_early_exit_cutoff",
     """
-WITH r AS (SELECT source, doc_id, quality, count(*) OVER w AS n, count(*) FILTER (quality IS NOT NULL) OVER w AS n_ok, count(*) FILTER (quality = 1) OVER w AS n_good FROM documents LEFT JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
-s AS (SELECT source, min(n) AS stop FROM r WHERE (n_good >= 3 AND (n_good >= 5 OR (n >= 8 AND n_ok >= 0.6 * n AND n_good >= 0.4 * n))) OR (n >= 10 AND n_ok < 0.3 * n) OR n >= 15 GROUP BY 1)
-SELECT source, doc_id, n FROM r LEFT JOIN s USING (source) WHERE n <= coalesce(stop, 15)""",
+WITH c AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents LEFT JOIN labels USING (doc_id)),
+m AS (SELECT source, doc_id, quality IS NOT NULL AS ok, quality IS NOT NULL AND doc_id % 4 > 0 AS passed, coalesce(quality = 1, false) AND doc_id % 4 > 0 AS good FROM c WHERE p <= 15 AND doc_id % 11 > 0),
+r AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (ok) OVER w AS n_ok, count(*) FILTER (good) OVER w AS n_good FROM m WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT source, min(n) AS stop FROM r WHERE (good AND n_good >= 3 AND (n_good >= 5 OR (n >= 8 AND n_ok >= 0.6 * n AND n_good >= 0.4 * greatest(n_ok, 1)))) OR (passed AND n >= 10 AND n_ok < 0.3 * n) GROUP BY 1)
+SELECT r.source, doc_id, n FROM r LEFT JOIN s ON s.source IS NOT DISTINCT FROM r.source WHERE n <= coalesce(stop, 15)""",
 )
 def win_early_exit_cutoff(spark, d):
-    return op.early_exit(records(spark, d), "source", "doc_id", F.col("quality").isNotNull(), F.col("quality") == 1).select("source", "doc_id", "n")
+    quality, k = F.col("quality"), F.col("doc_id")
+    return op.early_exit(records(spark, d), "source", "doc_id", quality.isNotNull(), k % 4 > 0, quality == 1, tried=k % 11 > 0).select("source", "doc_id", "n")
 
 
 @query(

@@ -69,21 +69,42 @@ def txt_ingredient_rich(spark, d):
     return op.ingredient_rich(rich, "line").drop("line")
 
 
-ALT = rf"({op.NUMBER}) ?({'|'.join(op.RICH_UNITS)})\b"
+#: Lines with second measures, by the order's number.
+MEASURED = """CASE l_orderkey % 8 WHEN 0 THEN concat('400g/14oz canned ', p_name, ' (sub frozen 1 3/4 cups)') WHEN 1 THEN concat('½ Cup ', p_name, ' or ', cast(l_partkey % 9 + 1 as {s}), ' tbs') WHEN 2 THEN concat('2 - 3 cups (', cast(l_partkey % 400 as {s}), ' Grams) ', p_name)
+ WHEN 3 THEN concat(cast(l_partkey % 5 as {s}), '.5 lbs ', p_name, ', 1.5kg or 3 pounds') WHEN 4 THEN concat('250g/1pkg ', p_name, ' and 100g/4oz') WHEN 5 THEN concat('2 1/2 tsp ', p_name, ', 2 1/2 teaspoons') ELSE line END"""
+
+
+def measures_sql(line):
+    """A list of 'quantity unit' texts."""
+    names = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in op.UNIT_NAMES.items()) + "}"
+    shown = lambda q, u: rf"trim({q}) || ' ' || coalesce({names}[regexp_replace(lower(trim({u})), '\.$', '')], trim({u}))"
+    found = []
+    for pattern, pairs in op.MEASURES:
+        groups = ", ".join(f"regexp_extract_all({line}, '(?i){pattern}', {g})" for pair in pairs for g in pair)
+        found.append(f"flatten(list_transform(list_zip({groups}), lambda x: [{', '.join(shown(f'x[{2 * k + 1}]', f'x[{2 * k + 2}]') for k in range(len(pairs)))}]))")
+    return f"flatten([{', '.join(found)}])"
 
 
 @query(
     "txt_alternative_units",
-    f"WITH a AS (SELECT {KEYS_SQL}, list_transform(list_zip(regexp_extract_all(line, '{ALT}', 1), regexp_extract_all(line, '{ALT}', 2)), lambda x: x[1] || ' ' || x[2]) AS l FROM {LINE_SQL}) SELECT {KEYS_SQL}, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: list_position(l, x))), lambda i: l[i]), ';') AS mentions FROM a",
+    f"WITH a AS (SELECT {KEYS_SQL}, {measures_sql(MEASURED.format(s='VARCHAR'))} AS l FROM {LINE_SQL}) SELECT {KEYS_SQL}, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: list_position(l, x))), lambda i: l[i]), ';') AS mentions FROM a",
 )
 def txt_alternative_units(spark, d):
-    return lines(spark, d).select(*KEYS, F.array_join(op.alternative_units("line"), ";").alias("mentions"))
+    mentions = F.transform(op.alternative_units(F.expr(MEASURED.format(s="string"))), lambda x: F.concat_ws(" ", x["quantity"], x["unit"]))
+    return lines(spark, d).select(*KEYS, F.array_join(mentions, ";").alias("mentions"))
 
 
-GLUED = "concat(cast(p_size as {s}), 'g', upper(p_name), '  ', cast(p_partkey % 7 as {s}), 'tbsp. oil')"
+GLUED = """CASE p_partkey % 9 WHEN 0 THEN concat(cast(p_size as {s}), 'Tbsp. ', p_name) WHEN 1 THEN concat('½cup ', p_name, '  (8 oz)cream') WHEN 2 THEN concat('1/2Cup', upper(p_name)) WHEN 3 THEN concat(cast(p_size as {s}), 'large ', p_name, ' and 2jumbo eggs')
+ WHEN 4 THEN concat('2 Tbspheavy ', p_name, ', 8ounces') WHEN 5 THEN '11/2cups garlic oz.' WHEN 6 THEN concat(cast(p_size as {s}), 'g', upper(p_name), '  ', cast(p_partkey % 7 as {s}), 'tbsp. oil') WHEN 7 THEN concat('1 ¾cups', upper(p_name), ' 3Lbs.Butter') ELSE concat(' 12 ', p_name, ' 10/3 cupsugar ') END"""
+_U, _W = op.LONGEST, "[A-Z]|(?i:" + "|".join(op.GLUED_WORDS) + ")"
 
 
-@query("txt_spacing_repair", rf"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({GLUED.format(s='VARCHAR')}, '(\d)(cups|cup|tbsp|tsp|oz|ml|kg|g)\b', '\1 \2', 'g'), '(\d)(cups|cup|tbsp|tsp|oz|ml|kg|g)([A-Z])', '\1 \2 \3', 'g'), '\b(cups|cup|tbsp|tsp|oz|ml|kg|g)\.', '\1', 'g'), ' +', ' ', 'g')) AS repaired FROM part")
+@query(
+    "txt_spacing_repair",
+    rf"""WITH a AS (SELECT p_partkey, regexp_replace(trim({GLUED.format(s='VARCHAR')}), '(?i)({_U})\.', '\1', 'g') AS t FROM part),
+b AS (SELECT p_partkey, regexp_replace(regexp_replace(t, '(?i)([\d{op.ALL_SIGNS}])({_U}|{'|'.join(op.SIZE_WORDS)})', '\1 \2', 'g'), '\b((?i:{_U}))({_W})', '\1 \2', 'g') AS t FROM a)
+SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(t, '(\w\))([a-z])', '\1 \2', 'g'), '\s+', ' ', 'g'), '\b(\d)(\d)/(\d+)', '\1 \2/\3', 'g')) AS repaired FROM b""",
+)
 def txt_spacing_repair(spark, d):
     return table(spark, d, "part").select("p_partkey", op.spacing_repair(F.expr(GLUED.format(s="string"))).alias("repaired"))
 
@@ -145,9 +166,19 @@ def txt_duration_minutes(spark, d):
     return op.with_status(o.withColumn("ready", ready), F.when(F.col("minutes").isNull(), "rejected").otherwise("parsed"))
 
 
-@query("txt_directions_steps", r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents) SELECT doc_id, unnest(range(0, len(s)))::INTEGER AS pos, unnest(list_transform(s, lambda x: regexp_replace(x, '^\d+\. *', ''))) AS step FROM l")
+#: A text with a title line and numbered steps, one of them empty; every ninth one is blank.
+NUMBERED = "CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE concat(' ', source, chr(10), chr(10), '1. ', replace(text, chr(10), concat(chr(10), '2.')), chr(10), '3.') END"
+
+
+@query(
+    "txt_directions_steps",
+    rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce({NUMBERED}, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+t AS (SELECT doc_id, coalesce(s[1], 'Untitled Recipe') AS title, list_filter(list_transform(s[2:], lambda x: regexp_replace(regexp_replace(x, '^\d+\.\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM l)
+SELECT doc_id, title, unnest(CASE WHEN len(s) = 0 THEN [NULL] ELSE range(0, len(s)) END)::INTEGER AS pos, unnest(CASE WHEN len(s) = 0 THEN [NULL] ELSE s END) AS step FROM t""",
+)
 def txt_directions_steps(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(op.direction_steps("text")).alias("pos", "step"))
+    parsed = table(spark, d, "documents").select("doc_id", op.directions(F.expr(NUMBERED)).alias("r"))
+    return parsed.select("doc_id", "r.title", F.posexplode_outer("r.steps").alias("pos", "step"))
 
 
 MAP = "concat('Step1:I', cast(o_orderkey % 7 as {s}), ',I', cast(o_orderkey % 5 as {s}), '|Step2:', case when o_orderkey % 3 = 0 then '?' else 'I9' end, '|junk|META_1:I', cast(o_orderkey % 11 as {s}))"
@@ -161,19 +192,22 @@ def txt_mapping_decode(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.inline(op.mapping_rows(F.expr(MAP.format(s="string")))))
 
 
-SUSPECT_RE = rf"\d|\b(?:{'|'.join(u for u in op.RICH_UNITS if len(u) > 1)})\b"
+SUSPECT_SQL = rf"quantity = '1' AND unit = 'count' AND (regexp_matches(name, '\d') OR {' OR '.join(f"contains(lower(name), '{u}')" for u in op.SUSPECT_UNITS)})"
 
 
-@query("txt_suspect_parses", f"SELECT count(*) FILTER (quantity = '1' AND unit = 'count' AND regexp_matches(name, '{SUSPECT_RE}')) AS n, round(count(*) FILTER (quantity = '1' AND unit = 'count' AND regexp_matches(name, '{SUSPECT_RE}'))::DOUBLE / count(*), 6) AS rate FROM {PARSED_SQL}")
+@query("txt_suspect_parses", f"SELECT count(*) FILTER ({SUSPECT_SQL}) AS n, round(count(*) FILTER ({SUSPECT_SQL})::DOUBLE / count(*), 6) AS rate FROM {PARSED_SQL}")
 def txt_suspect_parses(spark, d):
     p = parsed_lines(spark, d)
     bad = F.count_if(op.suspect_parse(F.col("p.quantity"), F.col("p.unit"), F.col("p.name")))
     return p.agg(bad.alias("n"), F.round(bad / F.count(F.lit(1)), 6).alias("rate"))
 
 
-@query("txt_complexity_label", rf"SELECT {KEYS_SQL}, length(line) > 30 OR regexp_matches(lower(line), '\bor\b|such as|plus more|to taste') AS is_complex FROM {LINE_SQL}")
+PHRASED = "CASE l_orderkey % 6 WHEN 0 THEN concat(p_name, ', Softened') WHEN 1 THEN concat(p_name, ' to taste') WHEN 2 THEN concat(p_name, ' if desired') WHEN 3 THEN concat(p_name, ' or oil') WHEN 4 THEN concat('preferably ', p_name) ELSE line END"
+
+
+@query("txt_complexity_label", rf"SELECT {KEYS_SQL}, length(t) > 30 OR {' OR '.join(f"contains(lower(t), '{p}')" for p in op.COMPLEX_PHRASES)} AS is_complex FROM (SELECT *, {PHRASED} AS t FROM {LINE_SQL})")
 def txt_complexity_label(spark, d):
-    return lines(spark, d).select(*KEYS, op.complex_line(F.col("line")).alias("is_complex"))
+    return lines(spark, d).select(*KEYS, op.complex_line(F.expr(PHRASED)).alias("is_complex"))
 
 
 NEGLIGIBLE_UNIT = "CASE l_linenumber WHEN 1 THEN 'tsp' WHEN 2 THEN 'Tablespoons' WHEN 3 THEN 'count' WHEN 4 THEN 'Pinch' WHEN 5 THEN '' ELSE 'cup' END"

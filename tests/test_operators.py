@@ -303,3 +303,79 @@ def test_spread_deals_a_small_file_only(spark, sf_dir):
 def test_nutrition_values(spark, lines, want):
     got = spark.range(1).select(*texts.nutrition_values(F.array(*[F.lit(x) for x in lines]).cast("array<string>"))).first().asDict()
     assert {k: v for k, v in got.items() if v is not None} == want
+
+
+# --- spaces, measures, labels and steps of ingredient texts; cases by hand ---
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("6Tbsp. butter", "6 Tbsp butter"), ("½cup sugar", "½ cup sugar"), ("1/2Cup milk", "1/2 Cup milk"), ("1 ½cups milk", "1 ½ cups milk"), ("3large eggs", "3 large eggs"), ("2extra", "2 extra"), ("8ounces ham", "8 ounces ham"), ("1 Tbspheavy cream", "1 Tbsp heavy cream"),
+     ("2 cupsFlour", "2 cups Flour"), ("11/2cups rice", "1 1/2 cups rice"), ("10 garlic cloves", "10 garlic cloves"), ("1 (8 oz)package", "1 (8 oz) package"), ("2  cups   oil ", "2 cups oil"), ("1 oz.Butter", "1 oz Butter"), ("6.5oz tuna", "6.5 oz tuna"), ("cupsugar", "cup sugar"),
+     ("111/2 cups", "111/2 cups"), ("", ""), (None, None), ("salt & pepper", "salt & pepper")],
+)
+def test_spacing_repair(spark, text, want):
+    assert one(spark, texts.spacing_repair(F.lit(text).cast("string"))) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("400g/14oz canned corn (sub frozen 1 3/4 cups)", ["1 3/4 cup", "14 ounce", "400 gram"]), ("½ cup", ["½ cup"]), ("2-3 cups or 2 - 3 C.", ["2-3 cup", "2 - 3 cup"]), ("1 3/4 cups", ["1 3/4 cup"]), ("250g/1pkg, 100g/4oz", ["4 ounce", "250 gram", "100 gram", "1 pkg"]),
+     ("2 lbs or 2 pounds", ["2 pound"]), ("1.5 kg", ["1.5 kilogram"]), ("2 TBS", ["2 tablespoon"]), ("three eggs", []), ("", [])],
+)
+def test_alternative_units(spark, text, want):
+    assert [f"{x.quantity} {x.unit}" for x in one(spark, texts.alternative_units(F.lit(text)))] == want
+
+
+@pytest.mark.parametrize(("name", "want"), [("large egg", False), ("head of garlic", False), ("cupcake", True), ("2 eggs", True), ("OZ", True), ("", False), (None, False)])
+def test_suspect_parse(spark, name, want):
+    assert one(spark, texts.suspect_parse(F.lit("1"), F.lit("count"), F.lit(name).cast("string"))) is want
+    assert one(spark, texts.suspect_parse(F.lit("2"), F.lit("count"), F.lit(name).cast("string"))) is False
+
+
+@pytest.mark.parametrize(("text", "want"), [("butter, Softened", True), ("salt or pepper", False), ("salt to taste", True), ("mint if desired", True), ("x" * 31, True), ("x" * 30, False), (None, False)])
+def test_complex_line(spark, text, want):
+    assert one(spark, texts.complex_line(F.lit(text).cast("string"))) is want
+
+
+@pytest.mark.parametrize(("text", "want"), [("Soup\n1. boil\n3.\n\n  2.  eat ", ("Soup", ["boil", "eat"])), ("  \n", ("Untitled Recipe", [])), (None, ("Untitled Recipe", [])), ("Only", ("Only", []))])
+def test_directions(spark, text, want):
+    r = one(spark, texts.directions(F.lit(text).cast("string")))
+    assert (r.title, r.steps) == want
+
+
+def stop_by_hand(rows, min_good=3, max_good=5, cap=15):
+    """Rows kept of (tried, ok, passed, good) in order, by a loop."""
+    n = n_ok = n_good = 0
+    kept = []
+    for k, (tried, ok, passed, good) in enumerate(rows[:cap]):
+        if not tried:
+            continue
+        n += 1
+        kept.append(k)
+        if not ok:
+            continue
+        n_ok += 1
+        if not passed:
+            continue
+        if good:
+            n_good += 1
+            if n_good >= max_good or n_good >= min_good and n >= 8 and n_ok / n >= 0.6 and n_good / n_ok >= 0.4:
+                break
+        if n >= 10 and n_ok / n < 0.3:
+            break
+    return kept
+
+
+def test_early_exit_against_a_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    cases = {q: [tuple(rng.random() < p for p in rng.choice([(0.95, 0.8, 0.8, 0.6), (1, 0.25, 0.9, 0.1), (0.9, 0.7, 0.9, 0.4)])) for _ in range(rng.randint(1, 20))] for q in range(300)}
+    cases[1000] = [(True, k in {0, 1, 2, 3, 5, 7}, True, k in {1, 3, 7}) for k in range(12)]  # 6 parsed, 3 good at the eighth row
+    data = [(q, k, *map(bool, r)) for q, rows in cases.items() for k, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "q long, k long, tried boolean, ok boolean, passed boolean, good boolean")
+    kept = ranking.early_exit(df, "q", "k", F.col("ok"), F.col("passed"), F.col("good"), F.col("tried")).collect()
+    got = {q: sorted(r.k for r in kept if r.q == q) for q in cases}
+    assert got == {q: stop_by_hand(rows) for q, rows in cases.items()}
+    assert len(got[1000]) == 8

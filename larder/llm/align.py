@@ -18,7 +18,9 @@ each. An empty table gives an empty result. Other columns than `keep` are ignore
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,28 +32,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.llm.bpe import PATTERN, vocabulary
 from larder.llm.common import staged
 from larder.llm.words import chunks
 
+#: Texts that need the first library: it and tiktoken might disagree on what a letter is in other scripts, and long runs are slow.
+UNUSUAL = re.compile(r"[^\x00-\u024f]|\S{1000}|\s{1000}").search
 ALIGNED = "n_a long, n_b long, n_groups long, groups string, links binary"
 
 
-@lru_cache(4)
-def unbyte() -> dict[str, int]:
-    """Byte of each character of byte-level vocabularies: printable Latin-1 stands for itself, the rest in order from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 def byte_level_tokens(file: str) -> list[bytes]:
     """Bytes of each id of a byte-level vocabulary; an added token stands for its own text."""
-    from tokenizers import Tokenizer
+    of = vocabulary(file).bytes_of
+    return [of.get(i, b"") for i in range(max(of) + 1)]
+
 
-    model, back = Tokenizer.from_file(file), unbyte()
-    names = {i: t for t, i in model.get_vocab(with_added_tokens=True).items()}
-    of = lambda t: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
-    return [of(names[i]) if i in names else b"" for i in range(max(names) + 1)]
+def fast_encoder(file: str):
+    """A function from a text to its ids by tiktoken, or None where the file isn't plain byte-level BPE whose ids follow its merges."""
+    import tiktoken
+
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut, v = spec["pre_tokenizer"] or {}, vocabulary(file)
+    made = [v.ids[v.bytes_of[x] + v.bytes_of[y]] for x, y in v.rank]  # in the order of the merges
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not spec["normalizer"] and not spec["model"].get("ignore_merges")
+    if not plain or made != sorted(set(made)):
+        return None
+    coding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=v.ids | {bytes([b]): v.ids[bytes([b])] for b in range(256)}, special_tokens={})
+    return lambda text: coding.encode_to_numpy(text, disallowed_special=())
 
 
 def piece_tokens(file: str) -> list[bytes]:
@@ -108,17 +116,24 @@ def shared_ends(a_end: np.ndarray, b_end: np.ndarray, lo: np.ndarray, hi: np.nda
 
 @dataclass
 class Side:
-    """One vocabulary in a task: how to encode, and its tokens' bytes, lengths and decimal ids with each separator."""
+    """One vocabulary in a task: how to encode, its tokens' bytes in a row and where each begins, and decimal ids with each separator."""
 
     encode: object
-    token: list[bytes]
-    length: np.ndarray
+    raw: np.ndarray
+    at: np.ndarray
     shown: np.ndarray
 
     @classmethod
     def of(cls, encode, token: list[bytes], ends: str) -> Side:
         shown = np.array([f"{i}{s}" for i in range(len(token)) for s in (",", ends)], object)
-        return cls(encode, token, np.array([len(t) for t in token], np.int64), shown)
+        return cls(encode, np.frombuffer(b"".join(token), np.uint8), np.cumsum([0, *map(len, token)]), shown)
+
+    def length(self, ids: np.ndarray) -> np.ndarray:
+        return self.at[ids + 1] - self.at[ids]
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        n = self.length(ids)
+        return self.raw[np.arange(n.sum()) + np.repeat(self.at[ids] - (np.cumsum(n) - n), n)]
 
 
 @lru_cache(1)
@@ -131,36 +146,54 @@ def sides(file_a: str, file_b: str) -> tuple[Side, Side]:
     a.no_truncation()
     a.no_padding()
     a.encode_special_tokens = True
-    many = getattr(a, "encode_batch_fast", a.encode_batch)
+    many, fast = getattr(a, "encode_batch_fast", a.encode_batch), fast_encoder(file_a)
     b = sentencepiece.SentencePieceProcessor(model_file=file_b)
-    return (
-        Side.of(lambda texts: [x.ids for x in many([" " + t for t in texts], add_special_tokens=False)], byte_level_tokens(file_a), "|"),
-        Side.of(lambda texts: b.encode(texts, num_threads=1), piece_tokens(file_b), ";"),
-    )
 
+    def encode_a(texts: list[str]) -> list:
+        out = [fast(" " + t) if fast and not UNUSUAL(t) else None for t in texts]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, many([" " + texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
 
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in one array, and where each text's begin."""
-    at = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum([len(x) for x in ids], out=at[1:])
+    return Side.of(encode_a, byte_level_tokens(file_a), "|"), Side.of(lambda texts: b.encode(texts, num_threads=1), piece_tokens(file_b), ";")
+
+
+def _starts(sizes) -> np.ndarray:
+    return np.append(0, np.cumsum(np.fromiter(sizes, np.int64)))
+
+
+def _flat(ids: list, at: np.ndarray) -> np.ndarray:
+    """All ids in one array."""
     flat = np.empty(at[-1], np.int64)
     for k, x in enumerate(ids):
         flat[at[k] : at[k + 1]] = x
-    return flat, at
+    return flat
+
+
+def given_back(ids: list, wanted: list[bytes], side: Side) -> np.ndarray:
+    """Which texts the joined tokens give back, byte by byte."""
+    at = _starts(map(len, ids))
+    flat = _flat(ids, at)
+    size = np.append(0, np.cumsum(side.length(flat)))[at]
+    fits = np.diff(size) == np.fromiter(map(len, wanted), np.int64, len(wanted))
+    flat = flat[np.repeat(fits, np.diff(at))]
+    odd = side.bytes_of(flat) != np.frombuffer(b"".join(w for w, f in zip(wanted, fits, strict=True) if f), np.uint8)
+    ends = _starts(n for n, f in zip(np.diff(size), fits, strict=True) if f)
+    fits[fits] = np.diff(np.append(0, np.cumsum(odd))[ends]) == 0
+    return fits
 
 
 def align_texts(texts: list[str | None], a: Side, b: Side, show=None) -> Iterator[tuple]:
     """(n_a, n_b, n_groups, groups, links) of each text; `show` makes what goes to `groups` from the text of the groups."""
     some = [k for k, t in enumerate(texts) if t]
     ids_a, ids_b = a.encode([texts[k] for k in some]), b.encode([texts[k] for k in some])
-    true = []
-    for n, k in enumerate(some):
-        want = b" " + texts[k].encode()
-        if b"".join(map(a.token.__getitem__, ids_a[n])) == want and b"".join(map(b.token.__getitem__, ids_b[n])) == want:
-            true.append(n)
-    flat_a, at_a = _flat([ids_a[n] for n in true])
-    flat_b, at_b = _flat([ids_b[n] for n in true])
-    cut_a, cut_b = shared_ends(np.cumsum(a.length[flat_a]), np.cumsum(b.length[flat_b]), at_a[:-1], at_a[1:])
+    wanted = [b" " + texts[k].encode() for k in some]
+    true = np.flatnonzero(given_back(ids_a, wanted, a) & given_back(ids_b, wanted, b)).tolist()
+    ids_a, ids_b = [ids_a[n] for n in true], [ids_b[n] for n in true]
+    at_a, at_b = _starts(map(len, ids_a)), _starts(map(len, ids_b))
+    flat_a, flat_b = _flat(ids_a, at_a), _flat(ids_b, at_b)
+    cut_a, cut_b = shared_ends(np.cumsum(a.length(flat_a)), np.cumsum(b.length(flat_b)), at_a[:-1], at_a[1:])
     cut_a.sort()
     cut_b.sort()
     ends_a, ends_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)

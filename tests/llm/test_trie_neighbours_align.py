@@ -163,7 +163,7 @@ def test_bounds_hold():
 
 TEXTS = [
     None, "", " ", "x", "a b c", "a b c", "  a\n\nb  ", "<|endoftext|> <s> </s>", "é漢字🙂 ﬁ ½  　", "▁▁x", "\x00\x01\t", "<0x41> A",
-    "The quick brown fox; don't 12345 it's" * 20, "w" * 3000, "Straße für Überläufer, çà et là. " * 3000,
+    "The quick brown fox; don't 12345 it's" * 20, "w" * 3000, "Straße für Überläufer, çà et là. " * 3000, "漢字 " * 500, "x" * 5000,
 ]
 
 
@@ -226,6 +226,19 @@ def test_linked_pairs_are_bounded_by_the_vocabularies():
     assert align.pair_bound(small_a, small_b) == sum(x.endswith(y) or y.endswith(x) for x in small_a for y in small_b)
 
 
+def test_fast_encoder_is_the_library():
+    """Every code point that the fast way may see, in every surrounding that the pattern tells apart, and long runs."""
+    from tokenizers import Tokenizer
+
+    library, fast = Tokenizer.from_file(A), align.fast_encoder(A)
+    library.encode_special_tokens = True
+    around = ["{0}", "a{0}b", "1{0}2", " {0} ", "  {0}x", "{0}{0}{0}", "'{0}", "!{0}.", "x {0}1\n{0}", "it's{0}'ll<|endoftext|>{0}"]
+    texts = [w.format(chr(c)) for c in range(0x250) for w in around] + ["w" * 900, " " * 900 + "x", "ab1 " * 5000]
+    assert [list(map(int, fast(t))) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert align.UNUSUAL("x" * 1000) and align.UNUSUAL("漢") and align.UNUSUAL("a" + "\n" * 1000) and not align.UNUSUAL("été " * 5000)
+    assert align.fast_encoder(public_tokenizers.path("word_bpe_49k.json")) is None
+
+
 def test_shared_ends_by_divide_and_conquer():
     rng = np.random.default_rng(2)
     for n, share in [(1, 1), (2, 0.5), (50, 0.1), (400, 0.3), (3000, 0.9), (3000, 0.01)]:

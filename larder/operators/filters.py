@@ -37,7 +37,7 @@ def without_placeholders(df: DataFrame, url: str, words: list[str]) -> DataFrame
 
 
 def unblocked(df: DataFrame, url: str, blocked: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """Rows whose domain is there, isn't in `exclude`, and is neither a blocked site nor below one.
+    """Rows whose URL isn't in `exclude` (a table of URLs), and whose domain is there and is neither a blocked site nor below one.
 
     A domain is below a site if one of its suffixes at a dot is that site: an equality on exploded suffixes, so the
     joins are hash joins whatever the size of the block list.
@@ -49,7 +49,7 @@ def unblocked(df: DataFrame, url: str, blocked: DataFrame, exclude: DataFrame |
     bad = names.join(blocked.select(F.lower("site").alias("_site")), "_site", "left_semi").select("_domain").distinct()
     out = keyed.join(bad, "_domain", "left_anti")
     if exclude is not None:
-        out = out.join(exclude.select(F.lower("site").alias("_domain")), "_domain", "left_anti")
+        out = out.join(exclude.select(F.col("url").alias(url)), url, "left_anti")
     return out.select(*df.columns, F.col("_domain").alias("domain"))
 
 
@@ -96,3 +96,11 @@ def product_record(df: DataFrame, texts: dict[str, tuple[str, int]], numbers: di
 def standard_record(df: DataFrame, defaults: dict[str, tuple[Column, object]]) -> DataFrame:
     """One struct column `recipe`, each field filled by its default where blank."""
     return df.withColumn("recipe", F.struct(*[F.coalesce(c, F.lit(v)).alias(k) for k, (c, v) in defaults.items()]))
+
+
+def cart_eligible(quantity: Column, unit: Column, name: Column, disqualified: Column, optional: Column) -> Column:
+    """Whether a line can go to a cart: store quantity, store unit and ingredient are there, and it is neither disqualified nor optional.
+    A number of 0 and an empty text count as missing."""
+    there = lambda c: F.coalesce(~c.cast("string").isin("", "0", "0.0"), F.lit(False))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return there(quantity) & there(unit) & there(name) & no(disqualified) & no(optional)

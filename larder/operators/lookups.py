@@ -61,11 +61,25 @@ def nutrition_tiered(lines: DataFrame, reference: DataFrame, estimates: DataFram
     return joined.select(*lines.columns, *[F.when(F.col("source").isNull(), F.lit(defaults[v])).otherwise(F.col(v)).alias(v) for v in values], F.coalesce("source", F.lit("default")).alias("source"))
 
 
-def search_terms(df: DataFrame, mapping: DataFrame, name: str, preparations: list[str]) -> DataFrame:
-    """search_term: the canonical name (or the name) with the detected preparation word behind it."""
-    joined = df.join(small(mapping.select(F.col("common").alias(name), "canonical")), name, "left")
-    word = F.coalesce(*[F.when(F.col(name).rlike(rf"\b{escape(p)}\b"), F.lit(p)) for p in preparations])
-    return joined.withColumn("search_term", F.concat_ws(" ", F.coalesce("canonical", F.col(name)), word)).drop("canonical")
+# Better terms for common names, and words of preparation in the order in which they are looked for.
+SEARCH_NAMES = {
+    "eggs": "egg whole raw", "egg": "egg whole raw", "salt": "salt table", "butter": "butter salted", "salted butter": "butter salted", "unsalted butter": "butter without salt", "brown sugar": "sugars brown", "white sugar": "sugars granulated", "sugar": "sugars granulated",
+    "all-purpose flour": "wheat flour white all-purpose", "flour": "wheat flour white all-purpose", "oats": "oats whole grain rolled", "old-fashioned oats": "oats whole grain rolled old fashioned",
+}
+PREPARATIONS = ["cooked", "boiled", "steamed", "baked", "roasted", "grilled", "fried", "sauteed", "sautéed", "raw"]
+
+
+def search_terms(df: DataFrame, name: str, mapping: DataFrame | None = None, preparations: list[str] = PREPARATIONS) -> DataFrame:
+    """search_term: the better term of the name in lower case without outer blanks (by SEARCH_NAMES or a table common, canonical), else the
+    name as it is; behind it the first word of preparation that the name contains, unless the term has it."""
+    key, lowered = F.lower(F.trim(F.col(name))), F.lower(F.col(name))
+    if mapping is None:
+        rows = df.withColumn("_better", F.element_at(F.create_map(*[F.lit(x) for pair in SEARCH_NAMES.items() for x in pair]), key))
+    else:
+        rows = df.withColumn("_common", key).join(small(mapping.select(F.lower(F.trim("common")).alias("_common"), F.col("canonical").alias("_better"))), "_common", "left").drop("_common")
+    word = F.coalesce(*[F.when(F.contains(lowered, F.lit(p)), F.lit(p)) for p in preparations])
+    term = F.coalesce("_better", F.col(name))
+    return rows.withColumn("search_term", F.when(word.isNotNull() & ~F.contains(F.lower(term), word), F.concat_ws(" ", term, word)).otherwise(term)).drop("_better")
 
 
 def portion_match(unit: Column, portions: Column) -> Column:

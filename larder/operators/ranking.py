@@ -161,3 +161,18 @@ def union_ordered(parts: list[tuple[str, DataFrame]], keys: list[str], position:
     for df in banded[1:]:
         every = every.unionByName(df)
     return keep_first(every, keys, ["band", position], filled)
+
+
+def closest(df: DataFrame, query_id: str, key: str, pct: str, n: int = 3) -> DataFrame:
+    """The `n` rows of each query with the highest match above 0 percent, ties by the key."""
+    k = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(pct), key))
+    return df.filter(F.col(pct) > 0).withColumn("_k", k).filter(F.col("_k") <= n).drop("_k")
+
+
+def score_trend(df: DataFrame, key: str, order: list[str], score: str) -> DataFrame:
+    """improving, declining or stable by the last two scores of each key; insufficient_data with fewer than two."""
+    place = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    last = df.filter(F.col(score).isNotNull()).withColumn("_k", F.row_number().over(place)).filter("_k <= 2")
+    two = last.groupBy(key).agg(F.max(F.when(F.col("_k") == 1, F.col(score))).alias("_new"), F.max(F.when(F.col("_k") == 2, F.col(score))).alias("_old"))
+    trend = F.when(F.col("_old").isNull(), "insufficient_data").when(F.col("_new") > F.col("_old"), "improving").when(F.col("_new") < F.col("_old"), "declining").otherwise("stable")
+    return df.select(key).distinct().join(two, key, "left").select(key, trend.alias("trend"))

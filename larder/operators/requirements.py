@@ -111,3 +111,132 @@ def from_query(text: Column) -> Column:
 
 #: Diets that a query may name (fixed values).
 QUERY_DIETS = ["vegan", "vegetarian", "gluten-free", "dairy-free", "keto", "paleo", "nut-free"]
+
+
+# Dishes that are looked for in the title only, or by other words than their own; what a diet or an allergy forbids among the ingredients.
+TITLE_SUBJECTS = {"cheesecake": ["cheesecake"], "chocolate cake": ["cake", "chocolate"], "cake": ["cake", "chocolate"], "pizza": ["pizza"]}
+DIET_FORBIDS = {
+    "gluten-free": ("gluten_free", ["flour", "wheat", "bread", "pasta"]),
+    "vegan": ("vegan", ["chicken", "beef", "pork", "fish", "egg", "milk", "cheese", "butter"]),
+    "dairy-free": ("dairy_free", ["milk", "cheese", "butter", "cream", "yogurt"]),
+    "keto": ("keto", ["flour", "sugar", "bread", "pasta", "rice"]),
+}
+ALLERGY_FORBIDS = {
+    "nuts": ("nuts_excluded", ["nut", "almond", "walnut", "pecan", "cashew", "peanut"]),
+    "shellfish": ("shellfish_excluded", ["shrimp", "crab", "lobster", "shellfish"]),
+    "eggs": ("eggs_excluded", ["egg"]),
+}
+CONSTRAINTS = "subject string, dietary_constraints array<string>, allergy_constraints array<string>, nutrition_requirements array<string>, time_constraints string"
+
+
+def constraint_rules(df: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, asked, rules): what each constraint document (JSON text) demands, compiled to rows that recipes can be tested with.
+
+    rules is an array of (flag, kind, terms, number), each flag once. Kinds: `title` and `any` ask for one of the terms in the
+    title, or in title or ingredients; `none` forbids the terms among the ingredients; `protein`, `calories` and `minutes` compare a
+    number. Unknown diets and allergies and texts without a number give no rule. `asked` says whether the document asks for
+    anything, known or not.
+    """
+    r = F.from_json(F.col(document), CONSTRAINTS)
+    none, number = F.array().cast("array<string>"), F.lit(None).cast("int")
+    rule = lambda flag, kind, terms=none, n=number: F.struct(flag.alias("flag"), F.lit(kind).alias("kind"), terms.alias("terms"), n.alias("number"))
+    words = lambda terms: F.array(*[F.lit(t) for t in terms])
+    subject = F.nullif(r["subject"], F.lit(""))
+    of_title = F.coalesce(*[F.when(subject == s, words(terms)) for s, terms in TITLE_SUBJECTS.items()])
+    about = F.when(of_title.isNotNull(), rule(F.lit("subject_match"), "title", of_title)).when(subject.isNotNull(), rule(F.lit("subject_match"), "any", F.array(F.lower(subject))))
+
+    def forbidden(asked: Column, table: dict) -> Column:
+        known = F.create_map(*[x for name, (flag, terms) in table.items() for x in (F.lit(name), rule(F.lit(flag), "none", words(terms)))])
+        return F.transform(asked, lambda a: F.element_at(known, a))
+
+    digits = lambda x: F.nullif(F.regexp_extract(x, r"(\d+)", 1), F.lit("")).try_cast("int")
+
+    def bound(x: Column) -> Column:
+        n = digits(x)
+        protein = rule(F.concat(F.lit("min_"), n.cast("string"), F.lit("g_protein")), "protein", n=n)
+        calories = rule(F.concat(F.lit("max_"), n.cast("string"), F.lit("_calories")), "calories", n=n)
+        return F.when(n.isNotNull() & x.contains("protein"), protein).when(n.isNotNull() & ~x.contains("protein") & x.contains("calorie"), calories)
+
+    time = F.nullif(r["time_constraints"], F.lit(""))
+    limit = digits(time)
+    timed = F.when(time.isin("quick", "fast"), rule(F.lit("quick"), "minutes", n=F.lit(30))).when(time.contains("minutes") & limit.isNotNull(), rule(F.concat(F.lit("under_"), limit.cast("string"), F.lit("_minutes")), "minutes", n=limit))
+    lists = {c: F.coalesce(r[c], none) for c in ("dietary_constraints", "allergy_constraints", "nutrition_requirements")}
+    every = F.concat(F.array(about), forbidden(lists["dietary_constraints"], DIET_FORBIDS), forbidden(lists["allergy_constraints"], ALLERGY_FORBIDS), F.transform(lists["nutrition_requirements"], bound), F.array(timed))
+    asked = subject.isNotNull() | time.isNotNull() | (F.size(F.concat(*lists.values())) > 0)
+    return df.select(key, F.coalesce(asked, F.lit(False)).alias("asked"), F.array_distinct(F.filter(every, lambda x: x.isNotNull())).alias("rules"))
+
+
+def first_number(nutrition: Column, names: list[str]) -> Column:
+    """The first number of the first text that names the nutrient and has a number."""
+    named = F.filter(F.coalesce(nutrition, F.array().cast("array<string>")), lambda x: F.lower(x).rlike("|".join(names)) & x.rlike(r"\d"))
+    return F.nullif(F.regexp_extract(F.get(named, F.lit(0)), r"(\d+)", 1), F.lit("")).try_cast("int")
+
+
+def cook_minutes(text: Column) -> Column:
+    """Minutes of PT35M or of the first number of any other text."""
+    return F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit("")).try_cast("int")
+
+
+def found_terms(texts: DataFrame, recipe: str, text: str, terms: DataFrame) -> DataFrame:
+    """(recipe, found): which of the terms (in lower case) each text contains.
+
+    A text contains a term without blanks if one of its words does, so only distinct words meet the distinct terms; of a term of
+    several words the first one is looked for that way, and the text is tested where that was found. One row per text with a hit.
+    """
+    wanted = terms.select("term").distinct().filter("term <> ''").withColumn("head", F.split("term", r"\s+")[0])
+    words = texts.select(recipe, F.lower(text).alias("_t")).withColumn("word", F.explode(F.array_distinct(F.split("_t", r"\s+"))))
+    distinct = words.select("word").distinct()
+    hits = distinct.join(small(wanted), F.contains(F.col("word"), F.col("head")))
+    met = words.join(hits, "word").filter(F.contains(F.col("_t"), F.col("term")))
+    return met.groupBy(recipe).agg(F.collect_set("term").alias("found"))
+
+
+def constraint_flags(candidates: DataFrame, recipes: DataFrame, rules: DataFrame, key: str, recipe: str) -> DataFrame:
+    """Each candidate (key, recipe) with `details`, a map from flag to whether the recipe meets it, and `accuracy`, the share of flags
+    that are met in percent (one digit, 100 without any flag).
+
+    recipes: recipe, title, ingredients (a text), nutrition (array of texts), cook_time. rules: from `constraint_rules`. Where nothing is asked, details is
+    {no_constraints: true} and accuracy is null. A missing number fails. Terms meet distinct words (`found_terms`), recipes get the terms they
+    hold as an array (bounded by the rules' terms), and each candidate is judged by one join with its recipe and one with its rules.
+    """
+    terms = rules.select(F.explode("rules").alias("r")).select(F.explode("r.terms").alias("term")).distinct()
+    empty = F.array().cast("array<string>")
+    facts = recipes.select(recipe, first_number(F.col("nutrition"), ["protein"]).alias("protein"), first_number(F.col("nutrition"), ["calorie", "kcal"]).alias("calories"), cook_minutes(F.col("cook_time")).alias("minutes"))
+    for text in ("title", "ingredients"):
+        facts = facts.join(found_terms(recipes, recipe, text, terms).withColumnRenamed("found", f"in_{text}"), recipe, "left").withColumn(f"in_{text}", F.coalesce(f"in_{text}", empty))
+
+    def met(r: Column) -> Column:
+        some = lambda c: F.arrays_overlap(r["terms"], F.col(c))
+        cases = F.when(r["kind"] == "title", some("in_title")).when(r["kind"] == "any", some("in_title") | some("in_ingredients")).when(r["kind"] == "none", ~some("in_ingredients"))
+        cases = cases.when(r["kind"] == "protein", F.col("protein") >= r["number"]).when(r["kind"] == "calories", F.col("calories") <= r["number"]).when(r["kind"] == "minutes", F.col("minutes") <= r["number"])
+        return F.coalesce(cases, F.lit(False))
+
+    judged = candidates.join(facts, recipe).join(rules.select(key, "asked", "rules"), key)
+    judged = judged.withColumn("_flags", F.transform("rules", lambda r: F.struct(r["flag"].alias("flag"), met(r).alias("met"))))
+    n, good = F.size("_flags"), F.size(F.filter("_flags", lambda x: x["met"]))
+    details = F.when(F.col("asked"), F.map_from_entries("_flags")).otherwise(F.create_map(F.lit("no_constraints"), F.lit(True)))
+    accuracy = F.when(F.col("asked"), F.when(n > 0, F.round(100.0 * good / n, 1)).otherwise(100.0))
+    return judged.select(*candidates.columns, details.alias("details"), accuracy.alias("accuracy"))
+
+
+def listing_quality(url_domain: Column, sites: list[str], image: Column) -> Column:
+    """100 with a priority site and an image, 80 with the site, 60 with the image, else 40."""
+    site = F.coalesce(url_domain.rlike("|".join(s.replace(".", r"\.") for s in sites)), F.lit(False))
+    return F.when(site & image, 100.0).when(site, 80.0).when(image, 60.0).otherwise(40.0)
+
+
+def constraints_met(flags: DataFrame, key: str, constraint: str, met: str, keys: DataFrame | None = None) -> DataFrame:
+    """Per key: constraints, those that any row meets, and their share in percent (one digit), 100 without constraints. `keys` adds keys
+    without any. Two partial aggregations."""
+    per = flags.groupBy(key, constraint).agg(F.max(F.coalesce(F.col(met), F.lit(False)).cast("int")).alias("_met"))
+    g = per.groupBy(key).agg(F.count(constraint).alias("identified"), F.sum(F.when(F.col(constraint).isNotNull(), F.col("_met"))).alias("satisfied"))
+    g = g if keys is None else keys.select(key).distinct().join(g, key, "left")
+    n, ok = F.coalesce("identified", F.lit(0)), F.coalesce("satisfied", F.lit(0))
+    return g.select(key, n.alias("identified"), ok.alias("satisfied"), F.when(n > 0, F.round(100.0 * ok / n, 1)).otherwise(100.0).alias("rate"))
+
+
+def missing_fields(ingredients: Column, image: Column, nutrition: Column, values: int = 4) -> Column:
+    """Which of ingredients, image_url and nutrition (with `values` entries at least) a recipe lacks."""
+    lacks = lambda array, n: F.coalesce(F.size(array), F.lit(0)) < n
+    blank = F.trim(F.coalesce(image, F.lit(""))) == ""
+    return F.array_compact(F.array(F.when(lacks(ingredients, 1), "ingredients"), F.when(blank, "image_url"), F.when(lacks(nutrition, values), "nutrition")))

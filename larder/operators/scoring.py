@@ -170,3 +170,27 @@ def url_type(title: Column, url: Column) -> Column:
     """list by a title with best, top, recipes or roundup; recipe by the URL or the title; else other."""
     t, u = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
     return F.when(t.rlike("best|top|recipes|roundup"), "list").when(u.contains("/recipe/") | t.contains("recipe"), "recipe").otherwise("other")
+
+
+#: Cuisines that a reference may name (fixed values).
+CUISINES = ["scottish", "italian", "mexican", "asian", "french", "american"]
+
+
+def reference_match(description: Column, title: Column, position: Column, minutes: Column) -> Column:
+    """How well a shown recipe fits what a user says of it, 0 to 1.
+
+    0.5 for a word of more than three letters that the title contains; 1 for the first, second or third (or #1 to #3) at that
+    position, else 0.8 for the last from position 3 on; 0.7 for a quick one of at most 30 minutes; 0.8 for each cuisine in both."""
+    said, name = F.lower(F.coalesce(description, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
+    named = F.exists(F.split(said, r"\s+"), lambda w: (F.length(w) > 3) & F.contains(name, w))
+    at = lambda k: F.when(position == k, 1.0).otherwise(0.0)
+    places = [(said.contains(word) | said.contains(f"#{k}"), at(k)) for k, word in enumerate(("first", "second", "third"), 1)]
+    place = first_hit([*places, (said.contains("last"), F.when(position >= 3, 0.8).otherwise(0.0))], 0.0)
+    quick = F.when(said.contains("quick") & (minutes > 0) & (minutes <= 30), 0.7).otherwise(0.0)
+    styles = reduce(add, [F.when(said.contains(c) & name.contains(c), 0.8).otherwise(0.0) for c in CUISINES])
+    return F.round(F.least(F.lit(1.0), F.when(named, 0.5).otherwise(0.0) + place + quick + styles), 6)
+
+
+def best_reference(pairs: DataFrame, keys: list[str], item: str, score: str) -> DataFrame:
+    """The item with the highest score above 0 per key, the first of equal ones."""
+    return pairs.filter(F.col(score) > 0).groupBy(*keys).agg(F.max(score).alias(score), F.min_by(item, F.struct(-F.col(score), F.col(item))).alias(item))

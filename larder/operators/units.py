@@ -110,7 +110,8 @@ def grams(quantity: Column, unit: Column, portions: Column, density: Column, pie
         (volume.isNotNull() & density.isNotNull(), q * volume * density / 240, "density"),
         (volume.isNotNull(), q * volume, "water"),
         (u.isin(AMBIGUOUS) & seasoning, q * 1.0, "seasoning"),
-        (u.isin(PIECE_UNITS), q * F.coalesce(piece, F.lit(50.0)), "piece"),
+        (u.isin(PIECE_UNITS) & piece.isNotNull(), q * piece, "piece"),
+        (u.isin(PIECE_UNITS), q * 50.0, "piece_default"),
     ]
     make = lambda value, label: F.struct(F.round(value, 4).alias("grams"), F.lit(label).alias("gram_source"))
     out = F.when(cases[0][0], make(cases[0][1], cases[0][2]))
@@ -150,6 +151,25 @@ def rounded_total(macro: str) -> Column:
     return F.bround(F.sum(F.col(macro).cast("decimal(10,2)") * F.col("grams").cast("decimal(14,4)")).cast("double") / 100, 0)
 
 
+#: Labels of where a weight comes from, in the order in which a mix names them (fixed values).
+PROVENANCE = {
+    "USDA_PORTION": ["portion"], "TABLE": ["tiny", "density", "piece"], "LLM_ESTIMATE": ["estimate"], "WATER": ["water"], "ESTIMATE": ["piece_default", "default"], "DIRECT": ["weight"], "NEGLIGIBLE": ["negligible"], "SEASONING_DEFAULT": ["seasoning"],
+}
+
+
+def without_negligible(lines: DataFrame, flag: Column) -> DataFrame:
+    """Negligible ingredients weigh 0 g."""
+    return lines.withColumns({"grams": F.when(flag, 0.0).otherwise(F.col("grams")), "gram_source": F.when(flag, "negligible").otherwise(F.col("gram_source"))})
+
+
+def source_mix(lines: DataFrame, key: str, source: str = "gram_source") -> DataFrame:
+    """`mix` of each key: the share of lines by PROVENANCE, as `A:62%,B:12%`; rounded half to even. One partial aggregation."""
+    n = F.count(F.lit(1))
+    g = lines.groupBy(key).agg(n.alias("n"), *[F.count_if(F.col(source).isin(kinds)).alias(label) for label, kinds in PROVENANCE.items()])
+    shown = [F.when(F.col(c) > 0, F.concat(F.lit(f"{c}:"), F.bround(100.0 * F.col(c) / F.col("n"), 0).cast("int").cast("string"), F.lit("%"))) for c in PROVENANCE]
+    return g.select(key, F.coalesce(F.nullif(F.concat_ws(",", *shown), F.lit("")), F.lit("UNKNOWN")).alias("mix"))
+
+
 def reference_sanity(df: DataFrame, name: str) -> DataFrame:
     """Calories that are missing, or 0 beside other macros, filled by 9, 4, 4 (one digit); `sane` is false for impossible rows and for
     all zero unless salt or water. Missing macros count as 0."""

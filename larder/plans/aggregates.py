@@ -45,15 +45,21 @@ def agg_stage_conversion(spark, d):
     return op.stage_conversion(table(spark, d, "orders"), F.year("o_orderdate") * 100 + F.month("o_orderdate"), F.col("o_totalprice") > 100000, F.col("o_orderstatus") == "F")
 
 
+#: Every seventh line has no unit, every eleventh no quantity.
+LINKED_U, LINKED_Q = "CASE WHEN l_suppkey % 7 > 0 THEN {u} END", "CASE WHEN l_partkey % 11 = 0 THEN '' WHEN l_partkey % 13 = 0 THEN concat(cast(cast(l_quantity as int) as {s}), '.5') ELSE cast(cast(l_quantity as int) as {s}) END"
+
+
 @query(
     "agg_meta_ingredient",
     f"""
-WITH g AS (SELECT l_orderkey, p_name, sum(l_quantity) AS q, count(DISTINCT u) AS units, min(u) AS u, count(*) AS n_lines FROM (SELECT *, {UNIT_SQL} AS u FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
-SELECT l_orderkey, p_name, CASE WHEN units = 1 THEN q::BIGINT::VARCHAR ELSE '' END AS quantity, CASE WHEN units = 1 THEN u ELSE '' END AS unit, n_lines FROM g""",
+WITH l AS (SELECT l_orderkey, p_name, {LINKED_Q.format(s='VARCHAR')} AS q, {LINKED_U.format(u=UNIT_SQL)} AS u FROM lineitem JOIN part ON p_partkey = l_partkey),
+g AS (SELECT l_orderkey, p_name, sum(nullif(q, '')::DOUBLE) FILTER (u IS NOT NULL) AS q, count(DISTINCT u) FILTER (q <> '') AS units, min(u) FILTER (q <> '') AS u, count(*) AS n_lines FROM l GROUP BY 1, 2)
+SELECT l_orderkey, p_name, CASE WHEN units <> 1 THEN '' WHEN q = floor(q) THEN q::BIGINT::VARCHAR ELSE q::VARCHAR END AS quantity, CASE WHEN units = 1 THEN u ELSE '' END AS unit, n_lines FROM g""",
 )
 def agg_meta_ingredient(spark, d):
-    lines = table(spark, d, "lineitem").withColumn("u", line_unit()).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    return op.merge_lines(lines, ["l_orderkey", "p_name"], "l_quantity", "u")
+    unit = F.when(F.col("l_suppkey") % 7 > 0, line_unit())
+    lines = table(spark, d, "lineitem").withColumns({"u": unit, "q": F.expr(LINKED_Q.format(s="string"))}).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    return op.merge_lines(lines, ["l_orderkey", "p_name"], "q", "u")
 
 
 @query("agg_alias_top_ingredients", f"SELECT ingredient_id, count(*) AS n_aliases, round(avg(confidence), 6) AS mean_confidence, sum(usage_count)::BIGINT AS total_usage FROM {ALIAS_SQL} GROUP BY 1 ORDER BY 2 DESC, 4 DESC, 1 LIMIT 20")
@@ -62,11 +68,23 @@ def agg_alias_top_ingredients(spark, d):
     return g.orderBy(F.desc("n_aliases"), F.desc("total_usage"), "ingredient_id").limit(20)
 
 
-@query("agg_session_totals", "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS meals, round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 4) AS total, round(avg(value) FILTER (event_type = 'purchase'), 9) AS per_meal FROM events GROUP BY 1")
+#: Two nutrients of a saved meal, named and measured as texts.
+NUTRIENT = "(CASE event_id % 5 WHEN 0 THEN 'Calories' WHEN 1 THEN 'Protein' WHEN 2 THEN 'Saturated Fat' WHEN 3 THEN 'Net carbs' ELSE 'Fibre' END)"
+AMOUNT = "(CASE WHEN event_id % 17 = 0 THEN 'none' WHEN event_id % 2 = 0 THEN concat(cast(event_id % 400 as {s}), ' kcal') ELSE concat('~', cast(event_id % 90 as {s}), '.5g') END)"
+MEAL_ROWS = f"SELECT user_id, event_id, {NUTRIENT} AS name, {AMOUNT} AS amount FROM {{e}} WHERE event_type = 'purchase' UNION ALL SELECT user_id, event_id, 'calorie count', '12.25' FROM {{e}} WHERE event_type = 'purchase' AND event_id % 3 = 0"
+
+
+@query(
+    "agg_session_totals",
+    f"""
+WITH n AS ({MEAL_ROWS.format(e='events', s='VARCHAR')}), v AS (SELECT user_id, event_id, lower(name) AS name, coalesce(try_cast(regexp_replace(amount, '[^0-9.]', '', 'g') AS DOUBLE), 0) AS v FROM n),
+m AS (SELECT *, CASE WHEN contains(name, 'calorie') THEN 1 WHEN contains(name, 'protein') THEN 2 WHEN contains(name, 'fat') THEN 3 WHEN contains(name, 'carb') THEN 4 ELSE 0 END AS k FROM v),
+t AS (SELECT user_id, count(DISTINCT event_id) AS meals, {', '.join(f"coalesce(sum(v) FILTER (k = {k}), 0) AS {total}" for k, (_, total) in enumerate(op.SESSION_MACROS, 1))} FROM m GROUP BY 1)
+SELECT user_id, meals, {', '.join(f"round({total}, 4) AS {total}, round({total} / meals, 4) AS {total}_per_meal" for _, total in op.SESSION_MACROS)} FROM t""",
+)
 def agg_session_totals(spark, d):
-    meal = F.col("event_type") == "purchase"
-    g = table(spark, d, "events").groupBy("user_id").agg(F.count_if(meal).alias("meals"), F.coalesce(F.sum(F.when(meal, F.col("value"))), F.lit(0.0)).alias("t"))
-    return g.select("user_id", "meals", F.round("t", 4).alias("total"), F.round(F.try_divide("t", "meals"), 9).alias("per_meal"))
+    rows = spark.sql(MEAL_ROWS.format(e="{e}", s="string"), e=table(spark, d, "events"))
+    return op.session_totals(rows, "user_id", "event_id", "name", "amount")
 
 
 @query("agg_goal_gap", "WITH g AS (SELECT user_id, sum(value) AS t, (500 + user_id % 7 * 100)::DOUBLE AS goal FROM events GROUP BY 1) SELECT user_id, round(greatest(0, goal - t), 4) AS gap, round(100 * t / goal, 9) AS pct FROM g")
@@ -81,10 +99,13 @@ def agg_domain_counts(spark, d):
     return table(spark, d, "pages").groupBy(domain("url").alias("domain"), F.col("url").contains("blog").alias("is_priority")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_site_performance", f"SELECT {DOMAIN_SQL} AS domain, count(*) AS n, round(avg(page_id % 100), 6) AS quality, round(avg(page_id % 10 * 10), 6) AS accuracy FROM pages GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 3")
+SITE_SCORES = {"quality": "page_id % 100", "accuracy": "page_id % 10 * 10", "completeness": "page_id % 7 * 15"}
+
+
+@query("agg_site_performance", f"SELECT {DOMAIN_SQL} AS domain, count(*) AS n, {', '.join(f'round(avg({x}), 1) AS {c}' for c, x in SITE_SCORES.items())} FROM pages GROUP BY 1")
 def agg_site_performance(spark, d):
-    g = table(spark, d, "pages").groupBy(domain("url").alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("page_id") % 100), 6).alias("quality"), F.round(F.avg(F.col("page_id") % 10 * 10), 6).alias("accuracy"))
-    return g.orderBy(F.desc("quality"), "domain").limit(3)
+    scored = table(spark, d, "pages").select(domain("url").alias("domain"), *[F.expr(x).alias(c) for c, x in SITE_SCORES.items()])
+    return op.site_performance(scored, "domain", list(SITE_SCORES))
 
 
 @query("agg_session_score_means", f"SELECT user_id % 20 AS session, count(*) AS n, round(avg(speed), 9) AS speed, round(avg(quality), 9) AS quality, round(avg(accuracy), 9) AS accuracy FROM {SEARCH_SQL} GROUP BY 1")
@@ -114,24 +135,29 @@ def agg_failure_report(spark, d):
     return g.withColumn("failure_point", F.coalesce("failure_point", F.lit("total")))
 
 
-MESSAGE_SQL = "(['HTTP 403 Forbidden', 'Request timed out', 'No data found', 'Oops'])[event_id % 4 + 1]"
+MESSAGES = ["HTTP 403", "Forbidden by robots", "Read Timeout", "timed out", "No recipe data found on page", "No data found", "Blocked", "rate limit reached"]
+MESSAGE_SQL = f"({MESSAGES})[event_id % {len(MESSAGES)} + 1]"
+
 
+def message():
+    return F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("event_id") % len(MESSAGES) + 1).cast("int"))
 
-@query("agg_error_classes", f"SELECT CASE WHEN regexp_matches(lower(m), '403|blocked|forbidden') THEN 'blocked' WHEN regexp_matches(lower(m), 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(lower(m), 'no data|empty') THEN 'no_data' ELSE 'other' END AS class, dom AS domain, count(*) AS n FROM (SELECT {MESSAGE_SQL} AS m, 'site' || (user_id % 5)::VARCHAR AS dom FROM events WHERE event_type = 'error') GROUP BY 1, 2")
+
+@query("agg_error_classes", f"SELECT CASE WHEN regexp_matches(lower(m), '403|forbidden') THEN 'crawl_blocked' WHEN contains(lower(m), 'timeout') THEN 'timeout' WHEN contains(lower(m), 'no recipe data found') THEN 'no_data' ELSE 'other' END AS class, dom AS domain, count(*) AS n FROM (SELECT {MESSAGE_SQL} AS m, 'site' || (user_id % 5)::VARCHAR AS dom FROM events WHERE event_type = 'error') GROUP BY 1, 2")
 def agg_error_classes(spark, d):
-    message = F.element_at(F.array(*[F.lit(m) for m in ("HTTP 403 Forbidden", "Request timed out", "No data found", "Oops")]), (F.col("event_id") % 4 + 1).cast("int"))
     e = table(spark, d, "events").filter("event_type = 'error'")
-    return e.groupBy(op.error_class(message).alias("class"), F.concat(F.lit("site"), (F.col("user_id") % 5).cast("string")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy(op.error_class(message()).alias("class"), F.concat(F.lit("site"), (F.col("user_id") % 5).cast("string")).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "agg_parse_quality",
     """
-WITH g AS (SELECT user_id, count(*) AS attempted, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) AS ok, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (value > 100) AS timeouts FROM events GROUP BY 1), r AS (SELECT *, round(ok::DOUBLE / attempted, 2) AS success_rate FROM g)
-SELECT *, CASE WHEN success_rate >= 0.8 THEN 'high' WHEN success_rate >= 0.6 THEN 'medium' WHEN success_rate >= 0.4 THEN 'low' ELSE 'poor' END AS quality FROM r""",
+WITH g AS (SELECT user_id, count(*) AS attempted, count(*) FILTER (event_type = 'view') AS ok, count(*) FILTER (event_type IN ('error', 'click')) AS failed, count(*) FILTER (value > 100) AS timeouts FROM events GROUP BY 1), r AS (SELECT *, ok::DOUBLE / nullif(ok + failed, 0) AS r FROM g)
+SELECT user_id, attempted, ok, failed, timeouts, round(coalesce(r, 0), 2) AS success_rate, CASE WHEN r IS NULL THEN 'none' WHEN r >= 0.8 THEN 'excellent' WHEN r >= 0.6 THEN 'good' WHEN r >= 0.4 THEN 'acceptable' ELSE 'poor' END AS quality FROM r""",
 )
 def agg_parse_quality(spark, d):
-    return op.parse_quality(table(spark, d, "events"), ["user_id"], F.col("event_type").isin("view", "click", "purchase"), F.col("event_type") == "error", F.col("value") > 100)
+    kind = F.col("event_type")
+    return op.parse_quality(table(spark, d, "events"), ["user_id"], kind == "view", kind.isin("error", "click"), F.col("value") > 100)
 
 
 @query(
@@ -161,13 +187,12 @@ def job_status():
 
 @query(
     "agg_queue_depth",
-    f"SELECT user_id, count(*) FILTER (status = 'queued') AS depth, count(*) FILTER (status = 'processing') AS slots_used, greatest(0, 22 - count(*) FILTER (status = 'processing')) AS slots_free FROM {JOB_SQL} GROUP BY 1",
+    f"""WITH u AS (SELECT user_id, count(*) FILTER (status = 'queued') AS depth, count(*) FILTER (status = 'processing') AS r FROM {JOB_SQL} GROUP BY 1), t AS (SELECT sum(r)::BIGINT AS active_slots, count(*) AS active_users FROM u)
+SELECT user_id, depth, r > 0 AS running, active_slots, greatest(0, 22 - active_slots) AS free_slots, active_users FROM u CROSS JOIN t""",
 )
 def agg_queue_depth(spark, d):
     rows = table(spark, d, "events").select("user_id", F.concat_ws("-", F.col("user_id"), F.expr("event_id div 3")).alias("job"), "ts", "event_id", job_status().alias("status"))
-    jobs = op.latest(rows, "job", ["ts", "event_id"], ["user_id", "status"])
-    used = F.count_if(F.col("status") == "processing")
-    return jobs.groupBy("user_id").agg(F.count_if(F.col("status") == "queued").alias("depth"), used.alias("slots_used"), F.greatest(F.lit(0), 22 - used).alias("slots_free"))
+    return op.queue_status(op.latest(rows, "job", ["ts", "event_id"], ["user_id", "status"]), "user_id", "status")
 
 
 @query("agg_duplicate_audit", "SELECT sha256(coalesce(text, '')) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -223,20 +248,25 @@ def agg_eval_completeness(spark, d):
 @query(
     "agg_eval_latency",
     """
-WITH t(difficulty, f) AS (VALUES ('easy', 0.7), ('medium', 1.0), ('hard', 1.5)), e AS (SELECT ['easy', 'medium', 'hard'][event_id % 3 + 1] AS difficulty, value FROM events)
-SELECT difficulty, round(avg(CASE WHEN value <= 15 * f::DOUBLE THEN 1.0 WHEN value <= 30 * f::DOUBLE THEN 0.7 WHEN value <= 45 * f::DOUBLE THEN 0.4 ELSE 0.0 END), 6)::DOUBLE AS score FROM e JOIN t USING (difficulty) GROUP BY 1""",
+WITH e AS (SELECT (['easy', 'medium', 'hard', 'odd'])[event_id % 4 + 1] AS difficulty, CASE WHEN event_id % 9 > 0 THEN value END AS v FROM events), f AS (SELECT *, CASE difficulty WHEN 'easy' THEN 0.7::DOUBLE WHEN 'hard' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS f FROM e)
+SELECT difficulty, round(avg(CASE WHEN v IS NULL THEN 0.0 WHEN v <= 15 * f THEN 1.0 WHEN v <= 30 * f THEN 0.8 WHEN v <= 45 * f THEN 0.5 ELSE 0.2 END), 6)::DOUBLE AS score FROM f GROUP BY 1""",
 )
 def agg_eval_latency(spark, d):
-    factors = spark.createDataFrame([("easy", 0.7), ("medium", 1.0), ("hard", 1.5)], "difficulty string, f double")
-    e = table(spark, d, "events").withColumn("difficulty", F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("event_id") % 3 + 1).cast("int")))
-    v, f = F.col("value"), F.col("f")
-    return e.join(F.broadcast(factors), "difficulty").groupBy("difficulty").agg(F.round(F.avg(F.when(v <= 15 * f, 1.0).when(v <= 30 * f, 0.7).when(v <= 45 * f, 0.4).otherwise(0.0)), 6).alias("score"))
+    difficulty = F.element_at(F.array(*[F.lit(x) for x in ("easy", "medium", "hard", "odd")]), (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, d, "events").select(difficulty.alias("difficulty"), F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("v"))
+    return e.groupBy("difficulty").agg(F.round(F.avg(op.latency_score(F.col("v"), F.col("difficulty"))), 6).alias("score"))
 
 
-@query("agg_eval_success", "WITH g AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND value > 80 THEN 1 ELSE 0 END) AS err, count(*) FILTER (event_type = 'view') AS found FROM events GROUP BY 1) SELECT user_id, (CASE WHEN err = 1 OR found = 0 THEN 0.0 ELSE least(1.0, round(found / 20.0, 6)) END)::DOUBLE AS score FROM g")
+@query(
+    "agg_eval_success",
+    """WITH g AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND value > 80 THEN 1 ELSE 0 END) AS err, count(*) FILTER (event_type = 'view') AS found FROM events GROUP BY 1), x AS (SELECT *, CASE WHEN user_id % 3 > 0 THEN 10 + user_id % 30 ELSE 5 END AS want FROM g)
+SELECT user_id, round(CASE WHEN err = 1 OR found = 0 THEN 0.0 WHEN found >= want THEN 1.0 ELSE found::DOUBLE / want END, 6)::DOUBLE AS score FROM x""",
+)
 def agg_eval_success(spark, d):
-    g = table(spark, d, "events").groupBy("user_id").agg(F.coalesce(F.bool_or((F.col("event_type") == "error") & (F.col("value") > 80)), F.lit(False)).alias("err"), F.count_if(F.col("event_type") == "view").alias("found"))
-    return g.select("user_id", F.when(F.col("err") | (F.col("found") == 0), 0.0).otherwise(F.least(F.lit(1.0), F.round(F.col("found") / 20.0, 6))).alias("score"))
+    kind = F.col("event_type")
+    g = table(spark, d, "events").groupBy("user_id").agg(F.bool_or((kind == "error") & (F.col("value") > 80)).alias("err"), F.count_if(kind == "view").alias("found"))
+    expected = F.when(F.col("user_id") % 3 > 0, 10 + F.col("user_id") % 30)
+    return g.select("user_id", F.round(op.success_score(F.col("err"), F.col("found"), expected), 6).alias("score"))
 
 
 @query(
@@ -251,29 +281,35 @@ def agg_eval_efficiency(spark, d):
     return r.select("user_id", F.least(F.lit(1.0), F.round(score, 6)).alias("score"))
 
 
-@query("agg_eval_error_handling", "WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY 1), x AS (SELECT user_id, user_id % 2 = 0 AS expected, n FROM e) SELECT user_id, (CASE WHEN expected AND n > 0 THEN 1.0 WHEN NOT expected AND n <= 12 THEN 1.0 WHEN NOT expected AND n <= 15 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score FROM x")
+@query(
+    "agg_eval_error_handling",
+    f"""WITH r AS (SELECT user_id, count(*) FILTER (event_type = 'error' AND value > 60) AS n, count(*) FILTER (event_type = 'error' AND value > 60 AND NOT regexp_matches(lower({MESSAGE_SQL}), '403|forbidden|timeout|rate limit')) AS odd FROM events GROUP BY 1)
+SELECT user_id, (CASE WHEN user_id % 3 = 0 THEN CASE WHEN n = 0 THEN 0.5 WHEN odd * 2 <= n THEN 1.0 ELSE 0.3 END WHEN n = 0 THEN 1.0 WHEN odd > 0 THEN 0.1 ELSE 0.8 END)::DOUBLE AS score FROM r""",
+)
 def agg_eval_error_handling(spark, d):
-    n = table(spark, d, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    runs = table(spark, d, "events").select("user_id", (F.col("user_id") % 2 == 0).alias("expected")).distinct().join(n, "user_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    good = F.when(F.col("expected") & (F.col("n") > 0), 1.0).when(~F.col("expected") & (F.col("n") <= 12), 1.0).when(~F.col("expected") & (F.col("n") <= 15), 0.5).otherwise(0.0)
-    return runs.select("user_id", good.alias("score"))
+    """An error run counts as classified where at least half of its errors are of the usual kinds."""
+    error = (F.col("event_type") == "error") & (F.col("value") > 60)
+    runs = table(spark, d, "events").groupBy("user_id").agg(F.count_if(error).alias("n"), F.count_if(error & ~op.usual_error(message())).alias("odd"))
+    return runs.select("user_id", op.error_score(F.col("user_id") % 3 == 0, F.col("n"), F.col("odd"), F.col("odd") * 2 <= F.col("n")).alias("score"))
 
 
-ANSWER = "concat(text, case conv_id % 7 when 0 then ' Step 1: preheat. https://x.org' when 1 then ' 1. Soup with egg' when 2 then ' 2 cups of rice' when 3 then ' \"Soup\" Recipe' when 4 then ' Save meal #3' else '' end)".replace('\\"', '"')
+ANSWER = "concat(text, case conv_id % 11 when 0 then ' Step 1: preheat. https://x.org' when 1 then ' 1. Soup with egg' when 2 then ' 2 cups of rice' when 3 then ' \"Soup\" Recipe' when 4 then ' Save meal #3' when 5 then ' Save the quick one' when 6 then ' These might work.' when 7 then ' I found some: they meet your requirements' when 8 then ' Found recipes, or a close alternative' when 9 then ' best matches available' else '' end)".replace('\\"', '"')
 BAD_SQL = " + ".join(f"(CASE WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END)" for p in op.FORBIDDEN)
 
 
 @query(
     "agg_eval_text_rules",
     rf"""
-WITH a AS (SELECT conv_id, {ANSWER} AS t FROM conversations WHERE role = 'assistant'),
-r AS (SELECT conv_id, {BAD_SQL} AS bad, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda s: trim(s) <> '')) AS sentences, regexp_matches(lower(t), '{op.SAVE}') AS saves FROM a)
-SELECT conv_id, round(avg(greatest(0.0, 1.0 - 0.3 * bad)), 6)::DOUBLE AS clean, round(avg(CASE WHEN sentences <= 2 THEN 1.0 WHEN sentences = 3 THEN 0.8 WHEN sentences <= 5 THEN 0.4 ELSE 0.1 END), 6)::DOUBLE AS brevity, count(*) FILTER (saves) AS saves FROM r GROUP BY 1""",
+WITH a AS (SELECT conv_id, turn, {ANSWER} AS t FROM conversations WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn, {BAD_SQL} AS bad, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda s: trim(s) <> '')) AS sentences, regexp_matches(lower(t), '{op.SAVE}') AS saves, turn % 4 = 1 AS searched,
+  CASE WHEN turn % 3 = 0 THEN CASE WHEN regexp_matches(lower(t), '{'|'.join(op.MIXED_WORDING)}') THEN 1.0 ELSE 0.3 END WHEN turn % 3 = 1 THEN CASE WHEN regexp_matches(lower(t), '{'|'.join(op.CLOSEST_WORDING)}') THEN 1.0 ELSE 0.2 END
+   WHEN regexp_matches(lower(t), '{'|'.join(op.CONFIDENT_WORDING)}') AND NOT regexp_matches(lower(t), '{'|'.join(op.DOUBTFUL_WORDING)}') THEN 1.0 ELSE 0.6 END AS wording FROM a)
+SELECT conv_id, round(avg(greatest(0.0, 1.0 - 0.3 * bad)), 6)::DOUBLE AS clean, round(avg(CASE WHEN sentences <= 2 THEN 1.0 WHEN sentences = 3 THEN 0.8 WHEN sentences <= 5 THEN 0.4 ELSE 0.1 END), 6)::DOUBLE AS brevity, round(avg(CASE WHEN saves THEN CASE WHEN searched THEN 0.0 ELSE 1.0 END WHEN searched THEN 1.0 ELSE 0.2 END), 6)::DOUBLE AS saving, round(avg(wording), 6)::DOUBLE AS wording, count(*) FILTER (saves) AS saves FROM r GROUP BY 1""",
 )
 def agg_eval_text_rules(spark, d):
-    t = F.expr(ANSWER)
+    t, k = F.expr(ANSWER), F.col("turn")
     c = table(spark, d, "conversations").filter("role = 'assistant'").groupBy("conv_id")
-    return c.agg(F.round(F.avg(op.clean_score(t)), 6).alias("clean"), F.round(F.avg(op.brevity_score(t)), 6).alias("brevity"), F.count_if(F.lower(t).rlike(op.SAVE)).alias("saves"))
+    return c.agg(F.round(F.avg(op.clean_score(t)), 6).alias("clean"), F.round(F.avg(op.brevity_score(t)), 6).alias("brevity"), F.round(F.avg(op.save_score(t, k % 4 == 1)), 6).alias("saving"), F.round(F.avg(op.fallback_score(t, k % 3 < 2, F.when(k % 3 == 0, 1).otherwise(0))), 6).alias("wording"), F.count_if(F.lower(t).rlike(op.SAVE)).alias("saves"))
 
 
 @query("agg_load_test", "SELECT event_type, count(*) AS requests, round(count(*) FILTER (value < 100)::DOUBLE / count(*), 6) AS success_rate, round(sum(value), 3) AS total_s, round(avg(value), 4) AS mean_s, round(count(*) / sum(value), 6) AS per_s FROM events GROUP BY 1")

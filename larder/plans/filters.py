@@ -53,11 +53,11 @@ def flt_url_placeholder(spark, d):
     "flt_blocked_domain",
     f"""
 WITH p AS (SELECT page_id, {DOMAIN_SQL} AS domain FROM pages), b(site) AS (VALUES ('cheap-pills.example.com'), ('spam-farm.example.org'), ('example.net'))
-SELECT page_id, domain FROM p WHERE domain <> '' AND domain <> 'thther.example.org'
+SELECT page_id, domain FROM p WHERE domain <> '' AND page_id NOT IN (SELECT page_id FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 7 = 0))
   AND NOT EXISTS (SELECT 1 FROM b WHERE p.domain = b.site OR ends_with(p.domain, '.' || b.site))""",
 )
 def flt_blocked_domain(spark, d):
-    return op.unblocked(table(spark, d, "pages"), "url", sites(spark, BLOCKED), sites(spark, ["thther.example.org"])).select("page_id", "domain")
+    return op.unblocked(table(spark, d, "pages"), "url", sites(spark, BLOCKED), table(spark, d, "pages").filter("page_id % 7 = 0").select("url")).select("page_id", "domain")
 
 
 def image_list():
@@ -168,9 +168,18 @@ def prj_minimal_view(spark, d):
     return g.select("l_orderkey", F.array_join(F.transform(F.slice("lines", 1, 8), lambda x: x["l_partkey"].cast("string")), ",").alias("ingredients"), "exact_count", "closest_count")
 
 
-@query("prj_cart_eligible", "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity > 0 AND l_linestatus = 'O' AND NOT (l_returnflag = 'R') AND l_discount < 0.1 AS cart_friendly FROM lineitem")
+STORE_UNIT = "CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'cup' WHEN 2 THEN 'count' END"
+
+
+@query(
+    "prj_cart_eligible",
+    f"SELECT l_orderkey, l_partkey, l_linenumber, l_quantity > 3 AND coalesce({STORE_UNIT}, '') <> '' AND p_name <> '' AND l_returnflag <> 'R' AND NOT (l_linestatus = 'F' AND l_discount > 0.05) AS cart_friendly FROM lineitem JOIN part ON p_partkey = l_partkey",
+)
 def prj_cart_eligible(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", ((F.col("l_quantity") > 0) & (F.col("l_linestatus") == "O") & ~(F.col("l_returnflag") == "R") & (F.col("l_discount") < 0.1)).alias("cart_friendly"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    quantity = F.when(F.col("l_quantity") > 3, F.col("l_quantity")).when(F.col("l_quantity") > 1, 0.0)
+    optional = F.when(F.col("l_discount") > 0.05, F.col("l_linestatus") == "F")
+    return lines.select("l_orderkey", "l_partkey", "l_linenumber", op.cart_eligible(quantity, F.expr(STORE_UNIT), F.col("p_name"), F.col("l_returnflag") == "R", optional).alias("cart_friendly"))
 
 
 @query("prj_url_domain", f"SELECT page_id, {DOMAIN_SQL} AS domain FROM pages")

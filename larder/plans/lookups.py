@@ -89,10 +89,19 @@ def jn_nutrition_tiered(spark, d):
     return tiered_lines(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "source", *MACROS)
 
 
-@query("jn_search_term_map", r"SELECT p_partkey, coalesce(canonical, p_name) || (CASE WHEN regexp_matches(p_name, '\bhot\b') THEN ' hot' WHEN regexp_matches(p_name, '\bold\b') THEN ' old' ELSE '' END) AS search_term FROM part LEFT JOIN (VALUES ('hot gear', 'gear'), ('old bolt', 'bolt')) AS t(common, canonical) ON common = p_name")
+#: Names as they come: with blanks, capitals and preparations.
+RAW_NAME = "(CASE p_partkey % 12 WHEN 0 THEN ' Eggs ' WHEN 1 THEN 'raw egg' WHEN 2 THEN 'Butter' WHEN 3 THEN 'Fried eggs, boiled' WHEN 4 THEN 'EGG' WHEN 5 THEN 'Brown Sugar' WHEN 6 THEN concat('Roasted ', p_name) WHEN 7 THEN 'Oats' WHEN 8 THEN 'Strawberry' ELSE p_name END)"
+PREPARED_SQL = "CASE " + " ".join(f"WHEN contains(lower(n), '{w}') THEN '{w}'" for w in op.PREPARATIONS) + " END"
+
+
+@query(
+    "jn_search_term_map",
+    f"""WITH p AS (SELECT p_partkey, {RAW_NAME} AS n FROM part), t AS (SELECT p_partkey, coalesce(canonical, n) AS t, {PREPARED_SQL} AS w FROM p LEFT JOIN (VALUES {', '.join(str(x) for x in op.SEARCH_NAMES.items())}) AS m(common, canonical) ON common = lower(trim(n)))
+SELECT p_partkey, CASE WHEN w IS NOT NULL AND NOT contains(lower(t), w) THEN t || ' ' || w ELSE t END AS search_term FROM t""",
+)
 def jn_search_term_map(spark, d):
-    mapping = spark.createDataFrame([("hot gear", "gear"), ("old bolt", "bolt")], "common string, canonical string")
-    return op.search_terms(table(spark, d, "part"), mapping, "p_name", ["hot", "old"]).select("p_partkey", "search_term")
+    named = table(spark, d, "part").select("p_partkey", F.expr(RAW_NAME).alias("name"))
+    return op.search_terms(named, "name").select("p_partkey", "search_term")
 
 
 UNITS = ["cups", "tablespoon", "gram", "slices", "piece", "oz", "pinch"]

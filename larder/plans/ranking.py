@@ -124,10 +124,9 @@ def win_exact_then_closest(spark, d):
     return op.exact_then_closest(matches(spark, d), "query_id", "o_orderkey", "exact", "pct", 3).select("query_id", "o_orderkey", "rank", "closest_match")
 
 
-@query("win_topk_closest", f"SELECT query_id, o_orderkey, pct FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pct DESC, o_orderkey) AS k FROM {MATCH_SQL}) WHERE k <= 3")
+@query("win_topk_closest", f"SELECT query_id, o_orderkey, pct FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pct DESC, o_orderkey) AS k FROM {MATCH_SQL} WHERE pct > 0) WHERE k <= 3")
 def win_topk_closest(spark, d):
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("pct"), "o_orderkey"))
-    return matches(spark, d).withColumn("k", k).filter("k <= 3").select("query_id", "o_orderkey", "pct")
+    return op.closest(matches(spark, d), "query_id", "o_orderkey", "pct").select("query_id", "o_orderkey", "pct")
 
 
 @query("win_recent_n", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
@@ -138,13 +137,12 @@ def win_recent_n(spark, d):
 
 @query(
     "win_score_trend",
-    "WITH r AS (SELECT user_id, value - lag(value) OVER w AS delta, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, CASE WHEN delta > 5 THEN 'improving' WHEN delta < -5 THEN 'declining' ELSE 'stable' END AS trend FROM r WHERE k = 1",
+    """WITH e AS (SELECT user_id * 10 + event_id % 37 AS session, floor(value / 20) AS score, ts, event_id FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS k FROM e),
+t AS (SELECT session, max(score) FILTER (k = 1) AS a, max(score) FILTER (k = 2) AS b FROM r GROUP BY 1) SELECT session, CASE WHEN b IS NULL THEN 'insufficient_data' WHEN a > b THEN 'improving' WHEN a < b THEN 'declining' ELSE 'stable' END AS trend FROM t""",
 )
 def win_score_trend(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("delta", F.col("value") - F.lag("value").over(w))
-    last = e.groupBy("user_id").agg(F.max_by("delta", F.struct("ts", "event_id")).alias("delta"))
-    return last.select("user_id", F.when(F.col("delta") > 5, "improving").when(F.col("delta") < -5, "declining").otherwise("stable").alias("trend"))
+    e = table(spark, d, "events").select((F.col("user_id") * 10 + F.col("event_id") % 37).alias("session"), F.floor(F.col("value") / 20).alias("score"), "ts", "event_id")
+    return op.score_trend(e, "session", ["ts", "event_id"], "score")
 
 
 @query("win_save_once", "WITH s AS (SELECT user_id, event_id % 50 AS url, event_id, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'purchase' AND event_id % 9 < 5) SELECT user_id, url, event_id FROM s WHERE k = 1")

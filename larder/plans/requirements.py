@@ -139,19 +139,76 @@ def req_verify_all(spark, d):
     return op.verify_all(rows, ["time_ok", "exclude_ok"], "nutrition_ok", "nutrition_pct").select("o_orderkey", "exact", F.floor(F.coalesce("nutrition_pct", F.lit(0.0))).cast("double").alias("pct"))
 
 
-FLAGS_SQL = f"(SELECT page_id, page_id % 3 = 0 AS protein, page_id % 2 = 0 AS time, page_id % 5 > 0 AS diet, {DOMAIN_SQL} LIKE 'blog.%' AS trusted, page_id % 4 > 0 AS image FROM pages)"
+#: What customers ask for, by the customer's number, as documents.
+DOCUMENTS = [
+    '{"subject": "cheesecake", "dietary_constraints": ["vegan", "paleo"], "nutrition_requirements": ["min_protein_20g", "protein"]}',
+    '{"subject": "cake", "allergy_constraints": ["nuts", "pollen"], "time_constraints": "quick"}',
+    '{"subject": "Chicken Soup", "dietary_constraints": ["gluten-free", "dairy-free", "keto"], "nutrition_requirements": ["max_calories_300", "30g protein"]}',
+    '{"allergy_constraints": ["eggs", "shellfish"], "time_constraints": "under_25_minutes"}',
+    '{"dietary_constraints": ["carnivore"], "time_constraints": "soon"}',
+    '{"subject": "", "dietary_constraints": [], "time_constraints": ""}',
+    '{"subject": "pasta", "nutrition_requirements": ["max_calories_450", "max_calories_450"]}',
+]
+DOCUMENT = f"CASE c_custkey % {len(DOCUMENTS)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(DOCUMENTS)) + " END"
+#: Recipes of orders: titles, and lines of ingredients that the parts stand for.
+TITLE = "CASE o_orderkey % 8 WHEN 0 THEN 'Classic Cheesecake' WHEN 1 THEN 'Chocolate Fudge' WHEN 2 THEN 'Creamy CHICKEN Soup' WHEN 3 THEN 'Pasta al Forno' WHEN 4 THEN 'Green Salad' WHEN 5 THEN 'Soup of Chicken' WHEN 6 THEN '' END"
+FOOD_LINE = "CASE l_partkey % 16 WHEN 0 THEN 'wheat flour' WHEN 1 THEN '2 Eggs' WHEN 2 THEN 'almond milk' WHEN 3 THEN 'shrimps' WHEN 4 THEN 'rice' WHEN 5 THEN 'doughnut' WHEN 6 THEN 'chicken stock' ELSE p_name END"
+NUTRITION = "CASE o_orderkey % 5 WHEN 0 THEN {a}('Energy 400 kcal', 'Protein: ', 'protein 25.5 g') WHEN 1 THEN {a}('Calories 280', 'Protein 18g') WHEN 2 THEN {a}('Fat 3 g') WHEN 3 THEN {a}('calories 450 kcal', '31 g Protein') END"
+COOK_TIME = "CASE o_orderkey % 4 WHEN 0 THEN concat('PT', cast(o_orderkey % 60 as {s}), 'M') WHEN 1 THEN concat(cast(o_orderkey % 45 as {s}), ' minutes') WHEN 2 THEN '' END"
+PRIORITY = ["allrecipes.com", "food52.com"]
+SITE = "CASE o_orderkey % 3 WHEN 0 THEN 'https://www.allrecipes.com/r' WHEN 1 THEN 'http://blog.food52.com/x' ELSE 'https://example.org/' END"
+
+
+def _flags_sql():
+    """Every rule of every document, written down; contained terms by whole texts."""
+    has = lambda text, *terms: "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+    vegan = has("i", "chicken", "beef", "pork", "fish", "egg", "milk", "cheese", "butter")
+    rules = [
+        {"subject_match": has("t", "cheesecake"), "vegan": f"NOT {vegan}", "min_20g_protein": "protein >= 20"},
+        {"subject_match": has("t", "cake", "chocolate"), "nuts_excluded": f"NOT {has('i', 'nut', 'almond', 'walnut', 'pecan', 'cashew', 'peanut')}", "quick": "minutes <= 30"},
+        {"subject_match": f"({has('t', 'chicken soup')} OR {has('i', 'chicken soup')})", "gluten_free": f"NOT {has('i', 'flour', 'wheat', 'bread', 'pasta')}", "dairy_free": f"NOT {has('i', 'milk', 'cheese', 'butter', 'cream', 'yogurt')}",
+         "keto": f"NOT {has('i', 'flour', 'sugar', 'bread', 'pasta', 'rice')}", "max_300_calories": "calories <= 300", "min_30g_protein": "protein >= 30"},
+        {"eggs_excluded": f"NOT {has('i', 'egg')}", "shellfish_excluded": f"NOT {has('i', 'shrimp', 'crab', 'lobster', 'shellfish')}", "under_25_minutes": "minutes <= 25"},
+        {},
+        {"no_constraints": "true"},
+        {"subject_match": f"({has('t', 'pasta')} OR {has('i', 'pasta')})", "max_450_calories": "calories <= 450"},
+    ]
+    rows = " UNION ALL ".join(f"SELECT o_custkey, o_orderkey, '{flag}' AS flag, coalesce({test}, false) AS met FROM r WHERE o_custkey % {len(DOCUMENTS)} = {k}" for k, flags in enumerate(rules) for flag, test in flags.items())
+    number = lambda names: rf"try_cast(nullif(regexp_extract(list_filter(n, lambda x: regexp_matches(lower(x), '{names}') AND regexp_matches(x, '\d'))[1], '(\d+)', 1), '') AS INTEGER)"
+    return rf"""
+WITH g AS (SELECT l_orderkey AS o_orderkey, lower(string_agg({FOOD_LINE}, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS i FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+r AS (SELECT o_custkey, o_orderkey, lower(coalesce({TITLE}, '')) AS t, coalesce(i, '') AS i, {number('protein')} AS protein, {number('calorie|kcal')} AS calories, try_cast(nullif(regexp_extract({COOK_TIME.format(s='VARCHAR')}, '(\d+)', 1), '') AS INTEGER) AS minutes
+  FROM (SELECT *, {NUTRITION.format(a='list_value')} AS n FROM orders) LEFT JOIN g USING (o_orderkey)),
+f AS ({rows})"""
+
+
+FLAGS_SQL = _flags_sql()
+
+
+def customer_rules(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.expr(DOCUMENT).alias("document"))
+    return op.constraint_rules(asked, "o_custkey", "document")
 
 
 def flags(spark, d):
-    k = F.col("page_id")
-    return table(spark, d, "pages").select("page_id", F.map_from_arrays(F.array(F.lit("protein"), F.lit("time"), F.lit("diet")), F.array(k % 3 == 0, k % 2 == 0, k % 5 > 0)).alias("met"), domain("url").like("blog.%").alias("trusted"), (k % 4 > 0).alias("image"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    named = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    texts = named.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(FOOD_LINE).alias("food")))).alias("i"))
+    joined = texts.select("o_orderkey", F.array_join(F.transform("i", lambda x: x["food"]), " ").alias("ingredients"))
+    recipes = o.select("o_orderkey", F.expr(TITLE).alias("title"), F.expr(NUTRITION.format(a="array")).alias("nutrition"), F.expr(COOK_TIME.format(s="string")).alias("cook_time")).join(joined, "o_orderkey", "left")
+    return op.constraint_flags(o, recipes, customer_rules(spark, d), "o_custkey", "o_orderkey")
 
 
-@query("req_constraint_flags", f"SELECT page_id, round(100.0 * (protein::INT + time::INT + diet::INT) / 3, 2)::DOUBLE AS accuracy, CASE WHEN trusted AND image THEN 100 WHEN trusted THEN 80 WHEN image THEN 60 ELSE 40 END AS quality FROM {FLAGS_SQL}")
+@query(
+    "req_constraint_flags",
+    FLAGS_SQL + f""", s AS (SELECT o_orderkey, string_agg(flag || '=' || met::VARCHAR, ';' ORDER BY flag) AS flags, round(100.0::DOUBLE * count(*) FILTER (met) / count(*), 1) AS a FROM f GROUP BY 1)
+SELECT o_orderkey, coalesce(flags, '') AS flags, CASE WHEN flags = 'no_constraints=true' THEN NULL ELSE coalesce(a, 100.0) END AS accuracy,
+ CASE WHEN o_orderkey % 3 < 2 THEN CASE WHEN o_orderkey % 4 > 0 THEN 100.0 ELSE 80.0 END WHEN o_orderkey % 4 > 0 THEN 60.0 ELSE 40.0 END::DOUBLE AS quality FROM r LEFT JOIN s USING (o_orderkey)""",
+)
 def req_constraint_flags(spark, d):
-    n = F.size(F.filter(F.map_values("met"), lambda x: x))
-    quality = F.when(F.col("trusted") & F.col("image"), 100).when(F.col("trusted"), 80).when(F.col("image"), 60).otherwise(40)
-    return flags(spark, d).select("page_id", F.round(100.0 * n / 3, 2).alias("accuracy"), quality.alias("quality"))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("details"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))), ";")
+    quality = op.listing_quality(domain(F.expr(SITE)), PRIORITY, F.col("o_orderkey") % 4 > 0)
+    return flags(spark, d).select("o_orderkey", shown.alias("flags"), "accuracy", quality.alias("quality"))
 
 
 QUERY_TEXT = "text || CASE turn % 6 WHEN 0 THEN ' Vegan with 30g protein' WHEN 1 THEN ' under 500 calories in 20 min' WHEN 2 THEN ' keto no nuts' WHEN 3 THEN ' 25 protein, Nut-Free' WHEN 4 THEN ' paleo, gluten-free and dairy-free, 300 Calorie' ELSE '' END"
@@ -170,13 +227,25 @@ def req_extract_from_query(spark, d):
     return needed(spark, d)
 
 
-@query("req_constraints_met", f"WITH m AS (SELECT conv_id, needed, bool_or(turn % 3 = 0) AS met FROM {FOUND_SQL} GROUP BY 1, 2) SELECT conv_id, count(*) AS n, round(avg(met::INT), 6)::DOUBLE AS rate FROM m GROUP BY 1")
+@query(
+    "req_constraints_met",
+    FLAGS_SQL + """, m AS (SELECT o_custkey, flag, bool_or(met) AS met FROM f WHERE flag <> 'no_constraints' GROUP BY 1, 2), z AS (SELECT o_custkey, count(*) AS identified, count(*) FILTER (met) AS satisfied FROM m GROUP BY 1)
+SELECT c_custkey AS o_custkey, coalesce(identified, 0) AS identified, coalesce(satisfied, 0) AS satisfied, CASE WHEN identified > 0 THEN round(100.0::DOUBLE * satisfied / identified, 1) ELSE 100.0 END AS rate FROM customer LEFT JOIN z ON o_custkey = c_custkey""",
+)
 def req_constraints_met(spark, d):
-    m = needed(spark, d).groupBy("conv_id", "needed").agg(F.bool_or(F.col("turn") % 3 == 0).alias("met"))
-    return m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("met").cast("int")), 6).alias("rate"))
+    asked = flags(spark, d).filter("accuracy IS NOT NULL").select("o_custkey", F.explode("details").alias("constraint", "met"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return op.constraints_met(asked, "o_custkey", "constraint", "met", customers)
 
 
-@query("req_field_presence", "SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'text' END, CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END, CASE WHEN n_chars < 500 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS missing FROM documents LEFT JOIN labels USING (doc_id)")
+@query(
+    "req_field_presence",
+    """WITH r AS (SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS lines, CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 5 < 4 THEN source END AS image, (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT + (doc_id % 3 > 0)::INT + 1 AS n FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, array_to_string(list_filter([CASE WHEN lines = 0 THEN 'ingredients' END, CASE WHEN trim(coalesce(image, '')) = '' THEN 'image_url' END, CASE WHEN n < 4 THEN 'nutrition' END], lambda x: x IS NOT NULL), ',') AS missing FROM r""",
+)
 def req_field_presence(spark, d):
-    missing = F.array_compact(F.array(F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "text"), F.when(F.col("quality").isNull(), "quality"), F.when(F.col("toxic").isNull(), "toxic"), F.when(F.col("n_chars") < 500, "length")))
-    return records(spark, d).select("doc_id", F.array_join(missing, ",").alias("missing"))
+    k = F.col("doc_id")
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    values = F.array_compact(F.array(F.col("quality"), F.col("toxic"), F.when(k % 3 > 0, 1), F.lit(1)))
+    image = F.when(k % 5 == 0, " ").when(k % 5 < 4, F.col("source"))
+    return records(spark, d).select("doc_id", F.array_join(op.missing_fields(lines, image, values), ",").alias("missing"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larder.functions import domain, grade
@@ -187,21 +188,29 @@ def scr_time_status(spark, d):
     return table(spark, d, "events").select("event_id", op.time_status(F.col("value"), strategy).alias("status"), op.next_action(F.col("value"), F.col("event_id") % 13).alias("action"))
 
 
-@query(
-    "scr_reference_match",
-    """
-WITH u AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user'), i AS (SELECT conv_id, turn AS item, string_split(lower(text), ' ')[1] AS head, length(text) % 60 AS minutes FROM conversations WHERE role = 'assistant'),
-s AS (SELECT u.conv_id, u.turn, i.item, least(1.0, (CASE WHEN contains(t, head) THEN 0.5 ELSE 0.0 END) + (CASE WHEN contains(t, 'en') AND minutes <= 30 THEN 0.4 ELSE 0.0 END) + (CASE WHEN item = 1 AND contains(t, 'th') THEN 0.3 ELSE 0.0 END)) AS score FROM u JOIN i USING (conv_id))
-SELECT conv_id, turn, arg_min(item, (-score, item)) AS best, max(score)::DOUBLE AS score FROM s GROUP BY 1, 2""",
-)
+SAID = "concat(text, CASE (conv_id + turn) % 7 WHEN 0 THEN ' The FIRST one' WHEN 1 THEN ' recipe #2' WHEN 2 THEN ' the third' WHEN 3 THEN ' the last quick one' WHEN 4 THEN ' the quick Italian one' WHEN 5 THEN ' the second' ELSE '' END)"
+SHOWN = "concat(split_part(text, '.', 1), CASE conv_id % 3 WHEN 0 THEN ' Italian French' WHEN 1 THEN ' Asian' ELSE '' END)"
+
+
+def _reference_sql():
+    style = " + ".join(f"(CASE WHEN contains(said, '{c}') AND contains(title, '{c}') THEN 0.8 ELSE 0.0 END)" for c in op.CUISINES)
+    place = " ".join(f"WHEN contains(said, '{w}') OR contains(said, '#{k}') THEN CASE WHEN position = {k} THEN 1.0 ELSE 0.0 END" for k, w in enumerate(("first", "second", "third"), 1))
+    return f"""
+WITH u AS (SELECT conv_id, turn, lower({SAID}) AS said FROM conversations WHERE role = 'user'),
+i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, lower({SHOWN}) AS title, length(text) % 60 AS minutes FROM conversations WHERE role = 'assistant'),
+s AS (SELECT u.conv_id, turn, position, round(least(1.0, (CASE WHEN len(list_filter(string_split_regex(said, '\\s+'), lambda w: length(w) > 3 AND contains(title, w))) > 0 THEN 0.5 ELSE 0.0 END)
+  + (CASE {place} WHEN contains(said, 'last') THEN CASE WHEN position >= 3 THEN 0.8 ELSE 0.0 END ELSE 0.0 END) + (CASE WHEN contains(said, 'quick') AND minutes BETWEEN 1 AND 30 THEN 0.7 ELSE 0.0 END) + {style}), 6)::DOUBLE AS score FROM u JOIN i USING (conv_id))
+SELECT conv_id, turn, arg_min(position, (-score, position)) AS best, max(score) AS score FROM s WHERE score > 0 GROUP BY 1, 2"""
+
+
+@query("scr_reference_match", _reference_sql())
 def scr_reference_match(spark, d):
     c = table(spark, d, "conversations")
-    said = c.filter("role = 'user'").select("conv_id", "turn", F.lower("text").alias("t"))
-    shown = c.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("item"), F.split(F.lower("text"), " ")[0].alias("head"), (F.length("text") % 60).alias("minutes"))
-    hit = lambda x, p: F.when(x, p).otherwise(0.0)
-    score = F.least(F.lit(1.0), hit(F.contains("t", "head"), 0.5) + hit(F.col("t").contains("en") & (F.col("minutes") <= 30), 0.4) + hit((F.col("item") == 1) & F.col("t").contains("th"), 0.3))
-    pairs = said.join(shown, "conv_id").withColumn("score", score)
-    return pairs.groupBy("conv_id", "turn").agg(F.min_by("item", F.struct(-F.col("score"), F.col("item"))).alias("best"), F.max("score").alias("score"))
+    said = c.filter("role = 'user'").select("conv_id", "turn", F.expr(SAID).alias("said"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    shown = c.filter("role = 'assistant'").select("conv_id", nth.cast("long").alias("best"), F.expr(SHOWN).alias("title"), (F.length("text") % 60).alias("minutes"))
+    pairs = said.join(shown, "conv_id").select("conv_id", "turn", "best", op.reference_match(F.col("said"), F.col("title"), F.col("best"), F.col("minutes")).alias("score"))
+    return op.best_reference(pairs, ["conv_id", "turn"], "best", "score")
 
 
 #: The pages' links under the paths of recipes, lists and others, by the page.

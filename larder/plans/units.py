@@ -23,10 +23,14 @@ GRAMS_SQL = f"""(SELECT *, round(CASE WHEN kind IN ('weight', 'tiny') THEN l_qua
    WHEN kind = 'volume' AND density IS NOT NULL THEN l_quantity * factor * density / 240 WHEN kind = 'volume' THEN l_quantity * factor WHEN u IN ({AMBIGUOUS_SQL}) AND seasoning THEN l_quantity
    WHEN u IN ('piece', 'count', 'clove') THEN l_quantity * coalesce(piece, 50.0) ELSE l_quantity * 100.0 END, 4)::DOUBLE AS grams,
    CASE WHEN kind IN ('weight', 'tiny') THEN kind WHEN kind = 'volume' AND portion IS NOT NULL THEN 'portion' WHEN kind = 'volume' AND density IS NOT NULL THEN 'density' WHEN kind = 'volume' THEN 'water'
-   WHEN u IN ({AMBIGUOUS_SQL}) AND seasoning THEN 'seasoning' WHEN u IN ('piece', 'count', 'clove') THEN 'piece' ELSE 'default' END AS gram_source
+   WHEN u IN ({AMBIGUOUS_SQL}) AND seasoning THEN 'seasoning' WHEN u IN ('piece', 'count', 'clove') AND piece IS NOT NULL THEN 'piece' WHEN u IN ('piece', 'count', 'clove') THEN 'piece_default' ELSE 'default' END AS gram_source
  FROM (SELECT x.*, regexp_replace(unit, 's$', '') AS u, {PORTION_SQL} AS portion, n.density, n.piece, n.seasoning, kind, factor FROM (SELECT *, {FOOD_SQL} AS food, {UNIT_SQL} AS unit FROM {TIERED_LINES_SQL}) x
    JOIN {FACTS_SQL} n USING (food) LEFT JOIN (VALUES {UNIT_ROWS}) AS t(un, kind, factor) ON un = regexp_replace(unit, 's$', '')))"""
 WATER_SQL = f"(SELECT * REPLACE (CASE WHEN gram_source = 'water' AND est BETWEEN 10 AND 500 THEN est ELSE grams END AS grams, CASE WHEN gram_source = 'water' AND est BETWEEN 10 AND 500 THEN 'estimate' ELSE gram_source END AS gram_source) FROM (SELECT g.*, CASE WHEN l_partkey % 4 = 1 THEN (l_partkey % 600)::DOUBLE END AS est FROM {GRAMS_SQL} g))"
+#: Negligible lines weigh nothing, whatever the override says.
+NEGLIGIBLE_SQL = f"""(food IN ({', '.join(repr(x) for x in op.NEGLIGIBLE_NAMES)}) OR regexp_matches(food, '^(?:{'|'.join(op.NEGLIGIBLE_STARTS)})') OR lower(unit) IN ({', '.join(repr(x) for x in op.NEGLIGIBLE_UNITS)})
+ OR (seasoning AND ((unit = 'tablespoon' AND l_quantity <= 1) OR (unit = 'piece' AND l_quantity <= 2))))"""
+WEIGHED_SQL = f"(SELECT * REPLACE (CASE WHEN {NEGLIGIBLE_SQL} THEN 0.0 ELSE grams END AS grams, CASE WHEN {NEGLIGIBLE_SQL} THEN 'negligible' ELSE gram_source END AS gram_source) FROM {WATER_SQL})"
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -50,7 +54,7 @@ def lines_in_grams(spark, d):
     guess = table(spark, d, "part").filter("p_partkey % 4 = 1").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 600).cast("double").alias("guess"))
     lines = table(spark, d, "lineitem").select(*KEYS, "l_quantity").join(known.join(guess, "l_partkey", "left"), "l_partkey")
     g = op.grams(F.col("l_quantity"), line_unit(), portions(), F.col("density"), F.col("piece"), F.col("seasoning"))
-    return lines.withColumn("_g", g).select(*KEYS, *MACROS, "guess", "_g.grams", "_g.gram_source")
+    return lines.withColumn("_g", g).select(*KEYS, *MACROS, "guess", "food", "seasoning", "l_quantity", "_g.grams", "_g.gram_source")
 
 
 @query("cnv_to_grams", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, grams, gram_source FROM {GRAMS_SQL}")
@@ -80,20 +84,23 @@ def cnv_reference_sanity(spark, d):
     return op.reference_sanity(p, "p_name").select("p_partkey", "calories", "sane")
 
 
-@query("agg_recipe_macros", f"SELECT l_orderkey, {', '.join(f'round_even(sum({m}::DECIMAL(10, 2) * grams::DECIMAL(14, 4))::DOUBLE / 100, 0) AS {m}' for m in MACROS)} FROM {WATER_SQL} GROUP BY 1")
+def weighed(spark, d):
+    lines = lines_in_grams(spark, d)
+    flag = op.negligible(F.col("food"), F.col("l_quantity"), line_unit(), F.col("seasoning"))
+    return op.without_negligible(op.overridden(lines, F.col("guess")), flag)
+
+
+@query("agg_recipe_macros", f"SELECT l_orderkey, {', '.join(f'round_even(sum({m}::DECIMAL(10, 2) * grams::DECIMAL(14, 4))::DOUBLE / 100, 0) AS {m}' for m in MACROS)} FROM {WEIGHED_SQL} GROUP BY 1")
 def agg_recipe_macros(spark, d):
-    """Macros per recipe: reference values, grams with the water override, one sum per recipe."""
-    lines = op.overridden(lines_in_grams(spark, d), F.col("guess"))
-    return lines.groupBy("l_orderkey").agg(*[op.rounded_total(m).alias(m) for m in MACROS])
+    """Macros per recipe: reference values, grams with the water override, nothing for negligible lines, one sum per recipe."""
+    return weighed(spark, d).groupBy("l_orderkey").agg(*[op.rounded_total(m).alias(m) for m in MACROS])
 
 
 @query(
     "agg_source_mix",
     f"""
-WITH s AS (SELECT l_orderkey, source, count(*) AS n FROM {TIERED_LINES_SQL} GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey) AS total FROM s)
-SELECT l_orderkey, string_agg(source || ':' || floor(100.0 * n / total)::INTEGER::VARCHAR || '%', ',' ORDER BY CASE source WHEN 'reference' THEN 0 WHEN 'estimate' THEN 1 ELSE 2 END) AS mix FROM t GROUP BY 1""",
+WITH s AS (SELECT l_orderkey, CASE {' '.join(f"WHEN gram_source IN ({', '.join(repr(k) for k in kinds)}) THEN {o}" for o, kinds in enumerate(op.PROVENANCE.values()))} END AS o, count(*) AS n FROM {WEIGHED_SQL} GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey) AS total FROM s)
+SELECT l_orderkey, string_agg(({list(op.PROVENANCE)})[o + 1] || ':' || round_even(100.0::DOUBLE * n / total, 0)::INTEGER::VARCHAR || '%', ',' ORDER BY o) AS mix FROM t GROUP BY 1""",
 )
 def agg_source_mix(spark, d):
-    g = tiered_lines(spark, d).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("source") == s).alias(s) for s in ("reference", "estimate", "default")])
-    shown = [F.when(F.col(s) > 0, F.concat(F.lit(f"{s}:"), F.floor(100.0 * F.col(s) / F.col("n")).cast("string"), F.lit("%"))) for s in ("reference", "estimate", "default")]
-    return g.select("l_orderkey", F.concat_ws(",", *shown).alias("mix"))
+    return op.source_mix(weighed(spark, d), "l_orderkey")

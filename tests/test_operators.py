@@ -2,7 +2,7 @@
 
 import pytest
 from larder.functions import domain
-from larder.operators import aggregates, lookups, ranking, requirements, scoring, texts, units, upserts
+from larder.operators import aggregates, filters, lookups, ranking, requirements, scoring, texts, units, upserts
 from larder.operators.aggregates import merge_lines
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -75,7 +75,7 @@ def test_word_set(spark):
 GRAM_CASES = [
     ("pinch", 1.0, "salt", 0.35, "tiny"), ("dash", 2.0, "x", 1.0, "tiny"), ("lb", 1.0, "beef", 453.59, "weight"), ("Kilograms", 2.0, "rice", 2000.0, "weight"), ("cloves", 3.0, "Garlic", 9.0, "piece"), ("to taste", 5.0, "salt", 5.0, "seasoning"),
     ("count", 2.0, "bell pepper", 2.0, "seasoning"), ("cup", 2.0, "brown sugar", 400.0, "density"), ("cup", 1.0, "broth", 240.0, "water"), ("tbsp", 2.0, "olive oil", 27.5, "density"), ("count", 2.0, "eggs", 100.0, "piece"), ("piece", 1.0, "eggplant", 50.0, "piece"),
-    ("count", 1.0, "mystery", 50.0, "piece"), ("slices", 3.0, "ham", 300.0, "default"), ("handful", 2.0, "salt", 200.0, "default"), ("liter", 1.0, "stock", 1000.0, "water"), ("drizzle", 1.0, "oil", 5.0, "tiny"), ("count", None, "egg", 50.0, "piece"),
+    ("count", 1.0, "mystery", 50.0, "piece_default"), ("slices", 3.0, "ham", 300.0, "default"), ("handful", 2.0, "salt", 200.0, "default"), ("liter", 1.0, "stock", 1000.0, "water"), ("drizzle", 1.0, "oil", 5.0, "tiny"), ("count", None, "egg", 50.0, "piece"),
 ]
 
 
@@ -379,3 +379,173 @@ def test_early_exit_against_a_loop(spark):
     got = {q: sorted(r.k for r in kept if r.q == q) for q in cases}
     assert got == {q: stop_by_hand(rows) for q, rows in cases.items()}
     assert len(got[1000]) == 8
+
+
+# --- macros, reports and evaluators; cases by hand ---
+
+
+def test_merge_lines_without_quantity_or_unit(spark):
+    rows = [("a", "2", "cup"), ("a", "3", None), ("a", "1", "cup"), ("a", "", "cup"), ("b", "1", "cup"), ("b", "2.25", "cup"), ("c", "some", "cup"), ("c", "1", "cup"), ("d", "3", ""), ("e", "1", "cup"), ("e", None, "gram")]
+    got = {r.m: (r.quantity, r.unit, r.n_lines) for r in merge_lines(spark.createDataFrame(rows, "m string, q string, u string"), ["m"], "q", "u").collect()}
+    assert got == {"a": ("3", "cup", 4), "b": ("3.25", "cup", 2), "c": ("", "", 2), "d": ("", "", 1), "e": ("1", "cup", 2)}
+
+
+def test_negligible_lines_and_source_mix(spark):
+    rows = [("r", "portion", 10.0, False), ("r", "water", 5.0, True), ("r", "water", 5.0, False), ("r", "estimate", 5.0, False), ("r", "piece", 5.0, False), ("r", "piece_default", 5.0, False), ("r", "default", 5.0, False), ("r", "weight", 5.0, False), ("s", "seasoning", 1.0, False)]
+    lines = units.without_negligible(spark.createDataFrame(rows, "k string, gram_source string, grams double, flag boolean"), F.col("flag"))
+    assert sorted(r.grams for r in lines.filter("k = 'r'").collect())[:2] == [0.0, 5.0]
+    got = {r.k: r.mix for r in units.source_mix(lines, "k").collect()}
+    # shares of one eighth are 12.5, rounded half to even
+    assert got == {"r": "USDA_PORTION:12%,TABLE:12%,LLM_ESTIMATE:12%,WATER:12%,ESTIMATE:25%,DIRECT:12%,NEGLIGIBLE:12%", "s": "SEASONING_DEFAULT:100%"}
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("Eggs", "egg whole raw"), (" EGG ", "egg whole raw"), ("raw egg", "raw egg"), ("Butter", "butter salted"), ("boiled potato", "boiled potato"), ("Fried eggs, boiled", "Fried eggs, boiled"), ("eggs raw", "eggs raw"), ("Brown Sugar", "sugars brown"), ("Strawberry", "Strawberry"), ("rice", "rice")],
+)
+def test_search_terms(spark, name, want):
+    assert lookups.search_terms(spark.createDataFrame([(name,)], "name string"), "name").first().search_term == want
+
+
+def test_search_terms_of_a_table(spark):
+    df, mapping = spark.createDataFrame([("Cooked Oats",), ("oats",)], "name string"), spark.createDataFrame([("Cooked oats", "oats"), (" OATS", "oats dry")], "common string, canonical string")
+    assert sorted(r.search_term for r in lookups.search_terms(df, "name", mapping).collect()) == ["oats cooked", "oats dry"]
+
+
+def test_session_totals(spark):
+    rows = [(1, 1, "Calories", "350 kcal"), (1, 1, "Protein", "~20.5g"), (1, 2, "calories from fat", "10"), (1, 2, "Trans Fat", "1.2.3"), (1, 2, "Net Carbs", 7), (1, 3, None, None), (2, 9, "Fibre", "3")]
+    got = {r.s: r for r in aggregates.session_totals(spark.createDataFrame([(a, b, c, None if d is None else str(d)) for a, b, c, d in rows], "s long, m long, name string, amount string"), "s", "m", "name", "amount").collect()}
+    assert (got[1].meals, got[1].calories, got[1].protein, got[1].fat, got[1].carbs, got[1].calories_per_meal) == (3, 360.0, 20.5, 0.0, 7.0, 120.0)
+    assert (got[2].meals, got[2].calories) == (1, 0.0)
+
+
+@pytest.mark.parametrize(("message", "want"), [("HTTP 403", "crawl_blocked"), ("Forbidden", "crawl_blocked"), ("Timeout!", "timeout"), ("timed out", "other"), ("No recipe data found", "no_data"), ("no data", "other"), ("blocked", "other"), (None, "other")])
+def test_error_class(spark, message, want):
+    assert one(spark, aggregates.error_class(F.lit(message).cast("string"))) == want
+
+
+def test_parse_quality_is_graded_by_the_exact_rate(spark):
+    data = [(k, s) for k, (ok, bad, rest) in {"a": (799, 201, 5), "b": (4, 1, 0), "c": (3, 2, 9), "d": (2, 3, 0), "e": (0, 1, 0), "f": (0, 0, 2)}.items() for s in ["ok"] * ok + ["bad"] * bad + ["?"] * rest]
+    df = spark.createDataFrame(data, "k string, s string")
+    got = {r.k: (r.success_rate, r.quality) for r in aggregates.parse_quality(df, ["k"], F.col("s") == "ok", F.col("s") == "bad", F.lit(False)).collect()}
+    assert got == {"a": (0.8, "good"), "b": (0.8, "excellent"), "c": (0.6, "good"), "d": (0.4, "acceptable"), "e": (0.0, "poor"), "f": (0.0, "none")}
+
+
+def test_queue_status(spark):
+    rows = [("a", "queued"), ("a", "queued"), ("a", "processing"), ("b", "processing"), ("c", "failed")]
+    got = {r.u: (r.depth, r.running, r.active_slots, r.free_slots, r.active_users) for r in aggregates.queue_status(spark.createDataFrame(rows, "u string, s string"), "u", "s").collect()}
+    assert got == {"a": (2, True, 2, 20, 3), "b": (0, True, 2, 20, 3), "c": (0, False, 2, 20, 3)}
+
+
+@pytest.mark.parametrize(
+    ("seconds", "difficulty", "want"),
+    [(10.5, "easy", 1.0), (10.6, "easy", 0.8), (31.4, "easy", 0.5), (31.6, "easy", 0.2), (15.0, "medium", 1.0), (30.0, None, 0.8), (45.0, "odd", 0.5), (45.1, "medium", 0.2), (22.5, "hard", 1.0), (67.5, "hard", 0.5), (None, "hard", 0.0)],
+)
+def test_latency_score(spark, seconds, difficulty, want):
+    assert one(spark, aggregates.latency_score(F.lit(seconds).cast("double"), F.lit(difficulty).cast("string"))) == want
+
+
+@pytest.mark.parametrize(("failed", "found", "expected", "want"), [(True, 9, 5, 0.0), (False, 0, 5, 0.0), (False, 5, None, 1.0), (None, 2, None, 0.4), (False, 2, 8, 0.25), (False, 9, 8, 1.0)])
+def test_success_score(spark, failed, found, expected, want):
+    assert one(spark, aggregates.success_score(F.lit(failed).cast("boolean"), F.lit(found), F.lit(expected).cast("int"))) == want
+
+
+@pytest.mark.parametrize(("expected", "errors", "unusual", "classified", "want"), [(True, 0, 0, False, 0.5), (True, 2, 2, True, 1.0), (True, 2, 1, False, 0.3), (False, 0, 0, False, 1.0), (False, 2, 1, True, 0.1), (False, 2, 0, True, 0.8)])
+def test_error_score(spark, expected, errors, unusual, classified, want):
+    assert one(spark, aggregates.error_score(F.lit(expected), F.lit(errors), F.lit(unusual), F.lit(classified))) == want
+
+
+@pytest.mark.parametrize(
+    ("request_", "searched", "want"), [("Save meal #2", True, 0.0), ("save the quick one", False, 1.0), ("save recipe 3", False, 1.0), ("find soup", True, 1.0), ("find soup", False, 0.2)]
+)
+def test_save_score(spark, request_, searched, want):
+    assert one(spark, aggregates.save_score(F.lit(request_), F.lit(searched))) == want
+
+
+@pytest.mark.parametrize(
+    ("answer", "fallback", "exact", "want"),
+    [("two, plus some more", True, 1, 1.0), ("two", True, 1, 0.3), ("These are the best matches available", True, 0, 1.0), ("two", True, 0, 0.2), ("I found some", False, 2, 1.0), ("I found some that might do", False, 2, 0.6), ("here", False, 2, 0.6)],
+)
+def test_fallback_score(spark, answer, fallback, exact, want):
+    assert one(spark, aggregates.fallback_score(F.lit(answer), F.lit(fallback), F.lit(exact))) == want
+
+
+def test_score_trend_and_closest(spark):
+    rows = [("a", 1, 5.0), ("a", 2, 5.5), ("b", 1, 3.0), ("b", 2, 2.9), ("c", 1, 1.0), ("c", 2, 1.0), ("d", 1, 1.0), ("e", 1, None)]
+    got = {r.k: r.trend for r in ranking.score_trend(spark.createDataFrame(rows, "k string, t int, s double"), "k", ["t"], "s").collect()}
+    assert got == {"a": "improving", "b": "declining", "c": "stable", "d": "insufficient_data", "e": "insufficient_data"}
+    pct = spark.createDataFrame([("q", k, p) for k, p in enumerate([0.0, 30.0, 90.0, 90.0, 10.0])] + [("z", 1, 0.0), ("y", 1, 5.0)], "q string, k int, p double")
+    assert sorted((r.q, r.k) for r in ranking.closest(pct, "q", "k", "p").collect()) == [("q", 1), ("q", 2), ("q", 3), ("y", 1)]
+
+
+def test_excluded_urls_leave_their_site(spark):
+    pages = spark.createDataFrame([("https://a.com/1",), ("https://a.com/2",), ("https://x.bad.org/3",), ("https://b.org",), (None,)], "url string")
+    blocked, excluded = spark.createDataFrame([("bad.org",)], "site string"), spark.createDataFrame([("https://a.com/1",)], "url string")
+    assert sorted(r.url for r in filters.unblocked(pages, "url", blocked, excluded).collect()) == ["https://a.com/2", "https://b.org"]
+
+
+@pytest.mark.parametrize(
+    ("quantity", "unit", "name", "disqualified", "optional", "want"),
+    [("2", "cup", "rice", False, False, True), ("2", "cup", "rice", None, None, True), ("", "cup", "rice", False, False, False), ("2", None, "rice", False, False, False), ("2", "cup", "", False, False, False), ("2", "cup", "rice", True, False, False), ("2", "cup", "rice", False, True, False), ("0", "cup", "rice", False, False, False)],
+)
+def test_cart_eligible(spark, quantity, unit, name, disqualified, optional, want):
+    lit = lambda x, t: F.lit(x).cast(t)
+    assert one(spark, filters.cart_eligible(lit(quantity, "string"), lit(unit, "string"), lit(name, "string"), lit(disqualified, "boolean"), lit(optional, "boolean"))) is want
+
+
+# --- constraints and references; cases by hand ---
+
+
+def test_constraint_flags(spark):
+    documents = {
+        1: '{"subject": "cheesecake", "dietary_constraints": ["vegan", "paleo"], "nutrition_requirements": ["min_protein_20g", "protein"], "time_constraints": "quick"}',
+        2: '{"subject": "Chicken Soup", "allergy_constraints": ["nuts", "eggs", "dust"], "nutrition_requirements": ["max_calories_300", "max_calories_300"]}',
+        3: '{"dietary_constraints": ["paleo"]}',
+        4: '{"subject": ""}',
+        5: "no document",
+        6: '{"subject": "chocolate cake", "time_constraints": "under_30_minutes", "dietary_constraints": ["gluten-free", "dairy-free", "keto"], "allergy_constraints": ["shellfish"]}',
+    }
+    recipes = [
+        (1, "Classic CHEESECAKE", "Cream cheese and eggplant", ["Energy", "Protein: 25.5 g"], "PT35M"),
+        (2, "Soup of the day", "a chicken soup cube, doughnuts", ["calories 300 kcal"], "20 minutes"),
+        (3, "Chicken  Soup", None, None, None),
+        (4, None, "rice flour, Shrimps", ["kcal", "250 kcal"], ""),
+    ]
+    rules = requirements.constraint_rules(spark.createDataFrame(list(documents.items()), "q long, document string"), "q", "document")
+    table = spark.createDataFrame(recipes, "r long, title string, ingredients string, nutrition array<string>, cook_time string")
+    pairs = spark.createDataFrame([(q, r[0]) for q in documents for r in recipes], "q long, r long")
+    got = {(x.q, x.r): (x.details, x.accuracy) for x in requirements.constraint_flags(pairs, table, rules, "q", "r").collect()}
+    assert len(got) == 24
+    assert got[1, 1] == ({"subject_match": True, "vegan": False, "min_20g_protein": True, "quick": False}, 50.0)
+    assert got[1, 3] == ({"subject_match": False, "vegan": True, "min_20g_protein": False, "quick": False}, 25.0)
+    assert got[2, 2] == ({"subject_match": True, "nuts_excluded": False, "eggs_excluded": True, "max_300_calories": True}, 75.0)
+    assert got[2, 3] == ({"subject_match": False, "nuts_excluded": True, "eggs_excluded": True, "max_300_calories": False}, 50.0)
+    assert got[2, 1][0]["eggs_excluded"] is False and got[2, 4][0]["max_300_calories"] is True
+    assert got[3, 1] == ({}, 100.0)
+    assert got[4, 1] == got[5, 4] == ({"no_constraints": True}, None)
+    assert got[6, 4] == ({"subject_match": False, "gluten_free": False, "dairy_free": True, "keto": False, "shellfish_excluded": False, "under_30_minutes": False}, 16.7)
+    assert got[6, 1][0]["subject_match"] is True and got[6, 2][0]["under_30_minutes"] is True
+
+
+def test_constraints_met(spark):
+    rows = [(1, "a", True), (1, "a", False), (1, "b", False), (1, "c", None), (2, "a", True)]
+    keys = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    got = {r.k: (r.identified, r.satisfied, r.rate) for r in requirements.constraints_met(spark.createDataFrame(rows, "k long, c string, m boolean"), "k", "c", "m", keys).collect()}
+    assert got == {1: (3, 1, 33.3), 2: (1, 1, 100.0), 3: (0, 0, 100.0)}
+
+
+def test_missing_fields(spark):
+    lit = lambda x: F.lit(None).cast("array<string>") if x is None else F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    case = lambda i, m, n: one(spark, requirements.missing_fields(lit(i), F.lit(m).cast("string"), lit(n)))
+    assert case(["a"], "http://x", list("abcd")) == []
+    assert case(None, " ", list("abc")) == case([], None, None) == ["ingredients", "image_url", "nutrition"]
+
+
+@pytest.mark.parametrize(
+    ("said", "title", "position", "minutes", "want"),
+    [("the soup", "Tomato SOUP", 2, 90, 0.5), ("first", "x", 1, None, 1.0), ("recipe #2", "x", 1, None, 0.0), ("third", "x", 3, None, 1.0), ("the last one", "x", 3, None, 0.8), ("the last one", "x", 2, None, 0.0), ("quick", "x", 1, 30, 0.7), ("quick", "x", 1, 0, 0.0), ("quick", "x", 1, 31, 0.0),
+     ("scottish", "Scottish pie", 1, None, 1.0), ("an asian one", "Asian", 9, None, 1.0), ("pie", "Pie", 1, None, 0.0), (None, None, None, None, 0.0)],
+)
+def test_reference_match(spark, said, title, position, minutes, want):
+    c = scoring.reference_match(F.lit(said).cast("string"), F.lit(title).cast("string"), F.lit(position).cast("int"), F.lit(minutes).cast("int"))
+    assert one(spark, c) == want

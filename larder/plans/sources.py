@@ -95,7 +95,10 @@ def snk_upsert_by_key(spark, d):
     changed = c.filter("c_custkey % 3 = 0")
     delta = changed.withColumns({"c_acctbal": F.col("c_acctbal") + 1, "v": F.lit(1)}).unionByName(changed.withColumns({"c_acctbal": F.col("c_acctbal") + 2, "v": F.lit(2)}))
     fresh = c.filter("c_custkey % 7 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.concat(F.lit("new "), F.col("c_custkey").cast("string")).alias("c_name"), "c_acctbal", F.lit(1).alias("v"))
-    return op.upsert_by_key(c, delta.unionByName(fresh), "c_custkey", "v")
+    path, key = scratch(spark, "customers"), F.col("c_custkey")
+    op.write_buckets(c, path, key, 16)
+    op.upsert_buckets(path, delta.unionByName(fresh), key, 16, lambda current, more: op.upsert_by_key(current, more, "c_custkey", "v"))
+    return spark.read.parquet(path).drop(op.BUCKET)
 
 
 def recipe_documents(spark, d):
@@ -137,7 +140,11 @@ s AS (SELECT 'a' || k::VARCHAR AS alias_text, count(*) AS n, arg_min(ingredient_
 SELECT alias_text, coalesce(ingredient_id, first) AS ingredient_id, coalesce(usage_count, 0) + coalesce(n, 0) AS usage_count FROM c FULL JOIN s USING (alias_text)""",
 )
 def ups_alias_learn(spark, d):
-    return up.learn_aliases(*alias_learning(spark, d)).select("alias_text", "ingredient_id", "usage_count")
+    current, events = alias_learning(spark, d)
+    path, key = scratch(spark, "aliases"), F.lower("alias_text")
+    op.write_buckets(current.withColumn("alias_text", key), path, key, 16)
+    op.upsert_buckets(path, events, key, 16, up.learn_aliases)
+    return spark.read.parquet(path).select("alias_text", "ingredient_id", "usage_count")
 
 
 def alias_learning(spark, d):

@@ -16,14 +16,19 @@ def stream(spark, d, name="events", watermark="40 days"):
     return op.event_stream(spark, d, f"{name}.parquet", schema, watermark)
 
 
-@query("src_incremental_resume", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+@query("src_incremental_resume", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1 UNION ALL SELECT 'all batches', count(*), round(sum(value), 4) FROM events")
 def src_incremental_resume(spark, d):
-    """Runs twice on one checkpoint: the second run finds nothing new."""
-    path, checkpoint = scratch(spark, "resume"), scratch(spark, "resume-checkpoint")
-    for _ in range(2):
-        op.run_available(stream(spark, d).select("event_id", "event_type", "value"), path, checkpoint)
-    read = spark.read.schema("event_id long, event_type string, value double").parquet(path)
-    return read.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """Three runs on one checkpoint while files come in, the last one without any; the counters of all batches beside the rows."""
+    files, path, progress, checkpoint = (scratch(spark, f"resume-{x}") for x in ("in", "out", "progress", "checkpoint"))
+    events = table(spark, d, "events").select("event_id", "event_type", "value")
+    for part in (0, 1, None):
+        if part is not None:
+            events.filter(F.col("event_id") % 2 == part).repartition(2).write.mode("append").parquet(files)
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+        op.ingest_counted(arriving, path, progress, checkpoint, {"n": F.count(F.lit(1)), "total": F.sum("value")})
+    rows = spark.read.schema("event_id long, event_type string, value double").parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    counted = spark.read.schema("n long, total double").parquet(progress).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    return rows.unionByName(counted.select(F.lit("all batches").alias("event_type"), "n", "total"))
 
 
 @query(
@@ -37,9 +42,9 @@ SELECT user_id, event_id, admitted FROM s""",
 )
 def stm_rate_limit(spark, d):
     """2 events per user in 6 hours, as a stateful stream."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = scratch(spark, "rate")
-    op.run_available(op.rate_limit_stream(stream(spark, d), 2, 6 * 3600), path, scratch(spark, "rate-checkpoint"))
+    with op.state_store(spark):
+        op.run_available(op.rate_limit_stream(stream(spark, d), 2, 6 * 3600), path, scratch(spark, "rate-checkpoint"))
     return spark.read.schema("user_id long, event_id long, admitted boolean").parquet(path)
 
 
@@ -67,17 +72,8 @@ SELECT alias_text, CASE WHEN ingredient_id IS NULL THEN 0 ELSE 3 END + coalesce(
 def stm_alias_upsert(spark, d):
     current, _ = alias_learning(spark, d)
     root = scratch(spark, "alias")
-    current.write.parquet(f"{root}/0")
-    latest = [f"{root}/0"]
-
-    def each(df, k):
-        target = f"{root}/{k + 1}"
-        up.learn_aliases(spark.read.parquet(latest[0]), df).write.mode("overwrite").parquet(target)
-        latest[0] = target
-
     events = stream(spark, d).select(F.concat(F.lit("a"), (F.col("event_id") % 400).cast("string")).alias("alias_text"), F.col("user_id").alias("ingredient_id"), F.lit(0.5).alias("confidence"), "ts", F.lit(1).cast("long").alias("n"))
-    op.run_batches(events, each, f"{root}-checkpoint", "append")
-    return spark.read.parquet(latest[0]).select("alias_text", "usage_count")
+    return op.upsert_versions(events, root, f"{root}-checkpoint", up.learn_aliases, current).select("alias_text", "usage_count")
 
 
 @query("stm_tier_ingest", "SELECT p_partkey, CASE WHEN p_size >= 30 THEN 'tier1' WHEN p_size >= 15 THEN 'tier2' ELSE 'tier3' END AS tier FROM part WHERE trim(p_name) <> '' AND p_retailprice BETWEEN 0 AND 980")

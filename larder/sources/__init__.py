@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,33 @@ def upsert_by_key(target: DataFrame, source: DataFrame, key: str, order: str | C
     return joined.select(*[F.when(F.col("_key").isNotNull(), F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in names])
 
 
+BUCKET = "bucket"
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, key: Column, buckets: int) -> None:
+    """A new table at `path`, dealt to buckets by the key: a folder and one file for each. Choose as many as let a bucket fit a task."""
+    df.withColumn(BUCKET, bucket_of(key, buckets)).repartition(F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+def upsert_buckets(path: str, delta: DataFrame, key: Column, buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    """Merge `delta` into the table of `write_buckets` at `path` and rewrite only the buckets that its keys fall into; returns those.
+
+    merge(current, delta) gets the rows of these buckets and must keep each row's key. Buckets are picked by their folders, so others are
+    neither read nor written, and are replaced together when all of them are written: a failed run leaves the table as it was.
+    """
+    spark = delta.sparkSession
+    touched = [r[0] for r in delta.select(bucket_of(key, buckets).alias(BUCKET)).distinct().collect()]  # at most `buckets` numbers
+    if touched:
+        current = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        merged = merge(current, delta).withColumn(BUCKET, bucket_of(key, buckets)).repartition(F.col(BUCKET))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return sorted(touched)
+
+
 def merge_into(source: DataFrame, table: str, key: str) -> None:
     """The same on a catalog table that supports MERGE."""
     source.mergeInto(table, F.expr(f"{table}.{key} = source.{key}")).whenMatched().updateAll().whenNotMatched().insertAll().merge()

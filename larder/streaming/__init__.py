@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, watermark: str = "1 day") -> DataFrame:
-    """Event files as a stream with event time `ts`."""
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, watermark: str = "1 day", files: int | None = None) -> DataFrame:
+    """Event files as a stream with event time `ts`, at most `files` per trigger."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    raw = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
@@ -27,17 +29,91 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Names of versions sort as their numbers do.
+VERSION = "version={:015d}"
+
+
+def _storage(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the versions that were written to the end, in order; one that a failure cut short has no mark of success."""
+    where, fs = _storage(spark, root)
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+    done = [n for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done)
+
+
+def upsert_versions(stream: DataFrame, root: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], base: DataFrame, keep: int = 2) -> DataFrame:
+    """The table at `root` after all batches of the stream, each merged into the version before it.
+
+    Batch k makes version k + 1 from the last version up to k that storage holds, so nothing is kept by the driver: after a restart
+    on the same checkpoint the next batch goes on from what is there, and a batch that is run again replaces its own version. Version 0
+    is `base`, written if there is none. The last `keep` versions stay.
+    """
+    spark = stream.sparkSession
+    at = lambda n: f"{root}/{VERSION.format(n)}"
+    if not versions(spark, root):
+        base.write.mode("overwrite").parquet(at(0))
+
+    def each(df: DataFrame, batch: int) -> None:
+        before = max(n for n in versions(spark, root) if n <= batch)
+        merge(spark.read.parquet(at(before)), df).write.mode("overwrite").parquet(at(batch + 1))
+        for old in versions(spark, root)[:-keep]:
+            where, fs = _storage(spark, at(old))
+            fs.delete(where, True)
+
+    run_batches(stream, each, checkpoint, "append")
+    return spark.read.parquet(at(versions(spark, root)[-1]))
+
+
+def ingest_counted(stream: DataFrame, path: str, progress: str, checkpoint: str, counters: dict[str, Column]) -> None:
+    """Append what is new to `path` and store each batch's counters under `progress`, exactly once across restarts.
+
+    Counters are observed while the batch is written, without a second pass. Rows and counters of a batch lie under its number, so a batch
+    that is run again replaces both.
+    """
+
+    def each(df: DataFrame, batch: int) -> None:
+        seen = Observation(f"progress-{batch}")
+        observed = df.observe(seen, *[c.alias(name) for name, c in counters.items()])
+        observed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        row = seen.get
+        types = ", ".join(f"{name} {'double' if isinstance(row[name], float) else 'long'}" for name in counters)
+        df.sparkSession.createDataFrame([tuple(row[name] for name in counters)], types).write.mode("overwrite").parquet(f"{progress}/batch={batch}")
+
+    run_batches(stream, each, checkpoint, "append")
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store inside; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class RateLimiter(StatefulProcessor):
     """Admits an event if fewer than `limit` admitted ones lie within `seconds` before it. Refused ones leave no trace.
 
     A key's events of one trigger are put in time order over all Arrow batches, as two numbers each. An event that comes in a later
-    trigger than newer ones is judged when it comes, and newer admitted ones count as well.
+    trigger than newer ones is judged when it comes, and newer admitted ones count as well. A timer clears a key's state when the
+    watermark has passed the end of its window: no event that still comes can be so old, so idle users cost nothing.
     """
 
     def __init__(self, limit: int, seconds: float):
         self.limit, self.seconds = limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.admitted = handle.getListState("admitted", StructType([StructField("ts", DoubleType())]))
 
     def handleInputRows(self, key, rows, timerValues):
@@ -53,14 +129,23 @@ class RateLimiter(StatefulProcessor):
                 times.append(now)
         yield pd.DataFrame({"user_id": key[0], "event_id": ids[order], "admitted": keep})
         self.admitted.put([(t,) for t in times])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if times:
+            self.handle.registerTimer(int((max(times) + self.seconds) * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.admitted.clear()
+        yield pd.DataFrame({"user_id": [], "event_id": [], "admitted": []}).astype({"user_id": "int64", "event_id": "int64", "admitted": "bool"})
 
     def close(self) -> None:
         pass
 
 
 def rate_limit_stream(stream: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """(user_id, event_id, admitted); the session needs the RocksDB state store. State: `limit` times per user."""
-    return stream.select("user_id", "event_id", "ts").groupBy("user_id").transformWithStateInPandas(RateLimiter(limit, seconds), "user_id long, event_id long, admitted boolean", "Append", "None")
+    """(user_id, event_id, admitted); run it inside `state_store`. State: `limit` times and a timer per user whose window is still open.
+    The stream needs a watermark on ts; events behind it are dropped."""
+    return stream.select("user_id", "event_id", "ts").groupBy("user_id").transformWithStateInPandas(RateLimiter(limit, seconds), "user_id long, event_id long, admitted boolean", "Append", "EventTime")
 
 
 def rate_limit_batch(events: DataFrame, limit: int, seconds: float) -> DataFrame:

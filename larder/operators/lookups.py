@@ -95,11 +95,36 @@ def fuzzy_similarity(target: Column, observed: Column) -> Column:
     return F.round(100 * (1 - F.array_min(windows) / n), 2)
 
 
+def grams(text: Column, n: int) -> Column:
+    """Substrings of `n` characters with their occurrence, as `gram:number`, so that equal ones are told apart."""
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.filter(F.transform(cut, lambda g, i: F.concat_ws(":", g, F.size(F.filter(F.slice(cut, 1, i), lambda x: x == g)).cast("string"))), lambda x: F.length(x) > n)
+
+
 def fuzzy_variants(names: DataFrame, targets: DataFrame, column: str, least: float = 70.0) -> DataFrame:
-    """Per target: summed count and variants of the observed names with enough similarity. Names are counted first."""
-    counted = names.groupBy(F.lower(column).alias("observed")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = counted.join(small(targets.select("target")), fuzzy_similarity(F.lower("target"), F.col("observed")) >= least)
-    return pairs.groupBy("target").agg(F.sum("n").alias("total"), F.array_sort(F.collect_set("observed")).alias("variants"))
+    """Per target: summed count and variants of the observed names with enough similarity. Names are counted first.
+
+    Only pairs that share grams are compared. With d edits, a target of n characters keeps n - 1 - 2 d of its pairs of
+    characters, or n - d of its characters where that is no bound; of the G grams one of the G - bound + 1 rarest is then shared, and
+    targets and names meet by equality on those. `least` must be above 0: unlike names share nothing.
+    """
+    if least <= 0:
+        raise ValueError("a similarity above 0 is needed")
+    counted = names.groupBy(F.lower(column).alias("observed")).agg(F.count(F.lit(1)).alias("n")).filter("observed <> ''")
+    n = F.length("lowered")
+    edits = F.floor(n * (1 - (least - 0.005) / 100) + 1e-9).cast("int")  # similarity is rounded to two digits
+    wanted = targets.select("target").distinct().withColumn("lowered", F.lower("target")).filter("lowered <> ''").withColumn("edits", edits)
+    wanted = wanted.withColumn("pairs", n - 1 - 2 * F.col("edits") >= 1).withColumn("bound", F.when(F.col("pairs"), n - 1 - 2 * F.col("edits")).otherwise(F.greatest(n - F.col("edits"), F.lit(1))))
+    cut = lambda c: F.explode(F.concat(grams(c, 1), grams(c, 2)))
+    of_names = counted.select("observed", cut(F.col("observed")).alias("gram"))
+    of_targets = wanted.select("target", "bound", F.explode(F.when(F.col("pairs"), grams(F.col("lowered"), 2)).otherwise(grams(F.col("lowered"), 1))).alias("gram"))
+    often = of_names.join(small(of_targets.select("gram").distinct()), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    by_target = Window.partitionBy("target")
+    ranked = of_targets.join(often, "gram", "left").withColumn("place", F.row_number().over(by_target.orderBy(F.coalesce("often", F.lit(0)), "gram"))).withColumn("all", F.count(F.lit(1)).over(by_target))
+    rare = ranked.filter(F.col("place") <= F.col("all") - F.col("bound") + 1).select("target", "gram")
+    pairs = of_names.join(small(rare), "gram").select("target", "observed").distinct().join(counted, "observed")
+    alike = pairs.filter(fuzzy_similarity(F.lower("target"), F.col("observed")) >= least)
+    return alike.groupBy("target").agg(F.sum("n").alias("total"), F.array_sort(F.collect_set("observed")).alias("variants"))
 
 
 def expand_lists(candidates: DataFrame, links: DataFrame, max_lists: int = 6, per_list: int = 5, total: int = 60) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import add, and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import filled, first_hit
 from larder.operators.lookups import small
+from larder.sources.scratch import staged
 
 
 def completeness(groups: list[tuple[float, list[str]]]) -> Column:
@@ -32,16 +33,6 @@ def required_gate(title: Column, image: Column, ingredients: Column, instruction
     return reduce(and_, [F.coalesce(c, F.lit(False)) for c in (filled(title), image.rlike("^https?://"), filled(ingredients), F.length(instructions) > 10)])
 
 
-def word_share(words: Column, text_words: Column) -> Column:
-    """Share of the words that are among the text's words."""
-    return F.when(F.size(words) > 0, F.size(F.array_intersect(words, text_words)) / F.size(words)).otherwise(0.0)
-
-
-def contained_share(words: Column, text: Column) -> Column:
-    """Share of the words that the text contains."""
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(text, w))) / F.size(words)).otherwise(0.0)
-
-
 def query_words(text: Column) -> Column:
     """Distinct words of a query, in lower case, as they stand between blanks."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
@@ -52,15 +43,62 @@ def title_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
 
 
-def query_relevance(items: DataFrame, queries: DataFrame, title: str, ingredients: str, text: str, category: str) -> DataFrame:
-    """Relevance of every item for every query of a stated set; queries have query_id and words, `title` is an array of words.
+#: Fields of an item and their weights.
+FIELDS = ["title", "ingredients", "text", "category"]
+GRAM = 3
+
+
+def containing(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word) where a token contains a word. Tokens are met by equality on a gram: the first letters of the word, three at most."""
+    anchored = words.filter("word <> ''").select("word", F.substring("word", 1, GRAM).alias("gram"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("token"), i, F.lit(n)))
+    cut = tokens.select("token", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    return cut.join(small(anchored), "gram").filter(F.contains("token", "word")).select("token", "word").distinct()
+
 
-    The queries are the set to answer, so each item meets each of them, with whole texts and all words. They are broadcast if
-    there are few (counted); a larger set is dealt to the tasks by the planner. Filter on `relevance` at once: pairs are not kept.
+def query_relevance(items: DataFrame, queries: DataFrame, item: str, title: str, ingredients: str, text: str, category: str, need: float | Column) -> DataFrame:
+    """(item, query_id, relevance) for every pair whose relevance is at least `need`, a number or a column of the items.
+
+    Relevance is 0.4, 0.3, 0.2 and 0.1 times the share of the query's words that are among the words of the title, and that the
+    ingredients, the text and the category contain; 0.5 for a query without words. Queries have query_id and words; `title` is an array of words.
+
+    An inverted index finds the pairs: distinct tokens of the texts meet the words of all queries by grams, each item gets the words
+    that it holds, and a query's postings bring them together. A word adds at most 1 / n to a query of n words, so a pair must
+    share m = need * n words, and one of the n - m + 1 rarest: only those are posted. An item meets every query only where it needs
+    nothing, since each of those pairs is in the result.
     """
-    pairs = items.crossJoin(small(queries))
-    scored = 0.4 * word_share(F.col("words"), F.col(title)) + 0.3 * contained_share(F.col("words"), F.col(ingredients)) + 0.2 * contained_share(F.col("words"), F.col(text)) + 0.1 * contained_share(F.col("words"), F.col(category))
-    return pairs.withColumn("relevance", F.when(F.size("words") == 0, 0.5).otherwise(F.least(F.lit(1.0), F.round(scored, 6))))
+    wanted = queries.select("query_id", F.explode("words").alias("word"))
+    texts = {"ingredients": F.col(ingredients), "text": F.col(text), "category": F.col(category)}
+    split = lambda c: F.array_distinct(F.split(F.coalesce(c, F.lit("")), r"\s+"))
+    marked = lambda k, a: F.transform(a, lambda t: F.struct(F.lit(k).alias("field"), t.alias("token")))
+    found = F.concat(*[marked(k, a) for k, a in enumerate([F.coalesce(F.col(title), F.array().cast("array<string>")), *map(split, texts.values())])])
+    need = F.lit(need) if isinstance(need, float) else need
+    tokens = items.select(item, F.explode(found).alias("f")).select(item, "f.field", "f.token")
+    words = wanted.select("word").distinct()
+    matches = staged(containing(tokens.select("token").distinct(), words), "matches")
+    held = tokens.join(small(matches, 200_000), "token").filter((F.col("field") > 0) | (F.col("token") == F.col("word")))
+    held = held.groupBy(item).agg(*[F.collect_set(F.when(F.col("field") == k, F.col("word"))).alias(f) for k, f in enumerate(FIELDS)])
+    held = staged(items.select(item, need.cast("double").alias("need")).join(held, item), "held")
+    # the rarest words of each query, as many as a pair that reaches the least need can't all miss
+    needs = items.select(item, need.cast("double").alias("need"))
+    least = needs.filter("need > 0").agg(F.coalesce(F.min("need"), F.lit(1.0)).alias("least"))  # one row
+    every = F.array_distinct(F.concat(*FIELDS))
+    often = held.select(F.explode(every).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    place = Window.partitionBy("query_id").orderBy("often", "word")
+    ranked = wanted.join(often, "word").join(queries.select("query_id", F.size("words").alias("n")), "query_id").withColumn("place", F.row_number().over(place)).crossJoin(F.broadcast(least))
+    # words that no item holds come first in the rank, so they are counted in front of the others
+    absent = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    posted = ranked.withColumn("place", F.col("place") + absent).filter(F.col("place") <= F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("least") * F.col("n") - 1e-9)) + 1)
+    posted = staged(posted.select("word", "query_id"), "postings")
+    pairs = held.filter("need > 0").select(item, F.explode(every).alias("word")).join(small(posted), "word").select(item, "query_id").distinct()
+    met = pairs.join(held, item).join(small(queries.select("query_id", "words")), "query_id")
+    all_pairs = needs.filter("need <= 0").join(held.drop("need"), item, "left").crossJoin(small(queries.select("query_id", "words")))
+    wordless = needs.filter("need > 0").crossJoin(small(queries.filter(F.size("words") == 0).select("query_id", "words")))
+    share = lambda f: F.size(F.array_intersect("words", F.coalesce(f, F.array().cast("array<string>")))) / F.size("words")
+    scored = 0.4 * share("title") + 0.3 * share("ingredients") + 0.2 * share("text") + 0.1 * share("category")
+    relevance = F.when(F.size("words") == 0, 0.5).otherwise(F.least(F.lit(1.0), F.round(scored, 6)))
+    both = met.unionByName(all_pairs, allowMissingColumns=True).unionByName(wordless, allowMissingColumns=True)
+    return both.withColumn("relevance", relevance).filter(F.col("relevance") >= F.col("need")).select(item, "query_id", "relevance")
 
 
 def filled_share(columns: list[Column], blank_counts: bool = False) -> Column:
@@ -69,11 +107,19 @@ def filled_share(columns: list[Column], blank_counts: bool = False) -> Column:
     return reduce(add, [one(c) for c in columns]) / len(columns)
 
 
-def recipe_total(required: Column, relevance: Column, nutrition: list[Column], other: list[Column], trusted: Column) -> Column:
-    """0 without the required fields, else 0.70 relevance + 0.13 share of nutrition fields + 0.02 share of other fields + 0.15 for a
-    trusted site, 1 at most."""
-    total = 0.70 * relevance + 0.13 * filled_share(nutrition, True) + 0.02 * filled_share(other) + 0.15 * F.when(trusted, 1.0).otherwise(0.0)
-    return F.when(F.coalesce(required, F.lit(False)), F.least(F.lit(1.0), F.round(total, 7))).otherwise(0.0)
+def recipe_extras(nutrition: list[Column], other: list[Column], trusted: Column) -> Column:
+    """What a recipe's total has besides relevance: 0.13 share of nutrition fields, 0.02 share of other fields, 0.15 for a trusted site."""
+    return 0.13 * filled_share(nutrition, True) + 0.02 * filled_share(other) + 0.15 * F.when(trusted, 1.0).otherwise(0.0)
+
+
+def recipe_total(required: Column, relevance: Column, extras: Column) -> Column:
+    """0 without the required fields, else 0.70 relevance and the extras, 1 at most."""
+    return F.when(F.coalesce(required, F.lit(False)), F.least(F.lit(1.0), F.round(0.70 * relevance + extras, 7))).otherwise(0.0)
+
+
+def relevance_needed(required: Column, extras: Column, least: float) -> Column:
+    """The relevance that a recipe needs for a total of `least`, a little less for rounding; null if none is enough."""
+    return F.when(F.coalesce(required, F.lit(False)), F.greatest(F.lit(0.0), (least - extras) / 0.70 - 1e-6))
 
 
 def site_trust(df: DataFrame, site_tiers: DataFrame, domain: str, keywords: list[str]) -> DataFrame:

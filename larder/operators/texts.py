@@ -305,20 +305,93 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin([*STOP_WORDS, *DESCRIPTORS])))
 
 
-def page_links(pages: DataFrame, page_id: str, url: str, html: str, include: str, exclude: str) -> DataFrame:
-    """Distinct (page, absolute URL, anchor text) links that fit `include` and don't fit `exclude`."""
-    pattern = F.lit(r'<a href="([^"]*)">([^<]*)</a>')
-    zipped = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(1)).alias("href"), F.regexp_extract_all(html, pattern, F.lit(2)).alias("label"))
-    rows = pages.select(page_id, F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1).alias("_base"), F.inline(zipped))
-    link = F.when(F.col("href").startswith("/"), F.concat("_base", "href")).otherwise(F.col("href"))
-    return rows.select(page_id, link.alias("link"), "label").filter(F.col("link").rlike(include) & ~F.col("link").rlike(exclude)).distinct()
+# Addresses that are no single recipe, of other pages, and of categories.
+LIST_URLS = [r"/recipes/collection/", r"/recipes/category/", r"/recipes/tag/", r"/collection/", r"/category/", r"roundup", r"best-.*-recipes", r"top-.*-recipes", r"-recipes/?$", r"guide/", r"howto/"]
+OTHER_URLS = [r"/(about|contact|privacy|terms)", r"/(category|tag|author)", r"/#", r"/page/", r"/(feed|rss)", r"/(search|shop|store)", r"/wp-", r"javascript:", r"mailto:", r"tel:", r"/(login|register)", r"/(newsletter|subscribe)"]
+CATEGORY_URLS = [r"/recipes/$", r"/account/", r"/add-recipe", r"/recipes/\d+/$", r"/recipes/\d+/[^/]+/$", r"/(dinner|lunch|breakfast|dessert|appetizer|snack)/$", r"/meal-ideas/", r"/(main-dishes|side-dishes|salads|soups|beverages)/$", r"/cooking/", r"/5-ingredients/", r"/everyday-cooking/", r"/more-meal-ideas/"]
+RECIPE_URLS = [r"/recipe/[^/]+/?$", r"/recipes/[^/]+/?$", r"-recipe/?$", r"-recipe\.", r"recipe\?", r"/\d{4}/\d{2}/.+"]
+#: Entities that are read as characters (fixed values).
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def _characters(text: Column) -> Column:
+    for entity, character in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in the text between a tag's name and its end, quoted either way or not at all; null without one."""
+    pattern = rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    return F.when(tag.rlike(pattern), _characters(value))
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """The address that a link means on a page: with its own scheme, `//host`, from the root, a query or fragment, or beside the
+    page's path, without `.` and `..`."""
+    site, scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    page = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).when(path == "", F.when(page == "", "/").otherwise(page)).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(page, r"^(.*/)", 1), F.lit("")), F.lit("/")), path))
+    parts = F.slice(F.split(whole, "/", -1), 2, 1 << 20)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x)))
+    kept = F.when(whole.rlike(r"/\.{1,2}$"), F.array_append(kept, F.lit(""))).otherwise(kept)
+    query = F.when(rest.startswith("#") & (path == ""), F.concat(F.regexp_extract(base, r"(\?[^#]*)", 1), rest)).otherwise(rest)
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).otherwise(F.concat(site, F.lit("/"), F.array_join(kept, "/"), query))
+
+
+def page_links(pages: DataFrame, page_id: str, url: str, html: str, include: list[str] = RECIPE_URLS, exclude: list[str] = [*LIST_URLS, *OTHER_URLS, *CATEGORY_URLS], least: int = 5) -> DataFrame:  # noqa: B006
+    """Distinct (page, link, label): absolute addresses of a page's links whose label has `least` characters and whose address in lower case
+    fits one of `include` and none of `exclude`. Attributes may come in any order and quoting; tags inside a label are left out."""
+    anchor = F.lit(r"(?is)<a\b([^>]*)>(.*?)</a\s*>")
+    zipped = F.arrays_zip(F.regexp_extract_all(html, anchor, F.lit(1)).alias("tag"), F.regexp_extract_all(html, anchor, F.lit(2)).alias("inner"))
+    rows = pages.select(page_id, F.col(url).alias("_url"), F.inline(zipped)).withColumn("_href", F.trim(attribute(F.col("tag"), "href")))
+    label = F.regexp_replace(_characters(F.regexp_replace("inner", r"(?s)<[^>]*>", "")), r"^\s+|\s+$", "")
+    links = rows.filter("_href <> ''").select(page_id, absolute_url(F.col("_url"), F.col("_href")).alias("link"), label.alias("label"))
+    fits = F.lower("link").rlike("|".join(include)) & (~F.lower("link").rlike("|".join(exclude)) if exclude else F.lit(True))
+    return links.filter((F.length("label") >= least) & fits).distinct()
 
 
 def page_jsonld(pages: DataFrame, page_id: str, html: str) -> DataFrame:
-    """The first recipe with a title and ingredients in a page's JSON-LD blocks (an object or an array of objects)."""
-    bodies = F.regexp_extract_all(html, F.lit(r'(?s)<script type="application/ld\+json">(.*?)</script>'), F.lit(1))
-    schema = "array<struct<name:string,recipeIngredient:array<string>,totalTime:string>>"
-    block = pages.select(page_id, F.posexplode(bodies).alias("block", "body"))
-    items = block.select(page_id, "block", F.posexplode(F.from_json(F.when(F.trim("body").startswith("["), F.col("body")).otherwise(F.concat(F.lit("["), F.col("body"), F.lit("]"))), schema)).alias("pos", "r"))
-    good = items.filter((F.trim(F.col("r.name")) != "") & (F.size("r.recipeIngredient") > 0))
-    return good.groupBy(page_id).agg(F.min_by("r", F.struct("block", "pos")).alias("r")).select(page_id, F.col("r.name").alias("title"), F.col("r.recipeIngredient").alias("ingredients"), F.col("r.totalTime").alias("total_time"))
+    """The first recipe with a title and ingredients in a page's JSON-LD blocks (an object or an array of objects): title, ingredients,
+    instructions, nutrition (up to four texts), cook_time (the total time, if there is one), prep_time, servings and image_url.
+
+    A recipe says so in @type, a text or a list. Blocks that are no JSON and entries that are no objects are skipped. Instructions may be
+    a text, or a list of texts and of objects with a text; a yield or an image may be a list, of which the first entry counts, an image an
+    object with a url. Missing fields are empty.
+    """
+    spark = pages.sparkSession
+    script = F.lit(r"(?is)<script\b([^>]*)>(.*?)</script\s*>")
+    zipped = F.arrays_zip(F.regexp_extract_all(html, script, F.lit(1)).alias("tag"), F.regexp_extract_all(html, script, F.lit(2)).alias("body"))
+    blocks = pages.select(page_id, F.posexplode(zipped).alias("block", "s")).filter(F.lower(F.trim(attribute(F.col("s.tag"), "type"))) == "application/ld+json")
+    body = F.regexp_replace("s.body", r"^\s+|\s+$", "")
+    parsed = blocks.select(page_id, "block", F.try_parse_json(F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))).alias("v")).filter("v IS NOT NULL")
+    items = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(page_id, "block", "pos", F.col("value").alias("r"))
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    items = items.filter(F.schema_of_variant("r").startswith("OBJECT"))
+    many = lambda path: F.try_variant_get("r", path, "array<variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    is_recipe = F.coalesce(text("r", '$["@type"]') == "Recipe", F.lit(False)) | F.coalesce(F.array_contains(F.try_variant_get("r", '$["@type"]', "array<string>"), "Recipe"), F.lit(False))
+    none = F.array().cast("array<string>")
+    listed = lambda path, of: F.coalesce(F.filter(F.transform(many(path), of), lambda x: x != ""), F.filter(F.array(text("r", path)), lambda x: x != ""), none)
+    plain = lambda v: F.when(kind(v) == "STRING", text(v, "$"))
+    step = lambda v: F.when(kind(v) == "STRING", text(v, "$")).when(kind(v).startswith("OBJECT"), text(v, "$.text"))
+    first = lambda path: F.coalesce(F.get(many(path), F.lit(0)), F.try_variant_get("r", path, "variant"))
+    shown = lambda v: F.when(~kind(v).rlike("^(?:OBJECT|ARRAY|VOID)"), text(v, "$"))
+    image = first("$.image")
+    values = [F.concat(F.nullif(text("r", f"$.nutrition.{field}"), F.lit("")), F.lit(f" {name}")) for field, name in (("calories", "calories"), ("proteinContent", "protein"), ("fatContent", "fat"), ("carbohydrateContent", "carbs"))]
+    filled_or = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c], F.lit(""))
+    recipe = F.struct(
+        F.coalesce(text("r", "$.name"), F.lit("")).alias("title"),
+        listed("$.recipeIngredient", plain).alias("ingredients"),
+        listed("$.recipeInstructions", step).alias("instructions"),
+        F.array_compact(F.array(*values)).alias("nutrition"),
+        filled_or(text("r", "$.totalTime"), text("r", "$.cookTime")).alias("cook_time"),
+        filled_or(text("r", "$.prepTime")).alias("prep_time"),
+        filled_or(shown(first("$.recipeYield")), shown(first("$.yield"))).alias("servings"),
+        filled_or(F.when(kind(image).startswith("OBJECT"), text(image, "$.url")).when(kind(image) == "STRING", text(image, "$"))).alias("image_url"),
+    )
+    good = items.filter(is_recipe).select(page_id, "block", "pos", recipe.alias("recipe")).filter((F.col("recipe.title") != "") & (F.size("recipe.ingredients") > 0))
+    return good.groupBy(page_id).agg(F.min_by("recipe", F.struct("block", "pos")).alias("recipe")).select(page_id, "recipe.*")

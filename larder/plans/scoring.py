@@ -59,16 +59,16 @@ s AS (SELECT *, round(0.4 * (CASE WHEN len(words) = 0 THEN 0.0 ELSE len(list_int
 r AS (SELECT doc_id, query_id, source, quality, toxic, n_chars, lang, text, CASE WHEN len(words) = 0 THEN 0.5 ELSE least(1.0, raw_score) END AS relevance FROM s)"""
 
 
-def relevance(spark, d):
+def relevance_items(spark, d):
     """Whole texts as titles and ingredients, sources as descriptions, languages as categories."""
     docs = spread(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id", "left")
-    items = docs.select("doc_id", "lang", "source", "quality", "toxic", "n_chars", "text", op.title_words(F.col("text")).alias("title"), F.lower("text").alias("body"))
-    return op.query_relevance(items, benchmark_queries(spark, d), "title", "body", "source", "lang").drop("title", "body", "words")
+    return docs.select("doc_id", "lang", "source", "quality", "toxic", "n_chars", "text", op.title_words(F.col("text")).alias("title"), F.lower("text").alias("body"))
 
 
 @query("scr_query_relevance", f"WITH {RELEVANCE_SQL} SELECT doc_id, query_id, relevance FROM r WHERE relevance > 0.2")
 def scr_query_relevance(spark, d):
-    return relevance(spark, d).filter("relevance > 0.2").select("doc_id", "query_id", "relevance")
+    found = op.query_relevance(relevance_items(spark, d), benchmark_queries(spark, d), "doc_id", "title", "body", "source", "lang", 0.2)
+    return found.filter("relevance > 0.2")
 
 
 @query(
@@ -81,8 +81,11 @@ def scr_recipe_total(spark, d):
     k = F.col("doc_id")
     image = F.when(k % 5 > 0, "https://example.org/x").otherwise("none")
     required = op.required_gate(F.col("text"), image, F.col("source"), F.col("text"))
-    total = op.recipe_total(required, F.col("relevance"), [F.col("quality"), F.col("toxic"), F.col("n_chars"), F.when(k % 2 == 0, 1)], [F.col("lang"), F.when(k % 3 == 0, "x").otherwise(" ")], F.col("source").isin("src1", "src2", "src3"))
-    return relevance(spark, d).select("doc_id", "query_id", total.alias("score")).filter("score >= 0.3")
+    extras = op.recipe_extras([F.col("quality"), F.col("toxic"), F.col("n_chars"), F.when(k % 2 == 0, 1)], [F.col("lang"), F.when(k % 3 == 0, "x").otherwise(" ")], F.col("source").isin("src1", "src2", "src3"))
+    items = relevance_items(spark, d).withColumns({"required": required, "extras": extras}).withColumn("needed", op.relevance_needed(F.col("required"), F.col("extras"), 0.3)).filter("needed <= 1")
+    found = op.query_relevance(items, benchmark_queries(spark, d), "doc_id", "title", "body", "source", "lang", F.col("needed"))
+    scored = found.join(items.select("doc_id", "required", "extras"), "doc_id")
+    return scored.select("doc_id", "query_id", op.recipe_total(F.col("required"), F.col("relevance"), F.col("extras")).alias("score")).filter("score >= 0.3")
 
 
 TIERS = [("thther.example.org", "trusted"), ("therea.example.net", "trusted"), ("ththin.example.com", "good"), ("ththed.example.org", "good")]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from larder import sources as op
@@ -13,26 +10,7 @@ from larder.plans.filters import records
 from larder.plans.lookups import ALIAS_SQL, aliases
 from larder.plans.registry import query, table
 from larder.plans.scoring import TIERED_SQL, tiered
-
-
-def scratch_root(spark) -> str:
-    """This application's folder under spark.checkpoint.dir, or in this machine's temporary folder for a local session without one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/larder/{spark.sparkContext.applicationId}"
-
-
-def scratch(spark, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_scratch(spark) -> None:
-    """Delete the files that this application's queries left. Call it when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from larder.sources.scratch import drop_scratch, scratch  # noqa: F401  (other modules get both here)
 
 
 def parts_as_tsv(spark, d, bad: bool = False) -> tuple[str, list[str]]:

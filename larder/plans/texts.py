@@ -247,27 +247,47 @@ def txt_word_set(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(op.word_set(F.expr(SETS_TEXT))), " ").alias("words"))
 
 
+#: Links as pages have them: relative ones, other quoting and order, tags in labels, lists, and what isn't a recipe.
+ANCHORS = """CASE page_id % 6 WHEN 0 THEN '<A class=x HREF=''../recipe/soup-1/''>Tomato <b>soup</b></A><a href="mailto:x@y">Write to us</a>' WHEN 1 THEN '<a title="a" href = "best-recipe.html?x=1&amp;y=2"> Plum &amp; pie </a><a href=./salad-recipe>Salad</a>'
+ WHEN 2 THEN '<a href="//cdn.example.org/recipes/ham">Hams and more</a><a href="/recipes/collection/x">Collections</a>' WHEN 3 THEN '<a href="https://other.example.net/2024/05/cake">Cakes and pies</a><a href="/recipe/egg">Egg</a><a name="x">No link at all</a>' WHEN 4 THEN '<a href="?recipe?=1">Question</a><a href="/recipes/17/dinner/">Dinners</a>' ELSE '' END"""
+
+
 @query(
     "txt_page_links",
-    r"""
-WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM pages),
-a AS (SELECT DISTINCT page_id, CASE WHEN starts_with(href, '/') THEN base || href ELSE href END AS link, label FROM l)
-SELECT * FROM a WHERE regexp_matches(link, 'example') AND NOT regexp_matches(link, 'pills|[,.]$')""",
+    rf"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), b AS (SELECT *, regexp_extract(path, '^(.*/)', 1) AS dir FROM p),
+l AS (SELECT page_id, base || regexp_replace(dir, '[^/]+/$', '') || 'recipe/soup-1/' AS link, 'Tomato soup' AS label FROM b WHERE page_id % 6 = 0
+ UNION ALL SELECT page_id, base || dir || 'best-recipe.html?x=1&y=2', 'Plum & pie' FROM b WHERE page_id % 6 = 1 UNION ALL SELECT page_id, base || dir || 'salad-recipe', 'Salad' FROM b WHERE page_id % 6 = 1
+ UNION ALL SELECT page_id, split_part(url, '//', 1) || '//cdn.example.org/recipes/ham', 'Hams and more' FROM b WHERE page_id % 6 = 2 UNION ALL SELECT page_id, 'https://other.example.net/2024/05/cake', 'Cakes and pies' FROM b WHERE page_id % 6 = 3
+ UNION ALL SELECT page_id, base || path || '?recipe?=1', 'Question' FROM b WHERE page_id % 6 = 4
+ UNION ALL SELECT page_id, base || unnest(regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 1)), unnest(regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 2)) FROM (SELECT page_id, html, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base FROM pages))
+SELECT DISTINCT page_id, link, label FROM l WHERE length(label) >= 5 AND regexp_matches(lower(link), '{'|'.join([*op.RECIPE_URLS, '/th', 'in[gn]'])}') AND NOT regexp_matches(lower(link), '{'|'.join([*op.LIST_URLS, *op.OTHER_URLS, *op.CATEGORY_URLS])}')""",
 )
 def txt_page_links(spark, d):
-    return op.page_links(table(spark, d, "pages"), "page_id", "url", "html", "example", "pills|[,.]$")
+    pages = table(spark, d, "pages").select("page_id", "url", F.concat(F.expr(ANCHORS), "html").alias("html"))
+    return op.page_links(pages, "page_id", "url", "html", [*op.RECIPE_URLS, "/th", "in[gn]"])
+
+
+#: JSON-LD blocks, since the pages have none: all shapes of type, instructions, yield and image, and what is dropped.
+BLOCKS = [
+    """'<script type="application/ld+json">{"@type":"Recipe","name":"dish ',{k},'","recipeIngredient":["salt","egg',{k},'"],"recipeInstructions":["mix","bake"],"totalTime":"PT20M","cookTime":"PT9M","prepTime":"PT5M","recipeYield":"4 servings","image":"http://i/',{k},'.jpg","nutrition":{"calories":"250 kcal","fatContent":"9 g"}}</script>'""",
+    """'<script type="application/ld+json">[{"@type":"Article","name":"no","recipeIngredient":["x"]},{"@type":["Thing","Recipe"],"name":"second ',{k},'","recipeIngredient":["salt","egg',{k},'"],"recipeInstructions":[{"@type":"HowToStep","text":"first"},"second",{"name":"no text"}],"recipeYield":[6,"six"],"image":[{"url":"u',{k},'"}]}]</script>'""",
+    """'<script type="application/ld+json">not json</script><script type="application/ld+json">{"@type":"Recipe","name":"","recipeIngredient":["x"]}</script>'""",
+    """'<script type="application/ld+json">{"@type":"Article","name":"story ',{k},'","recipeIngredient":["x"]}</script>'""",
+    """'<SCRIPT id=''z'' type = ''application/ld+json''> {"name":"third ',{k},'","recipeIngredient":["salt","egg',{k},'"],"@type":"Recipe","cookTime":"PT1H","yield":3,"image":{"url":"v',{k},'"},"recipeInstructions":"stir"} </SCRIPT>'""",
+]
+
+
+def block_expr(s):
+    return "CASE page_id % 6 " + " ".join(f"WHEN {k + 1} THEN concat({b.replace('{k}', f'cast(page_id as {s})')})" for k, b in enumerate(BLOCKS)) + " ELSE '' END"
 
 
 @query(
     "txt_page_jsonld",
-    "SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'dish ' || page_id::VARCHAR ELSE 'second ' || page_id::VARCHAR END AS title, 'salt,egg' || page_id::VARCHAR AS ingredients, CASE WHEN page_id % 4 = 1 THEN 'PT20M' END AS total_time FROM pages WHERE page_id % 4 IN (1, 2)",
+    """SELECT page_id, (['dish ', 'second ', '', '', 'third '])[page_id % 6] || page_id::VARCHAR AS title, 'salt,egg' || page_id::VARCHAR AS ingredients, (['mix,bake', 'first,second', '', '', 'stir'])[page_id % 6] AS instructions, CASE page_id % 6 WHEN 1 THEN '250 kcal calories,9 g fat' ELSE '' END AS nutrition,
+ (['PT20M', '', '', '', 'PT1H'])[page_id % 6] AS cook_time, CASE page_id % 6 WHEN 1 THEN 'PT5M' ELSE '' END AS prep_time, (['4 servings', '6', '', '', '3'])[page_id % 6] AS servings, CASE page_id % 6 WHEN 1 THEN 'http://i/' || page_id::VARCHAR || '.jpg' WHEN 2 THEN 'u' || page_id::VARCHAR ELSE 'v' || page_id::VARCHAR END AS image_url
+FROM pages WHERE page_id % 6 IN (1, 2, 5)""",
 )
 def txt_page_jsonld(spark, d):
-    """The pages have no JSON-LD blocks, so blocks derived from their ids are put in front of the html."""
-    k = F.col("page_id").cast("string")
-    tag = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
-    one = F.concat(F.lit('{"name":"dish '), k, F.lit('","recipeIngredient":["salt","egg'), k, F.lit('"],"totalTime":"PT20M"}'))
-    two = F.concat(F.lit('[{"name":"","recipeIngredient":["x"]},{"name":"second '), k, F.lit('","recipeIngredient":["salt","egg'), k, F.lit('"]}]'))
-    block = F.when(F.col("page_id") % 4 == 1, tag(one)).when(F.col("page_id") % 4 == 2, tag(two)).when(F.col("page_id") % 4 == 3, tag(F.lit("not json"))).otherwise("")
-    out = op.page_jsonld(table(spark, d, "pages").select("page_id", F.concat(block, "html").alias("html")), "page_id", "html")
-    return out.withColumn("ingredients", F.array_join("ingredients", ","))
+    out = op.page_jsonld(table(spark, d, "pages").select("page_id", F.concat(F.expr(block_expr("string")), "html").alias("html")), "page_id", "html")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("ingredients", "instructions", "nutrition")})

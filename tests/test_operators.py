@@ -549,3 +549,95 @@ def test_missing_fields(spark):
 def test_reference_match(spark, said, title, position, minutes, want):
     c = scoring.reference_match(F.lit(said).cast("string"), F.lit(title).cast("string"), F.lit(position).cast("int"), F.lit(minutes).cast("int"))
     assert one(spark, c) == want
+
+
+# --- links, blocks, fuzzy names and relevance ---
+
+
+@pytest.mark.parametrize(
+    ("base", "href"),
+    [("http://a.org/b/c?x=1", h) for h in ("page.html", "../x", "./y/../z", "//host/p", "/root", "?q=2", "#top", "https://o.net/x", "../../../up", "..", ".", "d/", "mailto:x@y", "a/b?c=/../d")] + [("http://a.org", "x"), ("http://a.org/b/", "x"), ("https://www.a.org/b/c/d", "../e.html#f")],
+)
+def test_absolute_url(spark, base, href):
+    from urllib.parse import urljoin
+
+    assert one(spark, texts.absolute_url(F.lit(base), F.lit(href))) == urljoin(base, href)
+
+
+def test_page_links(spark):
+    html = """<a class="x" data-href="no" href='/recipe/pie'>Apple <i>pie</i></a><A HREF=soup-recipe >  Soup &amp; more </A><a href="/recipe/egg">Egg</a><a href="/recipes/category/x/">Categories</a><a>None here</a><a href="">Empty one</a><a href="/recipe/pie">Apple pie</a>"""
+    got = texts.page_links(spark.createDataFrame([(1, "http://s.org/a/b", html), (2, "http://s.org", None)], "p int, u string, h string"), "p", "u", "h").collect()
+    assert sorted((r.p, r.link, r.label) for r in got) == [(1, "http://s.org/a/soup-recipe", "Soup & more"), (1, "http://s.org/recipe/pie", "Apple pie")]
+
+
+def test_page_jsonld_shapes(spark):
+    block = lambda *bodies: "".join(f'<script type="application/ld+json">{b}</script>' for b in bodies)
+    pages = {
+        1: block('["text", 5, {"@type": "Recipe", "name": "A", "recipeIngredient": "salt", "image": [], "recipeYield": [], "nutrition": "x"}]'),
+        2: block('{"@type": "Recipe", "name": "no ingredients", "recipeIngredient": []}', '{"@type": ["Recipe"], "name": "B", "recipeIngredient": ["x", "", 3], "image": ["i1", "i2"], "recipeInstructions": []}'),
+        3: block('{"name": "no type", "recipeIngredient": ["x"]}', "{broken", ""),
+        4: "<script>var x = 1</script>",
+        5: None,
+    }
+    got = {r.p: r for r in texts.page_jsonld(spark.createDataFrame(list(pages.items()), "p int, h string"), "p", "h").collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].title, got[1].ingredients, got[1].instructions, got[1].nutrition, got[1].servings, got[1].image_url) == ("A", ["salt"], [], [], "", "")
+    assert (got[2].title, got[2].ingredients, got[2].image_url) == ("B", ["x"], "i1")
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("least", [70.0, 50.0, 34.0, 100.0])
+def test_fuzzy_variants_against_all_pairs(spark, least):
+    import random
+
+    rng = random.Random(6)
+    word = lambda a, b: "".join(rng.choice("abcd ") for _ in range(rng.randint(a, b)))
+    targets = sorted({word(1, 9) for _ in range(40)} | {"", "abcabcabc"})
+    names = [word(0, 14) for _ in range(250)] + [t.upper() + "x" for t in targets[:20]] + [None]
+    want = {}
+    for t in targets:
+        for o in names:
+            o = (o or "").lower()
+            if not t or not o:
+                continue
+            best = min(levenshtein(t, o[k : k + len(t)]) for k in range(max(len(o) - len(t), 0) + 1))
+            if round(100 * (1 - best / len(t)) + 1e-9, 2) >= least:
+                n, variants = want.get(t, (0, set()))
+                want[t] = (n + 1, variants | {o})
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    found = lookups.fuzzy_variants(df, spark.createDataFrame([(t,) for t in targets], "target string"), "name", least)
+    assert {r.target: (r.total, set(r.variants)) for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_query_relevance_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = ["egg", "eggplant", "an", "a", "banana", "rice", "price", "ham", "chamber", "tea", "x" * 30]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, n)))
+    items = [(k, some(5).split(), some(9), some(3) or None, rng.choice(["tea", "en", None]), rng.choice([0.0, 0.05, 0.21, 0.5, 0.9])) for k in range(120)]
+    queries = [(k, sorted(set(some(6).split()))) for k in range(30)] + [(99, ["nowhere", "egg"]), (100, [])]
+    contained = lambda words, text: sum(w in (text or "") for w in words) / len(words)
+    want = {}
+    for i, title, body, text, category, need in items:
+        for q, words in queries:
+            score = 0.5 if not words else min(1.0, round(0.4 * len(set(words) & set(title)) / len(words) + 0.3 * contained(words, body) + 0.2 * contained(words, text) + 0.1 * contained(words, category), 6))
+            if score >= need:
+                want[i, q] = score
+    df = spark.createDataFrame(items, "i long, title array<string>, body string, text string, category string, need double")
+    qs = spark.createDataFrame(queries, "query_id long, words array<string>")
+    got = {(r.i, r.query_id): r.relevance for r in scoring.query_relevance(df, qs, "i", "title", "body", "text", "category", F.col("need")).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    high = scoring.query_relevance(df, qs, "i", "title", "body", "text", "category", 0.6).collect()
+    everything = scoring.query_relevance(df, qs, "i", "title", "body", "text", "category", 0.0).collect()
+    assert len(everything) == len(items) * len(queries)
+    assert {(r.i, r.query_id) for r in high} == {(r.i, r.query_id) for r in everything if r.relevance >= 0.6}

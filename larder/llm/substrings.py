@@ -6,9 +6,11 @@ windows that follow each other mostly share an anchor and travel as one segment.
 (FM-index over words, backward search in a wavelet matrix) and streamed against that index; matching statistics restricted to
 smaller doc_ids give the intervals of at least `window` words.
 
-Only segments whose anchor occurs in two documents travel. Equal segments are reduced before and after the
-shuffle, so a passage that many documents share counts a few times. Its borders, different in each document, would still meet at
-the passage's anchors; anchors that are frequent in a hash sample of documents therefore come last in the order, and
+Only segments whose anchor occurs in two documents are looked at. Each gets a 128-bit digest first, and digests are grouped: equal
+segments need no index, and where all segments of an anchor are equal, that decides them. Only where an anchor has different
+segments do words travel, each distinct segment once, from the smallest document that has it. So copies cost a digest, and a passage that
+many documents share is indexed once; places find their group's result by a join in which large groups are broadcast. The borders of a
+shared passage, different in each document, would still meet at the passage's anchors; anchors that are frequent in a hash sample of documents therefore come last in the order, and
 windows with any other gram avoid them (at most `MAX_HOT` anchors, which all tasks get). The choice of anchors changes
 only who meets where, not the result. What is left to a frequent anchor are windows of frequent grams only; equal ones are one
 segment there, however many documents hold them. An anchor that is not among the frequent ones has at most some 1 / MAX_HOT of all
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import staged
+from larder.llm.common import join_groups, staged
 from larder.llm.fmindex import FMIndex, covered_by_earlier
 from larder.llm.words import Words, chunks, gram_hashes, mixed, words_of
 
@@ -119,8 +121,8 @@ def hot_anchors(docs: DataFrame, window: int, gram: int) -> np.ndarray:
 
 def routed_segments(flagged: DataFrame, hot: np.ndarray, window: int, gram: int, n_shards: int, with_words: bool) -> DataFrame:
     """Segments of documents at their repeated anchors. With words: (shard, key, doc_id, words), a key again only for a
-    smaller doc_id. Without: (key, doc_id, start, length)."""
-    schema = "shard int, key binary, doc_id long, words string" if with_words else "key binary, doc_id long, start int, length int"
+    smaller doc_id. Without: (key, anchor, doc_id, start, length)."""
+    schema = "shard int, key binary, doc_id long, words string" if with_words else "key binary, anchor long, doc_id long, start int, length int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -137,29 +139,29 @@ def routed_segments(flagged: DataFrame, hot: np.ndarray, window: int, gram: int,
                 raw, a, z = words.data.tobytes(), words.start, words.end
                 out: list[tuple] = []
                 shards = (mixed(anchor.view(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
-                for t, s, n, shard in zip(text[ok].tolist(), start[ok].tolist(), count[ok].tolist(), shards[ok].tolist(), strict=True):
+                for t, s, n, shard, at in zip(text[ok].tolist(), start[ok].tolist(), count[ok].tolist(), shards[ok].tolist(), anchor[ok].tolist(), strict=True):
                     body = b" ".join(raw[a[s] : z[s + n + window - 2]].split())
                     key = hashlib.blake2b(body, digest_size=16).digest()
                     if not with_words:
-                        out.append((key, ids[t], s - int(words.first[t]), n + window - 1))
+                        out.append((key, at, ids[t], s - int(words.first[t]), n + window - 1))
                     elif seen.get(key, 1 << 63) > ids[t]:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen[key] = ids[t]
                         out.append((shard, key, ids[t], body))
-                columns = list(zip(*out)) or [()] * 4
+                columns = list(zip(*out)) or [()] * 5
                 if with_words:
                     arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()).cast(pa.string())]
                     yield pa.RecordBatch.from_arrays(arrays, ["shard", "key", "doc_id", "words"])
                 else:
-                    arrays = [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "start", "length"])
+                    arrays = [pa.array(c, kind) for c, kind in zip(columns, [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "anchor", "doc_id", "start", "length"])
 
     return flagged.select("doc_id", "text", "anchors").mapInArrow(run, schema)
 
 
 def match_shard(table: pa.Table, window: int) -> pa.Table:
-    """(key, least_doc, ranges) of a shard's segments: flat word ranges of each that also occur in a smaller doc_id."""
+    """(key, found_doc, ranges) of a shard's segments: flat word ranges of each that also occur in a smaller doc_id."""
     least: dict[bytes, int] = {}
     bodies: dict[bytes, str] = {}
     for key, doc, words in zip(table.column("key").to_pylist(), table.column("doc_id").to_pylist(), table.column("words").to_pylist(), strict=True):
@@ -183,7 +185,7 @@ def match_shard(table: pa.Table, window: int) -> pa.Table:
     pairs = np.stack([begins - ends_at[of], stops - ends_at[of]], axis=1).reshape(-1)
     offsets = np.searchsorted(of, np.arange(len(bodies) + 1)) * 2
     ranges = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(pairs.astype(np.int32)))
-    return pa.table([pa.array(list(bodies), pa.binary()), pa.array(owner), ranges], ["key", "least_doc", "ranges"])
+    return pa.table([pa.array(list(bodies), pa.binary()), pa.array(owner), ranges], ["key", "found_doc", "ranges"])
 
 
 def cut(column: pa.Array, spans: list[list[tuple[int, int]]]) -> tuple[list[int], list[int], list[bytes]]:
@@ -233,24 +235,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     `digest_only` its SHA-256."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ided = source.filter(F.col("doc_id").isNotNull())
+    unnamed = _finish(source.filter(F.col("doc_id").isNull()), False, digest_only, False)
     hot = hot_anchors(ided, window, gram)
     found = anchors(ided, hot, window, gram)
     repeated = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("anchor")
     flags = found.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    first = staged(_finish(source.join(flags, "doc_id", "left").select("doc_id", "text", "anchors"), False, digest_only, True), "flagged")
+    first = staged(_finish(ided.join(flags, "doc_id", "left").select("doc_id", "text", "anchors"), False, digest_only, True), "flagged")
     flagged = first.filter(F.col("anchors").isNotNull())
-    n_anchors = flagged.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    places = staged(routed_segments(flagged, hot, window, gram, 1, False), "places")
+    keys = staged(places.groupBy("key").agg(F.first("anchor").alias("anchor"), F.min("doc_id").alias("least_doc"), F.count(F.lit(1)).alias("n_places")), "segment-keys")
+    # anchors with different segments, and for each of those the smallest document that has it
+    open_anchors = keys.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    sent = keys.join(open_anchors, "anchor", "left_semi").groupBy(F.col("least_doc").alias("doc_id")).agg(F.collect_set("anchor").alias("anchors"))
+    sent = staged(sent, "sent-anchors")
+    n_anchors = sent.agg(F.sum(F.size("anchors"))).first()[0] or 0
     n_shards = max(1, n_anchors * (window + SEGMENT_WINDOWS // 3) // SHARD_WORDS)
-    bodies = routed_segments(flagged, hot, window, gram, n_shards, True)
+    bodies = routed_segments(flagged.select("doc_id", "text").join(sent, "doc_id"), hot, window, gram, n_shards, True)
 
     def run(table: pa.Table) -> pa.Table:
         return match_shard(table, window)
 
-    matched = bodies.groupBy("shard").applyInArrow(run, "key binary, least_doc long, ranges array<int>")
-    places = routed_segments(flagged, hot, window, gram, n_shards, False)
-    joined = places.join(matched, "key")
+    matched = bodies.groupBy("shard").applyInArrow(run, "key binary, found_doc long, ranges array<int>").filter(F.size("ranges") > 0).select("key", "ranges")
+    groups = staged(keys.select("key", "least_doc", "n_places").join(matched, "key", "left"), "segment-groups")
+    joined = join_groups(places.select("key", "doc_id", "start", "length"), groups, ["key"], "n_places", places.count())
     own = F.transform(F.sequence(F.lit(0), F.size("ranges") - 1, F.lit(2)), lambda i: F.struct((F.col("start") + F.get("ranges", i)).alias("start"), (F.col("start") + F.get("ranges", i + 1)).alias("end")))
     span = F.when(F.col("doc_id") > F.col("least_doc"), F.array(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("end")))).when(F.size("ranges") > 0, own)
     removed = joined.select("doc_id", span.alias("s")).filter(F.col("s").isNotNull()).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans"))
     rest = _finish(flagged.select("doc_id", "text").join(removed, "doc_id", "left"), True, digest_only, False)
-    return first.filter(F.col("anchors").isNull()).select("doc_id", "n_words", "n_removed", "kept").unionByName(rest)
+    return first.filter(F.col("anchors").isNull()).select("doc_id", "n_words", "n_removed", "kept").unionByName(rest).unionByName(unnamed)

@@ -96,6 +96,16 @@ def packed(df: DataFrame, *more: Column, carry: list[str] | None = None) -> Data
     return df.select(F.struct(*kept).alias("_d"), F.xxhash64(*hashed).alias("_tie"), *more)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them until no column of `df` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of `like` again."""
     return df.select(*[F.col("_d").getField(c).alias(c) for c in like.columns])

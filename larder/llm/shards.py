@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import staged, text_or_empty
+from larder.llm.common import free_names, staged, text_or_empty
 
 DOC_BITS = 23
 KEY_END = 1 << 63
@@ -120,9 +120,14 @@ def histogram_shards(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.0
             starts.add(key)
             last = rows
     starts = sorted(x for x in starts if x < KEY_END)
-    cuts = [x for x in splitters]
-    ranges = [(k, sum(c <= s for c in cuts), rows_below[s] - rows_below[max([0, *(c for c in cuts if c <= s)])]) for k, s in enumerate(starts)]
-    place = docs.sparkSession.createDataFrame(ranges, "_range int, shard int, _before long")
+    first_of = [0, *splitters]
+    ranges = []
+    for k, start in enumerate(starts):
+        shard = sum(c <= start for c in splitters)
+        ranges.append((k, shard, rows_below[start] - rows_below[first_of[shard]]))
+    kept = [c for c in docs.columns if c not in {"size", "shard", "slot"}]
+    key, tie, of, row, before = free_names(docs.select(*[F.col(f"`{c}`") for c in kept]), "_key", "_tie", "_range", "_row", "_before")
+    place = docs.sparkSession.createDataFrame(ranges, f"`{of}` int, shard int, `{before}` long")
 
     edges = np.array(starts, dtype=np.int64)
 
@@ -132,8 +137,8 @@ def histogram_shards(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.0
 
         return pd.Series(np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int32) - 1)
 
-    kept = [c for c in docs.columns if c not in {"size", "shard", "slot"}]
-    placed = docs.select(*kept, row_size(text).alias("size"), shard_key(text, doc_id).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_tie")).withColumn("_range", range_of("_key"))
-    order = Window.partitionBy("_range").orderBy("_key", doc_id, "_tie")
+    shown = [F.col(f"`{c}`") for c in kept]
+    placed = docs.select(*shown, row_size(text).alias("size"), shard_key(text, doc_id).alias(key), F.xxhash64(text_or_empty(text)).alias(tie)).withColumn(of, range_of(key))
+    order = Window.partitionBy(of).orderBy(key, doc_id, tie)
     # the place table has a row per range: a few per splitter and one per rows_per_range rows
-    return placed.withColumn("_row", F.row_number().over(order)).join(place, "_range").select(*kept, "size", "shard", (F.col("_before") + F.col("_row") - 1).alias("slot"))
+    return placed.withColumn(row, F.row_number().over(order)).join(place, of).select(*shown, "size", "shard", (F.col(before) + F.col(row) - 1).alias("slot"))

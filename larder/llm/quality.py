@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import WS, let, staged, text_or_empty
+from larder.llm.common import free_names, WS, let, staged, text_or_empty
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -84,7 +84,9 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     symbols = F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols")
-    return docs.select(*keep, symbols, of_words.alias("_w"), of_lines.alias("_l")).select(*keep, "n_symbols", "_w.*", "_l.*")
+    w, x = free_names(docs, "_w", "_l")
+    shown = [F.col(f"`{c}`") for c in keep]
+    return docs.select(*shown, symbols, of_words.alias(w), of_lines.alias(x)).select(*shown, "n_symbols", f"{w}.*", f"{x}.*")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -147,11 +149,12 @@ def holdout(labels: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame, stratum: str = "lang", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """A scratch table of the `carry` columns (default: all), `_stratum`, `_text_id` (MD5 of the text) and the metrics."""
+    """A scratch table of `_d` (a struct of the `carry` columns, default: all), `_stratum`, `_text_id` (MD5 of the text) and the metrics."""
     own = {*METRICS, "n_lines", "base_failed", "failed_rule", "kept"}
     kept = [c for c in (docs.columns if carry is None else carry) if c not in own]
-    named = docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).withColumn("_text_id", F.md5(text_or_empty(text)))
-    return staged(with_metrics(named, text).select(*kept, "_stratum", "_text_id", *METRICS, "n_lines"), "quality-metrics")
+    packed = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_d")
+    named = docs.select(packed, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), F.md5(text_or_empty(text)).alias("_text_id"), F.col(text).alias("_text"))
+    return staged(with_metrics(named, "_text").drop("_text"), "quality-metrics")
 
 
 def _strata(df: DataFrame, n: int) -> DataFrame:
@@ -161,7 +164,7 @@ def _strata(df: DataFrame, n: int) -> DataFrame:
 def thresholds(rows: DataFrame, labels: DataFrame, control: RiskControl = RiskControl()) -> tuple[DataFrame, int]:
     """One row per stratum with cut-offs: stratum, n_test, n_rejected and a cut-off per rule (null: none), and their number.
     `rows` is a `measured` table."""
-    good = rows.join(holdout(labels), "doc_id").filter(~base_failed())
+    good = rows.withColumn("doc_id", F.col("_d.doc_id")).join(holdout(labels), "doc_id").filter(~base_failed())
     # a text once per stratum
     narrow = good.groupBy(F.col("_stratum").alias("stratum"), "_text_id").agg(*[F.first(c).alias(c) for c in (*METRICS, "n_lines")])
     narrow = staged(narrow.withColumn("proposes", F.substring("_text_id", 1, 1).isin(*PROPOSING)), "quality-holdout")
@@ -214,8 +217,7 @@ def apply_rules(rows: DataFrame, cutoffs: DataFrame, n_strata: int = 0) -> DataF
     failed = F.when(base_failed(), F.lit("base"))
     for rule, score in scores().items():
         failed = failed.when(score > F.col(f"_cut_{rule}"), F.lit(rule))
-    shown = [c for c in rows.columns if c not in {"_stratum", "_text_id"}]
-    return joined.select(*shown, base_failed().alias("base_failed"), failed.alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())
+    return joined.select("_d.*", *METRICS, "n_lines", base_failed().alias("base_failed"), failed.alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, control: RiskControl = RiskControl(), stratum: str = "lang", text: str = "text", carry: list[str] | None = None) -> DataFrame:

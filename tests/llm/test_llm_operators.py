@@ -741,3 +741,37 @@ def test_pipeline(spark, sf_dir):
         docs = spark.read.parquet(path)
         seen[name] = docs.count()
     assert seen["quality_rules"] >= seen["exact_dedup"] >= seen["near_dedup"] >= seen["mixing"] == seen["bpe"] > 0
+
+
+@pytest.mark.parametrize("names", [["_key", "_tie", "_range", "_row", "_before", "_KEY_"], ["_w", "_l", "_stratum", "_text_id", "_d", "_text", "stratum", "_at_symbol_rate", "proposes"]])
+def test_inner_names_of_the_operators_can_be_columns(spark, names):
+    docs = documents(spark).withColumns({n: F.lit("mine") for n in names})
+    placed = shards.histogram_shards(docs, n_shards=3)
+    assert {r[n] for r in placed.collect() for n in names} == {"mine"} and placed.count() == len(BASE_TEXTS)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(BASE_TEXTS))], "doc_id long, quality int, toxic int")
+    judged = quality.quality_rules(docs, labels)
+    assert {r[n] for r in judged.collect() for n in names} == {"mine"} and judged.count() == len(BASE_TEXTS)
+    removed = substrings.remove_repeats(docs)
+    assert removed.count() == len(BASE_TEXTS)
+
+
+def test_substrings_with_null_ids_and_shared_borders(spark):
+    """Copies, copies with an edit and a passage within different texts, at one anchor and at several, and rows without an id."""
+    rng = np.random.default_rng(12)
+    say = lambda n: [f"t{x}" for x in rng.integers(0, 400, n)]
+    passage, base = say(120), say(600)
+    edited = base[:300] + ["edit"] + base[301:]
+    texts = [say(80) + passage + say(30), base, base, edited, passage, say(20) + passage, passage[10:100] + say(60), passage * 3, base[100:260], edited] + [passage] * 20
+    rows = [(None if k in (4, 12) else k, " ".join(w)) for k, w in enumerate(texts)]
+    first: dict[tuple, int] = {}
+    for k, w in enumerate(texts):
+        if rows[k][0] is not None:
+            for i in range(len(w) - 49):
+                first.setdefault(tuple(w[i : i + 50]), k)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    named = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == len(texts) and sum(r["n_removed"] for r in got if r["doc_id"] is None) == 0
+    for k, w in enumerate(texts):
+        if rows[k][0] is not None:
+            gone = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < k for j in range(i, i + 50)}
+            assert named[k]["kept"] == " ".join(x for j, x in enumerate(w) if j not in gone), k

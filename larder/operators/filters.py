@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import any_term, blank_to_null, col, domain, filled
+from larder.operators.texts import canonical_unit, quantity_text
 
 
 def required_fields(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,9 +94,78 @@ def product_record(df: DataFrame, texts: dict[str, tuple[str, int]], numbers: di
     )
 
 
-def standard_record(df: DataFrame, defaults: dict[str, tuple[Column, object]]) -> DataFrame:
-    """One struct column `recipe`, each field filled by its default where blank."""
-    return df.withColumn("recipe", F.struct(*[F.coalesce(c, F.lit(v)).alias(k) for k, (c, v) in defaults.items()]))
+def _normalised(ingredients: Column) -> Column:
+    """An array of ingredient structs with quantities as decimal text and canonical units; null is an empty array."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    each = lambda x: x.withField("name", F.coalesce(x["name"], F.lit(""))).withField("quantity", quantity_text(x["quantity"])).withField("unit", canonical_unit(blank(x["unit"])))
+    return F.coalesce(F.transform(ingredients, each), F.array())
+
+
+#: Fields of a recipe's nutrition; each is text, empty where it is missing.
+NUTRITION_FIELDS = ["calories", "fat", "carbs", "protein"]
+
+
+def _shared(title: Column, parser_method: Column, source_url: Column, nutrition: Column | None, image: Column | None, meal_occasion: Column | None, total_time: Column | None) -> dict[str, Column]:
+    """The fields that both kinds of record have, with their defaults."""
+    text = lambda c, default="": F.lit(default) if c is None else F.coalesce(c, F.lit(default))
+    facts = F.struct(*[text(None if nutrition is None else nutrition[c]).alias(c) for c in NUTRITION_FIELDS])
+    return {"title": text(title), "parser_method": text(parser_method), "meal_occasion": text(meal_occasion, "Other"), "total_time": text(total_time), "nutrition": facts, "image": text(image), "source_url": text(source_url)}
+
+
+def standard_record(
+    title: Column, parser_method: Column, ingredients: Column, directions: Column, source_url: Column, nutrition: Column | None = None, image: Column | None = None, meal_occasion: Column | None = None, total_time: Column | None = None
+) -> Column:
+    """A recipe as one struct. `ingredients` are structs (name, quantity, unit), which get decimal quantities and canonical units,
+    `directions` texts, `nutrition` a struct of NUTRITION_FIELDS. A missing occasion is "Other", other missing texts are empty."""
+    one = _shared(title, parser_method, source_url, nutrition, image, meal_occasion, total_time)
+    one |= {"ingredients": _normalised(ingredients), "directions": F.coalesce(directions, F.array().cast("array<string>"))}
+    order = ["title", "parser_method", "meal_occasion", "total_time", "ingredients", "directions", "nutrition", "image", "source_url"]
+    return F.struct(*[one[c].alias(c) for c in order])
+
+
+def enhanced_record(
+    title: Column,
+    parser_method: Column,
+    ingredients: Column,
+    steps: Column,
+    step_ingredients: Column,
+    source_url: Column,
+    meta_ingredients: Column | None = None,
+    servings: Column | None = None,
+    nutrition: Column | None = None,
+    image: Column | None = None,
+    meal_occasion: Column | None = None,
+    total_time: Column | None = None,
+) -> Column:
+    """A recipe whose ingredients have an `id` and whose steps (step_number, text, type, meta_step_section) name theirs.
+
+    `step_ingredients` maps a step's number to ids; a step that it lacks has none. `meta_ingredients` are normalised like the
+    ingredients, and null (so that JSON leaves them out) where there are none. Missing servings are 0.
+    """
+    one = _shared(title, parser_method, source_url, nutrition, image, meal_occasion, total_time)
+    ids = lambda step: F.coalesce(F.try_element_at(step_ingredients, step["step_number"]), F.array().cast("array<string>"))
+    one |= {
+        "servings": F.coalesce(servings, F.lit(0)) if servings is not None else F.lit(0),
+        "ingredients": _normalised(ingredients),
+        "directions": F.transform(steps, lambda x: F.struct(x["step_number"].alias("step_number"), x["text"].alias("text"), x["type"].alias("type"), x["meta_step_section"].alias("meta_step_section"), ids(x).alias("ingredient_ids"))),
+    }
+    order = ["title", "parser_method", "meal_occasion", "servings", "total_time", "ingredients", "directions", "nutrition", "image", "source_url"]
+    if meta_ingredients is not None:
+        one["meta_ingredients"] = F.when(F.size(meta_ingredients) > 0, _normalised(meta_ingredients))
+        order.append("meta_ingredients")
+    return F.struct(*[one[c].alias(c) for c in order])
+
+
+def minimal_view(lines: DataFrame, key: str, order: list[str], item: str, exact: Column, n: int = 8) -> DataFrame:
+    """key, ingredients (the first n items), exact_count and closest_count (lines that are exact or not, of all lines).
+
+    The first n lines are a rank limit before the shuffle and the counts are partial aggregates, so no key's lines are collected whole.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, item))
+    first = lines.select(key, item, place.alias("_k")).filter(F.col("_k") <= n)
+    shown = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", item))).alias("_first"))
+    counts = lines.groupBy(key).agg(F.count_if(exact).alias("exact_count"), F.count_if(~F.coalesce(exact, F.lit(False))).alias("closest_count"))
+    return counts.join(shown, key).select(key, F.transform("_first", lambda x: x[item]).alias("ingredients"), "exact_count", "closest_count")
 
 
 def cart_eligible(quantity: Column, unit: Column, name: Column, disqualified: Column, optional: Column) -> Column:

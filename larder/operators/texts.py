@@ -206,12 +206,29 @@ def spacing_repair(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.get(F.transform(F.array(parts), joined), F.lit(0)), " +", " "))
 
 
+def canonical_unit(unit: Column) -> Column:
+    """The name of UNIT_NAMES, else the unit, trimmed and in lower case."""
+    key = F.lower(F.trim(unit))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair]), key), key)
+
+
+_WHOLE_OR_FRACTION = r"(?:\d+\s+\d+/0*[1-9]\d*|\d+/0*[1-9]\d*|\d+)"
+
+
+def quantity_text(quantity: Column) -> Column:
+    """A quantity as decimal text: the larger end of a range of whole numbers and fractions, the value of a fraction or mixed
+    number, without `.0`; any other text as it is, trimmed. Null is empty."""
+    t = F.trim(F.coalesce(quantity, F.lit("")))
+    value = quantity_value(F.regexp_replace(t, r"\s+", " "), "max")
+    shown = F.regexp_replace(value.cast("string"), r"\.0$", "")
+    return F.when(t.rlike(rf"^{_WHOLE_OR_FRACTION}\s*-\s*{_WHOLE_OR_FRACTION}$|^{_WHOLE_OR_FRACTION}$") & t.rlike("[-/]"), shown).otherwise(t)
+
+
 def normalise_unit(df: DataFrame, unit: str, output: str = "unit", unit_map: DataFrame | None = None) -> DataFrame:
     """The canonical unit of UNIT_NAMES, or of a table (from_unit, to_unit), else the unit in lower case."""
-    key = F.lower(F.trim(F.col(unit)))
     if unit_map is None:
-        names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
-        return df.withColumn(output, F.coalesce(F.element_at(names, key), key))
+        return df.withColumn(output, canonical_unit(F.col(unit)))
+    key = F.lower(F.trim(F.col(unit)))
     joined = df.withColumn("_key", key).join(small(unit_map.select(F.col("from_unit").alias("_key"), "to_unit")), "_key", "left")
     return joined.withColumn(output, F.coalesce("to_unit", "_key")).drop("_key", "to_unit")
 

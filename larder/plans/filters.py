@@ -125,19 +125,38 @@ def prj_product_record(spark, d):
     )
 
 
+RAW_UNITS = ["Cups", " tbsp", "g", "slices", "piece", "oz.", "Pinch"]
+
+
 @query(
     "prj_standard_recipe",
     """
-SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN 'recipe ' || o_orderkey::VARCHAR END, 'Untitled') AS title,
-  coalesce(CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 4)::INTEGER END, 1) AS servings, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 90)::INTEGER END, 30) AS minutes FROM orders""",
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity::INTEGER AS q,
+    (['cup', 'tablespoon', 'gram', 'slice', 'piece', 'ounce', 'pinch'])[l_linenumber] AS unit FROM lineitem),
+n AS (SELECT *, CASE l_linenumber % 5 WHEN 0 THEN (q + 2)::VARCHAR WHEN 1 THEN '0.5' WHEN 2 THEN (q + 0.25)::VARCHAR WHEN 3 THEN q::VARCHAR ELSE 'to taste' END AS quantity FROM l),
+i AS (SELECT l_orderkey, string_agg(quantity || ' ' || unit || ' part ' || l_partkey::VARCHAR, ';' ORDER BY l_linenumber, l_partkey, q) AS ingredients FROM n GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'recipe ' || o_orderkey::VARCHAR ELSE '' END AS title, 'orders' AS parser_method, CASE WHEN o_orderkey % 4 = 0 THEN 'Dinner' ELSE 'Other' END AS meal_occasion,
+  '' AS total_time, coalesce(ingredients, '') AS ingredients, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 0 END AS n_steps,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE '' END AS calories, '' AS protein, '' AS image, 'https://example.com/' || o_orderkey::VARCHAR AS source_url FROM orders LEFT JOIN i ON l_orderkey = o_orderkey""",
 )
 def prj_standard_recipe(spark, d):
-    k = F.col("o_orderkey")
-    shaped = op.standard_record(
-        table(spark, d, "orders"),
-        {"title": (F.when(k % 3 > 0, F.concat(F.lit("recipe "), k.cast("string"))), "Untitled"), "servings": (F.when(k % 4 > 0, (k % 4).cast("int")), 1), "minutes": (F.when(k % 5 > 0, (k % 90).cast("int")), 30)},
+    k, q, line = F.col("o_orderkey"), F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    written = F.when(line % 5 == 0, F.concat_ws(" - ", q, q + 2)).when(line % 5 == 1, "1/2").when(line % 5 == 2, F.concat_ws(" ", q, F.lit("1/4"))).when(line % 5 == 3, q.cast("string")).otherwise(" to taste ")
+    one = F.struct(F.concat(F.lit("part "), F.col("l_partkey")).alias("name"), written.alias("quantity"), F.get(F.array(*[F.lit(u) for u in RAW_UNITS]), line - 1).alias("unit"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(line, "l_partkey", q.alias("q"), one.alias("one")))).alias("lines"))
+    facts = F.when(k % 2 == 0, F.struct(F.col("o_custkey").cast("string").alias("calories"), *[F.lit(None).cast("string").alias(c) for c in ("fat", "carbs", "protein")]))
+    recipe = op.standard_record(
+        F.when(k % 3 > 0, F.concat(F.lit("recipe "), k)),
+        F.lit("orders"),
+        F.transform("lines", lambda x: x["one"]),
+        F.when(k % 5 == 0, F.array(F.lit("Mix."), F.lit("Bake."))),
+        F.concat(F.lit("https://example.com/"), k),
+        nutrition=facts,
+        meal_occasion=F.when(k % 4 == 0, "Dinner"),
     )
-    return shaped.select("o_orderkey", "recipe.*")
+    r = table(spark, d, "orders").join(lines, "o_orderkey", "left").select("o_orderkey", recipe.alias("r"))
+    shown = F.array_join(F.transform("r.ingredients", lambda x: F.concat_ws(" ", x["quantity"], x["unit"], x["name"])), ";")
+    return r.select("o_orderkey", "r.title", "r.parser_method", "r.meal_occasion", "r.total_time", shown.alias("ingredients"), F.size("r.directions").alias("n_steps"), "r.nutrition.calories", "r.nutrition.protein", "r.image", "r.source_url")
 
 
 @query(
@@ -163,9 +182,9 @@ SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY l_linenumber, l_partk
   count(*) FILTER (l_returnflag = 'N') AS exact_count, count(*) FILTER (l_returnflag <> 'N') AS closest_count FROM lineitem GROUP BY 1""",
 )
 def prj_minimal_view(spark, d):
-    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines"), F.count_if(F.col("l_returnflag") == "N").alias("exact_count"), F.count_if(F.col("l_returnflag") != "N").alias("closest_count"))
-    return g.select("l_orderkey", F.array_join(F.transform(F.slice("lines", 1, 8), lambda x: x["l_partkey"].cast("string")), ",").alias("ingredients"), "exact_count", "closest_count")
+    lines = table(spark, d, "lineitem")
+    view = op.minimal_view(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_partkey", F.col("l_returnflag") == "N")
+    return view.withColumn("ingredients", F.array_join(F.col("ingredients").cast("array<string>"), ","))
 
 
 STORE_UNIT = "CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'cup' WHEN 2 THEN 'count' END"

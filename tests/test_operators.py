@@ -641,3 +641,36 @@ def test_query_relevance_against_all_pairs(spark):
     everything = scoring.query_relevance(df, qs, "i", "title", "body", "text", "category", 0.0).collect()
     assert len(everything) == len(items) * len(queries)
     assert {(r.i, r.query_id) for r in high} == {(r.i, r.query_id) for r in everything if r.relevance >= 0.6}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("5-6", "6"), ("1/2", "0.5"), ("1 1/2", "1.5"), ("5", "5"), (" 2 - 1/2 ", "2"), ("1 1/2-3", "3"), ("4/2", "2"), ("1/0", "1/0"), ("1-1/0", "1-1/0"), ("1.5-2", "1.5-2"), ("½", "½"), ("a pinch", "a pinch"), ("", ""), (None, ""), ("2-a", "2-a")],
+)
+def test_quantity_text(spark, text, want):
+    assert one(spark, texts.quantity_text(F.lit(text).cast("string"))) == want
+
+
+def test_standard_and_enhanced_record(spark):
+    schema = "title string, lines array<struct<id:string,name:string,quantity:string,unit:string>>, steps array<struct<step_number:int,text:string,type:string,meta_step_section:string>>, uses map<int,array<string>>, meta array<struct<name:string,quantity:string,unit:string>>, facts struct<calories:string,fat:string,carbs:string,protein:string>"
+    lines = [("ing_1", "flour", "1 1/2", "C"), ("ing_2", "salt", None, " Pinch "), ("ing_3", None, "2-3", None)]
+    rows = [("Bread", lines, [(1, "Mix.", "step", "Dough"), (2, "Bake.", "step", None)], {1: ["ing_1", "ing_2"]}, [("flour", "3/2", "cups")], ("120", None, "20", "4")), (None, None, [], {}, [], None)]
+    df = spark.createDataFrame(rows, schema)
+    plain = filters.standard_record(F.col("title"), F.lit("Site"), F.col("lines"), F.transform("steps", lambda x: x["text"]), F.lit("u"), nutrition=F.col("facts"))
+    rich = filters.enhanced_record(F.col("title"), F.lit("Site"), F.col("lines"), F.col("steps"), F.col("uses"), F.lit("u"), F.col("meta"), servings=F.when(F.col("title").isNotNull(), 4), nutrition=F.col("facts"))
+    (full, rich_full), (empty, rich_empty) = df.select(plain.alias("a"), rich.alias("b")).collect()
+    assert list(full.asDict()) == ["title", "parser_method", "meal_occasion", "total_time", "ingredients", "directions", "nutrition", "image", "source_url"]
+    assert [(x.name, x.quantity, x.unit) for x in full.ingredients] == [("flour", "1.5", "cup"), ("salt", "", "pinch"), ("", "3", "")]
+    assert full.directions == ["Mix.", "Bake."] and full.nutrition.asDict() == {"calories": "120", "fat": "", "carbs": "20", "protein": "4"}
+    assert (full.meal_occasion, full.total_time, full.image, full.source_url) == ("Other", "", "", "u")
+    assert (empty.title, empty.ingredients, empty.directions, set(empty.nutrition)) == ("", [], [], {""})
+    assert [x.id for x in rich_full.ingredients] == ["ing_1", "ing_2", "ing_3"] and rich_full.servings == 4
+    assert [(x.step_number, x.ingredient_ids) for x in rich_full.directions] == [(1, ["ing_1", "ing_2"]), (2, [])]
+    assert [tuple(x) for x in rich_full.meta_ingredients] == [("flour", "1.5", "cup")]
+    assert (rich_empty.servings, rich_empty.directions, rich_empty.meta_ingredients) == (0, [], None)
+
+
+def test_minimal_view_of_a_long_recipe(spark):
+    df = spark.createDataFrame([("a", k, 100 - k, k % 3 == 0) for k in range(20)] + [("b", 1, 5, None)], "r string, n int, item int, exact boolean")
+    got = {r.r: (r.ingredients, r.exact_count, r.closest_count) for r in filters.minimal_view(df, "r", ["n"], "item", F.col("exact")).collect()}
+    assert got == {"a": ([100 - k for k in range(8)], 7, 13), "b": ([5], 0, 1)}

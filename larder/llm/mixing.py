@@ -8,7 +8,8 @@ a source is less than one unit away from the straight line of its period.
 The weights are taken as they are, not rounded to a period: the number of units that a source has got at a period's end is its
 weight times the slots so far, rounded by largest remainder over the whole past, so what one period owes, the next one pays. That
 is less than one unit off, too. Together a source is less than one block away from its target weight after every slot, for any
-number of periods. A period has at least `period` slots, and as many as it takes for every source to be due a unit.
+number of periods. A period has at least `period` slots, and as many as it takes for every source to be due a unit. It is scheduled
+as a stream: a task holds one entry per source, however long the period.
 
 This holds until the first source runs out (slot `end` of the plan). Then the others go on in proportion to their weights, spread
 evenly in each period, until all units are placed: there are as many slots as units, none stays empty, and no row is dropped.
@@ -30,6 +31,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,13 @@ from pyspark.sql import functions as F
 from larder.llm.common import ROW, buckets_for, join_groups, numbered, packed, staged
 
 PERIOD = 8_192
+#: Slots per Arrow batch of a schedule.
+BATCH = 65_536
 OUTPUT = ("block", "release", "deadline", "slot", "in_mix")
 
 
-def schedule(quota: dict, period: int) -> list[tuple]:
-    """(source, k, slot): the slot of each source's k-th unit, k from 0, in one period. Uses PD2 priorities."""
+def schedule(quota: dict, period: int) -> Iterator[tuple]:
+    """(source, k, slot) by slot: the slot of each source's k-th unit, k from 0, in one period. Uses PD2 priorities."""
 
     def window(s, k):
         q = quota[s]
@@ -58,17 +62,15 @@ def schedule(quota: dict, period: int) -> list[tuple]:
     waiting = [(0, n, s, 0) for n, s in enumerate(sorted(quota, key=str))]
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    out = []
     for slot in range(period):
         while waiting and waiting[0][0] <= slot:
             _, n, s, k = heapq.heappop(waiting)
             _, deadline, overlaps, group = window(s, k)
             heapq.heappush(ready, (deadline, not overlaps, -group, n, s, k))
         *_, n, s, k = heapq.heappop(ready)
-        out.append((s, k, slot))
+        yield s, k, slot
         if k + 1 < quota[s]:
             heapq.heappush(waiting, (max(window(s, k + 1)[0], slot + 1), n, s, k + 1))
-    return out
 
 
 def target_weights(rows: dict, temperature: float) -> dict:
@@ -139,15 +141,20 @@ def planned(spark, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in b.column("id").to_pylist():
-                columns = list(zip(*plan.slots(k), strict=True))
-                types = [pa.int32(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["stream", "unit", "slot", "release", "deadline"])
+                for part in batched(plan.slots(k), BATCH):
+                    columns = list(zip(*part, strict=True))
+                    types = [pa.int32(), *[pa.int64()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["stream", "unit", "slot", "release", "deadline"])
 
     return spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_rows: int = 16, slots: int | None = None, period: int = PERIOD, source: str = "source", doc_id: str = "doc_id", rows_per_bucket: int = 1_000) -> DataFrame:
-    """`docs` with block (from 1, in the source), release, deadline and slot (of the row's half block) and in_mix."""
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, block_rows: int = 16, slots: int | None = None, period: int = PERIOD, source: str = "source", doc_id: str = "doc_id", rows_per_bucket: int = 1_000, ordered: bool = False) -> DataFrame:
+    """`docs` with block (from 1, in the source), release, deadline and slot (of the row's half block) and in_mix.
+
+    If `ordered`, rows lie by slot, then doc_id, those without a slot last: each partition has an equal range of slots, known from
+    the plan, so nothing is sampled or sorted beyond a partition.
+    """
     spark = docs.sparkSession
     half = max(1, block_rows // 2)
     base = numbered(packed(docs), "mix-rows")
@@ -179,4 +186,10 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5,
     limit = plan.end if slots is None else int(slots)
     timed = timed.select(ROW, "block", "release", "deadline", "slot", F.coalesce(F.col("slot") < limit, F.lit(False)).alias("in_mix"))
     kept = [F.col("_d").getField(c).alias(c) for c in docs.columns if c not in OUTPUT]
-    return base.join(timed, ROW).select(*kept, *OUTPUT)
+    mixed = base.join(timed, ROW)
+    if ordered:
+        files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        span = max(1, -(-plan.total // files))
+        part = F.coalesce(F.expr(f"slot div {span}"), F.lit(files - 1)).cast("int")
+        mixed = mixed.repartitionById(files, part).sortWithinPartitions(F.asc_nulls_last("slot"), of_row, "_tie")
+    return mixed.select(*kept, *OUTPUT)

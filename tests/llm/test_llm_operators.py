@@ -254,7 +254,7 @@ def brute_edf(quota, period):
 def test_schedule_meets_the_deadlines_like_brute_force(quota):
     period = sum(quota.values())
     assert all(slot < deadline for slot, (deadline, *_) in brute_edf(quota, period))
-    plan = mixing.schedule(quota, period)
+    plan = list(mixing.schedule(quota, period))
     assert sorted(slot for *_, slot in plan) == list(range(period))
     done = Counter()
     for s, k, slot in sorted(plan, key=lambda x: x[2]):
@@ -304,6 +304,31 @@ def test_mix_ties_and_null_ids(spark):
     assert len(first) == 5 and first == sorted(map(str, mixing.mix(docs.repartition(3), block_rows=2).collect()))
 
 
+def test_mix_ordered_by_slot_ranges(spark):
+    """Rows by slot in partitions of equal ranges; rows without a slot last."""
+    docs = spark.createDataFrame([(k, "none" if k % 50 == 0 else "hot" if k % 3 == 0 else f"s{k % 19}", "x" * k) for k in range(3000)], "doc_id long, source string, _part string")
+    weights = {"hot": 5, **{f"s{k}": 1 for k in range(19)}}
+    mixed = mixing.mix(docs, weights, ordered=True)
+    got = mixed.withColumn("at", F.spark_partition_id()).collect()
+    last = max(r["slot"] for r in got if r["slot"] is not None) + 1
+    key = lambda r: (last if r["slot"] is None else r["slot"], r["doc_id"])
+    assert [key(r) for r in got] == sorted(map(key, got)) and len(got) == 3000 and sum(r["slot"] is None for r in got) == 60
+    sizes = Counter(r["at"] for r in got if r["slot"] is not None)
+    assert len(sizes) > 1 and max(sizes.values()) <= 8 * -(-last // len(sizes))
+    assert {(r["doc_id"], r["slot"], r["_part"]) for r in got} == {(r["doc_id"], r["slot"], r["_part"]) for r in mixing.mix(docs, weights).collect()}
+    assert mixing.mix(docs.limit(0), ordered=True).count() == 0
+
+
+def test_a_long_period_is_scheduled_as_a_stream(spark, monkeypatch):
+    """A weight of 1 in 300,000 makes one period of all slots; they come in several batches and every unit is placed once."""
+    monkeypatch.setattr(mixing, "BATCH", 10_000)
+    plan = mixing.Plan([300_000, 200_000, 1], [60_000, 40_000, 2])
+    assert len(plan.bounds) <= 4 and not isinstance(mixing.schedule({0: 1}, 1), list)
+    got = mixing.planned(spark, plan).groupBy("stream").agg(F.count("*").alias("n"), F.count_distinct("unit").alias("units"), F.max("unit").alias("top")).collect()
+    assert {r["stream"]: (r["n"], r["units"], r["top"] + 1) for r in got} == {0: (60_000,) * 3, 1: (40_000,) * 3, 2: (2,) * 3}
+    assert mixing.planned(spark, plan).agg(F.count_distinct("slot")).first()[0] == 100_002
+
+
 def test_pipeline_mixing_keeps_every_row(spark, sf_dir):
     import corpus_pipeline
 

@@ -83,9 +83,8 @@ def scr_recipe_total(spark, d):
     required = op.required_gate(F.col("text"), image, F.col("source"), F.col("text"))
     extras = op.recipe_extras([F.col("quality"), F.col("toxic"), F.col("n_chars"), F.when(k % 2 == 0, 1)], [F.col("lang"), F.when(k % 3 == 0, "x").otherwise(" ")], F.col("source").isin("src1", "src2", "src3"))
     items = relevance_items(spark, d).withColumns({"required": required, "extras": extras}).withColumn("needed", op.relevance_needed(F.col("required"), F.col("extras"), 0.3)).filter("needed <= 1")
-    found = op.query_relevance(items, benchmark_queries(spark, d), "doc_id", "title", "body", "source", "lang", F.col("needed"))
-    scored = found.join(items.select("doc_id", "required", "extras"), "doc_id")
-    return scored.select("doc_id", "query_id", op.recipe_total(F.col("required"), F.col("relevance"), F.col("extras")).alias("score")).filter("score >= 0.3")
+    found = op.query_relevance(items, benchmark_queries(spark, d), "doc_id", "title", "body", "source", "lang", F.col("needed"), keep=["required", "extras"])
+    return found.select("doc_id", "query_id", op.total_with(F.col("required"), F.col("relevance"), F.col("extras")).alias("score")).filter("score >= 0.3")
 
 
 TIERS = [("thther.example.org", "trusted"), ("therea.example.net", "trusted"), ("ththin.example.com", "good"), ("ththed.example.org", "good")]

@@ -674,3 +674,16 @@ def test_minimal_view_of_a_long_recipe(spark):
     df = spark.createDataFrame([("a", k, 100 - k, k % 3 == 0) for k in range(20)] + [("b", 1, 5, None)], "r string, n int, item int, exact boolean")
     got = {r.r: (r.ingredients, r.exact_count, r.closest_count) for r in filters.minimal_view(df, "r", ["n"], "item", F.col("exact")).collect()}
     assert got == {"a": ([100 - k for k in range(8)], 7, 13), "b": ([5], 0, 1)}
+
+
+def test_query_relevance_meets_words_without_a_shuffle_of_pairs(spark):
+    text = "  abcdefghijk\tlmn ééü "
+    parts = {text[a:b] for a in range(len(text)) for b in range(a + 1, len(text) + 1)}
+    assert set(one(spark, scoring.word_grams(F.lit(text)))) == {x for x in parts if len(x) <= scoring.GRAM and not any(c.isspace() for c in x)}
+    assert one(spark, scoring.word_grams(F.lit(None).cast("string"))) == []
+    items = spark.createDataFrame([(1, ["ab"], text, "t", "c", "x")], "i long, title array<string>, body string, text string, category string, more string")
+    queries = spark.createDataFrame([(7, ["abcdefghij", "bcdefghijl", "ab"])], "query_id long, words array<string>")
+    found = scoring.query_relevance(items, queries, "i", "title", "body", "text", "category", 0.2, keep=["more"])
+    # items are dealt by their key once, and nothing after that
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 0.333333, "x")]

@@ -687,3 +687,15 @@ def test_query_relevance_meets_words_without_a_shuffle_of_pairs(spark):
     # items are dealt by their key once, and nothing after that
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [tuple(r) for r in found.collect()] == [(1, 7, 0.333333, "x")]
+
+
+def test_texts_are_searched_once(spark):
+    """No step's text is written out again for each of its uses."""
+    df = spark.createDataFrame([("Calories 90Protein 7gFat 300 g 3 g fat 2 cups",)], "t string").withColumn("made", F.concat("t", F.lit(" x")))
+    searches = lambda found: found._jdf.queryExecution().optimizedPlan().toString().count("regexp_")
+    values = df.select(*texts.nutrition_values(F.array("made")))
+    assert values.first()[:3] == (90.0, 7.0, None)
+    assert searches(values) <= 400
+    assert searches(df.select(texts.alternative_units("made"))) <= len(texts.MEASURES) + 3
+    assert searches(texts.ingredient_rich(df, "made")) <= 12
+    assert searches(df.select(texts.quantity_text(F.col("made")))) <= 8

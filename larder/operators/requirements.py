@@ -135,9 +135,10 @@ def constraint_rules(df: DataFrame, key: str, document: str) -> DataFrame:
     rules is an array of (flag, kind, terms, number), each flag once. Kinds: `title` and `any` ask for one of the terms in the
     title, or in title or ingredients; `none` forbids the terms among the ingredients; `protein`, `calories` and `minutes` compare a
     number. Unknown diets and allergies and texts without a number give no rule. `asked` says whether the document asks for
-    anything, known or not.
+    anything, known or not. Equal documents are compiled once.
     """
-    r = F.from_json(F.col(document), CONSTRAINTS)
+    keyed = df.select(key, F.coalesce(document, F.lit("")).alias("_document"))
+    r = F.from_json(F.col("_document"), CONSTRAINTS)
     none, number = F.array().cast("array<string>"), F.lit(None).cast("int")
     rule = lambda flag, kind, terms=none, n=number: F.struct(flag.alias("flag"), F.lit(kind).alias("kind"), terms.alias("terms"), n.alias("number"))
     words = lambda terms: F.array(*[F.lit(t) for t in terms])
@@ -163,7 +164,8 @@ def constraint_rules(df: DataFrame, key: str, document: str) -> DataFrame:
     lists = {c: F.coalesce(r[c], none) for c in ("dietary_constraints", "allergy_constraints", "nutrition_requirements")}
     every = F.concat(F.array(about), forbidden(lists["dietary_constraints"], DIET_FORBIDS), forbidden(lists["allergy_constraints"], ALLERGY_FORBIDS), F.transform(lists["nutrition_requirements"], bound), F.array(timed))
     asked = subject.isNotNull() | time.isNotNull() | (F.size(F.concat(*lists.values())) > 0)
-    return df.select(key, F.coalesce(asked, F.lit(False)).alias("asked"), F.array_distinct(F.filter(every, lambda x: x.isNotNull())).alias("rules"))
+    compiled = keyed.select("_document").distinct().select("_document", F.coalesce(asked, F.lit(False)).alias("asked"), F.array_distinct(F.filter(every, lambda x: x.isNotNull())).alias("rules"))
+    return keyed.join(small(compiled), "_document").select(key, "asked", "rules")
 
 
 def first_number(nutrition: Column, names: list[str]) -> Column:
@@ -191,19 +193,36 @@ def found_terms(texts: DataFrame, recipe: str, text: str, terms: DataFrame) -> D
     return met.groupBy(recipe).agg(F.collect_set("term").alias("found"))
 
 
+#: Up to so many terms are looked for in each text by itself, without a shuffle of its words.
+TERMS_PER_TEXT = 200
+
+
+def with_found_terms(texts: DataFrame, recipe: str, columns: list[str], terms: DataFrame) -> DataFrame:
+    """`texts` with in_<column>, an array of the terms (in lower case) that the column contains. Few terms go to each text; more
+    meet the distinct words (`found_terms`)."""
+    wanted = terms.select("term").distinct().filter("term <> ''")
+    if wanted.limit(TERMS_PER_TEXT + 1).count() > TERMS_PER_TEXT:
+        for c in columns:
+            texts = texts.join(found_terms(texts, recipe, c, wanted).withColumnRenamed("found", f"in_{c}"), recipe, "left").withColumn(f"in_{c}", F.coalesce(f"in_{c}", F.array().cast("array<string>")))
+        return texts
+    listed = wanted.agg(F.collect_list("term").alias("_terms"))  # one row, of TERMS_PER_TEXT terms at most
+    within = lambda c: F.transform(F.array(F.lower(F.coalesce(c, F.lit("")))), lambda t: F.filter("_terms", lambda x: F.contains(t, x)))[0]
+    return texts.crossJoin(F.broadcast(listed)).withColumns({f"in_{c}": within(c) for c in columns}).drop("_terms")
+
+
 def constraint_flags(candidates: DataFrame, recipes: DataFrame, rules: DataFrame, key: str, recipe: str) -> DataFrame:
     """Each candidate (key, recipe) with `details`, a map from flag to whether the recipe meets it, and `accuracy`, the share of flags
     that are met in percent (one digit, 100 without any flag).
 
     recipes: recipe, title, ingredients (a text), nutrition (array of texts), cook_time. rules: from `constraint_rules`. Where nothing is asked, details is
-    {no_constraints: true} and accuracy is null. A missing number fails. Terms meet distinct words (`found_terms`), recipes get the terms they
-    hold as an array (bounded by the rules' terms), and each candidate is judged by one join with its recipe and one with its rules.
+    {no_constraints: true} and accuracy is null. A missing number fails. Recipes get the terms they
+    hold as an array (`with_found_terms`, bounded by the rules' terms), and each candidate is judged by one join with its recipe and one with its rules.
     """
     terms = rules.select(F.explode("rules").alias("r")).select(F.explode("r.terms").alias("term")).distinct()
-    empty = F.array().cast("array<string>")
-    facts = recipes.select(recipe, first_number(F.col("nutrition"), ["protein"]).alias("protein"), first_number(F.col("nutrition"), ["calorie", "kcal"]).alias("calories"), cook_minutes(F.col("cook_time")).alias("minutes"))
-    for text in ("title", "ingredients"):
-        facts = facts.join(found_terms(recipes, recipe, text, terms).withColumnRenamed("found", f"in_{text}"), recipe, "left").withColumn(f"in_{text}", F.coalesce(f"in_{text}", empty))
+    facts = with_found_terms(recipes, recipe, ["title", "ingredients"], terms)
+    facts = facts.select(
+        recipe, "in_title", "in_ingredients", first_number(F.col("nutrition"), ["protein"]).alias("protein"), first_number(F.col("nutrition"), ["calorie", "kcal"]).alias("calories"), cook_minutes(F.col("cook_time")).alias("minutes")
+    )
 
     def met(r: Column) -> Column:
         some = lambda c: F.arrays_overlap(r["terms"], F.col(c))

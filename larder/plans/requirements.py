@@ -8,6 +8,7 @@ from larder.functions import domain
 from larder.operators import requirements as op
 from larder.plans.filters import DOMAIN_SQL, records
 from larder.plans.registry import query, table
+from larder.sources import spread
 
 REQUIREMENTS = """concat('{"nutrition":{"protein":{"min":', cast(q % 30 as {s}), '},"iron":{"max":', cast(q % 900 as {s}), '},"zinc":{}},"time_constraints":"UNDER ', cast(10 + q % 50 as {s}), ' minutes","allergies":["Peanut"],"exclude_ingredients":["Ring","bolt"],"include_ingredients":["egg"],',
  case q % 3 when 0 then '"dietary_restrictions":"Gluten-Free","meal_type":"lunch"' when 1 then '"dietary_restrictions":["Vegan","low fodmap","Halal"]' else '"cuisine_type":"thai"' end, '}')"""
@@ -186,7 +187,7 @@ FLAGS_SQL = _flags_sql()
 
 
 def customer_rules(spark, d):
-    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.expr(DOCUMENT).alias("document"))
+    asked = spread(table(spark, d, "customer").select("c_custkey")).select(F.col("c_custkey").alias("o_custkey"), F.expr(DOCUMENT).alias("document"))
     return op.constraint_rules(asked, "o_custkey", "document")
 
 

@@ -696,6 +696,25 @@ def test_texts_are_searched_once(spark):
     values = df.select(*texts.nutrition_values(F.array("made")))
     assert values.first()[:3] == (90.0, 7.0, None)
     assert searches(values) <= 400
-    assert searches(df.select(texts.alternative_units("made"))) <= len(texts.MEASURES) + 3
+    assert searches(df.select(texts.alternative_units("made").alias("m"))) <= len(texts.MEASURES) + 5
     assert searches(texts.ingredient_rich(df, "made")) <= 12
-    assert searches(df.select(texts.quantity_text(F.col("made")))) <= 8
+    assert searches(df.select(texts.quantity_text(F.col("made")).alias("m"))) <= 10
+
+
+@pytest.mark.parametrize("most", [0, 200])
+def test_terms_are_found_in_each_text(spark, monkeypatch, most):
+    """Few terms need no join with the words of the texts; more give the same."""
+    monkeypatch.setattr(requirements, "TERMS_PER_TEXT", most)
+    df = spark.createDataFrame([(1, "Chicken  soup", "2 EGGS"), (2, None, "nutmeg egg"), (3, "", "rice")], "r long, title string, ingredients string")
+    terms = spark.createDataFrame([("egg",), ("nut",), ("chicken  soup",), ("egg",), ("",)], "term string")
+    found = requirements.with_found_terms(df, "r", ["title", "ingredients"], terms)
+    got = {r.r: (sorted(r.in_title), sorted(r.in_ingredients)) for r in found.collect()}
+    assert got == {1: (["chicken  soup"], ["egg"]), 2: ([], ["egg", "nut"]), 3: ([], [])}
+    assert ("Generate" in found._jdf.queryExecution().optimizedPlan().toString()) == (most == 0)
+
+
+def test_equal_constraint_documents_are_compiled_once(spark):
+    df = spark.createDataFrame([(1, '{"subject": "pizza"}'), (2, '{"subject": "pizza"}'), (3, None), (4, "")], "k long, d string")
+    found = requirements.constraint_rules(df, "k", "d")
+    assert {r.k: (r.asked, len(r.rules)) for r in found.collect()} == {1: (True, 1), 2: (True, 1), 3: (False, 0), 4: (False, 0)}
+    assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larder.llm import bpe, exact, minhash, mixing, quality
 from larder.llm.common import drop_scratch, reads_scope, scratch_scope, staged
@@ -39,9 +40,18 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs.select(COLUMNS), ordered=True).select(COLUMNS)
 
 
+def place(docs: DataFrame) -> Column:
+    """A number that rises in the order in which `docs` lie: partition, then row. For a table in files, these are the partitions that
+    wrote them, since tasks take files by their size and not in their order."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return F.monotonically_increasing_id()
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    return F.shiftleft(part, 33) + F.col("_metadata.row_index")
+
+
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids (exact token ids of the whole text)."""
-    return bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "lang", "source"])
+    """doc_id, lang, source, place, ids (exact token ids of the whole text). By place, rows are in the order of the mix."""
+    return bpe.bpe_encode(docs.withColumn("place", place(docs)), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "lang", "source", "place"])
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -340,6 +340,18 @@ def test_pipeline_mixing_keeps_every_row(spark, sf_dir):
     assert got == [r["doc_id"] for r in sorted(mixed.collect(), key=lambda r: (r["slot"], r["doc_id"]))] and len(got) == 3000
 
 
+def test_pipeline_encodes_in_the_order_of_the_mix(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, f"t{k} " * (1 + k % 50), "en", "hot" if k % 3 == 0 else f"s{k % 19}", 2) for k in range(3000)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixing_stage(spark, docs, sf_dir)
+    order = [r["doc_id"] for r in mixed.select("doc_id").collect()]
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    for given in (spark.read.parquet(f"{tmp_path}/mixed"), mixed):
+        encoded = corpus_pipeline.encode_stage(spark, given, sf_dir).select("doc_id", "place").collect()
+        assert [r["doc_id"] for r in sorted(encoded, key=lambda r: r["place"])] == order
+
+
 def test_bpe_equals_the_library(spark, sf_dir):
     from tokenizers import Tokenizer
 

@@ -92,8 +92,8 @@ def name_facts(names: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
 
 
 def with_facts(df: DataFrame, facts: DataFrame, name: str) -> DataFrame:
-    """`df` with density, piece and seasoning of its names."""
-    return df.withColumn("_name", F.lower(F.trim(F.col(name)))).join(facts, "_name", "left").withColumn("seasoning", F.coalesce("seasoning", F.lit(False))).drop("_name")
+    """`df` with density, piece and seasoning of its names. Where few names have facts, rows aren't brought together by them."""
+    return df.withColumn("_name", F.lower(F.trim(F.col(name)))).join(small(facts), "_name", "left").withColumn("seasoning", F.coalesce("seasoning", F.lit(False))).drop("_name")
 
 
 def grams(quantity: Column, unit: Column, portions: Column, density: Column, piece: Column, seasoning: Column, extra: dict[str, tuple[str, float]] | None = None) -> Column:

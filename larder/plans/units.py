@@ -8,6 +8,7 @@ from larder.operators import units as op
 from larder.operators.lookups import nutrition_values
 from larder.plans.lookups import DEFAULTS, MACROS, PORTION_SQL, TIERED_LINES_SQL, UNIT_SQL, line_unit, part_macros, portions, tiered_lines
 from larder.plans.registry import query, table
+from larder.sources import gathered
 
 #: Foods that the part names stand for, so that the built-in dictionaries have something to find.
 FOODS = {"small ring": "garlic", "red widget": "bell pepper", "blue bolt": "black pepper", "hot gear": "brown sugar", "old bolt": "eggplant", "hot ring": "sour cream", "new gear": "shiitake mushroom", "large widget": "sage"}
@@ -46,13 +47,13 @@ def foods(spark, d):
 
 def lines_in_grams(spark, d):
     """Recipe lines with values per 100 g and grams. All that depends on the ingredient is resolved on the ingredients, so the
-    lines meet one join."""
+    lines meet one join. A task of it holds its share of the ingredients, which are distinct, and lets the lines pass unsorted."""
     p = foods(spark, d)
     reference = p.filter("l_partkey % 3 = 0")
     estimates = p.filter("l_partkey % 3 = 1").select("l_partkey", *[(F.col(m) / 2).alias(m) for m in MACROS])
     known = nutrition_values(p.select("l_partkey", "food", "density", "piece", "seasoning"), reference, estimates, "l_partkey", MACROS, DEFAULTS)
     guess = table(spark, d, "part").filter("p_partkey % 4 = 1").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 600).cast("double").alias("guess"))
-    lines = table(spark, d, "lineitem").select(*KEYS, "l_quantity").join(known.join(guess, "l_partkey", "left"), "l_partkey")
+    lines = table(spark, d, "lineitem").select(*KEYS, "l_quantity").join(known.join(guess, "l_partkey", "left").hint("shuffle_hash"), "l_partkey")
     g = op.grams(F.col("l_quantity"), line_unit(), portions(), F.col("density"), F.col("piece"), F.col("seasoning"))
     return lines.withColumn("_g", g).select(*KEYS, *MACROS, "guess", "food", "seasoning", "l_quantity", "_g.grams", "_g.gram_source")
 
@@ -84,16 +85,18 @@ def cnv_reference_sanity(spark, d):
     return op.reference_sanity(p, "p_name").select("p_partkey", "calories", "sane")
 
 
-def weighed(spark, d):
+def weighed(spark, d, *columns):
+    """These columns of the weighed lines, those of a recipe in one task; the lines are counted from the files' footers."""
     lines = lines_in_grams(spark, d)
     flag = op.negligible(F.col("food"), F.col("l_quantity"), line_unit(), F.col("seasoning"))
-    return op.without_negligible(op.overridden(lines, F.col("guess")), flag)
+    rows = op.without_negligible(op.overridden(lines, F.col("guess")), flag).select("l_orderkey", *columns)
+    return gathered(rows, "l_orderkey", table(spark, d, "lineitem").count())
 
 
 @query("agg_recipe_macros", f"SELECT l_orderkey, {', '.join(f'round_even(sum({m}::DECIMAL(10, 2) * grams::DECIMAL(14, 4))::DOUBLE / 100, 0) AS {m}' for m in MACROS)} FROM {WEIGHED_SQL} GROUP BY 1")
 def agg_recipe_macros(spark, d):
     """Macros per recipe: reference values, grams with the water override, nothing for negligible lines, one sum per recipe."""
-    return weighed(spark, d).groupBy("l_orderkey").agg(*[op.rounded_total(m).alias(m) for m in MACROS])
+    return weighed(spark, d, "grams", *MACROS).groupBy("l_orderkey").agg(*[op.rounded_total(m).alias(m) for m in MACROS])
 
 
 @query(
@@ -103,4 +106,4 @@ WITH s AS (SELECT l_orderkey, CASE {' '.join(f"WHEN gram_source IN ({', '.join(r
 SELECT l_orderkey, string_agg(({list(op.PROVENANCE)})[o + 1] || ':' || round_even(100.0::DOUBLE * n / total, 0)::INTEGER::VARCHAR || '%', ',' ORDER BY o) AS mix FROM t GROUP BY 1""",
 )
 def agg_source_mix(spark, d):
-    return op.source_mix(weighed(spark, d), "l_orderkey")
+    return op.source_mix(weighed(spark, d, "gram_source"), "l_orderkey")

@@ -718,3 +718,31 @@ def test_equal_constraint_documents_are_compiled_once(spark):
     found = requirements.constraint_rules(df, "k", "d")
     assert {r.k: (r.asked, len(r.rules)) for r in found.collect()} == {1: (True, 1), 2: (True, 1), 3: (False, 0), 4: (False, 0)}
     assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_gathered_rows_grow_in_number(spark):
+    from larder.sources import gathered
+
+    rows, cores = spark.range(2000).select((F.col("id") % 400).alias("k")), spark.sparkContext.defaultParallelism
+    assert gathered(rows, "k", 2000).rdd.getNumPartitions() == cores
+    many = gathered(rows, "k", 2000, most=100)
+    assert many.rdd.getNumPartitions() == 20
+    places = many.withColumn("task", F.spark_partition_id()).groupBy("k").agg(F.count_distinct("task").alias("tasks"), F.count(F.lit(1)).alias("n"))
+    assert [tuple(r) for r in places.groupBy("tasks", "n").count().collect()] == [(1, 5, 400)]
+
+
+@pytest.mark.parametrize("name", ["agg_recipe_macros", "agg_source_mix"])
+def test_lines_meet_their_recipe_before_they_are_summed(spark, sf_dir, name):
+    from larder.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning(l_orderkey")
+    # in the task of the join, sums would hold an entry for nearly each line, and sorting would hold the lines
+    assert "partial_" in above and not any(x in below for x in ("partial_sum", "partial_count", "Sort [l_partkey"))
+
+
+def test_few_facts_do_not_bring_rows_together_by_name(spark):
+    rows = spark.createDataFrame([(1, "Garlic "), (2, "stone"), (3, None)], "k int, name string")
+    found = units.with_facts(rows, units.name_facts(rows, units.dictionaries(spark), "name"), "name")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.select("k", "piece", "seasoning").collect()) == [(1, 3.0, True), (2, None, False), (3, None, False)]

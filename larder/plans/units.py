@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import units as op
-from larder.operators.lookups import nutrition_values
+from larder.operators.lookups import nutrition_values, small
 from larder.plans.lookups import DEFAULTS, MACROS, PORTION_SQL, TIERED_LINES_SQL, UNIT_SQL, line_unit, part_macros, portions, tiered_lines
 from larder.plans.registry import query, table
 from larder.sources import gathered
@@ -40,9 +40,10 @@ def food():
 
 
 def foods(spark, d):
-    """Each part with its food name and what the dictionaries say of it; the dictionaries meet the parts' distinct names."""
+    """Each part with its food name and what the dictionaries say of it; the dictionaries meet the parts' distinct names. Where few
+    names have facts, parts aren't brought together by name."""
     named = part_macros(spark, d).withColumn("food", food())
-    return op.with_facts(named, op.name_facts(named, op.dictionaries(spark), "food"), "food")
+    return op.with_facts(named, small(op.name_facts(named, op.dictionaries(spark), "food")), "food")
 
 
 def lines_in_grams(spark, d):
